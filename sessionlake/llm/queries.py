@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionlake.llm import op02_bpe, op09_rules
+from sessionlake.llm import op02_bpe, op09_rules, op10_jaccard
 from sessionlake.session import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -27,7 +27,11 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op09_rules.assess(table(spark, sf_dir, "documents")).select(*cols)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op9_rules": op9_rules}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_jaccard.classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op9_rules": op9_rules, "op10_jaccard": op10_jaccard_join}
 
 RULES_SQL = r"""
 WITH base AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
@@ -64,3 +68,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 """.replace("@boilerplate@", op09_rules.BOILERPLATE)
 
 ORACLE: dict[str, str] = {"op9_rules": RULES_SQL}
+
+JACCARD_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM words),
+sizes AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM shingles),
+flat AS (SELECT doc_id, unnest(s) AS x FROM shingles),
+common AS (SELECT a.doc_id AS p, b.doc_id AS q, count(*) AS c FROM flat a JOIN flat b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+linked AS (SELECT p, q FROM common JOIN sizes a ON a.doc_id = p JOIN sizes b ON b.doc_id = q WHERE 100 * c >= 75 * (a.n + b.n - c)),
+both_ways AS (SELECT p, q FROM linked UNION SELECT q, p FROM linked),
+reach AS (SELECT doc_id, doc_id AS r FROM sizes UNION SELECT reach.doc_id, q FROM reach JOIN both_ways ON p = r)
+SELECT doc_id, n AS n_shingles, CAST(min(r) AS BIGINT) AS component_id FROM reach JOIN sizes USING (doc_id) GROUP BY ALL
+"""
+ORACLE["op10_jaccard"] = JACCARD_SQL
