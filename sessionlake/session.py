@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -41,3 +42,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sessionlake-"))
     return context.getCheckpointDir()
+
+
+def release(spark: SparkSession) -> None:
+    """Let finished stages' shuffle files go now: Spark's cleaner removes them once the driver has collected their handles."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
