@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from sessionlake.llm import hashing as hs
 from sessionlake.llm.components import components
-from sessionlake.session import ensure_checkpoint_dir
+from sessionlake.session import ensure_checkpoint_dir, release
 
 WORDS, PERCENT = 5, 75
 #: Shingles in more documents than LONG count as long lists; the most frequent LONG_LISTS of them are ranked by length.
@@ -40,7 +40,10 @@ WORDS, PERCENT = 5, 75
 LONG, LONG_LISTS = 32, 200_000
 BROADCAST_ROWS = 500_000
 BORUVKA_ROUNDS = 2
-SMALL_BITS, LARGE_BITS = 1024, 8192
+SMALL_BITS, LARGE_BITS = 1024, 4096
+#: Bytes of a shingle's hash that are sent to count its documents. A chance meeting there only keeps a document in the
+#: search that could have been left out; six bytes suit corpora of over 10**11 shingles.
+PRINT_BYTES = 5
 NOBODY = 0xFFFF
 SLICE_ROWS = 60_000
 
@@ -101,15 +104,26 @@ def pack(batches: Iterator[pa.RecordBatch], words: int, buckets: int) -> Iterato
                 first, index, counts = np.unique(shingles[keep], return_index=True, return_counts=True)
                 owner = np.where(counts == 1, doc[keep][index], NOBODY).astype(np.uint16)
                 bucket = (first >> hs.U(32)) % hs.U(buckets)
-                order = np.argsort(bucket, kind="stable")
+                order = np.lexsort((owner, bucket))
                 cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 out = [(me % buckets, me, HEADER, np.stack([ids[row : row + len(n)], keys, n, same[inverse]]).tobytes(), b"")]
                 for k in np.flatnonzero(np.diff(cut)):
                     at_k = order[cut[k] : cut[k + 1]]
-                    out.append((int(k), me, OWNED, first[at_k].tobytes(), owner[at_k].tobytes()))
+                    out.append((int(k), me, OWNED, short_prints(first[at_k]), owner[at_k].tobytes()))
                 yield rows(PACKED, list(zip(*out, strict=True)))
 
 
+def short_prints(shingles: np.ndarray) -> bytes:
+    """The leading PRINT_BYTES bytes of each hash."""
+    return np.ascontiguousarray(shingles.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :PRINT_BYTES]).tobytes()
+
+
+def long_prints(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // PRINT_BYTES, 8), np.uint8)
+    out[:, :PRINT_BYTES] = np.frombuffer(packed, np.uint8).reshape(-1, PRINT_BYTES)
+    return out.reshape(-1).view(">u8").astype(np.uint64)
+
+
 def count_unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over all slices' shingles of a bucket: for each slice and owner the number that nobody else has; and the longest lists."""
     slices, prints, owners, which = [], [], [], []
@@ -120,7 +134,7 @@ def count_unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 which.append(len(slices))
                 slices.append(me)
-                prints.append(np.frombuffer(a, np.uint64))
+                prints.append(long_prints(a))
                 owners.append(np.frombuffer(b, np.uint16))
     if not slices:
         return
@@ -184,6 +198,7 @@ SETS = "node long, n long, shingles array<long>, bits binary"
 def make_sets(batches: Iterator[pa.RecordBatch], words: int, long: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Whole sets of candidate documents, short lists first; (doc_id, text, node) in."""
     prints, docs = long
+    mask = hs.U((1 << 64) - (1 << 8 * (8 - PRINT_BYTES)))
     for batch in batches:
         nodes = np.asarray(batch.column(2))
         for row, data, offsets in hs.text_slices(batch.column(1)):
@@ -191,8 +206,8 @@ def make_sets(batches: Iterator[pa.RecordBatch], words: int, long: tuple[np.ndar
             keys = set_keys(shingles, at)
             length = np.zeros(len(shingles), np.int64)
             if len(prints):
-                near = np.minimum(np.searchsorted(prints, shingles), len(prints) - 1)
-                length = np.where(prints[near] == shingles, docs[near], 0)
+                near = np.minimum(np.searchsorted(prints, shingles & mask), len(prints) - 1)
+                length = np.where(prints[near] == shingles & mask, docs[near], 0)
             out = []
             for k in np.flatnonzero(keys == nodes[row : row + len(keys)]):  # a doc_id may stand for several texts
                 own = shingles[at[k] : at[k + 1]]
@@ -311,13 +326,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
         hopeful = F.broadcast(hopeful)
     chosen = texts.join(hopeful, "doc_id").select("doc_id", "text", "node")
     sets = chosen.mapInArrow(functools.partial(make_sets, words=words, long=heaviest(counted)), SETS).dropDuplicates(["node"]).checkpoint()
+    release(spark)
     label = spark.createDataFrame([], "node long, component long")
     edges = spark.createDataFrame([], "src long, dst long")
     for turn in range(BORUVKA_ROUNDS + 1):
-        new = links(sets, label, percent, buckets, every=turn == BORUVKA_ROUNDS).checkpoint()
+        new = links(sets, label, percent, max(8, buckets // 4), every=turn == BORUVKA_ROUNDS).checkpoint()
         edges = edges.union(new)
         label = components(edges)
         label = label.checkpoint()
+        release(spark)
     smallest = table.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     linked = label.join(smallest, "node").groupBy("component").agg(F.min("first").alias("least"))
     least = smallest.join(label, "node", "left").join(linked, "component", "left").select("node", F.coalesce("least", "first").alias("component_id"))
