@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionlake.llm import op02_bpe, op08_decontaminate, op09_rules, op10_jaccard
+from sessionlake.llm import op02_bpe, op07_suffix, op08_decontaminate, op09_rules, op10_jaccard
 from sessionlake.session import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -22,6 +22,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op02_bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op07_suffix.spans(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op08_decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -35,7 +39,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_jaccard.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op8_decontaminate": op8_decontaminate, "op9_rules": op9_rules, "op10_jaccard": op10_jaccard_join}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op7_suffix": op7_suffix_dedup, "op8_decontaminate": op8_decontaminate, "op9_rules": op9_rules, "op10_jaccard": op10_jaccard_join}
 
 RULES_SQL = r"""
 WITH base AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
