@@ -342,7 +342,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One document of each class: the one with the smallest id. Documents without words are a class each."""
-    found = classes(docs, id_col, text_col, words, percent)
-    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(first, id_col, "left_semi").select(*docs.columns)
+    """One row of each class: of the document with the smallest id, and of rows with that id the one with the smallest text.
+
+    Documents without words are a class each.
+    """
+    found = classes(docs, id_col, text_col, words, percent).checkpoint()
+    first = found.filter("doc_id = component_id").groupBy("doc_id").count().select(F.col("doc_id").alias(id_col), "count").checkpoint()
+    kept = docs.join(first.filter("count = 1"), id_col, "left_semi").select(*docs.columns)
+    if first.filter("count > 1").isEmpty():
+        return kept
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    again = docs.join(first.filter("count > 1"), id_col, "left_semi").groupBy(id_col).agg(F.min(F.struct(text_col, *rest)).alias("_row"))
+    return kept.unionByName(again.select(id_col, *[F.col("_row")[c].alias(c) for c in docs.columns if c != id_col]))
