@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionlake.llm import op02_bpe, op03_toxicity, op04_anchors, op06_language, op07_suffix, op08_decontaminate, op09_rules, op10_jaccard
+from sessionlake.llm import op01_quotes, op02_bpe, op03_toxicity, op04_anchors, op05_quality, op06_language, op07_suffix, op08_decontaminate, op09_rules, op10_jaccard
 from sessionlake.session import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -18,6 +18,10 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op1_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op01_quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op02_bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -30,6 +34,11 @@ def op4_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op04_anchors.kept_words(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").filter("quality = 1")
+    return op05_quality.resample(table(spark, sf_dir, "documents"), good)
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op06_language.identify(table(spark, sf_dir, "documents"))
 
@@ -51,7 +60,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_jaccard.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op3_toxicity": op3_toxicity, "op4_anchors": op4_anchors, "op6_language": op6_language, "op7_suffix": op7_suffix_dedup, "op8_decontaminate": op8_decontaminate, "op9_rules": op9_rules, "op10_jaccard": op10_jaccard_join}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quotes": op1_quotes, "op2_bpe": op2_bpe, "op3_toxicity": op3_toxicity, "op4_anchors": op4_anchors, "op5_quality": op5_quality, "op6_language": op6_language, "op7_suffix": op7_suffix_dedup, "op8_decontaminate": op8_decontaminate, "op9_rules": op9_rules, "op10_jaccard": op10_jaccard_join}
 
 RULES_SQL = r"""
 WITH base AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
