@@ -39,7 +39,7 @@ WORDS, PERCENT = 5, 75
 #: The ranking only orders lists: any value gives the same links.
 LONG, LONG_LISTS = 32, 200_000
 BROADCAST_ROWS = 500_000
-BORUVKA_ROUNDS = 2
+BORUVKA_ROUNDS = 4
 SMALL_BITS, LARGE_BITS = 1024, 4096
 #: Bytes of a shingle's hash that are sent to count its documents. A chance meeting there only keeps a document in the
 #: search that could have been left out; six bytes suit corpora of over 10**11 shingles.
@@ -216,21 +216,23 @@ def make_sets(batches: Iterator[pa.RecordBatch], words: int, long: tuple[np.ndar
                 yield rows([("node", pa.int64()), ("n", pa.int64()), ("shingles", pa.list_(pa.int64())), ("bits", pa.binary())], list(zip(*out, strict=True)))
 
 
-POSTED = [("bucket", pa.int32()), ("node", pa.int64()), ("n", pa.int64()), ("component", pa.int64()), ("bits", pa.binary()), ("prints", pa.binary())]
+POSTED = pa.schema([("bucket", pa.int32()), ("node", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())), ("component", pa.list_(pa.int64())), ("bits", pa.list_(pa.binary())), ("prints", pa.list_(pa.binary()))])
+POSTED_SQL = "bucket int, node array<long>, n array<long>, component array<long>, bits array<binary>, prints array<binary>"
 
 
 def post(batches: Iterator[pa.RecordBatch], buckets: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Each set's n - T + 1 shortest lists, dealt to buckets of shingles."""
+    """Each set's n - T + 1 shortest lists, dealt to buckets of shingles: a row for each batch and bucket."""
     for batch in batches:
-        out = []
+        dealt: dict[int, list[tuple]] = {}
         for node, n, shingles, bits, component in zip(*batch.columns, strict=True):
             n = n.as_py()
             merge = shingles.values.to_numpy()[: n - int(needed(np.int64(n), percent)) + 1].view(np.uint64)
             bucket = (merge >> hs.U(32)) % hs.U(buckets)
             for k in np.unique(bucket):
-                out.append((int(k), node.as_py(), n, component.as_py(), bits.as_py(), merge[bucket == k].tobytes()))
-        if out:
-            yield rows(POSTED, list(zip(*out, strict=True)))
+                dealt.setdefault(int(k), []).append((node.as_py(), n, component.as_py(), bits.as_py(), merge[bucket == k].tobytes()))
+        if dealt:
+            columns = [list(dealt), *([[row[i] for row in rows] for rows in dealt.values()] for i in range(5))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, POSTED.types, strict=True)], schema=POSTED)
 
 
 def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -242,7 +244,7 @@ def candidates(batches: Iterator[pa.RecordBatch], percent: int, every: bool) ->
     columns = [[] for _ in range(5)]
     for batch in batches:
         for c, got in zip(columns, batch.columns[1:], strict=True):
-            c.extend(got.to_pylist())
+            c.extend(got.flatten().to_pylist())
     node, n, component, bits, prints = columns
     if not node:
         return
@@ -296,8 +298,8 @@ def candidates(batches: Iterator[pa.RecordBatch], percent: int, every: bool) ->
 
 def links(sets: DataFrame, classes: DataFrame, percent: int, buckets: int, every: bool) -> DataFrame:
     """Pairs (src, dst) of nodes in different classes that the exact overlap confirms."""
-    posted = sets.join(classes, "node", "left").select("node", "n", "shingles", "bits", F.coalesce("component", "node").alias("component"))
-    posted = posted.mapInArrow(functools.partial(post, buckets=buckets, percent=percent), "bucket int, node long, n long, component long, bits binary, prints binary")
+    posted = sets.join(classes, "node").select("node", "n", "shingles", "bits", "component")
+    posted = posted.mapInArrow(functools.partial(post, buckets=buckets, percent=percent), POSTED_SQL)
     pairs = posted.repartition(buckets, "bucket").mapInArrow(functools.partial(candidates, percent=percent, every=every), "component long, share double, src long, dst long")
     if every:
         pairs = pairs.select("src", "dst").distinct()
@@ -310,6 +312,17 @@ def links(sets: DataFrame, classes: DataFrame, percent: int, buckets: int, every
     return pairs.join(a, "src").join(b, "dst").filter(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("src", "dst")
 
 
+def joined(label: DataFrame, new: DataFrame) -> tuple[DataFrame, bool]:
+    """Classes (node, component) after new links, and whether any were joined: components of the classes, not of the nodes."""
+    a = label.select(F.col("node").alias("src"), F.col("component").alias("a"))
+    b = label.select(F.col("node").alias("dst"), F.col("component").alias("b"))
+    pairs = new.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst")).filter("src <> dst").distinct().checkpoint()
+    if pairs.isEmpty():
+        return label, False
+    merged = components(pairs).select(F.col("node").alias("component"), F.col("component").alias("into"))
+    return label.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component")).checkpoint(), True
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs; see the module's notes."""
     spark = docs.sparkSession
@@ -327,15 +340,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     chosen = texts.join(hopeful, "doc_id").select("doc_id", "text", "node")
     sets = chosen.mapInArrow(functools.partial(make_sets, words=words, long=heaviest(counted)), SETS).dropDuplicates(["node"]).checkpoint()
     release(spark)
-    label = spark.createDataFrame([], "node long, component long")
-    edges = spark.createDataFrame([], "src long, dst long")
-    for turn in range(BORUVKA_ROUNDS + 1):
-        new = links(sets, label, percent, max(8, buckets // 4), every=turn == BORUVKA_ROUNDS).checkpoint()
-        edges = edges.union(new)
-        label = components(edges)
-        label = label.checkpoint()
+    label = sets.select("node", F.col("node").alias("component")).checkpoint()
+    rounds = max(8, buckets // 4)
+    for _ in range(BORUVKA_ROUNDS):
+        label, moved = joined(label, links(sets, label, percent, rounds, every=False).checkpoint())
         release(spark)
+        if not moved:
+            break
+    label, _ = joined(label, links(sets, label, percent, rounds, every=True).checkpoint())
     smallest = table.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
+    release(spark)
     linked = label.join(smallest, "node").groupBy("component").agg(F.min("first").alias("least"))
     least = smallest.join(label, "node", "left").join(linked, "component", "left").select("node", F.coalesce("least", "first").alias("component_id"))
     return table.join(least, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
