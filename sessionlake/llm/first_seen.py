@@ -113,8 +113,9 @@ def verdicts(
                 docs_of.append(used)
         if not parts:
             return
-        doc, at, key, tag, local, source = (np.concatenate(c) for c in zip(*parts, strict=True))
+        columns = [list(c) for c in zip(*parts, strict=True)]
         parts.clear()
+        doc, at, key, tag, local, source = (np.concatenate(columns.pop(0)) for _ in range(6))
         status = resolve(Entries(doc, at, key, tag))
         found = np.flatnonzero(status)
         cut = np.searchsorted(source[found], np.arange(len(slices) + 1))

@@ -104,7 +104,7 @@ def flags(docs: DataFrame, window: int) -> DataFrame:
     """(doc_id, text_hash, windows): u32 first words of the windows that a smaller document has."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
-    buckets, block = int(spark.conf.get("spark.sql.shuffle.partitions")), window // 2
+    buckets, block = 3 * int(spark.conf.get("spark.sql.shuffle.partitions")), window // 2
     anchors = fs.verdicts(
         docs, functools.partial(probes, block=block), functools.partial(settle_anchors, block=block), functools.partial(resolve_anchors, block=block), buckets, key_bytes=6
     ).checkpoint()
