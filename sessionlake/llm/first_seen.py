@@ -25,6 +25,8 @@ PACKED = pa.schema([("bucket", pa.int32()), ("slice", pa.int64()), ("head", pa.b
 PACKED_SQL = "bucket int, slice long, head binary, keys binary, tags binary, docs binary, at binary, status binary"
 FLAGS_SQL = "doc_id long, text_hash long, at binary, status binary"
 SLICE_ROWS = 60_000
+#: Low bytes of a tag that are sent: tags are compared within a key only.
+TAG_BYTES = 6
 
 
 class Entries:
@@ -93,7 +95,7 @@ def verdicts(
                         e = order[cut[k] : cut[k + 1]]
                         used, doc = np.unique(entries.doc[e], return_inverse=True)
                         head = planes(used, 2) + planes(own[used], 8)
-                        tags = planes(entries.tag[e], 8) if entries.tagged else b""
+                        tags = planes(entries.tag[e], TAG_BYTES) if entries.tagged else b""
                         out.append((int(k), me, head, planes(entries.key[e] >> hs.U(64 - 8 * key_bytes), key_bytes), tags, planes(doc, 2), planes(entries.at[e], 4), None))
                     yield packed_rows(out)
 
@@ -108,7 +110,7 @@ def verdicts(
                 ids = from_planes(head[len(head) // 5 :], 8).astype(np.int64)
                 place = from_planes(doc, 2).astype(np.int64)
                 key = from_planes(keys, key_bytes)
-                parts.append((ids[place], from_planes(at, 4), key, from_planes(tags, 8) if tags else key, used[place], np.full(len(key), len(slices), np.int32)))
+                parts.append((ids[place], from_planes(at, 4), key, from_planes(tags, TAG_BYTES) if tags else key, used[place], np.full(len(key), len(slices), np.int32)))
                 slices.append(me)
                 docs_of.append(used)
         if not parts:
