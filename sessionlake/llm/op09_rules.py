@@ -82,28 +82,44 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(let(let(hashes, keyed), places), covered)).cast("long")
 
 
+def words_of(text: Column) -> Column:
+    """The words of a text, without an empty first or last one."""
+    bare = F.btrim(text, F.lit(SPACE_CHARS))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACES))
+
+
 def assess(docs: DataFrame, text_col: str = "text", max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_failed_lines, lost_chars, base_failed,
     kept and clean_text (the text without failed lines). Columns of docs with these names are replaced."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.split(text, "\n")
-    full = F.filter(lines, lambda x: x.rlike(WORD))
-    failed = F.filter(lines, line_fails)
-    kept_lines = F.filter(lines, lambda x: ~line_fails(x))
-    words = F.filter(F.split(text, SPACES), lambda w: w != "")
+    full = F.filter(lines, lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
     glyphs = lambda x: F.char_length(F.translate(x, SPACE_CHARS, ""))
+
+    def by_line(judged: Column) -> Column:
+        failed = F.filter(judged, lambda x: x["bad"])
+        good = F.transform(F.filter(judged, lambda x: ~x["bad"]), lambda x: x["line"])
+        lost = F.aggregate(failed, F.lit(0), lambda n, x: n + glyphs(x["line"]))
+        return F.struct(F.size(failed).cast("long").alias("n_failed"), lost.cast("long").alias("lost"), F.array_join(good, "\n").alias("clean"))
+
+    judged = F.transform(lines, lambda x: F.struct(x.alias("line"), line_fails(x).alias("bad")))
     counted = docs.withColumns(
         {
-            "n_words": F.regexp_count(text, F.lit(WORD)).cast("long"),
+            "_lines": let(judged, by_line),
+            "_words": let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("repeated"))),
             "word_chars": glyphs(text).cast("long"),
             "n_symbols": count_chars(text, SYMBOLS).cast("long"),
             "n_dup_lines": let(full, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-            "n_repeat_words": let(words, repeated_words),
-            "n_failed_lines": F.size(failed).cast("long"),
-            "lost_chars": F.aggregate(failed, F.lit(0), lambda n, x: n + glyphs(x)).cast("long"),
-            "clean_text": F.array_join(kept_lines, "\n"),
         }
-    )
+    ).withColumns(
+        {
+            "n_words": F.col("_words.n"),
+            "n_repeat_words": F.col("_words.repeated"),
+            "n_failed_lines": F.col("_lines.n_failed"),
+            "lost_chars": F.col("_lines.lost"),
+            "clean_text": F.col("_lines.clean"),
+        }
+    ).drop("_lines", "_words")
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return counted.withColumn("base_failed", base).withColumn(
         "kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= max_lost_percent * F.col("word_chars"))
