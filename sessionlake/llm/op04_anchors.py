@@ -30,6 +30,9 @@ from sessionlake.session import ensure_checkpoint_dir, release
 
 WINDOW = 50
 FOUND = 1
+#: Bytes of a probe's hash that are sent. A chance meeting there only makes an anchor that the windows' full hashes
+#: refute; six bytes suit corpora of over 10**11 words.
+PROBE_BYTES = 5
 
 
 def probes(data: np.ndarray, offsets: np.ndarray, more: list, block: int) -> fs.Entries:
@@ -106,7 +109,7 @@ def flags(docs: DataFrame, window: int) -> DataFrame:
     ensure_checkpoint_dir(spark)
     buckets, block = 3 * int(spark.conf.get("spark.sql.shuffle.partitions")), window // 2
     anchors = fs.verdicts(
-        docs, functools.partial(probes, block=block), functools.partial(settle_anchors, block=block), functools.partial(resolve_anchors, block=block), buckets, key_bytes=6
+        docs, functools.partial(probes, block=block), functools.partial(settle_anchors, block=block), functools.partial(resolve_anchors, block=block), buckets, key_bytes=PROBE_BYTES
     ).checkpoint()
     release(spark)
     chosen = docs.join(anchors, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "at").dropDuplicates(["doc_id", "text_hash"])
