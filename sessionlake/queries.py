@@ -398,4 +398,4 @@ def fnv1a(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.fnv1a_hex(F.col("text")).alias("hash"))
 
 
-from sessionlake import queries_sources  # noqa: E402, F401
+from sessionlake import queries_backup, queries_sources  # noqa: E402, F401
