@@ -10,7 +10,7 @@ Blocks and probes meet in buckets of hashes. A slice of documents settles what i
 so a hot passage costs a few entries for each slice; no pairs of documents are made at any step.
 
 Defined results: null is an empty text; a document of under 50 words loses nothing; rows with an equal doc_id are one
-document (none is smaller); words are kept unchanged and joined by one space.
+document (none is smaller), and so are rows without one, after all others; words are kept unchanged and joined by one space.
 """
 
 from __future__ import annotations
@@ -104,7 +104,7 @@ def resolve_windows(e: fs.Entries) -> np.ndarray:
 
 
 def flags(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, text_hash, windows): u32 first words of the windows that a smaller document has."""
+    """(doc_id, no_id, text_hash, windows): u32 first words of the windows that a smaller document has."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     buckets, block = 3 * int(spark.conf.get("spark.sql.shuffle.partitions")), window // 2
@@ -112,16 +112,16 @@ def flags(docs: DataFrame, window: int) -> DataFrame:
         docs, functools.partial(probes, block=block), functools.partial(settle_anchors, block=block), functools.partial(resolve_anchors, block=block), buckets, key_bytes=PROBE_BYTES
     ).checkpoint()
     release(spark)
-    chosen = docs.join(anchors, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "at").dropDuplicates(["doc_id", "text_hash"])
+    chosen = docs.join(anchors, fs.NAMES).select(*fs.NAMES, "text", "at").dropDuplicates(fs.NAMES)
     found = fs.verdicts(chosen, functools.partial(around, window=window, block=block), settle_windows, resolve_windows, buckets).checkpoint()
     release(spark)
-    return found.select("doc_id", "text_hash", F.col("at").alias("windows"))
+    return found.select(*fs.NAMES, F.col("at").alias("windows"))
 
 
 def kept_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for every row of docs; with_text adds the kept text."""
     texts = fs.prepared(docs, id_col, text_col)
-    marked = texts.join(flags(texts, window), ["doc_id", "text_hash"], "left").select("doc_id", "text", "windows")
+    marked = texts.join(flags(texts, window), fs.NAMES, "left").select(fs.given_id(), "text", "windows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text

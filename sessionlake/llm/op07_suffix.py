@@ -16,7 +16,7 @@ Everything is sorted inside buckets of hashes that grow in number with spark.sql
 of 64-bit hashes.
 
 Defined results: null is an empty text; texts under 100 bytes lose nothing; rows with equal doc_id and text get equal
-results; other columns are ignored by `spans` and kept by `dedup`, which decodes what is left and drops cut characters.
+results; null ids are one id after all others; other columns are ignored by `spans` and kept by `dedup`, which decodes what is left and drops cut characters.
 """
 
 from __future__ import annotations
@@ -161,24 +161,24 @@ def removed_mask(data: np.ndarray, phrase_at: bytes | None, phrase_status: bytes
 
 
 def flags(docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, text_hash, phrase_at, phrase_status, string_at) of documents that lose bytes."""
+    """(doc_id, no_id, text_hash, phrase_at, phrase_status, string_at) of documents that lose bytes."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by_phrase = fs.verdicts(docs, functools.partial(parse, length=length), settle_phrases, resolve_phrases, buckets, key_bytes=5).checkpoint()
     release(spark)
     at_edge = by_phrase.filter(F.expr("locate(chr(2), cast(status as string)) > 0"))
-    chosen = docs.join(at_edge, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "at", "status")
-    by_string = fs.verdicts(chosen.dropDuplicates(["doc_id", "text_hash"]), functools.partial(edges, length=length), settle_strings, resolve_strings, buckets).checkpoint()
+    chosen = docs.join(at_edge, fs.NAMES).select(*fs.NAMES, "text", "at", "status")
+    by_string = fs.verdicts(chosen.dropDuplicates(fs.NAMES), functools.partial(edges, length=length), settle_strings, resolve_strings, buckets).checkpoint()
     release(spark)
-    first = by_phrase.filter(F.expr("locate(chr(1), cast(status as string)) > 0")).select("doc_id", "text_hash", F.col("at").alias("phrase_at"), F.col("status").alias("phrase_status"))
-    return first.join(by_string.select("doc_id", "text_hash", F.col("at").alias("string_at")), ["doc_id", "text_hash"], "full")
+    first = by_phrase.filter(F.expr("locate(chr(1), cast(status as string)) > 0")).select(*fs.NAMES, F.col("at").alias("phrase_at"), F.col("status").alias("phrase_status"))
+    return first.join(by_string.select(*fs.NAMES, F.col("at").alias("string_at")), fs.NAMES, "full")
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of docs."""
     texts = fs.prepared(docs, id_col, text_col)
-    marked = texts.join(flags(texts, length), ["doc_id", "text_hash"], "left").select("doc_id", "text", "phrase_at", "phrase_status", "string_at")
+    marked = texts.join(flags(texts, length), fs.NAMES, "left").select(fs.given_id(), "text", "phrase_at", "phrase_status", "string_at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,8 +200,9 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """docs with repeated bytes removed from the text column; cut characters go, and a null text stays null."""
-    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_hash": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
-    found = flags(fs.prepared(docs, id_col, text_col), length).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "phrase_at", "phrase_status", "string_at")
+    doc_id = F.col(id_col).cast("long")
+    keyed = docs.withColumns({"_id": F.coalesce(doc_id, F.lit(0)), "_no_id": doc_id.isNull(), "_hash": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+    found = flags(fs.prepared(docs, id_col, text_col), length).select(F.col("doc_id").alias("_id"), F.col("no_id").alias("_no_id"), F.col("text_hash").alias("_hash"), "phrase_at", "phrase_status", "string_at")
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, phrase_at: pd.Series, phrase_status: pd.Series, string_at: pd.Series) -> pd.Series:
@@ -213,5 +214,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
         return pd.Series([one(*r) for r in zip(text, phrase_at, phrase_status, string_at, strict=True)], dtype=object)
 
-    joined = keyed.join(found, ["_id", "_hash"], "left")
+    joined = keyed.join(found, ["_id", "_no_id", "_hash"], "left")
     return joined.select(*[cut(text_col, "phrase_at", "phrase_status", "string_at").alias(c) if c == text_col else F.col(c) for c in docs.columns])

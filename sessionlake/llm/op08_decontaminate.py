@@ -16,7 +16,7 @@ The items are a fixed query set: they are packed once and sent to all workers, i
 bounds what a worker holds; every block meets every document. No document is shuffled.
 
 Defined results: null and empty texts match nothing; items that are null or have no words match nothing; repeated
-rows and ids give the same result for each.
+rows and ids give the same result for each; a document without an id is known by its text, with a null doc_id.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionlake.llm import hashing as hs
@@ -168,7 +168,8 @@ def edit_distances(a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndar
     return out
 
 
-FOUND = "doc_id long, item_id long, distance int, first_word long, n_windows long"
+#: key: the doc_id, or where it is null (no_id) a hash of the text.
+FOUND = "key long, no_id boolean, item_id long, distance int, first_word long, n_windows long"
 
 
 def near_pieces(items: Items, hashes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -196,37 +197,42 @@ WAITING = 20_000  # windows that a task gathers before it embeds them together
 
 
 def search(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
-    waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    waiting: list[tuple[np.ndarray, ...]] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
         if waiting:
-            windows, lengths, docs, places = (np.concatenate(c) for c in zip(*waiting, strict=True))
+            windows, lengths, keys, no_id, places = (np.concatenate(c) for c in zip(*waiting, strict=True))
             waiting.clear()
             w, item, distance = items.verified(windows, lengths)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(docs[w]), pa.array(item), pa.array(distance.astype(np.int32)), pa.array(places[w]), pa.array(np.ones(len(w), np.int64))],
-                names=["doc_id", "item_id", "distance", "first_word", "n_windows"],
+                [pa.array(keys[w]), pa.array(no_id[w]), pa.array(item), pa.array(distance.astype(np.int32)), pa.array(places[w]), pa.array(np.ones(len(w), np.int64))],
+                names=["key", "no_id", "item_id", "distance", "first_word", "n_windows"],
             )
 
     for batch in batches:
-        ids = np.asarray(batch.column(0))
-        for row, data, offsets in hs.text_slices(batch.column(1)):
+        keys, no_id = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:2])
+        for row, data, offsets in hs.text_slices(batch.column(2)):
             hashes, bounds = plain_words(data, offsets)
             for n, at, doc in near_pieces(items, hashes, bounds):
                 for lo in range(0, len(at), WAITING):
                     a, d = at[lo : lo + WAITING], doc[lo : lo + WAITING]
-                    waiting.append((pad(hashes[a[:, None] + np.arange(n)], items.longest), np.full(len(a), n), ids[row + d], a - bounds[d]))
+                    waiting.append((pad(hashes[a[:, None] + np.arange(n)], items.longest), np.full(len(a), n), keys[row + d], no_id[row + d], a - bounds[d]))
                     if sum(len(x[1]) for x in waiting) >= WAITING:
                         yield from flush()
     yield from flush()
 
 
-def find(
+def document_key(id_col: str, text_col: str) -> dict[str, Column]:
+    doc_id = F.col(id_col).cast("long")
+    return {"key": F.coalesce(doc_id, F.xxhash64(F.col(text_col).cast("string"))), "no_id": doc_id.isNull()}
+
+
+def found(
     docs: DataFrame, items: DataFrame, edit_rate: float = EDIT_RATE, walks: int = WALKS, tables: int = TABLES, bits: int = BITS,
     block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
-    """(doc_id, item_id, distance, first_word, n_windows): the best window of each contaminated document and item."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """(key, no_id, item_id, distance, first_word, n_windows): as find, by document_key."""
+    texts = docs.select(*[c.alias(name) for name, c in document_key(id_col, text_col).items()], F.col(text_col).cast("string").alias("text"))
     known = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).filter("text IS NOT NULL AND item_id IS NOT NULL")
     blocks, out = max(1, -(-known.count() // block)), None
     for k in range(blocks):
@@ -235,13 +241,19 @@ def find(
         part = texts.mapInArrow(functools.partial(search, items=packed), FOUND)
         out = part if out is None else out.union(part)
     best = F.min(F.struct("distance", "first_word"))
-    return out.groupBy("doc_id", "item_id").agg(best.alias("b"), F.sum("n_windows").alias("n_windows")).select(
-        "doc_id", "item_id", F.col("b.distance").alias("distance"), F.col("b.first_word").alias("first_word"), "n_windows"
+    return out.groupBy("key", "no_id", "item_id").agg(best.alias("b"), F.sum("n_windows").alias("n_windows")).select(
+        "key", "no_id", "item_id", F.col("b.distance").alias("distance"), F.col("b.first_word").alias("first_word"), "n_windows"
     )
 
 
+def find(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """(doc_id, item_id, distance, first_word, n_windows): the best window of each contaminated document and item."""
+    doc_id = F.when(~F.col("no_id"), F.col("key")).alias("doc_id")
+    return found(docs, items, **options).select(doc_id, "item_id", "distance", "first_word", "n_windows")
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """docs without the documents in which an item was found."""
-    id_col = options.get("id_col", "doc_id")
-    hit = find(docs, items, **options).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(hit, id_col, "left_anti").select(*docs.columns)
+    key = document_key(options.get("id_col", "doc_id"), options.get("text_col", "text"))
+    hit = found(docs, items, **options).select(F.col("key").alias("_key"), F.col("no_id").alias("_no_id")).distinct()
+    return docs.withColumns({f"_{name}": c for name, c in key.items()}).join(hit, ["_key", "_no_id"], "left_anti").select(*docs.columns)

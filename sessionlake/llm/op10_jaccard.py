@@ -16,7 +16,8 @@ the overlap of two whole sorted sets decides each candidate.
 Equal sets are one node throughout, so a group of copies costs one row each and no pairs.
 
 Defined results: null text and text without words have n_shingles 0 and their own doc_id as component_id; one to four
-words are one shingle; repeated rows and equal doc_ids are rows of their own; columns other than the two are ignored.
+words are one shingle; repeated rows and equal doc_ids are rows of their own; a null doc_id is the least
+of no class, and the component_id of a class that has no other is null; columns other than the two are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionlake.llm import hashing as hs
@@ -46,6 +47,7 @@ SMALL_BITS, LARGE_BITS = 1024, 4096
 PRINT_BYTES = 5
 NOBODY = 0xFFFF
 SLICE_ROWS = 60_000
+KEY = ["_id", "_no_id", "_hash"]
 
 
 def needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -91,7 +93,8 @@ def pack(batches: Iterator[pa.RecordBatch], words: int, buckets: int) -> Iterato
     part, serial = TaskContext.get().partitionId(), 0
     for batch in batches:
         for lo in range(0, batch.num_rows, SLICE_ROWS):
-            texts, ids = batch.column(1).slice(lo, SLICE_ROWS), np.asarray(batch.column(0).slice(lo, SLICE_ROWS))
+            texts = batch.column(3).slice(lo, SLICE_ROWS)
+            names = np.stack([c.slice(lo, SLICE_ROWS).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:3]])
             for row, data, offsets in hs.text_slices(texts):
                 shingles, at = shingle_sets(data, offsets, words)
                 n = np.diff(at)
@@ -106,7 +109,7 @@ def pack(batches: Iterator[pa.RecordBatch], words: int, buckets: int) -> Iterato
                 bucket = (first >> hs.U(32)) % hs.U(buckets)
                 order = np.lexsort((owner, bucket))
                 cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                out = [(me % buckets, me, HEADER, np.stack([ids[row : row + len(n)], keys, n, same[inverse]]).tobytes(), b"")]
+                out = [(me % buckets, me, HEADER, np.stack([*names[:, row : row + len(n)], keys, n, same[inverse]]).tobytes(), b"")]
                 for k in np.flatnonzero(np.diff(cut)):
                     at_k = order[cut[k] : cut[k + 1]]
                     out.append((int(k), me, OWNED, short_prints(first[at_k]), owner[at_k].tobytes()))
@@ -163,12 +166,12 @@ def assemble(table: pa.Table) -> pa.Table:
     """The documents of a slice, with the number of shingles that are theirs alone."""
     kinds = table.column("kind").to_pylist()
     a, b = table.column("a"), table.column("b")
-    ids, keys, n, first = np.frombuffer(a[kinds.index(HEADER)].as_py(), np.int64).reshape(4, -1)
+    ids, no_id, hashes, keys, n, first = np.frombuffer(a[kinds.index(HEADER)].as_py(), np.int64).reshape(6, -1)
     unique = np.zeros(len(ids), np.int64)
     for k in range(len(kinds)):
         if kinds[k] == OWNED:
             unique[np.frombuffer(a[k].as_py(), np.uint16)] += np.frombuffer(b[k].as_py(), np.uint32)
-    return pa.table({"doc_id": ids, "node": keys, "n": n, "n_unique": unique[first]})
+    return pa.table({"doc_id": pa.array(ids, mask=no_id.astype(bool)), "text_hash": hashes, "node": keys, "n": n, "n_unique": unique[first]})
 
 
 def heaviest(packed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -196,12 +199,12 @@ SETS = "node long, n long, shingles array<long>, bits binary"
 
 
 def make_sets(batches: Iterator[pa.RecordBatch], words: int, long: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Whole sets of candidate documents, short lists first; (doc_id, text, node) in."""
+    """Whole sets of candidate documents, short lists first; (text, node) in."""
     prints, docs = long
     mask = hs.U((1 << 64) - (1 << 8 * (8 - PRINT_BYTES)))
     for batch in batches:
-        nodes = np.asarray(batch.column(2))
-        for row, data, offsets in hs.text_slices(batch.column(1)):
+        nodes = np.asarray(batch.column(1))
+        for row, data, offsets in hs.text_slices(batch.column(0)):
             shingles, at = shingle_sets(data, offsets, words)
             keys = set_keys(shingles, at)
             length = np.zeros(len(shingles), np.int64)
@@ -209,7 +212,7 @@ def make_sets(batches: Iterator[pa.RecordBatch], words: int, long: tuple[np.ndar
                 near = np.minimum(np.searchsorted(prints, shingles & mask), len(prints) - 1)
                 length = np.where(prints[near] == shingles & mask, docs[near], 0)
             out = []
-            for k in np.flatnonzero(keys == nodes[row : row + len(keys)]):  # a doc_id may stand for several texts
+            for k in np.flatnonzero(keys == nodes[row : row + len(keys)]):
                 own = shingles[at[k] : at[k + 1]]
                 out.append((keys[k], len(own), own[np.lexsort((own, length[at[k] : at[k + 1]]))].view(np.int64), bitmap(own)))
             if out:
@@ -323,21 +326,28 @@ def joined(label: DataFrame, new: DataFrame) -> tuple[DataFrame, bool]:
     return label.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component")).checkpoint(), True
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs; see the module's notes."""
+def names(id_col: str, text_col: str) -> list[Column]:
+    """What names a document: its id, 0 where it is null, whether it is null, and a hash of its text."""
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    return [F.coalesce(doc_id, F.lit(0)), doc_id.isNull(), F.xxhash64(text)]
+
+
+def grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """(doc_id, text_hash, component, n_shingles, component_id) for every row of docs; component: a node's key, -1 without words."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(*[c.alias(n) for c, n in zip(names(id_col, text_col), ("doc_id", "no_id", "text_hash"), strict=True)], F.col(text_col).cast("string").alias("text"))
     schema = "bucket int, slice long, kind int, a binary, b binary"
     packed = texts.mapInArrow(functools.partial(pack, words=words, buckets=buckets), schema)
     counted = packed.repartition(buckets, "bucket").mapInArrow(count_unique, schema).checkpoint()
-    table = counted.filter(F.col("kind") != HEAVY).groupBy("slice").applyInArrow(assemble, "doc_id long, node long, n long, n_unique long").checkpoint()
+    table = counted.filter(F.col("kind") != HEAVY).groupBy("slice").applyInArrow(assemble, "doc_id long, text_hash long, node long, n long, n_unique long").checkpoint()
     enough = F.col("n") - F.ceil(F.col("n") * percent / 100)
-    hopeful = table.filter((F.col("n") > 0) & (F.col("n_unique") <= enough)).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    hopeful = table.filter((F.col("n") > 0) & (F.col("n_unique") <= enough)).groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text_hash")).alias("d"))
+    hopeful = hopeful.select("node", "d.*")
     if hopeful.count() <= BROADCAST_ROWS:
         hopeful = F.broadcast(hopeful)
-    chosen = texts.join(hopeful, "doc_id").select("doc_id", "text", "node")
+    chosen = texts.join(hopeful, ["doc_id", "no_id", "text_hash"]).select("text", "node")
     sets = chosen.mapInArrow(functools.partial(make_sets, words=words, long=heaviest(counted)), SETS).dropDuplicates(["node"]).checkpoint()
     release(spark)
     label = sets.select("node", F.col("node").alias("component")).checkpoint()
@@ -351,20 +361,32 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     smallest = table.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     release(spark)
     linked = label.join(smallest, "node").groupBy("component").agg(F.min("first").alias("least"))
-    least = smallest.join(label, "node", "left").join(linked, "component", "left").select("node", F.coalesce("least", "first").alias("component_id"))
-    return table.join(least, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    least = smallest.join(label, "node", "left").join(linked, "component", "left").select("node", "component", F.coalesce("least", "first").alias("component_id"))
+    component = F.coalesce("component", "node").alias("component")
+    return table.join(least, "node", "left").select("doc_id", "text_hash", component, F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs; see the module's notes."""
+    return grouped(docs, id_col, text_col, words, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row of each class: of the document with the smallest id, and of rows with that id the one with the smallest text.
 
-    Documents without words are a class each.
+    A document without an id comes after all others. Documents without words are a class each: those of one id, and
+    every row without an id.
     """
-    found = classes(docs, id_col, text_col, words, percent).checkpoint()
-    first = found.filter("doc_id = component_id").groupBy("doc_id").count().select(F.col("doc_id").alias(id_col), "count").checkpoint()
-    kept = docs.join(first.filter("count = 1"), id_col, "left_semi").select(*docs.columns)
-    if first.filter("count > 1").isEmpty():
+    found = grouped(docs, id_col, text_col, words, percent).filter("doc_id <=> component_id").checkpoint()
+    no_id = F.col("doc_id").isNull()
+    single = F.when(no_id & (F.col("n_shingles") == 0), F.lit(True)).otherwise(F.lit(False))
+    members = found.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), no_id.alias("_no_id"), F.col("text_hash").alias("_hash"), F.col("component").alias("_class"), single.alias("_single")).count()
+    sizes = members.groupBy("_class", "_id", "_no_id").agg(F.sum("count").alias("_rows"))
+    members = members.join(sizes, ["_class", "_id", "_no_id"]).withColumn("_single", F.expr("_single OR _rows = 1")).checkpoint()
+    named = docs.withColumns(dict(zip(KEY, names(id_col, text_col), strict=True)))
+    kept = named.join(members.filter("_single"), KEY, "left_semi").select(*docs.columns)
+    several = members.filter("NOT _single").select(*KEY, "_class")
+    if several.isEmpty():
         return kept
-    rest = [c for c in docs.columns if c not in (id_col, text_col)]
-    again = docs.join(first.filter("count > 1"), id_col, "left_semi").groupBy(id_col).agg(F.min(F.struct(text_col, *rest)).alias("_row"))
-    return kept.unionByName(again.select(id_col, *[F.col("_row")[c].alias(c) for c in docs.columns if c != id_col]))
+    again = named.join(several, KEY).groupBy("_class", "_id", "_no_id").agg(F.min(F.struct(text_col, *[c for c in docs.columns if c != text_col])).alias("_row"))
+    return kept.unionByName(again.select(*[F.col("_row")[c].alias(c) for c in docs.columns]))
