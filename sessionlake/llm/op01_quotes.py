@@ -3,8 +3,9 @@
 A message's lines are parsed by their number of leading `>` marks. Lines of level 0 are its own text; maximal runs of
 lines of one deeper level are quoted passages; attribution lines before them go. Passages, their paragraphs and their
 lines are normalised (case, white space, outer punctuation) and hashed. The own texts of all messages are hashed the
-same way, and each hash keeps its earliest message of each conversation and of the corpus only: the join has one row
-on that side for every key, so frequent lines make no pairs.
+same way, and each hash keeps its earliest message of each conversation, and for other conversations those of the two
+smallest only, as one of them is not the quoting one: the join has one row on that side for every key, so frequent
+lines make no pairs.
 
 A passage links to an earlier message of its conversation, else to a message of another one; whole passages before
 paragraphs before lines. A message replies to the latest message that its level-1 passages link to, else to the turn
@@ -12,7 +13,8 @@ before it. Following replies gives each message the turn that its thread starts
 (conv_id, root_turn, depth, turn) every reply comes after what it replies to.
 
 Defined results: null text is an empty message; a passage with no words links to nothing; rows with an equal
-conv_id and turn are one place in the thread and keep a row each; a null conv_id or turn has no thread.
+conv_id and turn are one place in the thread and keep a row each; a null conv_id or turn has no thread
+and is linked neither from nor to.
 """
 
 from __future__ import annotations
@@ -104,14 +106,20 @@ def previous_turns(places: DataFrame) -> DataFrame:
 def link(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, passage, level, to_conv, to_turn, kind) of each quoted passage that a message is found for."""
     hashed = hashes_of(messages)
+    hashed = hashed.filter("conv_id IS NOT NULL AND turn IS NOT NULL")
     own = hashed.filter("passage = -1")
     quoted = hashed.filter("passage >= 0")
     here = own.groupBy("conv_id", "hash").agg(F.min("turn").alias("to_turn"))
-    there = own.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    # Spark keeps two rows of a hash in each task before it sends them
+    number = F.row_number().over(Window.partitionBy("hash").orderBy("conv_id"))
+    ends = here.withColumn("number", number).filter("number <= 2").groupBy("hash")
+    place = F.struct("conv_id", F.col("to_turn").alias("turn"))
+    there = ends.agg(F.min(place).alias("first"), F.max(place).alias("second"))
     near = quoted.join(here, ["conv_id", "hash"]).filter("to_turn < turn")
     near = near.select("conv_id", "turn", "passage", "level", F.struct(F.lit(0).alias("far"), "kind", F.col("conv_id").alias("c"), F.col("to_turn").alias("t")).alias("found"))
-    far = quoted.join(there, "hash").filter("first.conv_id <> conv_id")
-    far = far.select("conv_id", "turn", "passage", "level", F.struct(F.lit(1).alias("far"), "kind", F.col("first.conv_id").alias("c"), F.col("first.turn").alias("t")).alias("found"))
+    other = F.expr("CASE WHEN first.conv_id <> conv_id THEN first ELSE second END")
+    far = quoted.join(there, "hash").withColumn("other", other).filter("other.conv_id <> conv_id")
+    far = far.select("conv_id", "turn", "passage", "level", F.struct(F.lit(1).alias("far"), "kind", F.col("other.conv_id").alias("c"), F.col("other.turn").alias("t")).alias("found"))
     best = near.union(far).groupBy("conv_id", "turn", "passage", "level").agg(F.min("found").alias("f"))
     return best.select("conv_id", "turn", "passage", "level", F.col("f.c").alias("to_conv"), F.col("f.t").alias("to_turn"), F.col("f.kind").alias("kind"))
 
