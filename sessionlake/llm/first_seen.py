@@ -76,6 +76,7 @@ def verdicts(
     docs: doc_id, no_id, text_hash, text and more columns, which extract gets by row. extract(bytes, offsets, more)
     makes a slice's entries; settle(entries, ranks of the ids) gives (status, send): verdicts that the slice can reach
     alone and which entries others need; resolve(entries with ranks) gives the status of a bucket's entries (0: none).
+    Where rows of one document differ, the least status of a place holds.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +156,26 @@ def verdicts(
 
     sent = docs.mapInArrow(send, PACKED_SQL).repartition(buckets, "bucket")
     flags = sent.mapInArrow(judge, PACKED_SQL).groupBy("slice").applyInArrow(gather, FLAGS_SQL)
-    return flags.dropDuplicates(NAMES)
+    # rows of one document may have verdicts that others of it lack, as slices send what is equal once
+    found = flags.groupBy(*NAMES).agg(F.collect_set(F.concat("at", "status")).alias("found"))
+    return found.mapInArrow(united, FLAGS_SQL)
+
+
+def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each document all places with a verdict, with the least status of each."""
+    for batch in batches:
+        at, status = [], []
+        for found in batch.column(3).to_pylist():
+            cut = [len(f) // 5 * 4 for f in found]
+            a, s = b"".join(f[:k] for f, k in zip(found, cut, strict=True)), b"".join(f[k:] for f, k in zip(found, cut, strict=True))
+            if len(found) > 1:
+                places, marks = np.frombuffer(a, np.uint32), np.frombuffer(s, np.uint8)
+                order = np.lexsort((marks, places))
+                order = order[is_first(order, places)]
+                a, s = places[order].tobytes(), marks[order].tobytes()
+            at.append(a)
+            status.append(s)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(at, pa.binary()), pa.array(status, pa.binary())], names=[*NAMES, "at", "status"])
 
 
 def prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
