@@ -7,6 +7,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -37,14 +38,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one is set only where none is named (tests, one machine)."""
+    """The cluster's shared checkpoint folder; a temporary one is set only where none is named and Spark runs on one machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sessionlake-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sessionlake-"))
     return context.getCheckpointDir()
 
 
+def settled(frame: DataFrame) -> DataFrame:
+    """frame.checkpoint(), after which Spark removes the shuffle files it took: nothing reads them again."""
+    conf, key = frame.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return frame.select("*").checkpoint()  # the setting holds for frames that are made under it
+    finally:
+        conf.set(key, before)
+
+
+def shards(docs: DataFrame, text_col: str, each: int) -> int:
+    """How many buckets of about `each` bytes of text docs makes, at least as many as Spark's shuffles have."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+
+
 def release(spark: SparkSession) -> None:
-    """Let finished stages' shuffle files go now: Spark's cleaner removes them once the driver has collected their handles."""
+    """Let the shuffle files of stages that were not settled go now: Spark's cleaner removes them once their handles are collected."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
