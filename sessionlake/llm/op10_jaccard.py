@@ -1,28 +1,35 @@
-"""N-gram Jaccard join: T-occurrence search with long lists set aside (DivideSkip), and the classes its links form.
+"""N-gram Jaccard join: T-occurrence search by DivideSkip over a sharded inverted index, and the classes its links form.
 
-Two sets of n and m shingles with Jaccard similarity 0.75 or more share at least T = ceil(0.75 * max(n, m)) of them.
-Inverted lists are ordered from short to long. At most T - 1 lists can be left out of the merge, so each document
-merges its n - T + 1 shortest lists only; a partner must occur in one of them. The long lists are probed at the end:
-the overlap of two whole sorted sets decides each candidate.
+Two sets of n and m shingles with Jaccard similarity 0.75 or more share at least 3/7 * (n + m) of them, and so at least
+T = ceil(0.75 * n). The search of a set in a shard of others orders the shard's inverted lists of its shingles by
+length, merges all but the L longest while counting occurrences, keeps the rows that occur T - L times or more, and
+probes the L long lists for those by binary search (DivideSkip chooses L). The counts are whole overlaps, so the
+required overlap decides each link without another look at the sets.
 
 1. Texts are hashed once. A document with more than n - T shingles that no other document has can have no partner.
    Those are found by one exchange of packed hashes, each once for each slice of documents (pre-aggregated, so a
    shingle in a third of all documents is a third of the slices, not of the rows).
-2. The rest post their merge lists. Within a list, documents of one class are not compared again: each class looks
-   for its nearest likely partner (Boruvka rounds), and the last round checks all remaining pairs of different
-   classes. Likely means that the parity bitmaps of both sets allow the needed overlap; they never exclude a link.
-3. Candidates are decided exactly on whole sets, and classes are connected components.
+2. The index is sharded by likeness: of several min-hashes of a set, its home is the one that most sets share. Homes are
+   cut into shards of bounded size, each with one set of the home that the others of a near-copy group link to. Every
+   shard searches its own sets, which joins most near copies into classes.
+3. What may be left are links between classes of different shards. Two linked sets share one of their n - T + 1
+   shortest lists, at places that leave enough shingles after them. Such lists are found by grouped minima and maxima,
+   and each set of a smaller class is searched in the other homes that its lists name. No link is lost: this step
+   covers all pairs of different classes.
 
-Equal sets are one node throughout, so a group of copies costs one row each and no pairs.
+Equal sets are one node throughout, so a group of copies costs one row each and no pairs. Classes are connected
+components of the links.
 
 Defined results: null text and text without words have n_shingles 0 and their own doc_id as component_id; one to four
 words are one shingle; repeated rows and equal doc_ids are rows of their own; a null doc_id is the least
-of no class, and the component_id of a class that has no other is null; columns other than the two are ignored.
+of no class, and the component_id of a class that has no other is null; columns other than the two are ignored; an
+empty table gives an empty result; texts of any length are read whole.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,15 +40,20 @@ from pyspark.sql import functions as F
 
 from sessionlake.llm import hashing as hs
 from sessionlake.llm.components import components
-from sessionlake.session import ensure_checkpoint_dir, release
+from sessionlake.session import ensure_checkpoint_dir, settled, shards
 
 WORDS, PERCENT = 5, 75
 #: Shingles in more documents than LONG count as long lists; the most frequent LONG_LISTS of them are ranked by length.
 #: The ranking only orders lists: any value gives the same links.
 LONG, LONG_LISTS = 32, 200_000
-BROADCAST_ROWS = 500_000
-BORUVKA_ROUNDS = 4
-SMALL_BITS, LARGE_BITS = 1024, 4096
+#: Min-hashes of a set, of which the most shared one is its home. Any number gives the same links.
+HOMES = 8
+#: A shard holds sets of about so many shingles together.
+SHARD_SHINGLES = 1 << 20
+#: DivideSkip's weight of a probe against a merged entry.
+MU = 0.01
+#: Bytes of text for each bucket of the first exchange.
+BUCKET_BYTES = 5_000_000
 #: Bytes of a shingle's hash that are sent to count its documents. A chance meeting there only keeps a document in the
 #: search that could have been left out; six bytes suit corpora of over 10**11 shingles.
 PRINT_BYTES = 5
@@ -189,19 +201,15 @@ def heaviest(packed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return prints[order], np.asarray(top["docs"].combine_chunks())[order]
 
 
-def bitmap(shingles: np.ndarray) -> bytes:
-    """Parities of the shingles in each bit: the bits that differ between two sets are at most the shingles that do."""
-    bits = SMALL_BITS if len(shingles) <= SMALL_BITS else LARGE_BITS
-    return np.packbits((np.bincount((shingles >> hs.U(9)).astype(np.int64) % bits, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
-
-
-SETS = "node long, n long, shingles array<long>, bits binary"
+SETS = [("node", pa.int64()), ("n", pa.int64()), ("shingles", pa.list_(pa.int64())), ("homes", pa.list_(pa.int64()))]
+SETS_SQL = "node long, n long, shingles array<long>, homes array<long>"
 
 
 def make_sets(batches: Iterator[pa.RecordBatch], words: int, long: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Whole sets of candidate documents, short lists first; (text, node) in."""
+    """Whole sets of candidate documents, short lists first, with their min-hashes; (text, node) in."""
     prints, docs = long
     mask = hs.U((1 << 64) - (1 << 8 * (8 - PRINT_BYTES)))
+    seeds = hs.mix(np.arange(1, HOMES + 1, dtype=hs.U) * hs.U(hs.BASE))
     for batch in batches:
         nodes = np.asarray(batch.column(1))
         for row, data, offsets in hs.text_slices(batch.column(0)):
@@ -214,116 +222,171 @@ def make_sets(batches: Iterator[pa.RecordBatch], words: int, long: tuple[np.ndar
             out = []
             for k in np.flatnonzero(keys == nodes[row : row + len(keys)]):
                 own = shingles[at[k] : at[k + 1]]
-                out.append((keys[k], len(own), own[np.lexsort((own, length[at[k] : at[k + 1]]))].view(np.int64), bitmap(own)))
+                homes = [hs.mix(own ^ seed).min() for seed in seeds]
+                out.append((keys[k], len(own), own[np.lexsort((own, length[at[k] : at[k + 1]]))].view(np.int64), np.array(homes, hs.U).view(np.int64)))
             if out:
-                yield rows([("node", pa.int64()), ("n", pa.int64()), ("shingles", pa.list_(pa.int64())), ("bits", pa.binary())], list(zip(*out, strict=True)))
-
-
-POSTED = pa.schema([("bucket", pa.int32()), ("node", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())), ("component", pa.list_(pa.int64())), ("bits", pa.list_(pa.binary())), ("prints", pa.list_(pa.binary()))])
-POSTED_SQL = "bucket int, node array<long>, n array<long>, component array<long>, bits array<binary>, prints array<binary>"
-
-
-def post(batches: Iterator[pa.RecordBatch], buckets: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Each set's n - T + 1 shortest lists, dealt to buckets of shingles: a row for each batch and bucket."""
-    for batch in batches:
-        dealt: dict[int, list[tuple]] = {}
-        for node, n, shingles, bits, component in zip(*batch.columns, strict=True):
-            n = n.as_py()
-            merge = shingles.values.to_numpy()[: n - int(needed(np.int64(n), percent)) + 1].view(np.uint64)
-            bucket = (merge >> hs.U(32)) % hs.U(buckets)
-            for k in np.unique(bucket):
-                dealt.setdefault(int(k), []).append((node.as_py(), n, component.as_py(), bits.as_py(), merge[bucket == k].tobytes()))
-        if dealt:
-            columns = [list(dealt), *([[row[i] for row in rows] for rows in dealt.values()] for i in range(5))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, POSTED.types, strict=True)], schema=POSTED)
-
-
-def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1)
+                yield rows(SETS, list(zip(*out, strict=True)))
+
+
+class Shard:
+    """An inverted index over the sets of a shard, and the classes of its sets as links are found."""
+
+    def __init__(self, percent: int):
+        self.percent, self.parts, self.into = percent, [], {}
+        self.found: list[tuple[int, int]] = []
+        self.asked = False
+
+    def add(self, node: np.ndarray, component: np.ndarray, sizes: np.ndarray, shingles: np.ndarray) -> None:
+        self.parts.append((node, component, sizes, shingles))
+
+    def build(self) -> None:
+        self.node, self.component, self.sizes, shingles = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        self.parts.clear()
+        self.shingles, self.at = shingles, np.concatenate([[0], np.cumsum(self.sizes)])
+        row = np.repeat(np.arange(len(self.node)), self.sizes)
+        order = np.lexsort((row, shingles))
+        ordered = shingles[order]
+        start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        self.known, self.start, self.rows = ordered[start], np.append(start, len(ordered)), row[order]
+        self.places = np.repeat(np.arange(len(start)), np.diff(self.start)) * len(self.node) + self.rows  # (list, row), sorted
+
+    def occurring(self, query: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """The rows among `others` (a mask) whose sets have the required overlap with the query."""
+        n = len(query)
+        least = int(needed(np.int64(n), self.percent))
+        near = np.minimum(np.searchsorted(self.known, query), len(self.known) - 1)
+        lists = near[self.known[near] == query]
+        if len(lists) < least:
+            return np.zeros(0, np.int64)
+        length = self.start[lists + 1] - self.start[lists]
+        lists, length = lists[order := np.argsort(length)], length[order]
+        n_long = min(least - 1, int(least / (MU * math.log2(length[-1] + 1) + 1)))
+        cut = len(lists) - n_long
+        ends = np.cumsum(length[:cut])
+        merged = self.rows[np.arange(ends[-1]) + np.repeat(self.start[lists[:cut]] - ends + length[:cut], length[:cut])]
+        counts = np.bincount(merged, minlength=len(self.node))
+        rows = np.flatnonzero((counts >= least - n_long) & others)
+        if not len(rows):
+            return rows
+        counts = counts[rows]
+        for lo in range(0, n_long, width := max(1, 1_000_000 // len(rows))):
+            probe = (lists[cut + lo : cut + lo + width, None] * len(self.node) + rows).ravel()
+            at = np.minimum(np.searchsorted(self.places, probe), len(self.places) - 1)
+            counts = counts + (self.places[at] == probe).reshape(-1, len(rows)).sum(axis=0)
+        return rows[100 * counts >= self.percent * (n + self.sizes[rows] - counts)]
+
+    def root(self, component: int) -> int:
+        while component in self.into:
+            component = self.into[component]
+        return component
+
+    def search(self, node: int, component: int, query: np.ndarray) -> None:
+        """Links of one set to the nearest row of each class that it is linked with and not yet in."""
+        component = self.root(component)
+        others = self.component != component
+        if not others.any():
+            return
+        rows = self.occurring(query, others)
+        for other, first in zip(*np.unique(self.component[rows], return_index=True), strict=True):
+            self.found.append((int(node), int(self.node[rows[first]])))
+            self.into[int(other)] = component
+            self.component[self.component == other] = component
+
+    def ask(self, node: np.ndarray, component: np.ndarray, sizes: np.ndarray, shingles: np.ndarray) -> None:
+        if not self.asked:
+            self.build()
+            self.asked = True
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        for k in range(len(node)):
+            self.search(node[k], int(component[k]), shingles[at[k] : at[k + 1]])
+
+    def links(self) -> list[tuple[int, int]]:
+        """All links; of a shard that no other sets were searched in, those among its own sets."""
+        if not self.asked:
+            self.build()
+            for k in range(len(self.node)):
+                self.search(self.node[k], int(self.component[k]), self.shingles[self.at[k] : self.at[k + 1]])
+        return self.found
+
+
+def search_shards(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(src, dst) in different classes; rows come by home, shard and whether they are a query."""
+    shard, key = None, None
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if shard and (found := shard.links()):
+            yield rows([("src", pa.int64()), ("dst", pa.int64())], list(zip(*found, strict=True)))
 
-
-def candidates(batches: Iterator[pa.RecordBatch], percent: int, every: bool) -> Iterator[pa.RecordBatch]:
-    """Likely pairs of different classes that share a merge list: all of them, or each class's nearest."""
-    columns = [[] for _ in range(5)]
     for batch in batches:
-        for c, got in zip(columns, batch.columns[1:], strict=True):
-            c.extend(got.flatten().to_pylist())
-    node, n, component, bits, prints = columns
-    if not node:
-        return
-    prints = [np.frombuffer(p, np.uint64) for p in prints]
-    entry = np.repeat(np.arange(len(node)), [len(p) for p in prints])
-    prints = np.concatenate(prints)
-    node, n, component = np.array(node), np.array(n), np.array(component)
-    folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(b, np.uint64).reshape(-1, SMALL_BITS // 64), axis=0) for b in bits])
-    wide = np.array([len(b) * 8 == LARGE_BITS for b in bits])
-    place = np.cumsum(wide) - 1
-    full = np.stack([np.frombuffer(b, np.uint64) for b in bits if len(b) * 8 == LARGE_BITS]) if wide.any() else np.zeros((0, LARGE_BITS // 64), np.uint64)
-    order = np.lexsort((component[entry], prints))
-    prints, entry = prints[order], entry[order]
-    starts = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
-    ends = np.concatenate([starts[1:], [len(prints)]])
-    mixed = component[entry[starts]] != component[entry[ends - 1]]
-    best: dict[int, tuple[float, int, int]] = {}
-    found: set[tuple[int, int]] = set()
-    seen: set[bytes] = set()
-    for lo, hi in zip(starts[mixed], ends[mixed], strict=True):
-        members = entry[lo:hi]
-        if (key := members.tobytes()) in seen:
-            continue
-        seen.add(key)
-        for j in range(len(members) - 1):
-            x, rest = members[j], members[j + 1 :]
-            rest = rest[component[rest] != component[x]]
-            rest = rest[(100 * n[rest] >= percent * n[x]) & (100 * n[x] >= percent * n[rest])]
-            # |x u y| - |x n y| >= differing bits, and a link needs 100 |x n y| >= percent |x u y|
-            apart = differing(folded[rest], folded[x])
-            fits = (100 + percent) * apart <= (100 - percent) * (n[rest] + n[x])
-            rest, apart = rest[fits], apart[fits]
-            if wide[x] and len(rest):
-                both = wide[rest]
-                apart[both] = differing(full[place[rest[both]]], full[place[x]])
-                fits = (100 + percent) * apart <= (100 - percent) * (n[rest] + n[x])
-                rest, apart = rest[fits], apart[fits]
-            if every:
-                found.update((min(node[x], y), max(node[x], y)) for y in node[rest])
-            elif len(rest):
-                share = apart / (n[rest] + n[x])
-                k = int(np.argmin(share))
-                best[component[x]] = min(best.get(component[x], (9.0, 0, 0)), (share[k], node[x], node[rest[k]]))
-                for c in np.unique(component[rest]):
-                    k = int(np.argmin(np.where(component[rest] == c, share, 9.0)))
-                    best[c] = min(best.get(c, (9.0, 0, 0)), (share[k], node[x], node[rest[k]]))
-    out = [(0, 0.0, a, b) for a, b in found] if every else [(c, s, a, b) for c, (s, a, b) in best.items()]
-    if out:
-        yield rows([("component", pa.int64()), ("share", pa.float64()), ("src", pa.int64()), ("dst", pa.int64())], list(zip(*out, strict=True)))
-
-
-def links(sets: DataFrame, classes: DataFrame, percent: int, buckets: int, every: bool) -> DataFrame:
-    """Pairs (src, dst) of nodes in different classes that the exact overlap confirms."""
-    posted = sets.join(classes, "node").select("node", "n", "shingles", "bits", "component")
-    posted = posted.mapInArrow(functools.partial(post, buckets=buckets, percent=percent), POSTED_SQL)
-    pairs = posted.repartition(buckets, "bucket").mapInArrow(functools.partial(candidates, percent=percent, every=every), "component long, share double, src long, dst long")
-    if every:
-        pairs = pairs.select("src", "dst").distinct()
-    else:
-        nearest = pairs.groupBy("component").agg(F.min(F.struct("share", "src", "dst")).alias("p"))
-        pairs = nearest.select(F.least("p.src", "p.dst").alias("src"), F.greatest("p.src", "p.dst").alias("dst")).distinct()
-    a = sets.select(F.col("node").alias("src"), F.col("n").alias("n_a"), F.col("shingles").alias("a"))
-    b = sets.select(F.col("node").alias("dst"), F.col("n").alias("n_b"), F.col("shingles").alias("b"))
-    common = F.size(F.array_intersect("a", "b"))
-    return pairs.join(a, "src").join(b, "dst").filter(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("src", "dst")
-
-
-def joined(label: DataFrame, new: DataFrame) -> tuple[DataFrame, bool]:
-    """Classes (node, component) after new links, and whether any were joined: components of the classes, not of the nodes."""
+        home, part, query, node, component = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:5])
+        lists = batch.column(5)
+        at = np.asarray(lists.offsets).astype(np.int64)
+        shingles, at = lists.values.to_numpy()[at[0] : at[-1]], at - at[0]
+        change = np.flatnonzero((home[1:] != home[:-1]) | (part[1:] != part[:-1]) | (query[1:] != query[:-1])) + 1
+        cuts = [0, *change.tolist(), len(home)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if key != (home[lo], part[lo]):
+                yield from done()
+                shard, key = Shard(percent), (home[lo], part[lo])
+            (shard.ask if query[lo] else shard.add)(node[lo:hi], component[lo:hi].copy(), np.diff(at[lo : hi + 1]), shingles[at[lo] : at[hi]])
+    yield from done()
+
+
+def searched(sets: DataFrame, dealt: DataFrame, percent: int) -> DataFrame:
+    """Links (src, dst) that the shards find; dealt: (home, part, query, node, component)."""
+    rows_in = dealt.join(sets.select("node", "shingles"), "node").select("home", "part", "query", "node", "component", "shingles")
+    ordered = rows_in.repartition("home", "part").sortWithinPartitions("home", "part", "query", "node")
+    return ordered.mapInArrow(functools.partial(search_shards, percent=percent), "src long, dst long")
+
+
+def settle_homes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, n, home) and (home, parts, first) of the homes with several sets: how many shards, and a set for all of them."""
+    each = sets.select("node", "n", F.explode("homes").alias("home"))
+    popular = each.groupBy("home").agg(F.count("*").alias("sets"))
+    home = settled(each.join(popular, "home").groupBy("node", "n").agg(F.max(F.struct("sets", "home"))["home"].alias("home")))
+    shared = home.groupBy("home").agg(F.sum("n").alias("size"), F.count("*").alias("sets"), F.min("node").alias("first")).filter("sets > 1")
+    return home, settled(shared.select("home", F.ceil(F.col("size") / SHARD_SHINGLES).cast("int").alias("parts"), "first"))
+
+
+def own_shards(home: DataFrame, shared: DataFrame) -> DataFrame:
+    """(home, part, node) of the sets in shared homes; the first set of a home is in all of its parts."""
+    one = F.array(F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    parts = F.when(F.col("node") == F.col("first"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(one)
+    return home.join(shared, "home").select("home", F.explode(parts).alias("part"), "node")
+
+
+def distant(sets: DataFrame, home: DataFrame, shared: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Which sets have to be searched in which homes besides: (home, part, query, node, component), with the homes' own sets."""
+    sizes = label.groupBy("component").agg(F.count("*").alias("members"))
+    known = label.join(sizes, "component").join(home, "node").join(shared.select("home", "parts"), "home", "left")
+    known = settled(known.select("node", "n", "home", F.coalesce("parts", F.lit(1)).alias("parts"), F.struct("members", "component").alias("class")))
+    T = F.ceil(F.col("n") * percent / 100)
+    posted = known.join(sets.select("node", "shingles"), "node").select("node", "n", "home", "parts", "class", F.posexplode(F.slice("shingles", F.lit(1), (F.col("n") - T + 1).cast("int"))).alias("i", "shingle"))
+    # a partner of m shingles needs (n - i) * (100 + percent) >= percent * (n + m), as i shingles before are not shared
+    posted = posted.withColumn("cap", F.floor((F.col("n") - F.col("i")) * (100 + percent) / percent) - F.col("n"))
+    lists = posted.groupBy("shingle").agg(F.min("class").alias("a"), F.max("class").alias("z"), F.min("home").alias("b"), F.max("home").alias("y"), F.max("parts").alias("parts"), F.min("n").alias("least"), F.max("cap").alias("most"))
+    mixed = lists.filter("a <> z AND (b <> y OR parts > 1)").select("shingle", F.col("z").alias("top"), "least", "most")
+    fits = posted.join(mixed, "shingle").filter("cap >= least AND n <= most")
+    homes = fits.groupBy("shingle", "home", "parts").agg(F.max("class").alias("highest"), F.min("n").alias("smallest"), F.max("cap").alias("widest"))
+    homes = homes.withColumnRenamed("home", "to").withColumnRenamed("parts", "to_parts")
+    asking = fits.filter("class < top").select("shingle", "node", "n", "cap", "home", "class").join(homes, "shingle")
+    asking = asking.filter("class < highest AND cap >= smallest AND n <= widest AND (to <> home OR to_parts > 1)")
+    routes = settled(asking.select("node", F.col("class.component").alias("component"), F.col("to").alias("home"), F.col("to_parts").alias("parts")).distinct())
+    queries = routes.select("home", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("query"), "node", "component")
+    wanted = known.join(routes.select("home").distinct(), "home", "left_semi")
+    index = wanted.select("home", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.lit(False).alias("query"), "node", F.col("class.component").alias("component"))
+    return index.union(queries)
+
+
+def joined(label: DataFrame, new: DataFrame) -> DataFrame:
+    """Classes (node, component) after new links: components of the classes, not of the nodes."""
     a = label.select(F.col("node").alias("src"), F.col("component").alias("a"))
     b = label.select(F.col("node").alias("dst"), F.col("component").alias("b"))
-    pairs = new.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst")).filter("src <> dst").distinct().checkpoint()
+    pairs = settled(new.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst")).filter("src <> dst").distinct())
     if pairs.isEmpty():
-        return label, False
+        return label
     merged = components(pairs).select(F.col("node").alias("component"), F.col("component").alias("into"))
-    return label.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component")).checkpoint(), True
+    return settled(label.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component")))
 
 
 def names(id_col: str, text_col: str) -> list[Column]:
@@ -334,32 +397,23 @@ def names(id_col: str, text_col: str) -> list[Column]:
 
 def grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """(doc_id, text_hash, component, n_shingles, component_id) for every row of docs; component: a node's key, -1 without words."""
-    spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ensure_checkpoint_dir(docs.sparkSession)
+    buckets = shards(docs, text_col, BUCKET_BYTES)
     texts = docs.select(*[c.alias(n) for c, n in zip(names(id_col, text_col), ("doc_id", "no_id", "text_hash"), strict=True)], F.col(text_col).cast("string").alias("text"))
     schema = "bucket int, slice long, kind int, a binary, b binary"
     packed = texts.mapInArrow(functools.partial(pack, words=words, buckets=buckets), schema)
-    counted = packed.repartition(buckets, "bucket").mapInArrow(count_unique, schema).checkpoint()
-    table = counted.filter(F.col("kind") != HEAVY).groupBy("slice").applyInArrow(assemble, "doc_id long, text_hash long, node long, n long, n_unique long").checkpoint()
+    counted = settled(packed.repartition(buckets, "bucket").mapInArrow(count_unique, schema))
+    table = settled(counted.filter(F.col("kind") != HEAVY).groupBy("slice").applyInArrow(assemble, "doc_id long, text_hash long, node long, n long, n_unique long"))
     enough = F.col("n") - F.ceil(F.col("n") * percent / 100)
     hopeful = table.filter((F.col("n") > 0) & (F.col("n_unique") <= enough)).groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text_hash")).alias("d"))
-    hopeful = hopeful.select("node", "d.*")
-    if hopeful.count() <= BROADCAST_ROWS:
-        hopeful = F.broadcast(hopeful)
-    chosen = texts.join(hopeful, ["doc_id", "no_id", "text_hash"]).select("text", "node")
-    sets = chosen.mapInArrow(functools.partial(make_sets, words=words, long=heaviest(counted)), SETS).dropDuplicates(["node"]).checkpoint()
-    release(spark)
-    label = sets.select("node", F.col("node").alias("component")).checkpoint()
-    rounds = max(8, buckets // 4)
-    for _ in range(BORUVKA_ROUNDS):
-        label, moved = joined(label, links(sets, label, percent, rounds, every=False).checkpoint())
-        release(spark)
-        if not moved:
-            break
-    label, _ = joined(label, links(sets, label, percent, rounds, every=True).checkpoint())
+    chosen = texts.join(hopeful.select("node", "d.*"), ["doc_id", "no_id", "text_hash"]).select("text", "node")
+    sets = settled(chosen.mapInArrow(functools.partial(make_sets, words=words, long=heaviest(counted)), SETS_SQL).dropDuplicates(["node"]))
+    label = sets.select("node", F.col("node").alias("component"))
+    home, shared = settle_homes(sets)
+    near = own_shards(home, shared).select("home", "part", F.lit(False).alias("query"), "node", F.col("node").alias("component"))
+    label = joined(label, settled(searched(sets, near, percent)))
+    label = joined(label, settled(searched(sets, distant(sets, home, shared, label, percent), percent)))
     smallest = table.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
-    release(spark)
     linked = label.join(smallest, "node").groupBy("component").agg(F.min("first").alias("least"))
     least = smallest.join(label, "node", "left").join(linked, "component", "left").select("node", "component", F.coalesce("least", "first").alias("component_id"))
     component = F.coalesce("component", "node").alias("component")
@@ -377,12 +431,12 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A document without an id comes after all others. Documents without words are a class each: those of one id, and
     every row without an id.
     """
-    found = grouped(docs, id_col, text_col, words, percent).filter("doc_id <=> component_id").checkpoint()
+    found = settled(grouped(docs, id_col, text_col, words, percent).filter("doc_id <=> component_id"))
     no_id = F.col("doc_id").isNull()
     single = F.when(no_id & (F.col("n_shingles") == 0), F.lit(True)).otherwise(F.lit(False))
     members = found.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), no_id.alias("_no_id"), F.col("text_hash").alias("_hash"), F.col("component").alias("_class"), single.alias("_single")).count()
     sizes = members.groupBy("_class", "_id", "_no_id").agg(F.sum("count").alias("_rows"))
-    members = members.join(sizes, ["_class", "_id", "_no_id"]).withColumn("_single", F.expr("_single OR _rows = 1")).checkpoint()
+    members = settled(members.join(sizes, ["_class", "_id", "_no_id"]).withColumn("_single", F.expr("_single OR _rows = 1")))
     named = docs.withColumns(dict(zip(KEY, names(id_col, text_col), strict=True)))
     kept = named.join(members.filter("_single"), KEY, "left_semi").select(*docs.columns)
     several = members.filter("NOT _single").select(*KEY, "_class")
