@@ -49,7 +49,7 @@ LONG, LONG_LISTS = 32, 200_000
 #: Min-hashes of a set, of which the most shared one is its home. Any number gives the same links.
 HOMES = 8
 #: A shard holds sets of about so many shingles together.
-SHARD_SHINGLES = 1 << 20
+SHARD_SHINGLES = 1 << 16
 #: DivideSkip's weight of a probe against a merged entry.
 MU = 0.01
 #: Bytes of text for each bucket of the first exchange.
