@@ -41,7 +41,7 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 def set_column(index: DataFrame, updates: DataFrame, column: str) -> DataFrame:
     """New values of one column by id; unknown ids do nothing."""
     new = updates.select("id", F.col(column).alias("_new"), F.lit(True).alias("_set"))
-    return index.join(new, "id", "left").withColumn(column, F.when("_set", F.col("_new")).otherwise(F.col(column))).select(*index.columns)
+    return index.join(new, "id", "left").withColumn(column, F.when(F.col("_set"), F.col("_new")).otherwise(F.col(column))).select(*index.columns)
 
 
 def without_deleted(rows: DataFrame, tombstones: DataFrame, source: str = "source_jsonl") -> DataFrame:
@@ -76,16 +76,20 @@ def proposed_id(path: Column) -> Column:
 def resolved_ids(worklist: DataFrame, owners: DataFrame) -> DataFrame:
     """Ids that no other source owns: (id, source_path) in; owners from index, captured and deleted.
 
-    A source keeps an id that it owned before; a proposed id of another source gets a suffix of the path's hash.
+    A source keeps the proposed id if it owns it, else the suffixed id that it had before, whatever its hash; a proposed
+    id of another source gets a suffix of the path's hash. Owners without a source own nothing.
     """
-    known = owners.select(F.col("id").alias("_oid"), F.col("source_path").alias("_osrc")).distinct()
-    suffix = F.substring(T.fnv1a_hex(F.col("source_path")), 1, 8)
-    suffixed = worklist.withColumn("_alt", F.concat("id", F.lit("-"), suffix))
+    known = owners.select(F.col("id").alias("_oid"), F.col("source_path").alias("_osrc")).filter("coalesce(_osrc, '') <> ''").distinct()
     taken = known.groupBy(F.col("_oid").alias("id")).agg(F.collect_set("_osrc").alias("_by"))
-    mine = known.select(F.col("_osrc").alias("source_path"), F.col("_oid").alias("_alt"), F.lit(True).alias("_kept"))
-    joined = suffixed.join(taken, "id", "left").join(mine, ["source_path", "_alt"], "left")
-    own = F.col("_by").isNull() | F.array_contains("_by", F.col("source_path"))
-    return joined.withColumn("id", F.when(F.col("_kept") | ~own, F.col("_alt")).otherwise(F.col("id"))).select(*worklist.columns)
+    held = known.select(F.col("_osrc").alias("source_path"), F.col("_oid").alias("_held"))
+    is_hash = lambda c: c.rlike("^[0-9a-f]{8,16}$")
+    unknown = F.col("id").startswith("unknown-") & is_hash(F.substring("id", 9, 99))
+    again = (F.col("_held").startswith(F.concat("id", F.lit("-"))) & is_hash(F.substr("_held", F.char_length("id") + 2))) | (unknown & F.col("_held").startswith("unknown-") & is_hash(F.substring("_held", 9, 99)))
+    stored = worklist.select("id", "source_path").distinct().join(held, "source_path").filter(again).groupBy("id", "source_path").agg(F.min("_held").alias("_stored"))
+    joined = worklist.join(taken, "id", "left").join(stored, ["id", "source_path"], "left")
+    own = F.coalesce(F.array_contains("_by", F.col("source_path")), F.lit(False))
+    new = F.when(F.col("_by").isNull(), F.col("id")).otherwise(F.concat("id", F.lit("-"), F.substring(T.fnv1a_hex(F.col("source_path")), 1, 8)))
+    return joined.withColumn("id", F.when(own, F.col("id")).otherwise(F.coalesce("_stored", new))).select(*worklist.columns)
 
 
 def raw_versions(stored: DataFrame, new: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
@@ -147,7 +151,7 @@ def after_watermark(sessions: DataFrame, watermark: str) -> DataFrame:
     return sessions.filter(F.coalesce(F.nullif("session_timestamp", F.lit("")), "date") > watermark)
 
 
-#: Slugs by the first matching rule; order matters.
+#: Slugs by the first matching rule; order matters.
 TOOL_SLUGS = [("claude", "claudecode"), ("codex", "codex"), ("forge", "forge"), ("chatgpt", "chatgpt"), ("gemma", "gemma4"), ("gemini", "gemini"), ("grok", "grok")]
 EXACT_SLUGS = {"messages": "apple_messages", "whatsapp business": "whatsapp_business", "whatsapp": "whatsapp", "viber": "viber"}
 

@@ -128,16 +128,21 @@ def word_target(c: Column) -> Column:
     return F.least(F.lit(900), F.greatest(F.lit(300), F.round(F.char_length(c) / 4 * 0.18))).cast("int")
 
 
+def with_normal(text: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the normalised text, which is made once: a lambda's variable is bound, a plain column may be inlined again."""
+    return F.transform(F.array(T.normalize_text(text)), body)[0]
+
+
 def grounded_tags(tags: Column, transcript: Column) -> Column:
     """Tags of at most 40 characters that the text holds: a single word as a word, more as a part."""
-    text = T.normalize_text(transcript)
+    named = F.transform(tags, lambda tag: F.struct(tag.alias("tag"), T.normalize_text(tag).alias("t")))
 
-    def grounded(tag: Column) -> Column:
-        t = T.normalize_text(tag)
-        whole = F.concat(F.lit(" "), text, F.lit(" ")).contains(F.concat(F.lit(" "), t, F.lit(" ")))
-        return (F.char_length(tag) <= 40) & (t != "") & F.when(t.contains(" "), text.contains(t)).otherwise(whole)
+    def held(text: Column) -> Column:
+        words = F.concat(F.lit(" "), text, F.lit(" "))
+        whole = lambda t: F.when(t.contains(" "), text.contains(t)).otherwise(words.contains(F.concat(F.lit(" "), t, F.lit(" "))))
+        return F.filter(named, lambda x: (F.char_length(x["tag"]) <= 40) & (x["t"] != "") & whole(x["t"]))
 
-    return F.filter(tags, grounded)
+    return F.transform(with_normal(transcript, held), lambda x: x["tag"])
 
 
 def dedupe_tags(tags: Column) -> Column:
@@ -146,8 +151,10 @@ def dedupe_tags(tags: Column) -> Column:
 
 
 def grounded_highlights(items: Column, transcript: Column, most: int = 12) -> Column:
-    text = T.normalize_text(transcript)
-    return F.slice(F.array_distinct(F.filter(items, lambda h: (F.char_length(h) <= 2000) & (T.normalize_text(h) != "") & text.contains(T.normalize_text(h)))), 1, most)
+    """Distinct highlights of at most 2 000 characters that the text holds, the first `most` of them."""
+    named = F.transform(items, lambda h: F.struct(h.alias("h"), T.normalize_text(h).alias("t")))
+    held = with_normal(transcript, lambda text: F.filter(named, lambda x: (F.char_length(x["h"]) <= 2000) & (x["t"] != "") & text.contains(x["t"])))
+    return F.slice(F.array_distinct(F.transform(held, lambda x: x["h"])), 1, most)
 
 
 def resolved_prefixes(candidates: DataFrame, ids: DataFrame) -> DataFrame:
@@ -162,20 +169,50 @@ def resolved_prefixes(candidates: DataFrame, ids: DataFrame) -> DataFrame:
     return pairs.groupBy("candidate").agg(exact.alias("e"), F.count("*").alias("n"), F.min("id").alias("one")).select("candidate", F.coalesce("e", F.when(F.col("n") == 1, F.col("one"))).alias("id")).filter("id IS NOT NULL")
 
 
-GROUP = re.compile(r"\[([^\[\]()]+)\](?!\()")
+MAX_IDS = 3
+#: A bracketed group of ids, none of them followed by a link's target: hex digits and hyphens, eight or more.
+ID_GROUP = r"\[((?:[ ]*[0-9A-Fa-f-]{8,}[ ]*,)*[ ]*[0-9A-Fa-f-]{8,}[ ]*)\](?!\()"
+
 
+def group_ids(inner: str) -> list[str]:
+    """The ids of a group, or none if one has no hex letter: numbers and dates in brackets are prose."""
+    ids = [t.strip() for t in inner.split(",")]
+    return ids if all(re.search("[A-Fa-f]", t) for t in ids) else []
 
-def sanitized_citations(text: str, known: dict[str, str], most: int = 3) -> str:
-    """Bracketed id groups keep known ids (at most three); groups with none go; links and other brackets stay."""
+
+def sanitized_citations(text: str, known: dict[str, str]) -> tuple[str, list[str]]:
+    """(text, warnings): groups keep the ids that known has (at most three), groups with none go with a doubled space."""
+    warnings: list[str] = []
 
     def one(m: re.Match) -> str:
-        parts = [p for p in re.split(r"[,;\s]+", m.group(1)) if p]
-        if not parts or not all(re.fullmatch(r"[A-Za-z0-9_-]{8,}", p) and re.search(r"\d", p) for p in parts):
+        before, inner, after = m.group(1), m.group(2), m.group(3)
+        ids = group_ids(inner)
+        if not ids:
             return m.group()
-        ids = list(dict.fromkeys(known[p] for p in parts if p in known))[:most]
-        return f"[{', '.join(ids)}]" if ids else ""
+        warnings.extend(f"dropped unknown id {t}" for t in ids if t not in known)
+        kept = [known[t] for t in ids if t in known][:MAX_IDS]
+        if kept:
+            return f"{before}[{', '.join(kept)}]"
+        warnings.append(f"removed group [{inner}]")
+        return "" if after else before
+
+    return re.sub(rf"( ?){ID_GROUP}(?=( ?))", one, text), warnings
 
-    return re.sub(r" +(?=[\n.,;]|$)", "", GROUP.sub(one, text))
+
+def with_sanitized_citations(texts: DataFrame, ids: DataFrame, text: str = "text") -> DataFrame:
+    """texts (id, text, ...) with their citation groups resolved against all ids, and `warnings`; ids or unique prefixes count."""
+    groups = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(ID_GROUP), 1), lambda g: F.transform(F.split(g, ","), lambda x: F.trim(x))))
+    cited = texts.select("id", F.explode(F.array_distinct(groups)).alias("candidate"))
+    known = cited.join(resolved_prefixes(cited, ids).withColumnRenamed("id", "whole"), "candidate")
+    maps = known.groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("candidate", "whole"))).alias("_known"))
+
+    @F.pandas_udf("struct<text:string,warnings:array<string>>")
+    def rewrite(body: pd.Series, found: pd.Series) -> pd.DataFrame:
+        done = [(None, []) if t is None else sanitized_citations(t, dict(k) if k is not None else {}) for t, k in zip(body, found, strict=True)]
+        return pd.DataFrame(done, columns=["text", "warnings"])
+
+    joined = texts.join(maps, "id", "left").withColumn("_new", rewrite(text, "_known"))
+    return joined.withColumns({text: F.col("_new.text"), "warnings": F.col("_new.warnings")}).select(*texts.columns, "warnings")
 
 
 def parsed_summary(c: Column) -> Column:
@@ -190,6 +227,96 @@ def profile_sections(markdown: str, headings: dict[str, str]) -> dict[str, str]:
     return {headings[h.strip()]: body.strip() for h, body in zip(parts[1::2], parts[2::2], strict=True) if h.strip() in headings}
 
 
+#: The array fields of a partial summary, in order.
+PARTIAL_FIELDS = ["goals", "actions", "files_changed", "tests", "decisions", "risks", "open_issues", "evidence", "verbatim_highlights"]
+
+
+def missing_partial_fields(answer: Column) -> Column:
+    """The fields of a partial summary that are no JSON array; an answer that is no object misses all."""
+    is_array = lambda f: F.coalesce(F.get_json_object(answer, f"$.{f}").startswith("["), F.lit(False))
+    return F.array_compact(F.array(*[F.when(~is_array(f), F.lit(f)) for f in PARTIAL_FIELDS]))
+
+
+CONSOLIDATE_BYTES, EMPTY_SECTION, PROFILE_PROMPT_BYTES = 60_000, "_No facts distilled yet._", 24_000
+
+
+def reduce_plan(sections: DataFrame, previous: DataFrame, threshold: int = CONSOLIDATE_BYTES, chunk: int = CHUNK_BYTES) -> DataFrame:
+    """(section, previous, text, step, chunks) for each known section; sections and previous: section, text.
+
+    keep: no new facts, the old text stays; merge: the facts go to the model as they are; consolidate: all sections
+    together exceed the threshold, so each goes in chunks of whole lines first.
+    """
+    spark = sections.sparkSession
+    known = spark.createDataFrame([(s, k) for k, s in enumerate(SECTIONS)], "section string, place int")
+    joined = known.join(sections.select("section", "text"), "section", "left").join(previous.select("section", F.col("text").alias("previous")), "section", "left")
+    total = sections.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("total"))
+    rows = joined.join(F.broadcast(total), F.lit(True))
+    has = F.coalesce(F.col("text"), F.lit("")) != ""
+    step = F.when(~has, "keep").when(F.col("total") > threshold, "consolidate").otherwise("merge")
+    chunks = F.when(step == "consolidate", chunk_lines(F.col("text"), chunk)).otherwise(F.expr("array()").cast("array<string>"))
+    return rows.select("section", "place", F.coalesce("previous", F.lit("")).alias("previous"), F.coalesce("text", F.lit("")).alias("text"), step.alias("step"), chunks.alias("chunks"))
+
+
+def reduced(plan: DataFrame, model: Callable[[str, str, str], str]) -> DataFrame:
+    """(section, text, failed) after the model's calls: model(section, previous text, facts). A failing call keeps the raw facts after the old text."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for section, old, text, step, chunks in zip(*(frame[c] for c in ("section", "previous", "text", "step", "chunks")), strict=True):
+                failed = False
+                if step == "keep":
+                    rows.append((section, old, False))
+                    continue
+                try:
+                    facts = "\n".join(model(section, "", c) for c in chunks) if step == "consolidate" else text
+                    new = model(section, old, facts)
+                except Exception:
+                    new, failed = f"{old}\n{text}" if old else text, True
+                rows.append((section, new, failed))
+            yield pd.DataFrame(rows, columns=["section", "text", "failed"])
+
+    return plan.mapInPandas(run, "section string, text string, failed boolean")
+
+
+def rendered_profile(sections: DataFrame, headings: dict[str, str], title: str, trailer: str = "") -> DataFrame:
+    """One row (markdown): a title, every section under its heading in order, and a trailer that no model touches."""
+    names = F.create_map(*[F.lit(x) for kv in headings.items() for x in kv])
+    place = F.create_map(*[F.lit(x) for k, s in enumerate(headings) for x in (s, k)])
+    body = F.concat(F.lit("## "), names[F.col("section")], F.lit("\n\n"), F.coalesce(F.nullif("text", F.lit("")), F.lit(EMPTY_SECTION)))
+    parts = F.transform(F.sort_array(F.collect_list(F.struct(place[F.col("section")].alias("k"), body.alias("b")))), lambda x: x["b"])
+    known = sections.filter(F.col("section").isin(list(headings)))
+    return known.agg(F.concat(F.lit(f"# {title}\n\n"), F.array_join(parts, "\n\n"), F.lit(f"\n\n{trailer}")).alias("markdown"))
+
+
+def profile_state(text: Column, business: bool, enabled: bool) -> Column:
+    """loaded, absent or owner_profile_not_found: a business workspace reads its owner's profile only if that is enabled."""
+    blank = F.trim(F.coalesce(text, F.lit(""))) == ""
+    if business and not enabled:
+        return F.lit("absent")
+    return F.when(blank, "owner_profile_not_found" if business else "absent").otherwise("loaded")
+
+
+def profile_prompt(text: Column) -> Column:
+    """A profile for a prompt: at most 24 000 bytes, cut between characters."""
+    return T.cap_bytes(text, PROFILE_PROMPT_BYTES)
+
+
+def unanswered(blocks: DataFrame, pending_facts: DataFrame) -> DataFrame:
+    """The batches (block) that an earlier, broken run has no stored answer for; pending_facts: block_hash, answer."""
+    done = pending_facts.filter("answer IS NOT NULL").select("block_hash")
+    return blocks.withColumn("block_hash", F.sha2("block", 256)).join(done, "block_hash", "left_anti")
+
+
+def resumed(blocks: DataFrame, pending_facts: DataFrame, model: Callable[[str], str]) -> DataFrame:
+    """(batch, block_hash, answer) of all batches: stored answers where there are any, the model's for the rest."""
+    hashed = blocks.withColumn("block_hash", F.sha2("block", 256))
+    rest = unanswered(blocks, pending_facts)
+    new = map_batches(rest, model).join(rest.select("batch", "block_hash"), "batch").select("batch", "block_hash", "answer")
+    old = hashed.join(pending_facts.filter("answer IS NOT NULL").dropDuplicates(["block_hash"]).select("block_hash", "answer"), "block_hash").select("batch", "block_hash", "answer")
+    return old.unionByName(new)
+
+
 def canned_model(facts: list[dict]) -> Callable[[str], str]:
     """A stand-in for a model that always gives the same facts."""
     answer = json.dumps({"facts": facts})

@@ -10,7 +10,7 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlake.functions import text as T
@@ -78,23 +78,33 @@ def in_scope(sessions: DataFrame, allowed: DataFrame | None) -> DataFrame:
     return sessions if allowed is None else sessions.join(allowed.select("id"), "id", "left_semi")
 
 
+#: The folded fields of a session, made once for all words of a query.
+FOLDED = ("title", "topic_tags", "error_tags", "project", "body")
+
+
+def folded(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """rows with each field folded beside it, as _title and so on: a column of its own, so that no word folds it again."""
+    kinds = dict(rows.dtypes)
+    return rows.withColumns({f"_{f}": F.transform(f, T.fold) if kinds[f].startswith("array") else T.fold(F.col(f)) for f in fields})
+
+
 def field_weight(needle: str) -> Column:
-    """The best single field that holds the needle, else null."""
-    has = lambda tags: F.exists(tags, lambda t: T.fold(t).contains(needle))
-    return F.when(T.fold(F.col("title")).contains(needle), TITLE).when(has("topic_tags"), TOPIC).when(has("error_tags"), ERROR)
+    """The best single folded field that holds the needle, else null."""
+    has = lambda tags: F.exists(tags, lambda t: t.contains(needle))
+    return F.when(F.col("_title").contains(needle), TITLE).when(has("_topic_tags"), TOPIC).when(has("_error_tags"), ERROR)
 
 
-def in_body(needle: str, body: str = "body") -> Column:
-    return F.coalesce(T.fold(F.col(body)).contains(needle), F.lit(False))
+def in_body(needle: str) -> Column:
+    return F.coalesce(F.col("_body").contains(needle), F.lit(False))
 
 
-def score(query: str | None, body: str = "body") -> Column:
-    """The rank of a session for a query, null for no match; without a query every session has 0."""
+def score(query: str | None) -> Column:
+    """The rank of a session with folded fields for a query, null for no match; without a query every session has 0."""
     if query is None:
         return F.lit(0)
     parsed = parse_query(query)
     needles = [parsed.phrase] if parsed.phrase is not None else list(parsed.tokens)
-    each = [F.coalesce(field_weight(n), F.when(in_body(n, body), BODY)) for n in needles]
+    each = [F.coalesce(field_weight(n), F.when(in_body(n), BODY)) for n in needles]
     total = reduce(lambda a, b: a + b, each)  # null if any is null: all words are needed
     return total
 
@@ -107,7 +117,9 @@ def with_bodies(sessions: DataFrame, bodies: DataFrame | None) -> DataFrame:
 
 def matches(sessions: DataFrame, p: SearchParams, bodies: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
     found = with_bodies(in_scope(sessions, allowed).filter(structured(p)), bodies)
-    return found.withColumn("score", score(p.query)).filter("score IS NOT NULL").drop("body")
+    if p.query is not None:
+        found = folded(found, FOLDED[:3] + FOLDED[4:])
+    return found.withColumn("score", score(p.query)).filter("score IS NOT NULL").drop("body", *[f"_{f}" for f in FOLDED])
 
 
 def ranked_page(sessions: DataFrame, p: SearchParams, bodies: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
@@ -135,9 +147,9 @@ def fulltext(sessions: DataFrame, query: str, bodies: DataFrame | None = None, a
     if query.strip():
         parsed = parse_query(query)
         needles = [parsed.phrase] if parsed.phrase is not None else list(parsed.tokens)
-        meta = lambda n: field_weight(n).isNotNull() | T.fold(F.col("project")).contains(n)
-        rows = rows.filter(reduce(lambda a, b: a & b, [meta(n) | in_body(n) for n in needles]))
-    return rows.drop("body").orderBy(F.desc("date"), "_pos")
+        meta = lambda n: F.coalesce(field_weight(n).isNotNull() | F.col("_project").contains(n), F.lit(False))
+        rows = folded(rows, FOLDED).filter(reduce(lambda a, b: a & b, [meta(n) | in_body(n) for n in needles]))
+    return rows.drop("body", *[f"_{f}" for f in FOLDED]).orderBy(F.desc("date"), "_pos")
 
 
 def ui_filter(sessions: DataFrame, text: str = "", fill_min: float = 0.0, fill_max: float = 100.0) -> DataFrame:
@@ -148,38 +160,57 @@ def ui_filter(sessions: DataFrame, text: str = "", fill_min: float = 0.0, fill_m
     return sessions.filter((names | tags) & F.col("fill_pct").between(fill_min, fill_max))
 
 
+def literal_forms(needle: str) -> list[str]:
+    """The folded needle, and its JSON-escaped form if that differs."""
+    return list(dict.fromkeys([T.fold_str(needle), T.fold_str(T.json_escaped(needle))]))
+
+
 def literal_hits(line: Column, needle: str) -> Column:
     """Overlapping places of the folded needle or of its JSON-escaped form; a place counts once."""
-    forms = dict.fromkeys([T.fold_str(needle), T.fold_str(T.json_escaped(needle))])
-    return F.regexp_count(T.fold(line), F.lit("(?=" + "|".join(f"\\Q{f}\\E" for f in forms) + ")"))
-
+    return F.regexp_count(T.fold(line), F.lit("(?=" + "|".join(f"\\Q{f}\\E" for f in literal_forms(needle)) + ")"))
 
-def raw_grep(lines: DataFrame, sessions: DataFrame, needle: str) -> DataFrame:
-    """Groups of hits in raw lines (session_id, line_no, line): totals over all lines, newest first, at most 200 groups.
 
-    Sessions that were captured but not indexed come after all others. Excerpts: `raw_excerpts`.
-    """
+def raw_groups(lines: DataFrame, needle: str) -> DataFrame:
+    """(session_id, hits, hit_lines, first_line) of every session with a hit in its raw lines (session_id, line_no, line)."""
     if not needle.strip():
         raise ValueError("a literal search needs a text")
     hits = lines.withColumn("n", literal_hits(F.col("line"), needle)).filter("n > 0")
-    groups = hits.groupBy("session_id").agg(F.sum("n").cast("long").alias("hits"), F.count("*").alias("hit_lines"), F.min("line_no").alias("first_line"))
-    named = groups.join(sessions.select(F.col("id").alias("session_id"), "title", "date", "_pos"), "session_id", "left")
+    return hits.groupBy("session_id").agg(F.sum("n").cast("long").alias("hits"), F.count("*").alias("hit_lines"), F.min("line_no").alias("first_line"))
+
+
+def raw_totals(lines: DataFrame, needle: str) -> DataFrame:
+    """(sessions, hits, hit_lines, returned) over all groups, whatever the page shows."""
+    groups = raw_groups(lines, needle)
+    total = groups.agg(F.count("*").alias("sessions"), F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"), F.coalesce(F.sum("hit_lines"), F.lit(0)).alias("hit_lines"))
+    return total.withColumn("returned", F.least("sessions", F.lit(GROUP_CAP).cast("long")))
+
+
+def raw_grep(lines: DataFrame, sessions: DataFrame, needle: str) -> DataFrame:
+    """Groups of hits, newest first, at most 200 of them; totals over all: `raw_totals`, excerpts: `raw_excerpts`.
+
+    Sessions that were captured but not indexed come after all others.
+    """
+    named = raw_groups(lines, needle).join(sessions.select(F.col("id").alias("session_id"), "title", "date", "_pos"), "session_id", "left")
     ordered = named.orderBy(F.col("_pos").isNull(), F.desc("date"), "_pos", "session_id")
     return ordered.limit(GROUP_CAP).withColumn("excerpts_truncated", F.col("hit_lines") > EXCERPT_CAP)
 
 
+def unsummarised(captured: DataFrame) -> DataFrame:
+    """(session_id, title, date) of captured sources (id, source_path, mtime_secs): the file's name and day."""
+    return captured.select(F.col("id").alias("session_id"), T.last_path_part(F.col("source_path")).alias("title"), F.coalesce(F.date_format(F.timestamp_seconds("mtime_secs"), "yyyy-MM-dd"), F.lit("")).alias("date"))
+
+
 def excerpt(line: Column, needle: str, size: int = EXCERPT_CHARS) -> Column:
-    """`size` characters around the first hit."""
-    at = F.instr(T.fold(line), T.fold_str(needle))
-    start = F.greatest(F.lit(1), F.least(at - (size - len(needle)) / 2, F.char_length(line) - size + 1).cast("int"))
+    """`size` characters around the first hit of either form of the needle."""
+    places = [F.when(F.instr(T.fold(line), f) > 0, F.struct(F.instr(T.fold(line), f).alias("at"), F.lit(len(f)).alias("n"))) for f in literal_forms(needle)]
+    hit = places[0] if len(places) == 1 else F.array_min(F.array_compact(F.array(*places)))
+    start = F.greatest(F.lit(1), F.least(hit["at"] - (size - hit["n"]) / 2, F.char_length(line) - size + 1).cast("int"))
     return F.substring(line, start, F.lit(size))
 
 
 def raw_excerpts(lines: DataFrame, needle: str) -> DataFrame:
     """The first 20 hit lines of each session, an excerpt each."""
-    from pyspark.sql import Window
-
-    hits = lines.filter(T.fold(F.col("line")).contains(T.fold_str(needle)))
+    hits = lines.filter(reduce(lambda a, b: a | b, [T.fold(F.col("line")).contains(f) for f in literal_forms(needle)]))
     order = Window.partitionBy("session_id").orderBy("line_no")
     first = hits.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= EXCERPT_CAP)
     return first.select("session_id", "line_no", excerpt(F.col("line"), needle).alias("excerpt"))

@@ -271,9 +271,9 @@ def html_to_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.md5(T.html_to_text(F.col("html"))).alias("text_md5"))
 
 
-@query(f"SELECT doc_id, md5({FOLD.format('text')}) AS folded_md5 FROM documents")
+@query(f"SELECT doc_id, md5({FOLD.format("('ΌΛΟΙ Καλημέρα ϊΰς ' || text)")}) AS folded_md5 FROM documents")
 def fold_greek_ascii(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.md5(T.fold(F.col("text"))).alias("folded_md5"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.fold(F.concat(F.lit("ΌΛΟΙ Καλημέρα ϊΰς "), "text"))).alias("folded_md5"))
 
 
 VECTOR = [((i * 37) % 19 - 9) / 10 for i in range(64)]
@@ -398,4 +398,4 @@ def fnv1a(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.fnv1a_hex(F.col("text")).alias("hash"))
 
 
-from sessionlake import queries_backup, queries_sources  # noqa: E402, F401
+from sessionlake import queries_backup, queries_phone, queries_sources, queries_units  # noqa: E402, F401

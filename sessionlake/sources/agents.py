@@ -20,8 +20,9 @@ def lines(spark: SparkSession, path: str, modified_after: str | None = None) ->
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
     files = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.unix_seconds("_metadata.file_modification_time").alias("mtime"), "value")
-    depth = F.size(F.split("path", "/")) - F.size(F.split(F.lit(path.rstrip("/")), "/"))
-    return files.filter(depth <= MAX_DEPTH + 3).select("path", "mtime", F.posexplode(F.split("value", "\n")).alias("line_no", "line")).filter("trim(line) <> ''")
+    bare = lambda c: F.regexp_replace(c, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    depth = F.size(F.split(bare(F.col("path")), "/")) - F.size(F.split(bare(F.lit(path.rstrip("/"))), "/"))
+    return files.filter(depth <= MAX_DEPTH).select("path", "mtime", F.posexplode(F.split("value", "\n")).alias("line_no", "line")).filter("trim(line) <> ''")
 
 
 def number(path: str) -> Column:
@@ -29,7 +30,7 @@ def number(path: str) -> Column:
 
 
 def clamp(c: Column) -> Column:
-    return F.least(F.lit(100.0), F.greatest(F.lit(0.0), c))
+    return F.when(c.isNotNull(), F.least(F.lit(100.0), F.greatest(F.lit(0.0), c)))  # least and greatest pass over nulls
 
 
 def agent_fill(rows: DataFrame, windows: dict[str, int] | None = None) -> DataFrame:
@@ -89,6 +90,10 @@ def content_blocks(rows: DataFrame) -> DataFrame:
     return rows.filter(raw.isNotNull()).select("path", "line_no", F.get_json_object("line", "$.message.role").alias("role"), F.posexplode(blocks).alias("item_no", "b"))
 
 
+#: The names of tools whose uses and results have labels of their own.
+FILE_TOOLS, PATTERN_TOOLS = ["Read", "Write", "Edit"], ["Grep", "Glob"]
+
+
 def use_label(name: Column, args: Column) -> Column:
     """[Read: path], [Bash: command] and the like; any other tool by its name."""
     file = F.coalesce(F.get_json_object(args, "$.file_path"), F.get_json_object(args, "$.path"))
@@ -96,9 +101,9 @@ def use_label(name: Column, args: Column) -> Column:
     pattern = F.get_json_object(args, "$.pattern")
     named = lambda v: F.concat(F.lit("["), name, F.lit(": "), v, F.lit("]"))
     return (
-        F.when(name.isin("Read", "Write", "Edit") & file.isNotNull(), named(file))
+        F.when(name.isin(FILE_TOOLS) & file.isNotNull(), named(file))
         .when((name == "Bash") & command.isNotNull(), named(command))
-        .when(name.isin("Grep", "Glob") & pattern.isNotNull(), named(pattern))
+        .when(name.isin(PATTERN_TOOLS) & pattern.isNotNull(), named(pattern))
         .otherwise(F.concat(F.lit("[Tool: "), name, F.lit("]")))
     )
 

@@ -55,7 +55,7 @@ def part_text(p: Column) -> Column:
 
 def attachment_note(names: Column) -> Column:
     full = F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda x: x.isNotNull() & (F.trim(x) != ""))
-    return F.when(F.size(full) > 0, F.concat(F.lit("[Attachments: "), F.array_join(F.transform(full, F.trim), ", "), F.lit("]"))).otherwise("")
+    return F.when(F.size(full) > 0, F.concat(F.lit("[Attachments: "), F.array_join(F.transform(full, lambda x: F.trim(x)), ", "), F.lit("]"))).otherwise("")
 
 
 def joined_blocks(*parts: Column) -> Column:
@@ -160,7 +160,7 @@ def recorded(documents: DataFrame) -> DataFrame:
     """Recorded chats: content, tool activity and an attachment line in each turn; empty turns go."""
     rows = documents.select(F.from_json("json", RECORDED).alias("e")).select(F.col("e.session_id").alias("session_id"), F.posexplode("e.turns").alias("turn", "m"))
     note = F.when(F.col("m.attachment_name").isNotNull(), F.concat(F.lit("[Attachment: "), F.col("m.attachment_name"), F.lit("]")))
-    text = F.trim(F.concat_ws("\n", F.nullif(F.trim("m.content"), F.lit("")), F.array_join("m.tool_activity", "\n"), note))
+    text = F.trim(F.concat_ws("\n", F.nullif(F.trim("m.content"), F.lit("")), F.nullif(F.array_join("m.tool_activity", "\n"), F.lit("")), note))
     return rows.select("session_id", F.lit(None).cast("string").alias("title"), F.col("turn").cast("long"), "m.role", text.alias("text"), F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("string").alias("speaker")).filter("text <> ''")
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import sqlite3
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -68,19 +69,34 @@ def core_data_time(c: Column) -> Column:
     return F.when((c > 0) & (c < 1e12), F.timestamp_micros(((c + 978_307_200) * 1_000_000).cast("long")))
 
 
-@F.udf(StringType())
-def typedstream_text(blob: bytes | None) -> str | None:
-    """The string of a typedstream blob: after its tag 0x2B, a length of 1, 3 or 5 bytes, then UTF-8."""
-    if not blob:
+#: The header of a typedstream, the class names before its string, and the string's tag.
+STREAM_HEADER, STREAM_CLASSES, STRING_TAG = b"\x04\x0bstreamtyped", (b"NSString", b"NSMutableString"), b"\x2b"
+
+
+def stream_string(blob: bytes | None) -> str | None:
+    """The first string of a typedstream: header, class name, tag, a length of 1, 3 or 5 bytes, UTF-8; null if any is amiss."""
+    blob = bytes(blob or b"")
+    found = [(at, len(name)) for name in STREAM_CLASSES if (at := blob.find(name)) >= 0]
+    if not blob.startswith(STREAM_HEADER) or not found:
         return None
-    at = bytes(blob).find(b"\x2b")
+    at = blob.find(STRING_TAG, sum(min(found)))
     if at < 0 or at + 1 >= len(blob):
         return None
     kind, start = blob[at + 1], at + 2
-    size = 2 if kind == 0x81 else 4 if kind == 0x82 else 0
+    if kind > 0x82 or kind == 0x80:
+        return None
+    size = {0x81: 2, 0x82: 4}.get(kind, 0)
     length = int.from_bytes(blob[start : start + size], "little") if size else kind
-    body = bytes(blob[start + size : start + size + length])
-    return body.decode("utf-8", errors="replace") if length and len(body) == length else None
+    body = blob[start + size : start + size + length]
+    try:
+        return body.decode() if len(body) == length else None
+    except UnicodeDecodeError:
+        return None
+
+
+@F.pandas_udf(StringType())
+def typedstream_text(blobs: pd.Series) -> pd.Series:
+    return blobs.map(stream_string)
 
 
 def phone_messages(message: DataFrame, chat_join: DataFrame, handle: DataFrame, chat_handles: DataFrame) -> DataFrame:
@@ -90,7 +106,7 @@ def phone_messages(message: DataFrame, chat_join: DataFrame, handle: DataFrame,
     """
     first = latest(chat_join, ["message_id"], [F.col("chat_id")]).select(F.col("message_id").alias("ROWID"), "chat_id")
     only = chat_handles.groupBy("chat_id").agg(F.when(F.count("*") == 1, F.first("handle_id")).alias("only_handle"))
-    text = F.coalesce(F.nullif(F.trim("text"), F.lit("")), typedstream_text("attributedBody"))
+    text = F.coalesce(F.nullif(F.trim("text"), F.lit("")), F.nullif(typedstream_text("attributedBody"), F.lit("")))
     rows = message.join(first, "ROWID", "left").join(only, "chat_id", "left")
     rows = rows.withColumn("sender_handle", F.when(F.col("is_from_me") == 1, None).otherwise(F.coalesce(F.nullif("handle_id", F.lit(0)), "only_handle")))
     rows = rows.join(handle.select(F.col("ROWID").alias("sender_handle"), F.col("id").alias("sender_id")), "sender_handle", "left")

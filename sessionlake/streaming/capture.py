@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -21,6 +22,37 @@ def capture(spark: SparkSession, source: str, target: str, checkpoint: str, glob
     rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def captured(spark: SparkSession, target: str) -> DataFrame:
+    """The manifest (id, source_path, size, mtime_secs) of what is captured: the latest copy of each source; none yet is empty."""
+    schema = "id string, source_path string, size long, mtime_secs long"
+    try:
+        rows = spark.read.parquet(target)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], schema)
+    newest = rows.groupBy("source_path").agg(F.max(F.struct("mtime_secs", "size", "id")).alias("m"))
+    return newest.select("m.id", "source_path", "m.size", "m.mtime_secs")
+
+
+def capture_changed(spark: SparkSession, source: str, target: str, leave_out: DataFrame | None = None, glob: str = "*.jsonl*") -> int:
+    """Copies the files whose size or time differs from their captured copy; leave_out: ids that are indexed with a file or deleted.
+
+    A changed file is a new row, and readers take the latest of each source. Gives the number of files that were taken.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(source)
+    stem = F.regexp_extract("path", r"([^/]+?)(\.[A-Za-z0-9.]+)?$", 1)
+    found = files.select(stem.alias("id"), F.col("path").alias("source_path"), F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime_secs"), "content")
+    if leave_out is not None:
+        found = found.join(leave_out.select("id"), "id", "left_anti")
+    same = captured(spark, target).select("source_path", "size", "mtime_secs")
+    new = found.join(same, ["source_path", "size", "mtime_secs"], "left_anti").select("id", "source_path", "size", "mtime_secs", "content")
+    names = new.select("source_path", "size", "mtime_secs").collect()  # names of changed files of a machine's folder
+    if names:
+        new.write.mode("append").parquet(target)
+    return len(names)
+
+
 def advance(spark: SparkSession, control: str, rows: DataFrame, process: Callable[[DataFrame], bool], column: str = "session_timestamp") -> str:
     """Processes the rows later than the stored mark and moves the mark only if every batch succeeded.
 
@@ -36,7 +68,7 @@ def advance(spark: SparkSession, control: str, rows: DataFrame, process: Callabl
     newest = pending.agg(F.max(column)).first()[0]
     if newest is None or not process(pending):
         return mark
-    spark.createDataFrame([(newest,)], "mark string").coalesce(1).write.mode("overwrite").json(control)
+    spark.createDataFrame([(newest,)], "mark string").coalesce(1).write.mode("append").json(control)  # the old mark stays until the new one is there
     return newest
 
 
@@ -50,7 +82,7 @@ def stream_windows(rows: DataFrame, key: str, gap_seconds: int, cap: int) -> Dat
         last, window, used = state.get if state.exists else (None, 0, 0)
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
         numbers = []
-        for ts in rows["ts"].astype("int64") // 10**6:
+        for ts in rows["ts"].astype("datetime64[us]").astype("int64"):
             if last is not None and (ts - last > gap_seconds * 10**6 or used >= cap):
                 window, used = window + 1, 0
             last, used = int(ts), used + 1

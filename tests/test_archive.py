@@ -162,8 +162,9 @@ def test_distill_refresh(spark):
 def test_chunks_and_citations(spark):
     row = spark.createDataFrame([("aa\nbb\ncccccc\nd",)], "s string").select(distill.chunk_lines(F.col("s"), 5).alias("c"), distill.plan_units(F.array(*map(F.lit, ["aaaa", "bb", "cccc"])), 3).alias("p")).first()
     assert row["c"] == ["aa\nbb", "cccccc", "d"] and row["p"] == [0, 0, 1]
-    known = {"session-0001": "session-0001", "session-2": "session-2"}
-    assert distill.sanitized_citations("x [session-0001, session-0404] y [note] [session-0001](u) [session-0404].", known) == "x [session-0001] y [note] [session-0001](u)."
+    known = {"abcd-0001": "abcd-0001", "abcd-0002": "abcd-0002-whole"}
+    text, warnings = distill.sanitized_citations("x [abcd-0001, abcd-0404] y  [note] [abcd-0001](u) [2024-01-02] [abcd-0002] [abcd-0404] z [abcd-0404].  \n", known)
+    assert text == "x [abcd-0001] y  [note] [abcd-0001](u) [2024-01-02] [abcd-0002-whole] z .  \n" and len(warnings) == 5
 
 
 def test_cosine(spark):
@@ -215,5 +216,23 @@ def test_phones_and_contacts(spark):
 
 
 def test_typedstream(spark):
-    blob = b"\x04\x0bstreamtyped\x84\x01\x2b\x05hello\x86"
-    assert spark.createDataFrame([(bytearray(blob),)], "b binary").select(sqlite.typedstream_text("b")).first()[0] == "hello"
+    head = b"\x04\x0bstreamtyped\x81\xe8\x03+x\x84NSMutableString\x01\x94\x84\x01"
+    long = "ö" * 300
+    cases = [
+        (head + b"\x2b\x05hello\x86", "hello"), (head + b"\x2b\x81" + len(long.encode()).to_bytes(2, "little") + long.encode(), long), (head + b"\x2b\x82\x02\x00\x00\x00ab", "ab"), (head + b"\x2b\x00", ""),
+        (head[2:] + b"\x2b\x05hello", None), (b"\x04\x0bstreamtyped\x2b\x05hello", None), (head + b"\x2b\x09hello", None), (head + b"\x2b\x02\xff\xfe", None), (head + b"\x2b\x83ab", None), (None, None),
+    ]
+    rows = spark.createDataFrame([(k, None if b is None else bytearray(b)) for k, (b, _) in enumerate(cases)], "k int, b binary")
+    assert [r[0] for r in rows.orderBy("k").select(sqlite.typedstream_text("b")).collect()] == [t for _, t in cases]
+
+
+def test_resolved_ids_by_priority(spark):
+    work = spark.createDataFrame([("x", "/x"), ("y", "/y"), ("z", "/z"), ("unknown-00112233445566aa", "/u")], "id string, source_path string")
+    owners = [("x", "/x"), ("x-0123456789abcdef", "/x"), ("y", ""), ("y", None), ("z", "/other"), ("z-89abcdef01234567", "/z"), ("unknown-ffeeddccbbaa9988", "/u"), ("z-nothex", "/z")]
+    out = {r["source_path"]: r["id"] for r in archive.resolved_ids(work, spark.createDataFrame(owners, "id string, source_path string")).collect()}
+    assert out == {"/x": "x", "/y": "y", "/z": "z-89abcdef01234567", "/u": "unknown-ffeeddccbbaa9988"}
+
+
+def test_attachment_notes(spark):
+    names = spark.createDataFrame([([" 0a0 ", "1b1", " ", None],), (None,)], "n array<string>")
+    assert [r[0] for r in names.select(exports.attachment_note(F.col("n"))).collect()] == ["[Attachments: 0a0, 1b1]", ""]
