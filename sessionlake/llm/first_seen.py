@@ -28,7 +28,7 @@ NAMES = ["doc_id", "no_id", "text_hash"]
 FLAGS_SQL = "doc_id long, no_id boolean, text_hash long, at binary, status binary"
 SLICE_ROWS = 60_000
 #: Low bytes of a tag that are sent: tags are compared within a key only.
-TAG_BYTES = 6
+TAG_BYTES = 8
 
 
 class Entries:
