@@ -3,14 +3,20 @@
 Every document is cut into blocks of 25 words that do not overlap; any 50 words hold a whole block. The blocks are the
 index. Every rolling window of 25 words of every document probes it. A hit on a block of a smaller document, and a
 block that a larger document hits, are anchors; only 50-word windows around anchors can be in two documents.
-Anchors are extended word by word: all windows around them are compared by hash, and runs of confirmed windows are the
-maximal exact repeats.
+Anchors are extended to both sides at once: of the 25 words that a window has besides its anchor, a stand before it and
+25 - a after it, and each of these 26 extensions is looked up among those of all other documents' anchors. Runs of
+extensions that are found are the maximal exact repeats. A passage that stands in many contexts is so extended against
+all of them in one lookup, where an extension against each document that shares its block would make all pairs.
 
-Blocks and probes meet in buckets of hashes. A slice of documents settles what it can by itself and sends the rest,
-so a hot passage costs a few entries for each slice; no pairs of documents are made at any step.
+Blocks and probes meet in buckets of hashes, as extensions do. A slice of documents settles what it can by itself and
+sends the rest, so a hot passage costs a few entries for each slice; no pairs of documents are made at any step. Probes
+are compared by a part of their hash, which only makes anchors in vain; extensions by 128 bits: the hash of their words
+and one of their two halves' hashes. Buckets grow in number with the text's bytes.
 
 Defined results: null is an empty text; a document of under 50 words loses nothing; rows with an equal doc_id are one
-document (none is smaller), and so are rows without one, after all others; words are kept unchanged and joined by one space.
+document (none is smaller), and so are rows without one, after all others; words are kept unchanged and joined by one
+space; repeated rows get equal results; an empty table gives an empty result; texts of any length are read whole; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,13 +32,15 @@ from pyspark.sql import functions as F
 
 from sessionlake.llm import first_seen as fs
 from sessionlake.llm import hashing as hs
-from sessionlake.session import ensure_checkpoint_dir, release
+from sessionlake.session import ensure_checkpoint_dir, settled, shards
 
 WINDOW = 50
 FOUND = 1
 #: Bytes of a probe's hash that are sent. A chance meeting there only makes an anchor that the windows' full hashes
 #: refute; six bytes suit corpora of over 10**11 words.
 PROBE_BYTES = 5
+#: Bytes of text for each bucket.
+BUCKET_BYTES = 3_500_000
 
 
 def probes(data: np.ndarray, offsets: np.ndarray, more: list, block: int) -> fs.Entries:
@@ -75,7 +83,8 @@ def resolve_anchors(e: fs.Entries, block: int) -> np.ndarray:
 def around(data: np.ndarray, offsets: np.ndarray, more: list, window: int, block: int) -> fs.Entries:
     """The whole windows that hold an anchor."""
     starts, ends, bounds = hs.words(data, offsets)
-    key, first, at = hs.windows(hs.word_hashes(data, starts, ends), bounds, window)
+    hashes = hs.word_hashes(data, starts, ends)
+    key, first, at = hs.windows(hashes, bounds, window)
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(at))
     place = first - bounds[doc]
     near = np.zeros(len(starts) + 1, np.int32)
@@ -84,14 +93,16 @@ def around(data: np.ndarray, offsets: np.ndarray, more: list, window: int, block
         np.add.at(near, np.maximum(i - (window - block), bounds[k]), 1)
         np.add.at(near, i + 1, -1)
     pick = np.cumsum(near)[first] > 0
-    return fs.Entries(doc[pick], place[pick], key[pick])
+    first, sums = first[pick], hs.prefix_sums(hashes)
+    halves = hs.mix(hs.runs(sums, first, first + block) + hs.mix(hs.runs(sums, first + block, first + window)))
+    return fs.Entries(doc[pick], place[pick], key[pick], halves)
 
 
 def settle_windows(e: fs.Entries, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Windows that a smaller document has; of the smallest document's one goes on."""
     own = ids[e.doc]
-    order = np.lexsort((own, e.key))
-    first = fs.is_first(order, e.key)
+    order = np.lexsort((own, e.tag, e.key))
+    first = fs.is_first(order, e.key, e.tag)
     status, send = np.zeros(len(e), np.uint8), np.zeros(len(e), bool)
     least = own[order[fs.spread(first)]]
     status[order[own[order] > least]] = FOUND
@@ -100,21 +111,16 @@ def settle_windows(e: fs.Entries, ids: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def resolve_windows(e: fs.Entries) -> np.ndarray:
-    return settle_windows(fs.Entries(np.arange(len(e)), e.at, e.key), e.doc)[0]
+    return settle_windows(fs.Entries(np.arange(len(e)), e.at, e.key, e.tag), e.doc)[0]
 
 
 def flags(docs: DataFrame, window: int) -> DataFrame:
     """(doc_id, no_id, text_hash, windows): u32 first words of the windows that a smaller document has."""
-    spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
-    buckets, block = 3 * int(spark.conf.get("spark.sql.shuffle.partitions")), window // 2
-    anchors = fs.verdicts(
-        docs, functools.partial(probes, block=block), functools.partial(settle_anchors, block=block), functools.partial(resolve_anchors, block=block), buckets, key_bytes=PROBE_BYTES
-    ).checkpoint()
-    release(spark)
+    ensure_checkpoint_dir(docs.sparkSession)
+    buckets, block = shards(docs, "text", BUCKET_BYTES), window // 2
+    anchors = settled(fs.verdicts(docs, functools.partial(probes, block=block), functools.partial(settle_anchors, block=block), functools.partial(resolve_anchors, block=block), buckets, key_bytes=PROBE_BYTES))
     chosen = docs.join(anchors, fs.NAMES).select(*fs.NAMES, "text", "at").dropDuplicates(fs.NAMES)
-    found = fs.verdicts(chosen, functools.partial(around, window=window, block=block), settle_windows, resolve_windows, buckets).checkpoint()
-    release(spark)
+    found = settled(fs.verdicts(chosen, functools.partial(around, window=window, block=block), settle_windows, resolve_windows, buckets))
     return found.select(*fs.NAMES, F.col("at").alias("windows"))
 
 
