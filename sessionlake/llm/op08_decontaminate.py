@@ -5,23 +5,29 @@ edits of it. Words are lower-cased (A-Z) and lose ASCII punctuation at both ends
 
 1. Gate, without loss: of an item cut into d + 1 pieces, d edits leave one piece whole. Only item-sized windows around
    a verbatim piece go on.
-2. The CGK random walk embeds a window into 3n symbols: at step j the current word is written out, and a random bit of
-   (j, word) tells whether to move on. Windows at a small edit distance have embeddings at a small Hamming distance.
-   `walks` embeddings are each sampled at `bits` places, `tables` times; a window that meets any item's samples in any
-   table is a candidate. With the defaults a pair whose embeddings agree in half of their places is met with
-   probability over 0.999.
-3. Each candidate is verified by its exact word edit distance.
+2. The CGK random walk embeds a window: at step j the current word is written out, and a random bit of (j, word) tells
+   whether to move on. Windows at a small edit distance have embeddings at a small Hamming distance. Each of `walks`
+   embeddings is sampled at `bits` places, many times; places are those that almost every walk reaches before the
+   window's end. A window that meets any item's samples in any table is a candidate. The number of tables follows from
+   `recall`: if embeddings of pairs at the allowed distance agree in a share `agreement` of their places, `tables` of
+   them miss a pair with probability (1 - agreement ** bits) ** (walks * tables). Tests measure recall against an
+   exhaustive search.
+3. Each candidate is verified by its exact word edit distance, in a band of the allowed edits.
 
 The items are a fixed query set: they are packed once and sent to all workers, in blocks of `block` items, which
-bounds what a worker holds; every block meets every document. No document is shuffled.
+bounds what a worker holds; every block meets every document. No document is shuffled. Windows wait until a number of
+words has come together, so long items need no more memory than short ones.
 
 Defined results: null and empty texts match nothing; items that are null or have no words match nothing; repeated
-rows and ids give the same result for each; a document without an id is known by its text, with a null doc_id.
+rows and ids give the same result for each; a document without an id is known by its text, with a null doc_id; empty
+tables give empty results; texts and items of any length are read whole; other columns, whatever their names, are
+ignored by `find` and kept by `decontaminate`.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +37,11 @@ from pyspark.sql import functions as F
 
 from sessionlake.llm import hashing as hs
 
-EDIT_RATE, WALKS, TABLES, BITS, BLOCK = 0.2, 8, 12, 3, 20_000
+EDIT_RATE, WALKS, BITS, BLOCK = 0.2, 8, 3, 20_000
+#: Target recall among the windows that pass the gate, and the least share of places in which embeddings of a true pair agree.
+RECALL, AGREEMENT = 0.999, 0.4
+#: Words of windows that wait to be embedded together, and pairs that are verified together.
+WAITING_WORDS, PAIRS = 400_000, 20_000
 PUNCTUATION = np.isin(np.arange(256), [c for c in range(0x21, 0x7F) if not chr(c).isalnum()])
 GATE_BITS = 22
 
@@ -59,6 +69,10 @@ def edits_allowed(n: int, edit_rate: float) -> int:
     return int(n * edit_rate + 1e-9)
 
 
+def tables_for(recall: float, agreement: float, walks: int, bits: int) -> int:
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - agreement**bits) / walks))
+
+
 class Items:
     """The packed benchmark: words, gate pieces and LSH tables of a block of items."""
 
@@ -71,9 +85,8 @@ class Items:
             hashes, bounds = plain_words(data, offsets)
             for k in range(len(bounds) - 1):
                 grouped.setdefault(int(bounds[k + 1] - bounds[k]), []).append((row + k, hashes[bounds[k] : bounds[k + 1]]))
+        grouped.pop(0, None)
         for n, found in grouped.items():
-            if not n:
-                continue
             words = np.stack([w for _, w in found])
             self.by_length[n] = (np.array([ids[k] for k, _ in found], np.int64), words)
             d = edits_allowed(n, edit_rate)
@@ -84,66 +97,57 @@ class Items:
                 pieces.setdefault(size, []).extend((int(h), n, at) for h in sums)
         self.gates = {}
         for size, found in pieces.items():
-            table = np.array(sorted(set(found)), dtype=object)
-            hashes = table[:, 0].astype(np.uint64)
-            self.gates[size] = (hashes, table[:, 1].astype(np.int64), table[:, 2].astype(np.int64), gate_bits(hashes))
-        self.longest = max(self.by_length, default=0)
-        self.sampled = {n: [np.random.default_rng([n, walk]).permuted(np.tile(np.arange(3 * n), (tables, 1)), axis=1)[:, :bits] for walk in range(walks)] for n in self.by_length}
-        self.lsh = {}
-        for n, (_, words) in self.by_length.items():
-            keys = [k[rows] for rows, k in self.keys(pad(words, self.longest), np.full(len(words), n))[n]]
-            self.lsh[n] = [(np.sort(k), np.argsort(k, kind="stable")) for k in keys]
-
-    def keys(self, windows: np.ndarray, lengths: np.ndarray) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
-        """The sampled CGK embeddings of windows (padded rows): for each length and table, the windows and all keys at them."""
-        out: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {int(n): [] for n in np.unique(lengths)}
-        groups = {n: np.flatnonzero(lengths == n) for n in out}
-        rows, steps = np.arange(len(windows)), 3 * int(lengths.max(initial=0))
+            rows = sorted(set(found))
+            hashes = np.array([h for h, _, _ in rows], hs.U)
+            self.gates[size] = (hashes, np.array([n for _, n, _ in rows]), np.array([at for _, _, at in rows]), gate_bits(hashes))
+        self.sampled = {n: self.samples(n) for n in self.by_length}
+        self.lsh = {n: [(np.sort(k), np.argsort(k, kind="stable")) for k in self.keys(words)] for n, (_, words) in self.by_length.items()}
+
+    def samples(self, n: int) -> np.ndarray:
+        """(walk, table, bit): the places at which embeddings of n words are sampled, before the end of nearly every walk."""
+        steps = min(3 * n, max(self.bits, int(2 * n - 3 * math.sqrt(n / 2))))
+        rng = np.random.default_rng(n)
+        return np.stack([rng.permuted(np.tile(np.arange(steps), (self.tables, 1)), axis=1)[:, : self.bits] for _ in range(self.walks)])
+
+    def keys(self, windows: np.ndarray) -> Iterator[np.ndarray]:
+        """The samples of the windows' CGK embeddings, table by table; windows: words of one length, a row each."""
+        n, places = windows.shape[1], self.sampled[windows.shape[1]]
+        padded = np.concatenate([windows, np.zeros((len(windows), 1), hs.U)], axis=1)
+        rows, steps = np.arange(len(windows)), int(places.max()) + 1
         for walk in range(self.walks):
             seeds = np.random.default_rng(walk).integers(0, 2**63, steps, dtype=np.int64).astype(hs.U)
             embedded = np.empty((steps, len(windows)), hs.U)
             at = np.zeros(len(windows), np.int64)
             for j in range(steps):
-                word = embedded[j] = windows[rows, at]
-                at = np.minimum(at + (hs.mix(word ^ seeds[j]) >> hs.U(63)).astype(np.int64), lengths)
-            for n, members in groups.items():
-                for places in self.sampled[n][walk]:
-                    key = np.zeros(len(windows), hs.U)
-                    for place in places:
-                        key[members] = hs.mix(key[members] * hs.U(hs.BASE) + embedded[place, members])
-                    out[n].append((members, key))
-        return out
-
-    def candidates(self, windows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                word = embedded[j] = padded[rows, at]
+                at = np.minimum(at + (hs.mix(word ^ seeds[j]) >> hs.U(63)).astype(np.int64), n)
+            for table in places[walk]:
+                key = np.zeros(len(windows), hs.U)
+                for place in table:
+                    key = hs.mix(key * hs.U(hs.BASE) + embedded[place])
+                yield key
+
+    def candidates(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (window, item row among those of its length) pairs that meet in a table."""
-        pairs = []
-        for n, tables in self.keys(windows, lengths).items():
-            width, found = len(self.by_length[n][0]), []
-            for (members, keys), (known, order) in zip(tables, self.lsh[n], strict=True):
-                lo, hi = np.searchsorted(known, keys[members], "left"), np.searchsorted(known, keys[members], "right")
-                hit = np.flatnonzero(hi > lo)
-                counts = (hi - lo)[hit]
-                at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(lo[hit], counts)
-                found.append(np.repeat(members[hit], counts) * width + order[at])
-            met = np.unique(np.concatenate(found))
-            pairs.append((met // width, met % width))
-        return np.concatenate([w for w, _ in pairs]), np.concatenate([i for _, i in pairs])
-
-    def verified(self, windows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = windows.shape[1]
+        width, found = len(self.by_length[n][0]), np.zeros(0, np.int64)
+        for keys, (known, order) in zip(self.keys(windows), self.lsh[n], strict=True):
+            lo, hi = np.searchsorted(known, keys, "left"), np.searchsorted(known, keys, "right")
+            hit = np.flatnonzero(hi > lo)
+            counts = (hi - lo)[hit]
+            at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(lo[hit], counts)
+            found = np.union1d(found, np.repeat(hit, counts) * width + order[at])
+        return found // width, found % width
+
+    def verified(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, item id, distance) of the candidates within the allowed edits."""
-        w, i = self.candidates(windows, lengths)
-        names, words = np.zeros(len(w), np.int64), np.zeros((len(w), self.longest + 1), hs.U)
-        for n in np.unique(lengths[w]):
-            own = np.flatnonzero(lengths[w] == n)
-            names[own], words[own, :n] = self.by_length[int(n)][0][i[own]], self.by_length[int(n)][1][i[own]]
-        distance = edit_distances(windows[w], words, lengths[w])
-        allowed = np.array([edits_allowed(int(n), self.edit_rate) for n in lengths[w]], np.int64)
-        good = np.flatnonzero(distance <= allowed)
-        return w[good], names[good], distance[good]
-
-
-def pad(windows: np.ndarray, longest: int) -> np.ndarray:
-    return np.concatenate([windows, np.zeros((len(windows), longest + 1 - windows.shape[1]), hs.U)], axis=1)
+        n = windows.shape[1]
+        names, words = self.by_length[n]
+        w, i = self.candidates(windows)
+        most = edits_allowed(n, self.edit_rate)
+        distance = np.concatenate([edit_distances(windows[w[k : k + PAIRS]], words[i[k : k + PAIRS]], most) for k in range(0, len(w), PAIRS)] or [np.zeros(0, np.int64)])
+        good = np.flatnonzero(distance <= most)
+        return w[good], names[i[good]], distance[good]
 
 
 def gate_bits(hashes: np.ndarray) -> np.ndarray:
@@ -152,20 +156,23 @@ def gate_bits(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def edit_distances(a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Word edit distances of the first lengths[k] words of rows k of a and b, by one dynamic program over all rows."""
-    n = int(lengths.max(initial=0))
-    out = np.zeros(len(lengths), np.int64)
-    row = np.tile(np.arange(n + 1)[:, None], (1, len(lengths)))
+def edit_distances(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Word edit distances of rows of equal length, or most + 1 where they are larger: one dynamic program over all rows,
+    in the band of |i - j| <= most."""
+    rows, n = a.shape
+    band, far = 2 * most + 1, most + 1
+    last = np.full((band + 2, rows), far, np.int64)  # cell k + 1 is column i + k - most; a wall on either side
+    last[most + 1 : 2 * most + 2] = np.arange(most + 1)[:, None]
     for i in range(1, n + 1):
-        new = np.empty_like(row)
-        new[0] = i
-        for j in range(1, n + 1):
-            new[j] = np.minimum(np.minimum(row[j], new[j - 1]) + 1, row[j - 1] + (a[:, i - 1] != b[:, j - 1]))
-        row = new
-        done = lengths == i
-        out[done] = row[i, done]
-    return out
+        new = np.full((band + 2, rows), far, np.int64)
+        for k in range(max(0, most - i), min(band, n - i + most + 1)):
+            j = i + k - most
+            if j == 0:
+                new[k + 1] = i
+                continue
+            new[k + 1] = np.minimum(np.minimum(last[k + 2], new[k]) + 1, last[k + 1] + (a[:, i - 1] != b[:, j - 1]))
+        last = new
+    return np.minimum(last[most + 1], far)
 
 
 #: key: the doc_id, or where it is null (no_id) a hash of the text.
@@ -181,60 +188,61 @@ def near_pieces(items: Items, hashes: np.ndarray, bounds: np.ndarray) -> Iterato
         windows = hs.runs(sums, first, first + size)
         near = np.flatnonzero(bitmap[(windows & low).astype(np.int64)])
         lo, hi = np.searchsorted(known, windows[near], "left"), np.searchsorted(known, windows[near], "right")
-        for k in np.flatnonzero(hi > lo):
-            for g in range(lo[k], hi[k]):
-                n, d = int(lengths[g]), edits_allowed(int(lengths[g]), items.edit_rate)
-                wanted.setdefault(n, []).append(near[k] - places[g] + np.arange(-d, d + 1))
+        counts = hi - lo
+        gate = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(lo, counts)
+        start = np.repeat(near, counts) - places[gate]
+        for n in np.unique(lengths[gate]):
+            wanted.setdefault(int(n), []).append(np.unique(start[lengths[gate] == n]))
     for n, starts in wanted.items():
-        at = np.unique(np.concatenate(starts))
+        d = edits_allowed(n, items.edit_rate)
+        at = np.unique(np.unique(np.concatenate(starts))[:, None] + np.arange(-d, d + 1))
         at = at[(at >= 0) & (at + n <= len(hashes))]
         doc = np.searchsorted(bounds, at, side="right") - 1
         whole = at + n <= bounds[doc + 1]
         yield n, at[whole], doc[whole]
 
 
-WAITING = 20_000  # windows that a task gathers before it embeds them together
-
-
 def search(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
-    waiting: list[tuple[np.ndarray, ...]] = []
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        if waiting:
-            windows, lengths, keys, no_id, places = (np.concatenate(c) for c in zip(*waiting, strict=True))
-            waiting.clear()
-            w, item, distance = items.verified(windows, lengths)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[w]), pa.array(no_id[w]), pa.array(item), pa.array(distance.astype(np.int32)), pa.array(places[w]), pa.array(np.ones(len(w), np.int64))],
-                names=["key", "no_id", "item_id", "distance", "first_word", "n_windows"],
-            )
+    waiting: dict[int, list[tuple[np.ndarray, ...]]] = {}
+
+    def flush(n: int) -> Iterator[pa.RecordBatch]:
+        windows, keys, no_id, places = (np.concatenate(c) for c in zip(*waiting.pop(n), strict=True))
+        w, item, distance = items.verified(windows)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys[w]), pa.array(no_id[w]), pa.array(item), pa.array(distance.astype(np.int32)), pa.array(places[w]), pa.array(np.ones(len(w), np.int64))],
+            names=["key", "no_id", "item_id", "distance", "first_word", "n_windows"],
+        )
 
     for batch in batches:
         keys, no_id = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:2])
         for row, data, offsets in hs.text_slices(batch.column(2)):
             hashes, bounds = plain_words(data, offsets)
             for n, at, doc in near_pieces(items, hashes, bounds):
-                for lo in range(0, len(at), WAITING):
-                    a, d = at[lo : lo + WAITING], doc[lo : lo + WAITING]
-                    waiting.append((pad(hashes[a[:, None] + np.arange(n)], items.longest), np.full(len(a), n), keys[row + d], no_id[row + d], a - bounds[d]))
-                    if sum(len(x[1]) for x in waiting) >= WAITING:
-                        yield from flush()
-    yield from flush()
+                step = max(1, WAITING_WORDS // n)
+                for lo in range(0, len(at), step):
+                    a, d = at[lo : lo + step], doc[lo : lo + step]
+                    waiting.setdefault(n, []).append((hashes[a[:, None] + np.arange(n)], keys[row + d], no_id[row + d], a - bounds[d]))
+                    if sum(x[0].size for x in waiting[n]) >= WAITING_WORDS:
+                        yield from flush(n)
+            while sum(x[0].size for found in waiting.values() for x in found) > 8 * WAITING_WORDS:
+                yield from flush(max(waiting, key=lambda n: sum(x[0].size for x in waiting[n])))
+    for n in list(waiting):
+        yield from flush(n)
 
 
 def document_key(id_col: str, text_col: str) -> dict[str, Column]:
-    doc_id = F.col(id_col).cast("long")
-    return {"key": F.coalesce(doc_id, F.xxhash64(F.col(text_col).cast("string"))), "no_id": doc_id.isNull()}
+    doc_id = F.col(f"d.{id_col}").cast("long")
+    return {"key": F.coalesce(doc_id, F.xxhash64(F.col(f"d.{text_col}").cast("string"))), "no_id": doc_id.isNull()}
 
 
 def found(
-    docs: DataFrame, items: DataFrame, edit_rate: float = EDIT_RATE, walks: int = WALKS, tables: int = TABLES, bits: int = BITS,
+    docs: DataFrame, items: DataFrame, edit_rate: float = EDIT_RATE, walks: int = WALKS, bits: int = BITS, recall: float = RECALL, agreement: float = AGREEMENT,
     block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """(key, no_id, item_id, distance, first_word, n_windows): as find, by document_key."""
-    texts = docs.select(*[c.alias(name) for name, c in document_key(id_col, text_col).items()], F.col(text_col).cast("string").alias("text"))
+    texts = docs.alias("d").select(*[c.alias(name) for name, c in document_key(id_col, text_col).items()], F.col(text_col).cast("string").alias("text"))
     known = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).filter("text IS NOT NULL AND item_id IS NOT NULL")
-    blocks, out = max(1, -(-known.count() // block)), None
+    blocks, out, tables = max(1, -(-known.count() // block)), None, tables_for(recall, agreement, walks, bits)
     for k in range(blocks):
         rows = known.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").toArrow()
         packed = Items(rows["item_id"].to_pylist(), rows["text"].to_pylist(), edit_rate, walks, tables, bits)
@@ -255,5 +263,5 @@ def find(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """docs without the documents in which an item was found."""
     key = document_key(options.get("id_col", "doc_id"), options.get("text_col", "text"))
-    hit = found(docs, items, **options).select(F.col("key").alias("_key"), F.col("no_id").alias("_no_id")).distinct()
-    return docs.withColumns({f"_{name}": c for name, c in key.items()}).join(hit, ["_key", "_no_id"], "left_anti").select(*docs.columns)
+    hit = found(docs, items, **options).select("key", "no_id").distinct()
+    return docs.alias("d").join(hit.alias("h"), (key["key"] == F.col("h.key")) & (key["no_id"] == F.col("h.no_id")), "left_anti")
