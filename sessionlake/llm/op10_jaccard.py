@@ -14,8 +14,8 @@ required overlap decides each link without another look at the sets.
    shard searches its own sets, which joins most near copies into classes.
 3. What may be left are links between classes of different shards. Two linked sets share one of their n - T + 1
    shortest lists, at places that leave enough shingles after them. Such lists are found by grouped minima and maxima,
-   and each set of a smaller class is searched in the other homes that its lists name. No link is lost: this step
-   covers all pairs of different classes.
+   and each set of a smaller class is searched in the other homes that its lists name, and in its own home if that is cut
+   into several shards. No link is lost: this step covers all pairs of different classes.
 
 Equal sets are one node throughout, so a group of copies costs one row each and no pairs. Classes are connected
 components of the links.
@@ -49,7 +49,7 @@ LONG, LONG_LISTS = 32, 200_000
 #: Min-hashes of a set, of which the most shared one is its home. Any number gives the same links.
 HOMES = 8
 #: A shard holds sets of about so many shingles together.
-SHARD_SHINGLES = 1 << 16
+SHARD_SHINGLES = 1 << 18
 #: DivideSkip's weight of a probe against a merged entry.
 MU = 0.01
 #: Bytes of text for each bucket of the first exchange.
@@ -234,7 +234,7 @@ class Shard:
     def __init__(self, percent: int):
         self.percent, self.parts, self.into = percent, [], {}
         self.found: list[tuple[int, int]] = []
-        self.asked = False
+        self.asked, self.known = False, None
 
     def add(self, node: np.ndarray, component: np.ndarray, sizes: np.ndarray, shingles: np.ndarray) -> None:
         self.parts.append((node, component, sizes, shingles))
@@ -293,9 +293,11 @@ class Shard:
             self.component[self.component == other] = component
 
     def ask(self, node: np.ndarray, component: np.ndarray, sizes: np.ndarray, shingles: np.ndarray) -> None:
-        if not self.asked:
+        if not self.asked and self.parts:
             self.build()
-            self.asked = True
+        self.asked = True
+        if self.known is None:  # a part of a home may have no sets of its own
+            return
         at = np.concatenate([[0], np.cumsum(sizes)])
         for k in range(len(node)):
             self.search(node[k], int(component[k]), shingles[at[k] : at[k + 1]])
@@ -364,14 +366,17 @@ def distant(sets: DataFrame, home: DataFrame, shared: DataFrame, label: DataFram
     posted = known.join(sets.select("node", "shingles"), "node").select("node", "n", "home", "parts", "class", F.posexplode(F.slice("shingles", F.lit(1), (F.col("n") - T + 1).cast("int"))).alias("i", "shingle"))
     # a partner of m shingles needs (n - i) * (100 + percent) >= percent * (n + m), as i shingles before are not shared
     posted = posted.withColumn("cap", F.floor((F.col("n") - F.col("i")) * (100 + percent) / percent) - F.col("n"))
-    lists = posted.groupBy("shingle").agg(F.min("class").alias("a"), F.max("class").alias("z"), F.min("home").alias("b"), F.max("home").alias("y"), F.max("parts").alias("parts"), F.min("n").alias("least"), F.max("cap").alias("most"))
-    mixed = lists.filter("a <> z AND (b <> y OR parts > 1)").select("shingle", F.col("z").alias("top"), "least", "most")
+    lists = posted.groupBy("shingle").agg(F.min("class").alias("a"), F.max("class").alias("z"), F.min("home").alias("b"), F.max("home").alias("y"), F.min("n").alias("least"), F.max("cap").alias("most"))
+    mixed = lists.filter("a <> z AND b <> y").select("shingle", F.col("z").alias("top"), "least", "most")
     fits = posted.join(mixed, "shingle").filter("cap >= least AND n <= most")
     homes = fits.groupBy("shingle", "home", "parts").agg(F.max("class").alias("highest"), F.min("n").alias("smallest"), F.max("cap").alias("widest"))
     homes = homes.withColumnRenamed("home", "to").withColumnRenamed("parts", "to_parts")
     asking = fits.filter("class < top").select("shingle", "node", "n", "cap", "home", "class").join(homes, "shingle")
-    asking = asking.filter("class < highest AND cap >= smallest AND n <= widest AND (to <> home OR to_parts > 1)")
-    routes = settled(asking.select("node", F.col("class.component").alias("component"), F.col("to").alias("home"), F.col("to_parts").alias("parts")).distinct())
+    asking = asking.filter("class < highest AND cap >= smallest AND n <= widest AND to <> home")
+    far = asking.select("node", F.col("class.component").alias("component"), F.col("to").alias("home"), F.col("to_parts").alias("parts")).distinct()
+    split = known.filter("parts > 1")
+    near = split.join(split.groupBy("home").agg(F.max("class").alias("highest")), "home").filter("class < highest")
+    routes = settled(far.union(near.select("node", F.col("class.component").alias("component"), "home", "parts")))
     queries = routes.select("home", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("query"), "node", "component")
     wanted = known.join(routes.select("home").distinct(), "home", "left_semi")
     index = wanted.select("home", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.lit(False).alias("query"), "node", F.col("class.component").alias("component"))
