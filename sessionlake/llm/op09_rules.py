@@ -5,13 +5,15 @@ exclamation marks, navigation bars and boilerplate. Failed lines are removed; a
 `max_lost_percent` of its word characters is rejected, as is one that is short or repeats itself (base rules).
 
 Defined results: a null or empty text has no words, so it fails the base rules and is not kept; a text of one line is
-judged as that line. One row for each input row, repeated rows included. There is no shuffle: every rule reads one
-row, at a cost of n log n in its words.
+judged as that line. One row for each input row, repeated rows included; an empty table gives an empty result; texts of
+any length are read whole. `clean` keeps all columns of docs, whatever their names; `assess` adds its own. There is no
+shuffle: every rule reads one row, at a cost of n log n in its words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,12 +24,16 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = "|»›•·"
 ENDS = r"[.!?:;…。！？]['\"»”’)\]]*[\x20\x09-\x0D]*$"
-#: Stock phrases of page furniture and licence notes, in lower case.
-BOILERPLATE = (
-    "all rights reserved|licensed under|released under the|terms of (use|service)|privacy policy|cookie policy|"
-    "accept (all )?cookies|enable javascript|subscribe to our|sign up (now|today|for)|click here|read more|"
-    "share (this|on)|powered by|skip to (main )?content|copyright ©|© [0-9]{4}"
-)
+#: Stock phrases of page furniture and licence notes by language, in lower case.
+BOILERPLATE = {
+    "en": [
+        "all rights reserved", "licensed under", "released under the", "terms of use", "terms of service", "privacy policy", "cookie policy", "accept cookies", "accept all cookies", "enable javascript", "subscribe to our",
+        "sign up now", "sign up today", "sign up for", "click here", "read more", "share this", "share on", "powered by", "skip to content", "skip to main content", "copyright ©", "© 19", "© 20",
+    ],
+    "de": ["alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "cookies akzeptieren", "newsletter abonnieren", "hier klicken", "weiterlesen", "zum inhalt springen"],
+    "fr": ["tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "accepter les cookies", "accepter tous les cookies", "abonnez-vous", "cliquez ici", "lire la suite", "aller au contenu"],
+    "es": ["todos los derechos reservados", "términos de uso", "términos del servicio", "política de privacidad", "aceptar cookies", "aceptar todas las cookies", "suscríbete a", "haz clic aquí", "leer más", "saltar al contenido"],
+}
 BOILERPLATE_WORDS = 30
 MIN_WORDS, MAX_REPEAT_PERCENT, MAX_LOST_PERCENT = 50, 50, 40
 
@@ -41,6 +47,10 @@ def count_chars(text: Column, chars: str) -> Column:
     return F.char_length(text) - F.char_length(F.translate(text, chars, ""))
 
 
+def stock_phrase(low: Column) -> Column:
+    return reduce(lambda a, b: a | b, [low.contains(p) for phrases in BOILERPLATE.values() for p in phrases])
+
+
 def line_fails(line: Column) -> Column:
     """True for a line with words that fails a rule; blank lines carry no words and stay."""
 
@@ -52,7 +62,7 @@ def line_fails(line: Column) -> Column:
             | ((n_sep >= 3) & (n_sep * 4 >= n))
             | ((n_sym >= 6) & (n_sym > n))
             | ((n_loud >= 6) & (n_loud * 2 > n))
-            | ((n <= BOILERPLATE_WORDS) & F.lower(line).rlike(BOILERPLATE))
+            | ((n <= BOILERPLATE_WORDS) & let(F.lower(line), stock_phrase))
         )
 
     return let(F.regexp_count(line, F.lit(WORD)), judged)
@@ -64,10 +74,17 @@ def repeated_words(words: Column) -> Column:
     def tail(x: Column, k: int) -> Column:
         return F.slice(x, F.lit(k + 1), F.greatest(F.size(x) - k, F.lit(0)))
 
-    def keyed(h: Column) -> Column:
+    def hashed(h: Column) -> Column:
         pairs = F.zip_with(tail(h, 0), tail(h, 1), lambda a, b: F.xxhash64(a, b))
         triples = F.zip_with(pairs, tail(h, 2), lambda ab, c: F.when(c.isNotNull(), F.xxhash64(ab, c)))
-        return F.sort_array(F.transform(F.slice(triples, F.lit(1), F.size(h) - 2), lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.slice(triples, F.lit(1), F.size(h) - 2)
+
+    def keyed(t: Column) -> Column:
+        return F.sort_array(F.transform(t, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+
+    def count(t: Column) -> Column:
+        """Only a text with a repeat is sorted."""
+        return F.when(F.size(F.array_distinct(t)) == F.size(t), F.lit(0)).otherwise(let(let(keyed(t), places), covered))
 
     def covered(s: Column) -> Column:
         gaps = F.zip_with(s, tail(s, 1), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3))))
@@ -79,7 +96,7 @@ def repeated_words(words: Column) -> Column:
         return F.sort_array(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull()))))
 
     hashes = F.transform(words, lambda w: F.xxhash64(w))
-    return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(let(let(hashes, keyed), places), covered)).cast("long")
+    return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(let(hashes, hashed), count)).cast("long")
 
 
 def words_of(text: Column) -> Column:
@@ -88,45 +105,62 @@ def words_of(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACES))
 
 
-def assess(docs: DataFrame, text_col: str = "text", max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_failed_lines, lost_chars, base_failed,
-    kept and clean_text (the text without failed lines). Columns of docs with these names are replaced."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.split(text, "\n")
-    full = F.filter(lines, lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
+def judged(text: Column, max_lost_percent: int) -> Column:
+    """All counts and verdicts of a text, and the text without its failed lines, as one struct."""
+    text = F.coalesce(text, F.lit(""))
     glyphs = lambda x: F.char_length(F.translate(x, SPACE_CHARS, ""))
 
-    def by_line(judged: Column) -> Column:
-        failed = F.filter(judged, lambda x: x["bad"])
-        good = F.transform(F.filter(judged, lambda x: ~x["bad"]), lambda x: x["line"])
+    def by_line(rows: Column) -> Column:
+        failed = F.filter(rows, lambda x: x["bad"])
+        good = F.transform(F.filter(rows, lambda x: ~x["bad"]), lambda x: x["line"])
         lost = F.aggregate(failed, F.lit(0), lambda n, x: n + glyphs(x["line"]))
         return F.struct(F.size(failed).cast("long").alias("n_failed"), lost.cast("long").alias("lost"), F.array_join(good, "\n").alias("clean"))
 
-    judged = F.transform(lines, lambda x: F.struct(x.alias("line"), line_fails(x).alias("bad")))
-    counted = docs.withColumns(
-        {
-            "_lines": let(judged, by_line),
-            "_words": let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("repeated"))),
-            "word_chars": glyphs(text).cast("long"),
-            "n_symbols": count_chars(text, SYMBOLS).cast("long"),
-            "n_dup_lines": let(full, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        }
-    ).withColumns(
-        {
-            "n_words": F.col("_words.n"),
-            "n_repeat_words": F.col("_words.repeated"),
-            "n_failed_lines": F.col("_lines.n_failed"),
-            "lost_chars": F.col("_lines.lost"),
-            "clean_text": F.col("_lines.clean"),
-        }
-    ).drop("_lines", "_words")
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return counted.withColumn("base_failed", base).withColumn(
-        "kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= max_lost_percent * F.col("word_chars"))
-    )
+    def counted(text: Column) -> Column:
+        lines = F.split(text, "\n")
+        full = F.filter(lines, lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
+        return F.struct(
+            let(F.transform(lines, lambda x: F.struct(x.alias("line"), line_fails(x).alias("bad"))), by_line).alias("lines"),
+            let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("repeated"))).alias("words"),
+            glyphs(text).cast("long").alias("word_chars"),
+            count_chars(text, SYMBOLS).cast("long").alias("n_symbols"),
+            let(full, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        )
+
+    def verdicts(c: Column) -> Column:
+        n, repeated, lost = c["words"]["n"], c["words"]["repeated"], c["lines"]["lost"]
+        base = (n < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n)
+        kept = ~base & (100 * lost <= max_lost_percent * c["word_chars"])
+        named = {
+            "n_words": n, "word_chars": c["word_chars"], "n_symbols": c["n_symbols"], "n_dup_lines": c["n_dup_lines"], "n_repeat_words": repeated, "n_failed_lines": c["lines"]["n_failed"],
+            "lost_chars": lost, "base_failed": base, "kept": kept, "clean_text": c["lines"]["clean"],
+        }
+        return F.struct(*[v.alias(k) for k, v in named.items()])
+
+    return let(let(text, counted), verdicts)
+
+
+FIELDS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_failed_lines", "lost_chars", "base_failed", "kept", "clean_text"]
+
+
+def free_name(docs: DataFrame, name: str = "_judged") -> str:
+    """A column name that docs has not, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def assess(docs: DataFrame, text_col: str = "text", max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_failed_lines, lost_chars, base_failed,
+    kept and clean_text (the text without failed lines). Columns of docs with these names are replaced."""
+    name = free_name(docs)
+    rows = docs.withColumn(name, judged(F.col(text_col).cast("string"), max_lost_percent))
+    return rows.withColumns({c: F.col(name)[c] for c in FIELDS}).drop(name)
 
 
 def clean(docs: DataFrame, text_col: str = "text", max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
     """The kept documents with failed lines removed, in the columns of docs."""
-    good = assess(docs, text_col, max_lost_percent).filter("kept")
-    return good.select(*[F.col("clean_text").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    name = free_name(docs)
+    rows = docs.withColumn(name, judged(F.col(text_col).cast("string"), max_lost_percent)).filter(F.col(name)["kept"])
+    return rows.select(*[F.col(name)["clean_text"].alias(c) if c == text_col else F.col(c) for c in docs.columns])

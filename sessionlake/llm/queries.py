@@ -74,7 +74,7 @@ judged AS (
 failing AS (
   SELECT *, n > 0 AND ((n < 4 AND NOT regexp_matches(line, '[.!?:;…。！？][''"»”’)\]]*[\x20\x09-\x0D]*$'))
       OR NOT regexp_matches(line, '[\p{L}\p{N}]') OR (n_sep >= 3 AND n_sep * 4 >= n) OR (n_sym >= 6 AND n_sym > n)
-      OR (n_loud >= 6 AND n_loud * 2 > n) OR (n <= 30 AND regexp_matches(lower(line), '@boilerplate@'))) AS failed FROM judged),
+      OR (n_loud >= 6 AND n_loud * 2 > n) OR (n <= 30 AND (@boilerplate@))) AS failed FROM judged),
 by_line AS (
   SELECT rid, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines,
     count(*) FILTER (failed) AS n_failed_lines, coalesce(sum(glyphs) FILTER (failed), 0) AS lost_chars FROM failing GROUP BY rid),
@@ -94,7 +94,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost_chars <= 40 * word_chars AS kept,
   n_failed_lines, lost_chars FROM counts
-""".replace("@boilerplate@", op09_rules.BOILERPLATE)
+""".replace("@boilerplate@", " OR ".join("contains(lower(line), '{}')".format(p.replace("'", "''")) for phrases in op09_rules.BOILERPLATE.values() for p in phrases))
 
 ORACLE: dict[str, str] = {"op9_rules": RULES_SQL}
 
