@@ -6,7 +6,8 @@ with the last token of the prefix before it, i.e. if no merge would have crossed
 follow from back-pointers, without applying merges to the text.
 
 Defined results: a null text is an empty text, which has no ids; a text of spaces has none either; texts are never cut;
-the literal special tokens in a text are encoded as special ids, as the public library does by default.
+the literal special tokens in a text are encoded as special ids, as the public library does by default; repeated rows
+give a row each; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

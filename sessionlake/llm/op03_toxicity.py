@@ -9,7 +9,8 @@ a bounded sample of about `max_rows` labelled rows, drawn by a hash of the id. S
 
 Defined results: null is an empty text; every row gets a score, empty texts that of an all-zero feature row; without
 both labels among the training rows the score is the share of label 1 (0 without labels). Several labels of one
-doc_id count as toxic if any is.
+doc_id count as toxic if any is. Repeated rows give a row each; a null doc_id is never held out nor learned from; an
+empty table gives an empty result; texts of any length are read whole; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ The models are counts over all documents, one array for each task and summed by
 key is found by a quantile band and an exact order within it, so no task sorts all keys.
 
 Defined results: texts without words have a null log_weight and are never selected; repeated rows are rows of their
-own; ties of keys go to the smaller doc_id, then to all equal rows.
+own; ties of keys go to the smaller doc_id, then to all equal rows; an empty table gives an empty result, and an empty target
+a model of equal counts; texts of any length are read whole; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ Training uses a bounded sample: about `per_language` rows of each language, draw
 rows with crc32(doc_id) mod 3 not 1. Prediction is a map over all rows without a shuffle.
 
 Defined results: `und` with score 0 for null, empty and letterless texts, and if no label was learned; a single
-learned language is always predicted, with score 1; rows with a null label are predicted but not learned from.
+learned language is always predicted, with score 1; rows with a null label are predicted but not learned from; repeated
+rows give a row each; an empty table gives an empty result; texts of any length are read whole; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations

@@ -442,10 +442,11 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = found.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), no_id.alias("_no_id"), F.col("text_hash").alias("_hash"), F.col("component").alias("_class"), single.alias("_single")).count()
     sizes = members.groupBy("_class", "_id", "_no_id").agg(F.sum("count").alias("_rows"))
     members = settled(members.join(sizes, ["_class", "_id", "_no_id"]).withColumn("_single", F.expr("_single OR _rows = 1")))
-    named = docs.withColumns(dict(zip(KEY, names(id_col, text_col), strict=True)))
-    kept = named.join(members.filter("_single"), KEY, "left_semi").select(*docs.columns)
+    named = docs.select(*[c.alias(k) for c, k in zip(names(id_col, text_col), KEY, strict=True)], F.struct(*docs.columns).alias("row"))
+    kept = named.join(members.filter("_single"), KEY, "left_semi").select("row.*")
     several = members.filter("NOT _single").select(*KEY, "_class")
     if several.isEmpty():
         return kept
-    again = named.join(several, KEY).groupBy("_class", "_id", "_no_id").agg(F.min(F.struct(text_col, *[c for c in docs.columns if c != text_col])).alias("_row"))
-    return kept.unionByName(again.select(*[F.col("_row")[c].alias(c) for c in docs.columns]))
+    least = F.min(F.struct(*[F.col("row")[c].alias(c) for c in [text_col, *[c for c in docs.columns if c != text_col]]]))
+    again = named.join(several, KEY).groupBy("_class", "_id", "_no_id").agg(least.alias("row"))
+    return kept.unionByName(again.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
