@@ -113,3 +113,27 @@ reach AS (SELECT doc_id, doc_id AS r FROM sizes UNION SELECT reach.doc_id, q FRO
 SELECT doc_id, n AS n_shingles, CAST(min(r) AS BIGINT) AS component_id FROM reach JOIN sizes USING (doc_id) GROUP BY ALL
 """
 ORACLE["op10_jaccard"] = JACCARD_SQL
+
+ANCHORS_SQL = r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+chunks AS (SELECT doc_id, len(w) AS n, c, w[c*200+1:c*200+249] AS part FROM (SELECT doc_id, w, unnest(range(0, (len(w) + 199) // 200)) AS c FROM texts)),
+windows AS (SELECT doc_id, c * 200 + k AS i, part[k] AS word, CASE WHEN c * 200 + k + 49 <= n THEN md5(array_to_string(part[k:k+49], ' ')) END AS h FROM (SELECT *, unnest(range(1, least(200, len(part)) + 1)) AS k FROM chunks)),
+first AS (SELECT h, min(doc_id) AS f FROM windows WHERE h IS NOT NULL GROUP BY 1),
+marked AS (SELECT doc_id, i, word, coalesce(f < doc_id, false) AS r FROM windows LEFT JOIN first USING (h)),
+covered AS (SELECT doc_id, i, word, max(r) OVER (PARTITION BY doc_id ORDER BY i ROWS 49 PRECEDING) AS gone FROM marked),
+kept AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS t FROM covered GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM texts LEFT JOIN kept USING (doc_id)
+"""
+
+SUFFIX_SQL = r"""
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+chunks AS (SELECT doc_id, len(x) // 2 AS n, c, x[c*1000+1:c*1000+1198] AS part FROM (SELECT doc_id, x, unnest(range(0, (len(x) + 999) // 1000)) AS c FROM texts)),
+strings AS (SELECT doc_id, c * 500 + k AS i, part[2*k+1:2*k+2] AS b, CASE WHEN c * 500 + k + 100 <= n THEN md5(part[2*k+1:2*k+200]) END AS h FROM (SELECT *, unnest(range(0, least(500, len(part) // 2))) AS k FROM chunks)),
+first AS (SELECT h, min({'d': doc_id, 'i': i}) AS f FROM strings WHERE h IS NOT NULL GROUP BY 1),
+marked AS (SELECT doc_id, i, b, coalesce(f < {'d': doc_id, 'i': i}, false) AS r FROM strings LEFT JOIN first USING (h)),
+covered AS (SELECT doc_id, i, b, max(r) OVER (PARTITION BY doc_id ORDER BY i ROWS 99 PRECEDING) AS gone FROM marked),
+runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS starts FROM covered),
+kept AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (NOT gone) AS t FROM runs GROUP BY 1)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(t, ''))) AS kept_sha256 FROM texts LEFT JOIN kept USING (doc_id)
+"""
+ORACLE |= {"op4_anchors": ANCHORS_SQL, "op7_suffix": SUFFIX_SQL}
