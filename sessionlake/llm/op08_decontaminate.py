@@ -39,7 +39,7 @@ from sessionlake.llm import hashing as hs
 
 EDIT_RATE, WALKS, BITS, BLOCK = 0.2, 8, 3, 20_000
 #: Target recall among the windows that pass the gate, and the least share of places in which embeddings of a true pair agree.
-RECALL, AGREEMENT = 0.999, 0.4
+RECALL, AGREEMENT = 0.999, 0.3
 #: Words of windows that wait to be embedded together, and pairs that are verified together.
 WAITING_WORDS, PAIRS = 400_000, 20_000
 PUNCTUATION = np.isin(np.arange(256), [c for c in range(0x21, 0x7F) if not chr(c).isalnum()])
