@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlake.functions import text as T
+from sessionlake.session import ensure_checkpoint_dir, settled
 
 BATCH, MAX_FACTS, CHUNK_BYTES, MIN_PREFIX = 18, 10, 6000, 8
 SECTIONS = ["identity", "conventions", "projects", "recurring_problems", "communication_style", "personal_context", "timeline"]
@@ -23,9 +24,20 @@ SECTION_ALIASES = {
 
 
 def batches(rows: DataFrame, order: list[Column], size: int = BATCH, by: str | None = None) -> DataFrame:
-    """batch number and label S1.. in the batch. Without `by` all rows are one sequence: for the pending worklist, not a corpus."""
-    k = F.row_number().over((Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy(*order)) - 1
-    return rows.withColumn("_k", k).withColumns({"batch": F.floor(F.col("_k") / size), "label": F.concat(F.lit("S"), (F.col("_k") % size + 1).cast("string"))}).drop("_k")
+    """batch number and label S1.. in the batch, for each value of `by` or over all rows.
+
+    Without `by` rows are sorted by ranges, and each range's numbers start after those of the ranges before it.
+    """
+    if by:
+        numbered = rows.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1)
+    else:
+        ensure_checkpoint_dir(rows.sparkSession)
+        ordered = settled(rows.orderBy(*order).withColumn("_range", F.spark_partition_id()))
+        ranges = ordered.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each range
+        before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+        numbered = ordered.withColumn("_k", place).join(ranges.select("_range", before.alias("_before")), "_range").withColumn("_k", F.col("_k") + F.col("_before")).drop("_range", "_before")
+    return numbered.withColumns({"batch": F.floor(F.col("_k") / size), "label": F.concat(F.lit("S"), (F.col("_k") % size + 1).cast("string"))}).drop("_k")
 
 
 def evidence_entry(label: Column, title: Column, date: Column, body: Column) -> Column:

@@ -400,3 +400,9 @@ def phone_forms(spark: SparkSession, sf: str) -> DataFrame:
     raw = F.when(F.col("c_custkey") % 2 == 0, digits).otherwise("n/a")
     intl = phones.bare_international(raw)
     return table(spark, sf, "customer").select("c_custkey", intl.alias("intl"), phones.national_form(intl, "49").alias("national"))
+
+
+@query("SELECT event_id, (k - 1) // 18 AS batch, 'S' || ((k - 1) % 18 + 1) AS label FROM (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) AS k FROM events)")
+def batch_all(spark: SparkSession, sf: str) -> DataFrame:
+    """One sequence of all rows, numbered by ranges."""
+    return distill.batches(table(spark, sf, "events").select("event_id", "ts"), [F.desc("ts"), F.col("event_id")]).select("event_id", "batch", "label")
