@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlake.operators import analytics, archive, search
@@ -48,15 +48,31 @@ class Archive:
     def read_raw_session(self, session_id: str, offset: int = 0, limit: int = BYTES_DEFAULT) -> dict | None:
         if self.visible(session_id).isEmpty():
             return None
-        rows = self.raw_lines.filter(F.col("session_id") == session_id).orderBy("line_no").select("line").collect()
-        return search.page_bytes("\n".join(r["line"] for r in rows), offset, min(limit, BYTES_MAX))
+        size = F.octet_length("line") + 1
+        ends = F.sum(size).over(Window.orderBy("line_no"))
+        lines = self.raw_lines.filter(F.col("session_id") == session_id).select("line_no", "line", ends.alias("end"), (ends - size).alias("start"))
+        total = max((lines.agg(F.max("end")).first()[0] or 1) - 1, 0)
+        offset, limit = min(max(offset, 0), total), min(limit, BYTES_MAX)
+        # only the lines of the page come to the driver
+        rows = lines.filter((F.col("end") > offset) & (F.col("start") < offset + limit + 4)).orderBy("line_no").collect()
+        base = rows[0]["start"] if rows else offset
+        page = search.page_bytes("\n".join(r["line"] for r in rows), offset - base, limit)
+        end = base + (page["total_bytes"] if page["next_offset"] is None else page["next_offset"])
+        return {"text": page["text"], "next_offset": end if end < total else None, "total_bytes": total}
 
     def get_profile(self) -> str | None:
         return self.profile
 
-    def get_digest(self, name: str | None = None) -> str | None:
-        """A weekly digest by name, or the latest one."""
-        return (self.digests or {}).get(name or max(self.digests or {"": ""}))
+    def get_digest(self, name: str | None = None, offset: int = 0, max_bytes: int = BYTES_DEFAULT) -> str | None:
+        """A weekly digest by name, or the latest one; a part of it has a header line that tells where the next one starts."""
+        full = (self.digests or {}).get(name or max(self.digests or {"": ""}))
+        limit = max(1, min(max_bytes, BYTES_MAX))
+        if full is None or (offset == 0 and len(full.encode()) <= limit):
+            return full
+        page = search.page_bytes(full, offset, limit)
+        end = page["total_bytes"] if page["next_offset"] is None else page["next_offset"]
+        more = "end of digest" if page["next_offset"] is None else f"continue with offset={end}"
+        return f"[digest slice bytes {end - len(page['text'].encode())}..{end} of {page['total_bytes']}; {more}]\n{page['text']}"
 
     def count_by_provider(self, date_from: str | None = None, date_to: str | None = None) -> dict:
         rows = search.in_scope(self.sessions, self.scope)

@@ -236,3 +236,25 @@ def test_resolved_ids_by_priority(spark):
 def test_attachment_notes(spark):
     names = spark.createDataFrame([([" 0a0 ", "1b1", " ", None],), (None,)], "n array<string>")
     assert [r[0] for r in names.select(exports.attachment_note(F.col("n"))).collect()] == ["[Attachments: 0a0, 1b1]", ""]
+
+
+def test_pages_of_raw_sessions_and_digests(spark):
+    lines = ["first", "", "zweite Zeile mit öäü", "x" * 90, "last"]
+    whole = "\n".join(lines)
+    sessions = spark.createDataFrame([("a", "p")], "id string, archive_path string")
+    raw = spark.createDataFrame([("a", k, t) for k, t in enumerate(lines)], "session_id string, line_no int, line string")
+    tables = api.Archive(sessions, sessions, raw, None, {"2024-W01": whole})
+    for limit in (1, 3, 7, 40, 1000):
+        text, at = "", 0
+        while at is not None:
+            page = tables.read_raw_session("a", at, limit)
+            assert page["total_bytes"] == len(whole.encode())
+            text, at = text + page["text"], page["next_offset"]
+            if limit < 7 and len(text) > 12:  # the beginning is enough
+                break
+        assert whole.startswith(text) and (limit < 7 or text == whole)
+    assert tables.read_raw_session("b") is None
+    assert tables.get_digest() == whole
+    head, text = tables.get_digest(offset=6, max_bytes=30).split("\n", 1)
+    assert text.encode() == whole.encode()[6:36] and head == f"[digest slice bytes 6..36 of {len(whole.encode())}; continue with offset=36]"
+    assert tables.get_digest(offset=100).split("\n")[0].endswith("end of digest]")
