@@ -18,7 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPACES = r"[\x20\x09-\x0D]+"
+SPACE = r"[\x20\x09-\x0D]"
+SPACES = SPACE + "+"
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -44,7 +45,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def count_chars(text: Column, chars: str) -> Column:
-    return F.char_length(text) - F.char_length(F.translate(text, chars, ""))
+    return F.regexp_count(text, F.lit(f"[{chars}]"))
 
 
 def stock_phrase(low: Column) -> Column:
@@ -108,7 +109,7 @@ def words_of(text: Column) -> Column:
 def judged(text: Column, max_lost_percent: int) -> Column:
     """All counts and verdicts of a text, and the text without its failed lines, as one struct."""
     text = F.coalesce(text, F.lit(""))
-    glyphs = lambda x: F.char_length(F.translate(x, SPACE_CHARS, ""))
+    glyphs = lambda x: F.char_length(x) - F.regexp_count(x, F.lit(SPACE))
 
     def by_line(rows: Column) -> Column:
         failed = F.filter(rows, lambda x: x["bad"])
@@ -154,13 +155,14 @@ def free_name(docs: DataFrame, name: str = "_judged") -> str:
 def assess(docs: DataFrame, text_col: str = "text", max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_failed_lines, lost_chars, base_failed,
     kept and clean_text (the text without failed lines). Columns of docs with these names are replaced."""
-    name = free_name(docs)
-    rows = docs.withColumn(name, judged(F.col(text_col).cast("string"), max_lost_percent))
-    return rows.withColumns({c: F.col(name)[c] for c in FIELDS}).drop(name)
+    own = [c for c in docs.columns if c.lower() not in FIELDS]
+    # a generator computes its row once, where a projected struct may be computed for each field that is read
+    return docs.select(*own, F.inline(F.array(judged(F.col(text_col).cast("string"), max_lost_percent))))
 
 
 def clean(docs: DataFrame, text_col: str = "text", max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
     """The kept documents with failed lines removed, in the columns of docs."""
     name = free_name(docs)
-    rows = docs.withColumn(name, judged(F.col(text_col).cast("string"), max_lost_percent)).filter(F.col(name)["kept"])
+    kept = F.filter(F.array(judged(F.col(text_col).cast("string"), max_lost_percent)), lambda j: j["kept"])
+    rows = docs.select("*", F.explode(kept).alias(name))
     return rows.select(*[F.col(name)["clean_text"].alias(c) if c == text_col else F.col(c) for c in docs.columns])
