@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 
@@ -63,9 +62,3 @@ def shards(docs: DataFrame, text_col: str, each: int) -> int:
     """How many buckets of about `each` bytes of text docs makes, at least as many as Spark's shuffles have."""
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
-
-
-def release(spark: SparkSession) -> None:
-    """Let the shuffle files of stages that were not settled go now: Spark's cleaner removes them once their handles are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
