@@ -76,9 +76,9 @@ def text_slices(texts: pa.Array, step: int = STEP_BYTES) -> Iterator[tuple[int,
         row = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte ranges of the words [^\\x20\\x09-\\x0D]+, and for each document the index of its first word (one more at the end)."""
-    solid = ~SPACE[data]
+    solid = ~space[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     last = solid.copy()

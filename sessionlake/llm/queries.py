@@ -6,16 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionlake.llm import op01_quotes, op02_bpe, op03_toxicity, op04_anchors, op05_quality, op06_language, op07_suffix, op08_decontaminate, op09_rules, op10_jaccard
+from sessionlake.llm import op01_quotes, op02_bpe, op03_toxicity, op04_anchors, op05_quality, op06_language, op07_suffix, op08_decontaminate, op09_rules, op10_jaccard, op11_collocations, op12_middle, op13_packing
 from sessionlake.session import table
 
-VOCABULARY = "word_bpe_49k.json"
+VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 def op1_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,19 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_jaccard.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quotes": op1_quotes, "op2_bpe": op2_bpe, "op3_toxicity": op3_toxicity, "op4_anchors": op4_anchors, "op5_quality": op5_quality, "op6_language": op6_language, "op7_suffix": op7_suffix_dedup, "op8_decontaminate": op8_decontaminate, "op9_rules": op9_rules, "op10_jaccard": op10_jaccard_join}
+def op11_collocations_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_middle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_packing.digests(table(spark, sf_dir, "documents"), vocabulary_path(BYTE_VOCABULARY))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quotes": op1_quotes, "op2_bpe": op2_bpe, "op3_toxicity": op3_toxicity, "op4_anchors": op4_anchors, "op5_quality": op5_quality, "op6_language": op6_language, "op7_suffix": op7_suffix_dedup, "op8_decontaminate": op8_decontaminate, "op9_rules": op9_rules, "op10_jaccard": op10_jaccard_join, "op11_collocations": op11_collocations_query, "op12_middle": op12_middle_query, "op13_packing": op13_packing_query}
 
 RULES_SQL = r"""
 WITH base AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
@@ -137,3 +149,36 @@ kept AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (st
 SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(t, ''))) AS kept_sha256 FROM texts LEFT JOIN kept USING (doc_id)
 """
 ORACLE |= {"op4_anchors": ANCHORS_SQL, "op7_suffix": SUFFIX_SQL}
+
+COLLOCATIONS_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents),
+grams AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i+m-1], ' '))) AS phrase FROM pieces, (VALUES (1), (2), (3), (4)) AS t(m) WHERE len(w) >= m),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM grams GROUP BY ALL),
+words AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE m >= 2 AND a >= 30),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, c.k, l.a AS l, r.a AS r, (CAST(2000000 AS HUGEINT) * c.a) // (l.a + r.a) AS score FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates) c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.k], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.k+1:c.m], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, a, unnest(list_concat(list_transform(range(1, m), lambda i: array_to_string(w[i:i+1], ' ')), CASE WHEN m = 4 THEN list_transform(range(1, m - 1), lambda i: array_to_string(w[i:i+2], ' ')) ELSE [] END)) AS phrase
+  FROM candidates WHERE m > 2),
+longest AS (SELECT lang, phrase, max(a) AS most FROM inside GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN longest USING (lang, phrase) WHERE most IS NULL OR 100 * most < 80 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN words USING (lang) WHERE rank <= 2000
+"""
+
+MIDDLE_SQL = r"""
+WITH drawn AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+units AS (
+  SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS u, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM drawn),
+cut AS (
+  SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM units),
+parts AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a+1:b], '') AS m, array_to_string(u[b+1:n], '') AS s FROM cut)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM parts
+"""
+ORACLE |= {"op11_collocations": COLLOCATIONS_SQL, "op12_middle": MIDDLE_SQL}
