@@ -39,7 +39,7 @@ from sessionlake.session import ensure_checkpoint_dir, settled
 
 DEPTH, MIN_COUNT, SCALE, COVERED_PERCENT, TOP = 4, 30, 2_000_000, 80, 2000
 #: Bytes of text of a shard, and for each range.
-SHARD_BYTES, RANGE_BYTES = 16_000_000, 12_000_000
+SHARD_BYTES, RANGE_BYTES = 8_000_000, 8_000_000
 #: Sampled paths for each range, and one of how many words of a sampled text is sampled.
 SAMPLED, EVERY = 64, 40
 #: The bytes of [.,;:!?\x0A-\x0D], which end a piece, and of [\x20\x09].
@@ -116,13 +116,14 @@ class Occurrences:
         self.data = hs.LOWER[data]
         self.starts, self.ends, bounds = hs.words(self.data, offsets, BREAKS)
         self.langs = langs
-        self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
+        self.doc = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(bounds))
         salts = {lang: int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little") for lang in set(langs)}
         salt = np.array([salts[lang] for lang in langs], hs.U)
         self.hashes = hs.mix(hs.word_hashes(self.data, self.starts, self.ends) ^ salt[self.doc]) if len(self.doc) else np.zeros(0, hs.U)
         piece = np.cumsum(ENDS[self.data])[self.starts] if len(self.starts) else np.zeros(0, np.int64)
         self.joined = np.zeros(len(self.doc), bool)
         self.joined[:-1] = (piece[1:] == piece[:-1]) & (self.doc[1:] == self.doc[:-1])
+        self.starts, self.ends = self.starts.astype(np.int32), self.ends.astype(np.int32)
 
     def key(self, k: int) -> str:
         return f"{self.langs[self.doc[k]]}\t{self.data[self.starts[k] : self.ends[k]].tobytes().decode()}"
@@ -142,8 +143,7 @@ class Shard:
     """The count trie of some documents."""
 
     def __init__(self, parts: list[Occurrences]):
-        hashes = np.concatenate([p.hashes for p in parts])
-        known, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        _, first, inverse = np.unique(np.concatenate([p.hashes for p in parts]), return_index=True, return_inverse=True)
         at = np.cumsum([0, *(len(p.hashes) for p in parts)])
         of = np.searchsorted(at, first, "right") - 1
         keys = [parts[p].key(k) for p, k in zip(of.tolist(), (first - at[of]).tolist(), strict=True)]
@@ -151,7 +151,9 @@ class Shard:
         self.keys = [keys[k] for k in order]
         rank = np.empty(len(keys), np.int64)
         rank[order] = np.arange(1, len(keys) + 1)
-        self.paths = Paths.merged(columns_of(rank[inverse.reshape(-1)], np.concatenate([p.joined for p in parts])), None, len(keys) + 1)
+        joined = np.concatenate([p.joined for p in parts])
+        parts.clear()
+        self.paths = Paths.merged(columns_of(rank[inverse.reshape(-1)], joined), None, len(keys) + 1)
 
     def serialised(self, limits: list[Path]) -> Iterator[tuple]:
         """A row for each range that the shard has something of."""
@@ -207,7 +209,7 @@ def tries(batches: Iterator[pa.RecordBatch], limits: list[Path]) -> Iterator[pa.
             size += len(data)
             if size >= SHARD_BYTES:
                 yield from done()
-                parts, size = [], 0
+                size = 0
     if parts:
         yield from done()
 
