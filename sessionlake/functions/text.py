@@ -105,7 +105,7 @@ def human_size(c: Column) -> Column:
         F.when(c < 1000, F.concat(c.cast("string"), F.lit(" B")))
         .when(c < 1_000_000, F.concat(F.round(c / 1000).cast("long").cast("string"), F.lit(" KB")))
         .when(c < 1_000_000_000, F.format_string("%.1f MB", c / 1_000_000))
-        .otherwise(F.format_string("%.1f GB", c / 1_000_000_000))
+        .when(c.isNotNull(), F.format_string("%.1f GB", c / 1_000_000_000))
     )
 
 

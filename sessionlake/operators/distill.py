@@ -170,15 +170,36 @@ def grounded_highlights(items: Column, transcript: Column, most: int = 12) -> Co
 
 
 def resolved_prefixes(candidates: DataFrame, ids: DataFrame) -> DataFrame:
-    """(candidate, id) where the candidate is an id, or of at least 8 characters and the start of exactly one id.
+    """(candidate, id) where the candidate is an id, or of at least 8 bytes and the start of exactly one id.
 
-    Joined on the first eight characters, so only ids that share them are compared.
+    Ids and candidates are sorted together. Of the ids from a candidate on, the first is the candidate itself, or the only
+    one that can be repaired to if the second does not start with the candidate too. Two neighbours decide, so no id is
+    paired with any other, whatever start they share. Ranges are fixed by a checkpoint; where a range ends before two ids
+    have come, the first two ids of the ranges behind it are looked up, two for each range.
     """
-    c = candidates.select("candidate").distinct().withColumn("k", F.substring("candidate", 1, MIN_PREFIX))
-    i = ids.select("id").distinct().withColumn("k", F.substring("id", 1, MIN_PREFIX))
-    pairs = c.join(i, "k").filter("candidate = id OR (length(candidate) >= 8 AND startswith(id, candidate))")
-    exact = F.max(F.when(F.col("candidate") == F.col("id"), F.col("id")))
-    return pairs.groupBy("candidate").agg(exact.alias("e"), F.count("*").alias("n"), F.min("id").alias("one")).select("candidate", F.coalesce("e", F.when(F.col("n") == 1, F.col("one"))).alias("id")).filter("id IS NOT NULL")
+    spark = ids.sparkSession
+    ensure_checkpoint_dir(spark)
+    known = ids.filter("id IS NOT NULL").select(F.col("id").alias("v"), F.lit(1).alias("known")).distinct()
+    asked = candidates.filter("candidate IS NOT NULL").select(F.col("candidate").alias("v"), F.lit(0).alias("known")).distinct()
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = settled(known.unionByName(asked).repartitionByRange(ranges, "v").withColumn("part", F.spark_partition_id()))
+    # descending: an id comes before the candidates that it may be meant by
+    back = Window.partitionBy("part").orderBy(F.desc("v"), F.desc("known"))
+    so_far, before = back.rowsBetween(Window.unboundedPreceding, 0), back.rowsBetween(Window.unboundedPreceding, -1)
+    whole = F.when(F.col("known") == 1, F.col("v"))
+    linked = ranged.withColumn("pair", F.when(whole.isNotNull(), F.struct(whole.alias("one"), F.last(whole, True).over(before).alias("two"))))
+    near = linked.withColumn("pair", F.last("pair", True).over(so_far)).filter("known = 0")
+    heads = ranged.filter("known = 1").groupBy("part").agg(F.min_by(F.struct(F.col("v").alias("one")), "v").alias("h"), F.min("v").alias("one"))
+    second = ranged.filter("known = 1").join(heads.select("part", "one"), "part").filter("v > one").groupBy("part").agg(F.min("v").alias("two"))
+    # one row for each range: a table that grows with the number of ranges only
+    later = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = spark.range(ranges).select(F.col("id").cast("int").alias("part")).join(heads.select("part", "one"), "part", "left").join(second, "part", "left").coalesce(1)
+    firsts = firsts.withColumn("next", F.last("one", True).over(later))
+    firsts = firsts.withColumn("h", F.when(F.col("one").isNotNull(), F.struct("one", F.coalesce("two", "next").alias("two"))))
+    tails = firsts.select("part", F.last("h", True).over(later).alias("tail"))
+    found = near.join(tails, "part").select(F.col("v").alias("candidate"), F.coalesce("pair.one", "tail.one").alias("id"), F.when(F.col("pair").isNull(), F.col("tail.two")).otherwise(F.coalesce("pair.two", "tail.one")).alias("two"))
+    only = (F.octet_length("candidate") >= MIN_PREFIX) & F.startswith("id", "candidate") & ~F.coalesce(F.startswith("two", "candidate"), F.lit(False))
+    return found.filter((F.col("id") == F.col("candidate")) | only).select("candidate", "id")
 
 
 MAX_IDS = 3

@@ -16,6 +16,8 @@ LOCAL_SOURCES = ["claude_code", "codex", "forge", "ollama_chat", "apple_messages
 PHONE_SOURCES = ["apple_messages", "whatsapp", "whatsapp_business", "viber"]
 #: Requests that only greet or ask whether somebody is there.
 GREETINGS = ["hello", "hi", "hey", "ping", "pong", "test", "testing", "are you here", "are you there", "are you online", "you there"]
+#: What requests say that only probe for boards, or for earlier sessions.
+BOARD, BOARD_PROBES, SESSION_PROBE = "board", ["monitor", "post to the board", "post on the board"], "search previous session"
 MIN_MESSAGES = 3
 #: The settings that name each import's folder, and those of one shared phone backup.
 IMPORT_SETTINGS = {"chatgpt": "chatgpt_import_path", "claude_ai": "claudeai_import_path", "gemini": "gemini_import_path", "grok": "grok_import_path", "ollama_chat": "ollama_db_path"}
@@ -36,21 +38,20 @@ def scanned(sources: dict[str, DataFrame], import_only: bool = False) -> DataFra
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [d.withColumn("provider", F.lit(p)) for p, d in chosen.items()])
 
 
-def requests(transcript: Column) -> Column:
-    """The user's requests of a rendered transcript, normalised."""
-    units = F.filter(F.split(transcript, "\n\n"), lambda u: u.startswith("[User]\n"))
-    return F.transform(units, lambda u: T.normalize_text(F.substring(u, 8, 1 << 30)))
+def requests(units: Column) -> Column:
+    """The user's requests among a session's units, normalised; a request is a whole unit, however many paragraphs it has."""
+    return F.transform(F.filter(units, lambda u: u.startswith("[User]\n")), lambda u: T.normalize_text(F.substring(u, 8, 1 << 30)))
 
 
-def low_signal_agent(transcript: Column) -> Column:
+def low_signal_agent(units: Column) -> Column:
     """All requests are greetings, or together they probe for boards or earlier sessions; without requests it is false."""
 
     def judged(r: Column) -> Column:
         said = F.array_join(r, " ")
-        board = said.contains("board") & (said.contains("monitor") | said.contains("post to the board") | said.contains("post on the board"))
-        return (F.size(r) > 0) & (board | said.contains("search previous session") | F.forall(r, lambda x: x.isin(GREETINGS)))
+        board = said.contains(BOARD) & reduce(Column.__or__, [said.contains(p) for p in BOARD_PROBES])
+        return (F.size(r) > 0) & (board | said.contains(SESSION_PROBE) | F.forall(r, lambda x: x.isin(GREETINGS)))
 
-    return F.transform(F.array(requests(transcript)), judged)[0]
+    return F.coalesce(F.transform(F.array(requests(units)), judged)[0], F.lit(False))
 
 
 def low_signal_phone(provider: Column, n_messages: Column, n_owner: Column) -> Column:
@@ -65,7 +66,8 @@ def project(override: Column, label: Column) -> Column:
 def swept(sessions: DataFrame, index: DataFrame, tombstones: DataFrame) -> DataFrame:
     """sessions with their status: deleted, low_signal, business_filtered, same, or new and changed, which are processed.
 
-    sessions: id, provider, source_jsonl, transcript, n_messages, n_owner and the columns of archive.change_status.
+    sessions: id, provider, source_jsonl, units (as agents.session_units gives them, before they are joined to a
+    transcript; null for other sources), n_messages, n_owner and the columns of archive.change_status.
     """
     marks = tombstones.select(F.col("id").alias("_id"), F.coalesce("source_path", F.lit("")).alias("_src"))
     covered = (F.col("id") == F.col("_id")) & ((F.col("_src") == "") | (F.col("_src") == F.col("source_jsonl")))
@@ -73,7 +75,7 @@ def swept(sessions: DataFrame, index: DataFrame, tombstones: DataFrame) -> DataF
     rows = archive.change_status(sessions, index).join(deleted, ["id", "source_jsonl"], "left")
     status = (
         F.when(F.col("_deleted"), "deleted")
-        .when((F.col("provider") == "codex") & low_signal_agent(F.col("transcript")), "low_signal")
+        .when((F.col("provider") == "codex") & low_signal_agent(F.col("units")), "low_signal")
         .when(low_signal_phone(F.col("provider"), F.col("n_messages"), F.col("n_owner")), "business_filtered")
         .otherwise(F.col("change"))
     )

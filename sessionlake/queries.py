@@ -358,6 +358,29 @@ def prefix_resolve(spark: SparkSession, sf: str) -> DataFrame:
     return distill.resolved_prefixes(cands, ids)
 
 
+@query("""WITH i AS (SELECT DISTINCT 'rollout-' || CAST(doc_id AS VARCHAR) AS id FROM documents), c AS (SELECT 'rollout-' || left(CAST(doc_id AS VARCHAR), CAST(1 + doc_id % 4 AS BIGINT)) AS candidate FROM documents UNION SELECT left('rollout-', CAST(doc_id % 9 AS BIGINT)) FROM documents),
+n AS (SELECT candidate, count(*) AS n, min(id) AS id, bool_or(id = candidate) AS own FROM c JOIN i ON id = candidate OR (length(candidate) >= 8 AND starts_with(id, candidate)) GROUP BY 1)
+SELECT candidate, CASE WHEN own THEN candidate ELSE id END AS id FROM n WHERE own OR n = 1""")
+def prefix_resolve_common_start(spark: SparkSession, sf: str) -> DataFrame:
+    """All ids start with the same eight characters, as a coding agent's do: many are starts of others, few are unique."""
+    d = table(spark, sf, "documents")
+    n = F.col("doc_id").cast("string")
+    cands = d.select(F.concat(F.lit("rollout-"), F.left(n, (1 + F.col("doc_id") % 4).cast("int"))).alias("candidate"))
+    short = d.select(F.left(F.lit("rollout-"), (F.col("doc_id") % 9).cast("int")).alias("candidate"))
+    return distill.resolved_prefixes(cands.union(short), d.select(F.concat(F.lit("rollout-"), n).alias("id")))
+
+
+@query("""WITH h AS (SELECT event_id, ts, CASE WHEN event_id % 2 = 0 THEN 0 ELSE user_id + 1 END AS k FROM events),
+a AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 20 MINUTE THEN 1 ELSE 0 END AS f FROM h WINDOW w AS (PARTITION BY k ORDER BY ts, event_id)),
+b AS (SELECT *, CAST(sum(f) OVER (PARTITION BY k ORDER BY ts, event_id) AS BIGINT) AS island FROM a),
+c AS (SELECT *, row_number() OVER (PARTITION BY k, island ORDER BY ts, event_id) - 1 AS p FROM b)
+SELECT event_id, island, p // 7 AS chunk, p % 7 AS place FROM c""")
+def gap_windows_hot_key(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of all rows have one key, which is cut into blocks of time."""
+    e = table(spark, sf, "events").withColumn("k", F.when(F.col("event_id") % 2 == 0, 0).otherwise(F.col("user_id") + 1))
+    return sessions.gap_windows(e, "k", "ts", "event_id", "20 minutes", 7, block_rows=1000).select("event_id", "island", "chunk", "place")
+
+
 @query("SELECT event_id FROM events WHERE strftime(ts, '%Y-%m-%dT%H:%M:%S') > '2024-01-15T12'")
 def watermark_incremental(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("session_timestamp"), F.date_format("ts", "yyyy-MM-dd").alias("date"))
@@ -398,4 +421,4 @@ def fnv1a(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.fnv1a_hex(F.col("text")).alias("hash"))
 
 
-from sessionlake import queries_backup, queries_phone, queries_sources, queries_units  # noqa: E402, F401
+from sessionlake import queries_backup, queries_phone, queries_sources, queries_sweep, queries_units  # noqa: E402, F401

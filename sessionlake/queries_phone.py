@@ -17,11 +17,14 @@ EPOCH_2001 = 978_307_200
 
 
 def event_messages(spark: SparkSession, sf: str) -> DataFrame:
-    """events as messages: a user is a conversation, every third event is the owner's, views have no text."""
+    """events as messages: a user is a conversation, every third event is the owner's, views have no text, every seventh has a picture."""
     e = table(spark, sf, "events")
     me = F.col("event_id") % 3 == 0
     text = F.when(F.col("event_type") != "view", F.concat("event_type", F.lit(" "), F.col("event_id").cast("string")))
-    return e.select(F.col("user_id").alias("chat_id"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("guid"), F.col("ts").cast("timestamp").alias("ts"), text.alias("text"), me.alias("from_me"), F.when(~me & (F.col("event_id") % 3 == 1), F.concat(F.lit("p"), (F.col("event_id") % 5).cast("string"))).alias("sender"))
+    name = F.when(F.col("event_id") % 14 == 0, F.concat(F.col("event_id").cast("string"), F.lit(".jpg")))
+    file = F.struct(name.alias("transfer_name"), F.when(F.col("event_id") % 3 != 0, F.lit("image/jpeg")).alias("mime_type"), (F.col("event_id") * 12_345).cast("long").alias("total_bytes"))
+    files = F.when(F.col("event_id") % 7 == 0, F.array(file)).otherwise(F.array().cast("array<struct<transfer_name:string,mime_type:string,total_bytes:bigint>>"))
+    return e.select(F.col("user_id").alias("chat_id"), F.concat(F.lit("g:"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("guid"), F.col("ts").cast("timestamp").alias("ts"), text.alias("text"), files.alias("attachments"), me.alias("from_me"), F.when(~me & (F.col("event_id") % 3 == 1), F.concat(F.lit("p"), (F.col("event_id") % 5).cast("string"))).alias("sender"))
 
 
 def conversations_of(spark: SparkSession, sf: str) -> DataFrame:
@@ -32,8 +35,10 @@ def conversations_of(spark: SparkSession, sf: str) -> DataFrame:
     return ids.select("chat_id", F.concat(F.lit("chat "), u.cast("string")).alias("title"), only.alias("members"), F.when(u % 4 == 0, F.lit(" Acme ")).alias("organization"))
 
 
-MESSAGES = """m AS (SELECT user_id AS chat_id, lpad(CAST(event_id AS VARCHAR), 12, '0') AS guid, ts, CASE WHEN event_type <> 'view' THEN event_type || ' ' || event_id ELSE '' END AS text, event_id % 3 = 0 AS from_me,
-  CASE WHEN event_id % 3 = 0 THEN 'Me' WHEN event_id % 3 = 1 THEN 'p' || (event_id % 5) WHEN user_id % 2 = 0 THEN 'm' || user_id ELSE 'Unknown' END AS speaker FROM events),
+MESSAGES = """f AS (SELECT *, CASE WHEN event_id % 7 = 0 THEN '[attachment: ' || CASE WHEN event_id % 14 = 0 THEN event_id || '.jpg' ELSE 'unnamed' END || ' · ' || CASE WHEN event_id % 3 <> 0 THEN 'image/jpeg' ELSE 'unknown' END || ' · '
+  || CASE WHEN event_id * 12345 < 1000 THEN event_id * 12345 || ' B' WHEN event_id * 12345 < 1000000 THEN CAST(round(event_id * 12.345) AS BIGINT) || ' KB' ELSE printf('%.1f MB', event_id * 12345 / 1000000) END || ']' END AS file FROM events),
+m AS (SELECT user_id AS chat_id, 'g:' || lpad(CAST(event_id AS VARCHAR), 12, '0') AS guid, ts, concat_ws(chr(10), CASE WHEN event_type <> 'view' THEN event_type || ' ' || event_id END, file) AS text, event_id % 3 = 0 AS from_me,
+  CASE WHEN event_id % 3 = 0 THEN 'Me' WHEN event_id % 3 = 1 THEN 'p' || (event_id % 5) WHEN user_id % 2 = 0 THEN 'm' || user_id ELSE 'Unknown' END AS speaker FROM f),
 a AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 48 HOUR THEN 1 ELSE 0 END AS f FROM m WINDOW w AS (PARTITION BY chat_id ORDER BY ts, guid)),
 b AS (SELECT *, CAST(sum(f) OVER (PARTITION BY chat_id ORDER BY ts, guid) AS BIGINT) AS island FROM a),
 c AS (SELECT *, (row_number() OVER (PARTITION BY chat_id, island ORDER BY ts, guid) - 1) // 6 AS chunk FROM b)"""
@@ -46,18 +51,18 @@ def event_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {MESSAGES}, t AS (SELECT *, text <> '' AS filled FROM c),
-g AS (SELECT chat_id, island, chunk, min(ts) AS created_at, max(ts) AS updated_at, count(*) FILTER (filled) AS n_messages, count(*) FILTER (filled AND from_me) AS n_owner,
- md5(string_agg(CASE WHEN from_me THEN '[Assistant]' ELSE '[User]' END || chr(10) || text, chr(10) || chr(10) ORDER BY ts, guid) FILTER (filled)) AS transcript_md5 FROM t GROUP BY ALL)
-SELECT 'phone-' || chat_id || '-' || island || '-' || chunk AS id, 'chat ' || chat_id AS title, CASE WHEN chat_id % 4 = 0 THEN 'Acme' END AS project, n_messages, n_owner, transcript_md5,
+g AS (SELECT chat_id, arg_min(guid, {{'t': ts, 'g': guid}}) AS guid, min(ts) AS created_at, max(ts) AS updated_at, count(*) FILTER (filled) AS n_messages, count(*) FILTER (filled AND from_me) AS n_owner,
+ md5(string_agg(CASE WHEN from_me THEN '[Assistant]' ELSE '[User]' END || chr(10) || text, chr(10) || chr(10) ORDER BY ts, guid) FILTER (filled)) AS transcript_md5 FROM t GROUP BY chat_id, island, chunk)
+SELECT 'apple_messages-' || replace(guid, ':', '_') AS id, 'chat ' || chat_id AS title, CASE WHEN chat_id % 4 = 0 THEN 'Acme' END AS project, n_messages, n_owner, transcript_md5,
  strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS updated_at FROM g WHERE n_messages > 0""")
 def phone_sessions(spark: SparkSession, sf: str) -> DataFrame:
     """Messages to windows, windows to conversations, and each window to a session."""
-    s = messages.phone_sessions(event_windows(spark, sf), "phone")
+    s = messages.phone_sessions(event_windows(spark, sf), "apple_messages")
     at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return s.select("id", "title", "project", "n_messages", "n_owner", F.md5("transcript").alias("transcript_md5"), at("created_at"), at("updated_at"))
 
 
-@query(f"""WITH {MESSAGES}, g AS (SELECT chat_id, island || '-' || chunk AS "window", count(*) AS n, min(ts) AS lo, max(ts) AS hi, array_to_string(list_sort(list_distinct(list(speaker))), ', ') AS people,
+@query(f"""WITH {MESSAGES}, g AS (SELECT chat_id, island || '-' || chunk AS "window", count(*) AS n, min(ts) AS lo, max(ts) AS hi, list_sort(list_distinct(list(speaker))) AS who, array_to_string(who[1:4], ', ') || CASE WHEN len(who) > 4 THEN ', +' || (len(who) - 4) ELSE '' END AS people,
  string_agg('[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] ' || speaker || CASE WHEN text <> '' THEN chr(10) || text ELSE '' END, chr(10) || chr(10) ORDER BY ts, guid) AS blocks FROM c GROUP BY ALL)
 SELECT chat_id, "window", md5('# Messages - chat ' || chat_id || CASE WHEN chat_id % 4 = 0 THEN ' - Acme' ELSE '' END || chr(10) || '# chat: ' || chat_id || ' / service: iMessage / participants: ' || people || chr(10)
  || '# window: ' || strftime(lo, '%Y-%m-%d') || ' to ' || strftime(hi, '%Y-%m-%d') || ' / ' || n || ' messages / backup: b1' || chr(10) || chr(10) || blocks) AS content_md5 FROM g""")
@@ -154,12 +159,17 @@ r AS (SELECT doc_id, CASE WHEN m = 0 THEN 'deleted' WHEN m = 2 THEN 'low_signal'
 
 
 def sweep_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Twelfths of the documents: deleted, greeting, short or unanswered, unknown, changed and the rest as they are."""
+    """Twelfths of the documents: deleted, greeting, short or unanswered, unknown, changed and the rest as they are.
+
+    A request is a whole unit: a greeting and then, in another paragraph, a document's text is no greeting.
+    """
     d = table(spark, sf, "documents")
     m = F.col("doc_id") % 12
+    greeting = F.array(*[F.lit(u) for u in ("[User]\nHello!", "[Assistant]\nyes\n\n[User]\nfix it", "[User]\nAre you there?")])
+    units = F.when(m == 2, greeting).otherwise(F.array(F.concat(F.lit("[User]\nhello\n\n"), F.coalesce("text", F.lit("")), F.lit("\n\nfix the parser")), F.lit("[Assistant]\nsearch previous session")))
     staged = d.select(
         F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("id"), "doc_id", F.when(F.col("doc_id") % 2 == 0, "codex").otherwise("viber").alias("provider"), F.lit("/f").alias("source_jsonl"),
-        F.when(m == 2, "[User]\nHello!\n\n[Assistant]\nyes\n\n[User]\nAre you there?").otherwise("[User]\nfix the parser\n\n[Assistant]\ndone").alias("transcript"), F.when(m == 1, 2).otherwise(9).alias("n_messages"), F.when(m == 3, 0).otherwise(4).alias("n_owner"),
+        units.alias("units"), F.when(m == 1, 2).otherwise(9).alias("n_messages"), F.when(m == 3, 0).otherwise(4).alias("n_owner"),
         F.md5("text").alias("transcript_hash"), F.lit("").alias("updated_at"), F.lit(1).cast("long").alias("source_size_bytes"),
     )
     index = staged.filter(~F.col("doc_id").isin(-1) & ~(F.col("doc_id") % 12).isin(4, 5)).withColumn("transcript_hash", F.when((F.col("doc_id") % 12).isin(6, 7), "old").otherwise(F.col("transcript_hash")))

@@ -159,10 +159,15 @@ def forge_units(rows: DataFrame) -> DataFrame:
     return rows.filter(role.isin("user", "assistant")).select("path", "line_no", F.posexplode(parts).alias("item_no", "unit"))
 
 
-def rendered(units: DataFrame) -> DataFrame:
-    """(path, transcript): a file's units in order, the unit of storage of one session."""
+def session_units(units: DataFrame) -> DataFrame:
+    """(path, units): a file's units in order, the unit of storage of one session."""
     m = F.sort_array(F.collect_list(F.struct("line_no", "item_no", "unit")))
-    return units.groupBy("path").agg(m.alias("m")).select("path", F.array_join(F.transform("m", lambda x: x["unit"]), "\n").alias("transcript"))
+    return units.groupBy("path").agg(m.alias("m")).select("path", F.transform("m", lambda x: x["unit"]).alias("units"))
+
+
+def rendered(units: DataFrame) -> DataFrame:
+    """(path, transcript): a file's units in order, joined by line ends."""
+    return session_units(units).select("path", F.array_join("units", "\n").alias("transcript"))
 
 
 def labels(rows: DataFrame) -> DataFrame:
