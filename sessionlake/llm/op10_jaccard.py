@@ -13,9 +13,12 @@ required overlap decides each link without another look at the sets.
    cut into shards of bounded size, each with one set of the home that the others of a near-copy group link to. Every
    shard searches its own sets, which joins most near copies into classes.
 3. What may be left are links between classes of different shards. Two linked sets share one of their n - T + 1
-   shortest lists, at places that leave enough shingles after them. Such lists are found by grouped minima and maxima,
-   and each set of a smaller class is searched in the other homes that its lists name, and in its own home if that is cut
-   into several shards. No link is lost: this step covers all pairs of different classes.
+   shortest lists, at places that leave enough shingles after them. If that is a short list, it is the key by which they
+   meet. If it is a long one, all they share is in long lists, as the paragraphs of a template are, and one shared
+   paragraph says little: shingles that the same sets have become one weighted token, and the key is a combination of as
+   many tokens as two linked sets surely share. Keys with several classes are found by grouped minima and maxima, and
+   each set of a smaller class is searched in the other shards that its keys name, once in each. No link is lost: this
+   step covers all pairs of different classes, those in different shards of one home included.
 
 Equal sets are one node throughout, so a group of copies costs one row each and no pairs. Classes are connected
 components of the links.
@@ -28,7 +31,10 @@ empty table gives an empty result; texts of any length are read whole.
 
 from __future__ import annotations
 
+import bisect
 import functools
+import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -45,20 +51,22 @@ from sessionlake.session import ensure_checkpoint_dir, settled, shards
 WORDS, PERCENT = 5, 75
 #: Shingles in more documents than LONG count as long lists; the most frequent LONG_LISTS of them are ranked by length.
 #: The ranking only orders lists: any value gives the same links.
-LONG, LONG_LISTS = 32, 200_000
+LONG, LONG_LISTS = 8, 200_000
 #: Min-hashes of a set, of which the most shared one is its home. Any number gives the same links.
 HOMES = 8
 #: A shard holds sets of about so many shingles together.
 SHARD_SHINGLES = 1 << 18
 #: DivideSkip's weight of a probe against a merged entry.
 MU = 0.01
+#: Keys of combinations of so many tokens are made as long as there are no more of them. Any number gives the same links.
+MAX_KEYS = 40
 #: Bytes of text for each bucket of the first exchange.
 BUCKET_BYTES = 5_000_000
 #: Bytes of a shingle's hash that are sent to count its documents. A chance meeting there only keeps a document in the
 #: search that could have been left out; six bytes suit corpora of over 10**11 shingles.
 PRINT_BYTES = 5
-NOBODY = 0xFFFF
-SLICE_ROWS = 60_000
+#: Documents of a slice; owners from here on stand for so many documents of a slice less this number, at most 5 535.
+SLICE_ROWS = SEVERAL = 60_000
 KEY = ["_id", "_no_id", "_hash"]
 
 
@@ -117,7 +125,7 @@ def pack(batches: Iterator[pa.RecordBatch], words: int, buckets: int) -> Iterato
                 doc = np.repeat(np.arange(len(n)), n)
                 keep = own[doc]
                 first, index, counts = np.unique(shingles[keep], return_index=True, return_counts=True)
-                owner = np.where(counts == 1, doc[keep][index], NOBODY).astype(np.uint16)
+                owner = np.where(counts == 1, doc[keep][index], np.minimum(SEVERAL + counts, 0xFFFF)).astype(np.uint16)
                 bucket = (first >> hs.U(32)) % hs.U(buckets)
                 order = np.lexsort((owner, bucket))
                 cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -160,13 +168,14 @@ def count_unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     starts = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
     counts = np.diff(np.concatenate([starts, [len(prints)]]))
     alone = order[starts[counts == 1]]
-    alone = alone[owner[alone] != NOBODY]
+    alone = alone[owner[alone] < SEVERAL]
+    counts = np.add.reduceat(np.where(owner < SEVERAL, 1, owner.astype(np.int64) - SEVERAL)[order], starts)  # of documents
     place = source[alone].astype(np.int64) << 16 | owner[alone]
     place, n = np.unique(place, return_counts=True)
     cut = np.searchsorted(place >> 16, np.arange(len(slices) + 1))
     full = [k for k in range(len(slices)) if cut[k] < cut[k + 1]]
     if full:
-        packed = [[(place[cut[k] : cut[k + 1]] & NOBODY).astype(np.uint16).tobytes(), n[cut[k] : cut[k + 1]].astype(np.uint32).tobytes()] for k in full]
+        packed = [[(place[cut[k] : cut[k + 1]] & 0xFFFF).astype(np.uint16).tobytes(), n[cut[k] : cut[k + 1]].astype(np.uint32).tobytes()] for k in full]
         yield rows(PACKED, [[0] * len(full), [slices[k] for k in full], [OWNED] * len(full), [p[0] for p in packed], [p[1] for p in packed]])
     long = np.flatnonzero(counts > LONG)
     if len(long):
@@ -201,8 +210,8 @@ def heaviest(packed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return prints[order], np.asarray(top["docs"].combine_chunks())[order]
 
 
-SETS = [("node", pa.int64()), ("n", pa.int64()), ("shingles", pa.list_(pa.int64())), ("homes", pa.list_(pa.int64()))]
-SETS_SQL = "node long, n long, shingles array<long>, homes array<long>"
+SETS = [("node", pa.int64()), ("n", pa.int64()), ("n_short", pa.int64()), ("shingles", pa.list_(pa.int64())), ("homes", pa.list_(pa.int64()))]
+SETS_SQL = "node long, n long, n_short long, shingles array<long>, homes array<long>"
 
 
 def make_sets(batches: Iterator[pa.RecordBatch], words: int, long: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +232,7 @@ def make_sets(batches: Iterator[pa.RecordBatch], words: int, long: tuple[np.ndar
             for k in np.flatnonzero(keys == nodes[row : row + len(keys)]):
                 own = shingles[at[k] : at[k + 1]]
                 homes = [hs.mix(own ^ seed).min() for seed in seeds]
-                out.append((keys[k], len(own), own[np.lexsort((own, length[at[k] : at[k + 1]]))].view(np.int64), np.array(homes, hs.U).view(np.int64)))
+                out.append((keys[k], len(own), int((length[at[k] : at[k + 1]] == 0).sum()), own[np.lexsort((own, length[at[k] : at[k + 1]]))].view(np.int64), np.array(homes, hs.U).view(np.int64)))
             if out:
                 yield rows(SETS, list(zip(*out, strict=True)))
 
@@ -312,7 +321,7 @@ class Shard:
 
 
 def search_shards(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """(src, dst) in different classes; rows come by home, shard and whether they are a query."""
+    """(src, dst) in different classes; rows come by shard and whether they are a query."""
     shard, key = None, None
 
     def done() -> Iterator[pa.RecordBatch]:
@@ -320,67 +329,123 @@ def search_shards(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
             yield rows([("src", pa.int64()), ("dst", pa.int64())], list(zip(*found, strict=True)))
 
     for batch in batches:
-        home, part, query, node, component = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:5])
-        lists = batch.column(5)
+        where, query, node, component = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:4])
+        lists = batch.column(4)
         at = np.asarray(lists.offsets).astype(np.int64)
         shingles, at = lists.values.to_numpy()[at[0] : at[-1]], at - at[0]
-        change = np.flatnonzero((home[1:] != home[:-1]) | (part[1:] != part[:-1]) | (query[1:] != query[:-1])) + 1
-        cuts = [0, *change.tolist(), len(home)]
+        change = np.flatnonzero((where[1:] != where[:-1]) | (query[1:] != query[:-1])) + 1
+        cuts = [0, *change.tolist(), len(where)]
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            if key != (home[lo], part[lo]):
+            if key != where[lo]:
                 yield from done()
-                shard, key = Shard(percent), (home[lo], part[lo])
+                shard, key = Shard(percent), where[lo]
             (shard.ask if query[lo] else shard.add)(node[lo:hi], component[lo:hi].copy(), np.diff(at[lo : hi + 1]), shingles[at[lo] : at[hi]])
     yield from done()
 
 
 def searched(sets: DataFrame, dealt: DataFrame, percent: int) -> DataFrame:
-    """Links (src, dst) that the shards find; dealt: (home, part, query, node, component)."""
-    rows_in = dealt.join(sets.select("node", "shingles"), "node").select("home", "part", "query", "node", "component", "shingles")
-    ordered = rows_in.repartition("home", "part").sortWithinPartitions("home", "part", "query", "node")
+    """Links (src, dst) that the shards find; dealt: (shard, query, node, component)."""
+    rows_in = dealt.join(sets.select("node", "shingles"), "node").select("shard", "query", "node", "component", "shingles")
+    ordered = rows_in.repartition("shard").sortWithinPartitions("shard", "query", "node")
     return ordered.mapInArrow(functools.partial(search_shards, percent=percent), "src long, dst long")
 
 
-def settle_homes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, n, home) and (home, parts, first) of the homes with several sets: how many shards, and a set for all of them."""
+def settle_shards(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, n, shard) of every set, and (shard, node) of shards of several: a home is cut by size, and its first set is in all of its shards."""
     each = sets.select("node", "n", F.explode("homes").alias("home"))
     popular = each.groupBy("home").agg(F.count("*").alias("sets"))
     home = settled(each.join(popular, "home").groupBy("node", "n").agg(F.max(F.struct("sets", "home"))["home"].alias("home")))
-    shared = home.groupBy("home").agg(F.sum("n").alias("size"), F.count("*").alias("sets"), F.min("node").alias("first")).filter("sets > 1")
-    return home, settled(shared.select("home", F.ceil(F.col("size") / SHARD_SHINGLES).cast("int").alias("parts"), "first"))
-
+    sizes = home.groupBy("home").agg(F.sum("n").alias("size"), F.count("*").alias("sets"), F.min("node").alias("first"))
+    sizes = sizes.select("home", "sets", "first", F.ceil(F.col("size") / SHARD_SHINGLES).cast("int").alias("parts"))
+    shard = lambda part: F.xxhash64("home", part)
+    placed = settled(home.join(sizes, "home").select("node", "n", shard(F.pmod(F.xxhash64("node"), "parts").cast("int")).alias("shard"), "home", "sets", "parts", "first"))
+    shared = placed.filter("sets > 1")
+    firsts = shared.filter("node = first AND parts > 1").select(F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), shard)).alias("shard"), "node")
+    return placed.select("node", "n", "shard"), shared.select("shard", "node").unionByName(firsts).distinct()
+
+
+def token_keys(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(node, key, asks): keys of combinations of tokens, of one token up to as many as leave at most MAX_KEYS keys.
+
+    Rows in: node, n, and its tokens (size of the list, name, weight) in the order that all sets have. Of a linked set of
+    another class the first k common tokens are among the shortest prefix whose rest, together with the k - 1 heaviest
+    tokens of the prefix, weighs less than the required overlap. A set asks with its longest combinations only, and is
+    found by shorter ones where the other set has none as long.
+    """
+    for batch in batches:
+        nodes, sizes, tokens = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        out_node, out_key, out_asks = [], [], []
+        for node, n, own in zip(nodes, sizes, tokens, strict=True):
+            least = int(needed(np.int64(n), percent))
+            names, weight = [t["token"] for t in own], [t["weight"] for t in own]
+            left, end, ranked = sum(weight), 0, []
+            levels: list[list[tuple[int, ...]]] = []
+            while left >= least or levels:
+                k = len(levels) + 1
+                heavy = lambda: sum(ranked[max(0, end - k + 1) :]) if k > 1 else 0  # noqa: B023, E731
+                while end < len(own) and left + heavy() >= least and (k == 1 or math.comb(end, k) <= MAX_KEYS):
+                    left -= weight[end]
+                    bisect.insort(ranked, weight[end])
+                    end += 1
+                if left + heavy() >= least or k > 1 and math.comb(end, k) > MAX_KEYS:
+                    break
+                levels.append(list(itertools.combinations(range(end), k)))
+            for k, level in enumerate(levels, 1):
+                for chosen in level:
+                    digest = hashlib.blake2b(b"".join(int(names[i]).to_bytes(8, "little", signed=True) for i in chosen), digest_size=8)
+                    out_node.append(node)
+                    out_key.append(int.from_bytes(digest.digest(), "little", signed=True))
+                    out_asks.append(k == len(levels))
+        yield rows([("node", pa.int64()), ("key", pa.int64()), ("asks", pa.bool_())], [out_node, out_key, out_asks])
+
+
+def short_keys(sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(key, node, n, cap, shard, class, asks): the shingles of short lists among a set's n - T + 1 shortest; cap: what a partner's size can be."""
+    T = F.ceil(F.col("n") * percent / 100)
+    prefix = F.least((F.col("n") - T + 1).cast("int"), F.col("n_short").cast("int"))
+    posted = known.join(sets.select("node", "n_short", "shingles"), "node").select("node", "n", "shard", "class", F.posexplode(F.slice("shingles", F.lit(1), prefix)).alias("i", "key"))
+    # a partner of m shingles needs (n - i) * (100 + percent) >= percent * (n + m), as i shingles before are not shared
+    return posted.select("key", "node", "n", (F.floor((F.col("n") - F.col("i")) * (100 + percent) / percent) - F.col("n")).alias("cap"), "shard", "class", F.lit(True).alias("asks"))
 
-def own_shards(home: DataFrame, shared: DataFrame) -> DataFrame:
-    """(home, part, node) of the sets in shared homes; the first set of a home is in all of its parts."""
-    one = F.array(F.pmod(F.xxhash64("node"), "parts").cast("int"))
-    parts = F.when(F.col("node") == F.col("first"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(one)
-    return home.join(shared, "home").select("home", F.explode(parts).alias("part"), "node")
 
+def long_keys(sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(key, node, n, cap, shard, class, asks) for sets whose common shingles with others may all be in long lists.
 
-def distant(sets: DataFrame, home: DataFrame, shared: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """Which sets have to be searched in which homes besides: (home, part, query, node, component), with the homes' own sets."""
-    sizes = label.groupBy("component").agg(F.count("*").alias("members"))
-    known = label.join(sizes, "component").join(home, "node").join(shared.select("home", "parts"), "home", "left")
-    known = settled(known.select("node", "n", "home", F.coalesce("parts", F.lit(1)).alias("parts"), F.struct("members", "component").alias("class")))
+    Shingles that the same sets have, as those of a paragraph that many texts hold, are one token. Lists of one class are
+    left out, as no set of another class has them.
+    """
     T = F.ceil(F.col("n") * percent / 100)
-    posted = known.join(sets.select("node", "shingles"), "node").select("node", "n", "home", "parts", "class", F.posexplode(F.slice("shingles", F.lit(1), (F.col("n") - T + 1).cast("int"))).alias("i", "shingle"))
-    # a partner of m shingles needs (n - i) * (100 + percent) >= percent * (n + m), as i shingles before are not shared
-    posted = posted.withColumn("cap", F.floor((F.col("n") - F.col("i")) * (100 + percent) / percent) - F.col("n"))
-    lists = posted.groupBy("shingle").agg(F.min("class").alias("a"), F.max("class").alias("z"), F.min("home").alias("b"), F.max("home").alias("y"), F.min("n").alias("least"), F.max("cap").alias("most"))
-    mixed = lists.filter("a <> z AND b <> y").select("shingle", F.col("z").alias("top"), "least", "most")
-    fits = posted.join(mixed, "shingle").filter("cap >= least AND n <= most")
-    homes = fits.groupBy("shingle", "home", "parts").agg(F.max("class").alias("highest"), F.min("n").alias("smallest"), F.max("cap").alias("widest"))
-    homes = homes.withColumnRenamed("home", "to").withColumnRenamed("parts", "to_parts")
-    asking = fits.filter("class < top").select("shingle", "node", "n", "cap", "home", "class").join(homes, "shingle")
-    asking = asking.filter("class < highest AND cap >= smallest AND n <= widest AND to <> home")
-    far = asking.select("node", F.col("class.component").alias("component"), F.col("to").alias("home"), F.col("to_parts").alias("parts")).distinct()
-    split = known.filter("parts > 1")
-    near = split.join(split.groupBy("home").agg(F.max("class").alias("highest")), "home").filter("class < highest")
-    routes = settled(far.union(near.select("node", F.col("class.component").alias("component"), "home", "parts")))
-    queries = routes.select("home", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("query"), "node", "component")
-    wanted = known.join(routes.select("home").distinct(), "home", "left_semi")
-    index = wanted.select("home", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.lit(False).alias("query"), "node", F.col("class.component").alias("component"))
-    return index.union(queries)
+    able = known.join(sets.select("node", "n_short", "shingles"), "node").filter(F.col("n") - F.col("n_short") >= T)
+    # the first shingle that two linked sets share is among the first n - T + 1 of both
+    first = able.select("node", "class", F.explode(F.slice("shingles", F.col("n_short").cast("int") + 1, (F.col("n") - T + 1 - F.col("n_short")).cast("int"))).alias("shingle"))
+    meeting = first.groupBy("shingle").agg(F.min("class").alias("a"), F.max("class").alias("z")).filter("a <> z")
+    able = able.join(settled(first.join(meeting, "shingle").select("node").distinct()), "node", "left_semi")
+    posted = able.select("node", "class", F.explode(F.slice("shingles", F.col("n_short").cast("int") + 1, F.col("n").cast("int"))).alias("shingle"))
+    name = F.struct(F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum"))
+    lists = posted.groupBy("shingle").agg(F.min("class").alias("a"), F.max("class").alias("z"), name["size"].alias("size"), name["sum"].alias("sum")).filter("a <> z")
+    lists = lists.select("shingle", "size", F.xxhash64("size", "sum").alias("token"))
+    tokens = posted.select("node", "shingle").join(lists, "shingle").groupBy("node", "size", "token").agg(F.count("*").alias("weight"))
+    grouped = tokens.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("size", "token", "weight"))).alias("tokens"))
+    keys = known.select("node", "n").join(grouped, "node").mapInArrow(functools.partial(token_keys, percent=percent), "node long, key long, asks boolean")
+    return keys.join(known, "node").select("key", "node", "n", F.floor(F.col("n") * 100 / percent).alias("cap"), "shard", "class", "asks")
+
+
+def distant(sets: DataFrame, shard: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Which sets have to be searched in which shards besides: (shard, query, node, component), with the shards' own sets."""
+    sizes = label.groupBy("component").agg(F.count("*").alias("members"))
+    known = settled(label.join(sizes, "component").join(shard, "node").select("node", "n", "shard", F.struct("members", "component").alias("class")))
+    posted = short_keys(sets, known, percent).unionByName(long_keys(sets, known, percent))
+    lists = posted.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("z"), F.min("shard").alias("b"), F.max("shard").alias("y"), F.min("n").alias("least"), F.max("cap").alias("most"))
+    mixed = lists.filter("a <> z AND b <> y").select("key", "least", "most")
+    fits = settled(posted.join(mixed, "key").filter("cap >= least AND n <= most").drop("least", "most"))
+    # of each shard, what another set needs to know to ask there; sets that don't ask by a key are asked by those that do
+    there = fits.groupBy("key", F.col("shard").alias("to")).agg(F.max("class").alias("high"), F.max(F.when(~F.col("asks"), F.col("class"))).alias("silent"), F.min("class").alias("low"), F.min("n").alias("smallest"), F.max("cap").alias("widest"))
+    asking = fits.filter("asks").join(there, "key").filter("to <> shard AND cap >= smallest AND n <= widest")
+    asking = asking.filter("class < high OR (silent IS NOT NULL AND (low <> class OR high <> class))")
+    queries = asking.select(F.col("to").alias("shard"), "node", F.col("class.component").alias("component")).distinct()
+    queries = settled(queries.select("shard", F.lit(True).alias("query"), "node", "component"))
+    index = known.join(queries.select("shard").distinct(), "shard", "left_semi").select("shard", F.lit(False).alias("query"), "node", F.col("class.component").alias("component"))
+    return index.unionByName(queries)
 
 
 def joined(label: DataFrame, new: DataFrame) -> DataFrame:
@@ -414,10 +479,10 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     chosen = texts.join(hopeful.select("node", "d.*"), ["doc_id", "no_id", "text_hash"]).select("text", "node")
     sets = settled(chosen.mapInArrow(functools.partial(make_sets, words=words, long=heaviest(counted)), SETS_SQL).dropDuplicates(["node"]))
     label = sets.select("node", F.col("node").alias("component"))
-    home, shared = settle_homes(sets)
-    near = own_shards(home, shared).select("home", "part", F.lit(False).alias("query"), "node", F.col("node").alias("component"))
+    shard, shared = settle_shards(sets)
+    near = shared.select("shard", F.lit(False).alias("query"), "node", F.col("node").alias("component"))
     label = joined(label, settled(searched(sets, near, percent)))
-    label = joined(label, settled(searched(sets, distant(sets, home, shared, label, percent), percent)))
+    label = joined(label, settled(searched(sets, distant(sets, shard, label, percent), percent)))
     smallest = table.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     linked = label.join(smallest, "node").groupBy("component").agg(F.min("first").alias("least"))
     least = smallest.join(label, "node", "left").join(linked, "component", "left").select("node", "component", F.coalesce("least", "first").alias("component_id"))
