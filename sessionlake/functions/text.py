@@ -45,8 +45,13 @@ def normalize_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(ascii_lower(c), "[^a-z0-9]+", " "))
 
 
+#: The characters that Unicode calls white space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def nonblank_lines(c: Column) -> Column:
-    return F.array_join(F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
+    """Lines without the white space around them; empty ones go."""
+    return F.array_join(F.filter(F.transform(F.split(c, "\n"), lambda x: F.btrim(x, F.lit(WHITE_SPACE))), lambda x: x != ""), "\n")
 
 
 def truncate_chars(c: Column, n: int, mark: str = "...[truncated]") -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sessionlake.functions import phones
 from sessionlake.queries import query
 from sessionlake.session import table
-from sessionlake.sources import agents, exports
+from sessionlake.sources import agents, exports, nested
 
 TURNS = "SELECT CAST(conv_id AS VARCHAR) AS session_id, turn, role, md5({}) AS text_md5 FROM conversations WHERE {} <> ''"
 LINES = "array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10))"
@@ -35,6 +35,41 @@ def read_chatgpt_export(spark: SparkSession, sf: str) -> DataFrame:
     return digest(exports.chatgpt(docs))
 
 
+@query("""WITH t AS (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS most FROM conversations)
+SELECT 'x' || conv_id AS session_id, CAST(turn AS BIGINT) AS turn, role, md5(text) AS text_md5 FROM (SELECT conv_id, turn, most, role, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS text FROM t)
+WHERE text <> '' AND (conv_id % 4 <> 1 OR turn = 0)""")
+def export_threads(spark: SparkSession, sf: str) -> DataFrame:
+    """Fourths of the conversations: whole, without a current node, with an unknown parent, and a loop from first to last."""
+    c = table(spark, sf, "conversations")
+    last = c.groupBy("conv_id").agg(F.max("turn").alias("most"))
+    name = lambda n: F.lpad(n.cast("string"), 6, "0")
+    k = F.col("conv_id") % 4
+    parent = F.when(F.col("turn") > 0, name(F.col("turn") - 1)).when(k == 2, "gone").when(k == 3, name(F.col("most")))
+    message = F.struct(F.struct("role").alias("author"), F.struct(F.lit("text").alias("content_type"), F.array("text").alias("parts")).alias("content"))
+    node = F.concat(F.lit('"'), name(F.col("turn")), F.lit('":{"parent":'), F.coalesce(F.concat(F.lit('"'), parent, F.lit('"')), F.lit("null")), F.lit(',"message":'), F.to_json(message), F.lit("}"))
+    convs = by_conversation(c.join(last, "conv_id").withColumn("n", node), F.array_join(F.sort_array(F.collect_list("n"), False), ",").alias("m"), F.max("most").alias("most"))
+    current = F.when(F.col("conv_id") % 4 == 1, F.lit("nowhere")).otherwise(name(F.col("most")))
+    docs = convs.select(F.concat(F.lit('[{"id":"x'), F.col("conv_id").cast("string"), F.lit('","current_node":"'), current, F.lit('","mapping":{'), "m", F.lit("}}]")).alias("json"))
+    return digest(exports.chatgpt(docs))
+
+
+@query("""SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(concat_ws(chr(10), 'first', 't' || doc_id, 'r' || doc_id, 'deep' || doc_id, text, 'x' || doc_id, 'last'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10))) AS text_md5 FROM documents""")
+def nested_content(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts at four levels of arrays and objects, between pictures, numbers and fields that are no text."""
+    i = F.col("doc_id").cast("string")
+    tag = lambda t: F.concat(F.lit(t), i)
+    deepest = F.struct(F.array(F.struct(tag("deep").alias("body"), F.array(F.col("text")).alias("items"))).alias("items"))
+    level2 = F.struct(tag("r").alias("result"), F.array(F.array(deepest), F.array_except(F.array(deepest), F.array(deepest))).alias("parts"))
+    level1 = F.struct(tag("t").alias("text"), F.array(level2).alias("parts"), F.array(F.struct(tag("x").alias("text"))).alias("items"))
+    picture = F.struct(F.lit("image_asset_pointer").alias("content_type"), F.lit("no").alias("text"))
+    odd = F.struct(F.struct(F.lit("no").alias("a")).alias("text"), F.lit(7).alias("n"))
+    parts = [F.to_json(x) for x in (picture, level1, odd)]
+    value = F.concat(F.lit('[" first ",'), parts[0], F.lit(","), parts[1], F.lit(",12,null,"), parts[2], F.lit(',"last"]'))
+    rows = table(spark, sf, "documents").select("doc_id", F.parse_json(value).alias("v"))
+    found = nested.joined(nested.fragments(rows, ["doc_id"]), ["doc_id"])
+    return found.select("doc_id", F.md5("text").alias("text_md5"))
+
+
 @query(TURNS.format("trim(text)", "trim(text)"))
 def read_claudeai_export(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations")

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlake.functions import text as T
+from sessionlake.session import ensure_checkpoint_dir, settled
+from sessionlake.sources import nested
 
-ASSETS = ["image_asset_pointer", "audio_asset_pointer", "video_asset_pointer"]
 CAPACITY = {"chatgpt": 1_200_000, "grok": 1_200_000, "claudeai": 600_000, "ollama": 600_000, "gemini": 3_000_000}
 
 
@@ -37,22 +38,6 @@ def mongo_time(c: Column) -> Column:
     return F.coalesce(F.timestamp_millis(ms.try_cast("long")), F.trim(F.lit('"'), c).try_cast("timestamp"), F.get_json_object(c, "$['$date']").try_cast("timestamp"))
 
 
-CHATGPT = (
-    "struct<id:string,title:string,create_time:string,update_time:string,current_node:string,mapping:map<string,struct<parent:string,message:struct<"
-    "author:struct<role:string>,create_time:string,content:struct<content_type:string,parts:array<string>,text:string>,"
-    "metadata:struct<is_visually_hidden_from_conversation:boolean,is_user_system_message:boolean,attachments:array<struct<name:string>>>>>>>"
-)
-
-
-def part_text(p: Column) -> Column:
-    """A part's text: plain, or of an object its text, result or body; media pointers have none."""
-    is_object = p.startswith("{")
-    fields = F.array(*[F.get_json_object(p, f"$.{k}") for k in ("text", "result", "body")])
-    media = F.coalesce(F.get_json_object(p, "$.content_type").isin(ASSETS), F.lit(False))
-    inside = F.array_join(F.filter(fields, lambda x: x.isNotNull() & (F.trim(x) != "")), "\n")
-    return F.when(is_object & media, "").when(is_object, inside).otherwise(p)
-
-
 def attachment_note(names: Column) -> Column:
     full = F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda x: x.isNotNull() & (F.trim(x) != ""))
     return F.when(F.size(full) > 0, F.concat(F.lit("[Attachments: "), F.array_join(F.transform(full, lambda x: F.trim(x)), ", "), F.lit("]"))).otherwise("")
@@ -62,32 +47,55 @@ def joined_blocks(*parts: Column) -> Column:
     return F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull() & (F.trim(x) != "")), "\n\n")
 
 
-def active_thread(e: Column) -> Column:
-    """Node ids from the root to current_node (else to any node without children), by parent pointers; a loop ends the walk."""
-    mapping = e["mapping"]
-    start = F.coalesce(F.when(mapping[e["current_node"]].isNotNull(), e["current_node"]), F.element_at(F.map_keys(mapping), -1))
-    state = F.struct(F.expr("array()").cast("array<string>").alias("path"), start.alias("at"))
+def node_table(conversations: DataFrame) -> DataFrame:
+    """(tree, node, ord, parent, root, message) of the nodes of conversations (tree, v: variant); ord follows the names of nodes.
+
+    root: the node says that it has no parent, which is not the same as saying nothing.
+    """
+    nodes = conversations.select("tree", F.posexplode(F.try_variant_get("v", "$.mapping", "map<string,variant>")).alias("ord", "node", "v"))
+    parent = F.try_variant_get("v", "$.parent", "variant")
+    return nodes.select("tree", "node", "ord", F.when(F.schema_of_variant(parent) == "STRING", F.variant_get(parent, "$", "string")).alias("parent"), F.is_variant_null(parent).alias("root"), F.try_variant_get("v", "$.message", "variant").alias("message"))
 
-    def step(s: Column, _: Column) -> Column:
-        go = s["at"].isNotNull() & ~F.array_contains(s["path"], s["at"])
-        return F.struct(F.when(go, F.concat(F.array(s["at"]), s["path"])).otherwise(s["path"]).alias("path"), F.when(go, mapping[s["at"]]["parent"]).alias("at"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(mapping), F.lit(1))), state, step, lambda s: s["path"])
+def active_threads(conversations: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(tree, node, pos): from a root to the current node, by parent pointers.
+
+    Without a current node that is there, the thread is that of the first node that says it has no parent, else of the
+    first node. Unknown parents and loops end it.
+    """
+    current = conversations.select("tree", F.try_variant_get("v", "$.current_node", "string").alias("current"))
+    is_current = nodes.join(current, "tree", "left").withColumn("current", F.col("node") == F.col("current"))
+    first = is_current.groupBy("tree").agg(F.max(F.when(F.col("current"), F.col("node"))).alias("c"), F.min_by("node", F.when(F.col("root"), F.col("ord"))).alias("r"), F.min_by("node", "ord").alias("f"))
+    known = nodes.select("tree", F.col("node").alias("parent"))
+    found = nested.ancestors(first.select("tree", F.coalesce("c", "r", "f").alias("node")), nodes.select("tree", "node", "parent").join(known, ["tree", "parent"], "left_semi"))
+    longest = found.groupBy("tree").agg(F.max("distance").alias("most"))
+    return found.join(longest, "tree").select("tree", "node", (F.col("most") - F.col("distance")).alias("pos"))
 
 
 def chatgpt(documents: DataFrame) -> DataFrame:
-    """Messages of the active threads; hidden, custom and empty system messages and empty texts go."""
-    convs = elements(documents, CHATGPT).select(F.col("e.id").alias("session_id"), F.col("e.title").alias("title"), F.posexplode(active_thread(F.col("e"))).alias("pos", "node"), F.col("e.mapping").alias("mapping"))
-    m = F.col("m")
-    rows = convs.select("session_id", "title", "pos", F.col("mapping")[F.col("node")]["message"].alias("m")).filter("m IS NOT NULL")
-    content = F.coalesce(m["content"]["text"], F.array_join(F.filter(F.transform(m["content"]["parts"], part_text), lambda x: F.trim(x) != ""), "\n"))
-    role = m["author"]["role"]
-    kind = F.coalesce(m["content"]["content_type"], F.lit(""))
-    hidden = F.coalesce(m["metadata"]["is_visually_hidden_from_conversation"], F.lit(False)) | F.coalesce(m["metadata"]["is_user_system_message"], F.lit(False))
-    custom = (role == "system") & (kind.isin("user_editable_context", "") | (F.trim(F.coalesce(content, F.lit(""))) == ""))
-    text = T.nonblank_lines(joined_blocks(content, attachment_note(F.transform(m["metadata"]["attachments"], lambda a: a["name"]))))
-    kept = rows.filter(role.isin("user", "assistant", "system") & ~hidden & ~custom)
-    return kept.select("session_id", "title", F.col("pos").cast("long").alias("turn"), role.alias("role"), text.alias("text"), epoch(m["create_time"]).alias("ts"), F.lit(None).cast("string").alias("speaker")).filter("text <> ''")
+    """Messages of the active threads; hidden, custom and empty system messages and empty texts go.
+
+    A conversation is a row, a node is a row, and a nested part of a message is a row: neither long threads nor deep
+    content make a task large.
+    """
+    ensure_checkpoint_dir(documents.sparkSession)
+    each = documents.select(F.explode(F.from_json("json", "array<string>")).alias("e"))
+    convs = settled(each.select(F.monotonically_increasing_id().alias("tree"), F.try_parse_json("e").alias("v")).filter("schema_of_variant(v) LIKE 'OBJECT%'"))
+    nodes = settled(node_table(convs))
+    of = lambda path, kind="string": F.try_variant_get("message", f"$.{path}", kind)
+    said = active_threads(convs, nodes).join(nodes.select("tree", "node", "message"), ["tree", "node"]).filter("schema_of_variant(message) LIKE 'OBJECT%'")
+    hidden = F.coalesce(of("metadata.is_visually_hidden_from_conversation", "boolean"), F.lit(False)) | F.coalesce(of("metadata.is_user_system_message", "boolean"), F.lit(False))
+    named = said.select("tree", "node", "pos", of("author.role").alias("role"), F.coalesce(of("content.content_type"), F.lit("")).alias("kind"), hidden.alias("hidden"), "message", of("create_time").alias("created"))
+    kept = settled(named.filter("role IN ('user', 'assistant', 'system') AND NOT hidden"))
+    parts = F.when(F.col("kind") == "code", of("content.text", "variant")).otherwise(of("content.parts", "variant"))
+    keys = ["tree", "node"]
+    content = nested.joined(nested.fragments(kept.select(*keys, parts.alias("v")), keys), keys).withColumnRenamed("text", "content")
+    names = F.transform(F.from_json(F.to_json(of("metadata.attachments", "variant")), "array<struct<name:string,file_name:string>>"), lambda a: F.coalesce(a["name"], a["file_name"]))
+    full = kept.join(content, keys, "left").filter("NOT (role = 'system' AND (kind IN ('user_editable_context', '') OR content IS NULL))")
+    text = T.nonblank_lines(joined_blocks(F.coalesce("content", F.lit("")), attachment_note(names)))
+    about = convs.select("tree", F.try_variant_get("v", "$.id", "string").alias("session_id"), F.try_variant_get("v", "$.title", "string").alias("title"))
+    rows = full.withColumn("text", text).filter("text <> ''").join(about, "tree")
+    return rows.select("session_id", "title", F.col("pos").alias("turn"), "role", "text", epoch(F.col("created")).alias("ts"), F.lit(None).cast("string").alias("speaker"))
 
 
 CLAUDEAI = (
