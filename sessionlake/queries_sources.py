@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlake.functions import phones
 from sessionlake.queries import query
-from sessionlake.session import table
-from sessionlake.sources import agents, exports, nested
+from sessionlake.session import ensure_checkpoint_dir, table
+from sessionlake.sources import agents, exports, log_lines, nested
 
 TURNS = "SELECT CAST(conv_id AS VARCHAR) AS session_id, turn, role, md5({}) AS text_md5 FROM conversations WHERE {} <> ''"
 LINES = "array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10))"
@@ -35,6 +37,17 @@ def read_chatgpt_export(spark: SparkSession, sf: str) -> DataFrame:
     return digest(exports.chatgpt(docs))
 
 
+@query("SELECT coalesce(source, 'none') AS source, row_number() OVER (PARTITION BY coalesce(source, 'none') ORDER BY doc_id) - 1 AS line_no, doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents")
+def log_lines_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as logs, one file a source, read back by ranges of some kilobytes that cut lines anywhere."""
+    folder = f"{ensure_checkpoint_dir(spark)}/logs-{uuid.uuid4().hex}"
+    d = table(spark, sf, "documents").withColumn("source", F.coalesce("source", F.lit("none"))).withColumn("text", F.coalesce("text", F.lit("")))
+    d.repartition("source").sortWithinPartitions("source", "doc_id").select("source", F.to_json(F.struct("doc_id", "text")).alias("value")).write.partitionBy("source").text(folder)
+    rows = log_lines.read(spark, folder, suffix=".txt", split_bytes=50_000).filter("line <> ''")
+    doc = F.from_json("line", "doc_id long, text string")
+    return rows.select(F.regexp_extract("path", "source=([^/]*)", 1).alias("source"), "line_no", doc["doc_id"].alias("doc_id"), F.md5(doc["text"]).alias("text_md5"))
+
+
 @query("""WITH t AS (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS most FROM conversations)
 SELECT 'x' || conv_id AS session_id, CAST(turn AS BIGINT) AS turn, role, md5(text) AS text_md5 FROM (SELECT conv_id, turn, most, role, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS text FROM t)
 WHERE text <> '' AND (conv_id % 4 <> 1 OR turn = 0)""")

@@ -1,6 +1,7 @@
 """Readers of coding-agent logs (JSON lines): fill, tokens and rendered units of each file.
 
-`lines` gives (path, line_no, line); a log file is one session. Unreadable lines are skipped.
+`lines` gives (path, line_no, line); a log file is one session, read by as many tasks as its size asks for. Unreadable
+lines are skipped.
 """
 
 from __future__ import annotations
@@ -10,19 +11,15 @@ from pyspark.sql import functions as F
 
 from sessionlake.functions import text as T
 from sessionlake.operators.sessions import AGENT_OVERHEAD, CONTEXT_DEFAULT, last_by
+from sessionlake.sources import log_lines
 
 MAX_DEPTH = 12
 
 
-def lines(spark: SparkSession, path: str, modified_after: str | None = None) -> DataFrame:
-    """Files below a folder, at most 12 levels deep, changed after a time if one is given."""
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl*")
-    if modified_after:
-        reader = reader.option("modifiedAfter", modified_after)
-    files = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.unix_seconds("_metadata.file_modification_time").alias("mtime"), "value")
-    bare = lambda c: F.regexp_replace(c, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
-    depth = F.size(F.split(bare(F.col("path")), "/")) - F.size(F.split(bare(F.lit(path.rstrip("/"))), "/"))
-    return files.filter(depth <= MAX_DEPTH).select("path", "mtime", F.posexplode(F.split("value", "\n")).alias("line_no", "line")).filter("trim(line) <> ''")
+def lines(spark: SparkSession, path: str, modified_after: float | None = None, split_bytes: int = log_lines.SPLIT_BYTES) -> DataFrame:
+    """(path, mtime, line_no, line) of the .jsonl files in at most 12 folders below one, changed after a time (seconds) if one is given."""
+    rows = log_lines.read(spark, path, max_depth=MAX_DEPTH, split_bytes=split_bytes, **({"modified_after": modified_after} if modified_after is not None else {}))
+    return rows.filter("trim(line) <> ''")
 
 
 def number(path: str) -> Column:
