@@ -146,11 +146,8 @@ def cap_bytes(c: Column, limit: int) -> Column:
     return cut(c)
 
 
-def natural_key(c: Column, width: int = 12) -> Column:
-    """A sort key in which digit runs order as numbers: case is dropped and runs are padded."""
-
-    @F.pandas_udf("string")
-    def pad(s: pd.Series) -> pd.Series:
-        return s.str.lower().str.replace(r"\d+", lambda m: m.group().zfill(width), regex=True)
-
-    return pad(c)
+def natural_key(c: Column, width: int = 20) -> Column:
+    """A sort key without regard to case and accents (a collation), in which runs of digits order as numbers do."""
+    runs = F.regexp_extract_all(c, F.lit(r"\d+|\D+"), 0)
+    padded = F.transform(runs, lambda x: F.when(x.rlike(r"^\d"), F.lpad(F.ltrim(x, F.lit("0")), width, "0")).otherwise(x))
+    return F.collate(F.array_join(padded, ""), "UNICODE_CI_AI")

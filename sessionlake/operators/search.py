@@ -160,6 +160,35 @@ def ui_filter(sessions: DataFrame, text: str = "", fill_min: float = 0.0, fill_m
     return sessions.filter((names | tags) & F.col("fill_pct").between(fill_min, fill_max))
 
 
+SORT_KEYS = ("date", "title", "project", "tool", "fill", "tokens", "tags")
+
+
+def sorted_sessions(sessions: DataFrame, key: str, descending: bool = False, position: str = "_pos") -> DataFrame:
+    """sessions in order of one of SORT_KEYS: texts by collation and numbers in them by value; equal ones by position.
+
+    Descending is the exact reverse. A null counts as an empty text, or as 0.
+    """
+    text = lambda c: T.natural_key(F.coalesce(c, F.lit("")))
+    filled = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
+    tags = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    order = {
+        "date": lambda: [text(F.coalesce(filled("updated_at"), filled("session_timestamp"), filled("date")))],
+        "title": lambda: [text(F.col("title"))],
+        "project": lambda: [text(F.col("project"))],
+        "tool": lambda: [text(F.col("tool"))],
+        "fill": lambda: [F.coalesce("fill_pct", F.lit(0.0)), text(F.col("title"))],
+        "tokens": lambda: [F.coalesce("output_tokens", F.lit(0)), text(F.col("title"))],
+        "tags": lambda: [text(F.array_join(F.concat(tags("error_tags"), tags("topic_tags")), " "))],
+    }[key]()
+    by = [*order, F.col(position)]
+    return sessions.orderBy(*[c.desc() if descending else c.asc() for c in by])
+
+
+def raw_scope(sessions: DataFrame, groups: DataFrame) -> DataFrame:
+    """The loaded rows that a raw search found something in, with its groups (session_id, ...) beside them; order is the rows'."""
+    return sessions.join(groups, F.col("id") == F.col("session_id")).drop("session_id")
+
+
 def literal_forms(needle: str) -> list[str]:
     """The folded needle, and its JSON-escaped form if that differs."""
     return list(dict.fromkeys([T.fold_str(needle), T.fold_str(T.json_escaped(needle))]))

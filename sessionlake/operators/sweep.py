@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlake.functions import text as T
@@ -38,6 +40,22 @@ def scanned(sources: dict[str, DataFrame], import_only: bool = False) -> DataFra
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [d.withColumn("provider", F.lit(p)) for p, d in chosen.items()])
 
 
+def raw_total(sources: dict[str, Callable[[], DataFrame]], import_only: bool = False) -> DataFrame:
+    """(provider, sessions, failed) of all sources, read anew; a source that cannot be read has none and is marked.
+
+    What a source cannot read shows when its rows are counted, so each source is a job of its own.
+    """
+    rows = []
+    for provider, read in sources.items():
+        if import_only and provider in LOCAL_SOURCES:
+            continue
+        try:
+            rows.append((provider, read().count(), False))
+        except (PySparkException, OSError, ValueError):
+            rows.append((provider, 0, True))
+    return SparkSession.active().createDataFrame(rows, "provider string, sessions long, failed boolean")
+
+
 def requests(units: Column) -> Column:
     """The user's requests among a session's units, normalised; a request is a whole unit, however many paragraphs it has."""
     return F.transform(F.filter(units, lambda u: u.startswith("[User]\n")), lambda u: T.normalize_text(F.substring(u, 8, 1 << 30)))

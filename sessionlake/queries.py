@@ -7,13 +7,15 @@ customers are projects, events are messages with times.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlake.functions import text as T
-from sessionlake.operators import analytics, archive, distill, search, semantic, sessions
+from sessionlake.operators import analytics, archive, distill, search, semantic, sessions, sweep
 from sessionlake.session import table
+from sessionlake.sources import agents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -408,6 +410,45 @@ def backup_probe(spark: SparkSession, sf: str) -> DataFrame:
     return analytics.probe(table(spark, sf, "events"), "ts", "event_type")
 
 
+TITLES = "['Éclair ', 'eclair ', 'ZEBRA ', 'zébra ', 'Ärmel ', 'apple '][1 + doc_id % 6] || doc_id % 70"
+ORDERED = f"""WITH s AS (SELECT doc_id, {TITLES} AS title, strip_accents(lower(['eclair', 'eclair', 'zebra', 'zebra', 'armel', 'apple'][1 + doc_id % 6])) AS word, doc_id % 70 AS n, doc_id % 9 AS fill FROM documents),
+k AS (SELECT 'title' AS sort_key, doc_id, word AS a, n AS b, 0 AS c FROM s UNION ALL SELECT 'fill', doc_id, '', fill, 0 FROM s UNION ALL SELECT 'tags', doc_id, '', CASE WHEN doc_id % 4 = 0 THEN -1 ELSE n END, 0 FROM s),
+t AS (SELECT k.*, CASE WHEN sort_key = 'fill' THEN word ELSE '' END AS d, CASE WHEN sort_key = 'fill' THEN n ELSE 0 END AS e FROM k JOIN s USING (doc_id))
+SELECT sort_key, 'up' AS direction, doc_id FROM t QUALIFY row_number() OVER (PARTITION BY sort_key ORDER BY a, b, d, e, doc_id) <= 150
+UNION ALL SELECT sort_key, 'down', doc_id FROM t QUALIFY row_number() OVER (PARTITION BY sort_key ORDER BY a DESC, b DESC, d DESC, e DESC, doc_id DESC) <= 150"""
+
+
+@query(ORDERED)
+def sorted_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 150 rows by three keys, up and down: accents, cases, numbers in texts, ties."""
+    d = table(spark, sf, "documents")
+    i = F.col("doc_id")
+    words = F.array(*[F.lit(w) for w in ("Éclair ", "eclair ", "ZEBRA ", "zébra ", "Ärmel ", "apple ")])
+    tags = F.when(i % 4 != 0, F.array(F.concat(F.lit("v"), (i % 70).cast("string"))))
+    s = d.select("doc_id", F.concat(words[(i % 6).cast("int")], (i % 70).cast("string")).alias("title"), (i % 9).cast("double").alias("fill_pct"), F.array().cast("array<string>").alias("error_tags"), tags.alias("topic_tags"), i.alias("_pos"))
+    pages = [search.sorted_sessions(s, k, down).limit(150).select(F.lit(k).alias("sort_key"), F.lit("down" if down else "up").alias("direction"), "doc_id") for k in ("title", "fill", "tags") for down in (False, True)]
+    return reduce(DataFrame.unionByName, pages)
+
+
+@query("SELECT 'doc-' || doc_id AS id, hits FROM (SELECT doc_id, lang, (length(text) - length(replace(lower(text), 'licensed', ''))) // 8 AS hits FROM documents) WHERE hits > 0 AND lang = 'en'")
+def raw_scope(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the rows that are loaded, here those of one tool, those that a raw search found something in."""
+    loaded = archive_sessions(spark, sf).filter("tool = 'Tool en'")
+    return search.raw_scope(loaded, search.raw_groups(raw_lines(spark, sf), "Licensed")).select("id", "hits")
+
+
+@query("""SELECT 'codex' AS provider, count(*) AS sessions, false AS failed FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'grok', count(DISTINCT conv_id), false FROM conversations UNION ALL SELECT 'viber', 0, true""")
+def raw_session_total(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources read anew; one of them cannot be."""
+    lines = table(spark, sf, "documents").filter("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("path"), F.lit(0).alias("line_no"), F.to_json(F.struct(F.lit("event_msg").alias("type"), F.struct(F.lit("user_message").alias("type"), F.lit("x").alias("message")).alias("payload"))).alias("line"))
+    sources = {
+        "codex": lambda: agents.session_units(agents.codex_units(lines)),
+        "grok": lambda: table(spark, sf, "conversations").select("conv_id").distinct(),
+        "viber": lambda: table(spark, sf, "no_such_table"),
+    }
+    return sweep.raw_total(sources)
+
+
 @query()
 def chunk_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Greedy, hence not in SQL: tested by hand-made cases."""

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.sources.sqlite import core_data_time
+from sessionlake.sources.markdown import opened
+from sessionlake.sources.sqlite import core_data_time, read_table, typedstream_text
 
 TITLE_LABELS, MAX_DEPTH = 4, 5
 #: States of messages that the owner sent.
@@ -17,6 +20,52 @@ def backup_path(file_id: Column) -> Column:
     return F.concat(F.left(file_id, F.lit(2)), F.lit("/"), file_id)
 
 
+MAGIC = b"SQLite format 3\x00"
+
+
+def backup_state(folder: str) -> str:
+    """ok, encrypted (its manifest is no plain SQLite file) or not_a_backup (no manifest)."""
+    from pyarrow.fs import FileType
+
+    fs, root = opened(folder)
+    if fs.get_file_info(f"{root}/Manifest.db").type != FileType.File:
+        return "not_a_backup"
+    with fs.open_input_stream(f"{root}/Manifest.db") as f:
+        return "ok" if f.read(len(MAGIC)) == MAGIC else "encrypted"
+
+
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """(fileID, domain, relativePath) of a backup; one that is encrypted or none is an error."""
+    state = backup_state(folder)
+    if state != "ok":
+        raise ValueError(f"{folder}: {state}")
+    return read_table(spark, f"{opened(folder)[1]}/Manifest.db", "Files", "fileID string, domain string, relativePath string")
+
+
+def probed(tables: dict[str, tuple[DataFrame, str | None, str | None, str | None]]) -> DataFrame:
+    """(table, rows, first, last, blank, bodies, undecoded) of tables, without their contents and in one job.
+
+    tables: by name (rows, column of times as numbers, column of texts, column of typedstream blobs), columns or null.
+    """
+    none = F.lit(None).cast("long")
+    parts = []
+    for name, (rows, at, text, blob) in tables.items():
+        empty = F.col(text).isNull() | (F.trim(text) == "") if text else None
+        in_blob = F.col(blob).isNotNull() & (empty if text else F.lit(True)) if blob else None
+        parts.append(
+            rows.agg(
+                F.lit(name).alias("table"),
+                F.count(F.lit(1)).alias("rows"),
+                (F.min(F.col(at).cast("long")) if at else none).alias("first"),
+                (F.max(F.col(at).cast("long")) if at else none).alias("last"),
+                (F.count_if(empty) if text else none).alias("blank"),
+                (F.count_if(in_blob) if blob else none).alias("bodies"),
+                (F.count_if(in_blob & typedstream_text(F.col(blob)).isNull()) if blob else none).alias("undecoded"),
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
 def located(files: DataFrame, domain: str, path: str) -> DataFrame:
     """(fileID, stored) of a file by domain and path in it; (fileID, domain, relativePath) in."""
     return files.filter((F.col("domain") == domain) & (F.col("relativePath") == path)).select("fileID", backup_path(F.col("fileID")).alias("stored"))

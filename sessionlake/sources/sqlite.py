@@ -1,7 +1,8 @@
 """SQLite files as a Spark data source, and the phone-message loaders on top of it.
 
 spark.dataSource.register(SqliteSource); spark.read.format("sqlite").schema(...).option("path", file).option("table", name).
-A file is read only, one partition for each `rows` row ids; the path is one that executors can open.
+A file is read only, one partition for each `rows` row ids; the path is one that executors can open. Comparisons of a
+column with a value go to the file, before partitions are planned: a lookup by an index opens the row ids that it finds.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringStartsWith
 from pyspark.sql.types import StringType, StructType
 
 from sessionlake.operators.archive import latest
@@ -33,6 +34,34 @@ class SqliteSource(DataSource):
 class SqliteReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict[str, str]):
         self.columns, self.options = schema.names, options
+        self.kinds = {f.name: f.dataType.simpleString() for f in schema}
+        self.where: list[str] = []
+        self.values: list = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Comparisons with a number or text of the column's declared kind; Spark does the others, and all of them again."""
+        signs = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+        for f in filters:
+            yield f
+            column = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            if self.kinds.get(column) not in ("string", "bigint", "int"):
+                continue
+            name, exact = "ROWID" if column == "ROWID" else f'"{column}"', str if self.kinds[column] == "string" else int
+            name += " COLLATE BINARY" if exact is str else ""
+            if type(f) in signs and type(f.value) is exact:
+                self.where.append(f"{name} {signs[type(f)]} ?")
+                self.values.append(f.value)
+            elif type(f) is In and all(type(v) is exact for v in f.value) and len(f.value) <= 500:
+                self.where.append(f"{name} IN ({', '.join('?' * len(f.value))})")
+                self.values += f.value
+            elif type(f) is IsNotNull:
+                self.where.append(f"{name} IS NOT NULL")
+            elif type(f) is StringStartsWith and exact is str and type(f.value) is str:
+                self.where.append(f"substr({name}, 1, {len(f.value)}) = ?")
+                self.values.append(f.value)
+
+    def condition(self) -> str:
+        return "".join(f" AND {w}" for w in self.where)
 
     def connect(self) -> sqlite3.Connection:
         return sqlite3.connect(f"file:{self.options['path']}?mode=ro&immutable=1", uri=True)
@@ -44,17 +73,18 @@ class SqliteReader(DataSourceReader):
             for c in self.columns:
                 if c not in have:
                     raise ValueError(f"missing column {table}.{c}")
-            lo, hi = db.execute(f'SELECT min(ROWID), max(ROWID) FROM "{table}"').fetchone()
+            lo, hi = db.execute(f'SELECT min(ROWID), max(ROWID) FROM "{table}" WHERE 1{self.condition()}', self.values).fetchone()
         return [InputPartition((a, a + step)) for a in range(lo, hi + 1, step)] if lo is not None else [InputPartition((0, 0))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         names = ", ".join(c if c == "ROWID" else f'"{c}"' for c in self.columns)
         with self.connect() as db:
-            yield from db.execute(f'SELECT {names} FROM "{self.options["table"]}" WHERE ROWID >= ? AND ROWID < ?', partition.value)
+            yield from db.execute(f'SELECT {names} FROM "{self.options["table"]}" WHERE ROWID >= ? AND ROWID < ?{self.condition()}', [*partition.value, *self.values])
 
 
 def read_table(spark: SparkSession, path: str, table: str, schema: str) -> DataFrame:
     spark.dataSource.register(SqliteSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("sqlite").schema(schema).option("path", path).option("table", table).load()
 
 

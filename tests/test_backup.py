@@ -1,8 +1,10 @@
 """Briefings, imports and backups on hand-made rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from sessionlake.operators import briefing
+
 from sessionlake.sources import backup
 
 SESSION = "id string, date string, title string, session_type string, error_tags array<string>, topic_tags array<string>, fill_pct double, archive_path string, updated_at string, session_timestamp string, body string, _pos long"
@@ -87,3 +89,40 @@ def test_manifest_and_discovery(spark):
     paths = ["/r/x/Conversations.json", "/r/y/conversations-001.json", "/r/z/d/conversations.json", "/r/.h/conversations.json", "/other/conversations.json", "/r/x/other.json"]
     listing = spark.createDataFrame([(p, 1) for p in paths], "path string, length long")
     assert sorted(r["path"] for r in backup.discovered(listing, "/r/", "conversations.json").collect()) == paths[:2]
+
+
+def test_manifest_lookup_opens_one_range(spark, tmp_path):
+    """A lookup by domain and path goes to the file: one partition of many, and the same rows as without."""
+    import sqlite3
+
+    from sessionlake.sources import sqlite
+
+    path = tmp_path / "Manifest.db"
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE Files (fileID TEXT, domain TEXT COLLATE NOCASE, relativePath TEXT, n INTEGER)")
+        db.executemany("INSERT INTO Files VALUES (?, ?, ?, ?)", [(f"{i:04x}", f"D{i % 7}" if i % 2 else f"d{i % 7}", f"p/{i}", i if i % 3 else None) for i in range(5000)])
+    assert backup.backup_state(str(tmp_path)) == "ok" and backup.located(backup.manifest(spark, str(tmp_path)), "D3", "p/4001").collect() == []
+    assert backup.located(backup.manifest(spark, str(tmp_path)), "D4", "p/4001").first()["fileID"] == f"{4001:04x}"
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+    def load(rows):
+        return spark.read.format("sqlite").schema("ROWID long, fileID string, domain string, relativePath string, n long").option("path", str(path)).option("table", "Files").option("rows", rows).load()
+
+    assert load(100).rdd.getNumPartitions() == 50
+    assert load(100).filter("domain = 'D4' AND relativePath = 'p/4001'").rdd.getNumPartitions() == 1
+    for where in ("domain = 'd4'", "n > 4990", "n >= 17 AND n <= 20", "n IN (1, 2, 4999)", "relativePath LIKE 'p/12%'", "n IS NULL AND ROWID < 9", "n IS NOT NULL AND domain > 'd5'", "n = 6 OR domain = 'x'", "upper(domain) = 'D1' AND n < 50"):
+        plain = spark.createDataFrame(load(100).collect(), load(100).schema).filter(where)
+        assert {r["ROWID"] for r in load(100).filter(where).collect()} == {r["ROWID"] for r in plain.collect()}, where
+    (tmp_path / "locked").mkdir()
+    (tmp_path / "locked" / "Manifest.db").write_bytes(b"\x00" * 64)
+    assert backup.backup_state(str(tmp_path / "locked")) == "encrypted" and backup.backup_state(str(tmp_path / "none")) == "not_a_backup"
+    with pytest.raises(ValueError, match="encrypted"):
+        backup.manifest(spark, str(tmp_path / "locked"))
+
+
+def test_probe_of_all_tables(spark):
+    blob = b"\x04\x0bstreamtyped\x81\xe8\x03\x84\x01@\x84\x84\x84\x12NSString\x01\x94\x84\x01+\x02hi\x86"
+    message = spark.createDataFrame([(5, "a", None), (7, " ", bytearray(blob)), (9, None, bytearray(b"junk")), (11, None, None)], "date long, text string, attributedBody binary")
+    chat = spark.createDataFrame([(1,), (2,)], "ROWID long")
+    got = {r["table"]: tuple(r)[1:] for r in backup.probed({"message": (message, "date", "text", "attributedBody"), "chat": (chat, None, None, None)}).collect()}
+    assert got == {"message": (4, 5, 11, 3, 2, 1), "chat": (2, None, None, None, None, None)}
