@@ -36,8 +36,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that go to a Python worker at once where the session keeps Spark's default: texts are some kilobytes each.
+ARROW_ROWS, SPARK_ARROW_ROWS = "2000", "10000"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one is set only where none is named and Spark runs on one machine."""
+    """The cluster's shared checkpoint folder; a temporary one is set only where none is named and Spark runs on one machine.
+
+    Operators that need it also send rows to Python in smaller batches from here on, as both sides of an exchange hold
+    whole batches and Spark's side keeps the memory; a session that names another number than Spark's default keeps it.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == SPARK_ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
