@@ -281,10 +281,11 @@ class Range:
             for d in range(1, DEPTH):
                 if numbers[d - 1]:
                     whole[numbers[:d]] = int(counts[d - 1])
-                    if limit is self.high:
-                        owned.append(numbers[:d])
-                    elif any(numbers[d:]):
-                        elsewhere.add(numbers[:d])
+                    if any(numbers[d:]):  # else it is the limit itself, which begins a range
+                        if limit is self.high:
+                            owned.append(numbers[:d])
+                        else:
+                            elsewhere.add(numbers[:d])
         low = tuple(n for n, _ in numbered(self.low, keys)) if self.low else ()
         totals: list[np.ndarray] = []
         starts: list[np.ndarray] = []

@@ -1,14 +1,15 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
 Each source is a queue of its documents' tokens. Every window of 2048 tokens visits the queues in order; a visit adds
-the queue's share of the window to its deficit counter and serves as many tokens as the counter holds, which cuts
-documents where they have to be. What is left of a counter is carried to the next window. Counters are kept for the
-queues up to and including each queue, so that the served tokens of a window always add up to the whole window and no
-queue is ever more than one token away from its share.
+the queue's share of the window to its deficit counter and serves as many whole tokens as the counter holds, which cuts
+documents where they have to be. What is left of a counter is carried to the next window. The counters are those of a
+binary tree over the queues: at each node the left part has a counter and the right part gets what the left one leaves.
+So the served tokens of a window always add up to the whole window, no counter ever owes tokens that it has served, and
+a queue is never further from its share than the tree has levels above it, however many windows there are.
 
 A counter after w windows is the remainder of w shares, so a task knows the counters with which any window begins
-without looking at the windows before: it finds the window that its first token falls into, takes over the counters
-there, and goes on from window to window. Tokens are made once, kept in the checkpoint folder, and never shuffled by
+without looking at the windows before: it finds the window that its first token falls into, by the counters there, and
+goes on from window to window. Tokens are made once, kept in the checkpoint folder, and never shuffled by
 sequence; what is exchanged are sums for each partition and queue, added up in two levels.
 
 Targets are the sources' shares of all tokens, or given by the caller. When a queue runs dry, the others go on by their
@@ -108,20 +109,47 @@ def unpacked(packed: bytes) -> np.ndarray:
 
 @dataclass
 class Phase:
-    """Windows in which the same queues are served: cumulative weights, and how far each queue had been served before."""
+    """Windows in which the same queues are served, and how far each queue had been served before."""
 
     first: int  # window
     windows: int  # whole ones
     tokens: int  # of all its windows, the last of which may be short
-    up_to: dict[str | None, tuple[int, int]]  # weights of the queues before, and with, each queue
+    paths: dict[str | None, list[tuple[int, int, bool]]]  # from the root: weight of the left part, of both, and whether the queue is on the right
+    weights: dict[str | None, int]
     total: int
     begun: dict[str | None, int]
 
     def served(self, queue: str | None, window: int, size: int) -> int:
         """Tokens of a queue in the phase's first windows."""
-        low, high = self.up_to[queue]
         t = min(window * size, self.tokens)
-        return t * high // self.total - t * low // self.total
+        for left, both, right in self.paths[queue]:
+            t = t - t * left // both if right else t * left // both
+        return t
+
+    def visit(self, queue: str | None, window: int, size: int) -> tuple[int, int]:
+        """(tokens that the queues before it serve in a window, tokens that it serves itself)."""
+        t, u, others = min(window * size, self.tokens), min((window + 1) * size, self.tokens), 0
+        for left, both, right in self.paths[queue]:
+            a, b = t * left // both, u * left // both
+            if right:
+                others += b - a
+                t, u = t - a, u - b
+            else:
+                t, u = a, b
+        return others, u - t
+
+
+def tree_paths(queues: list, weights: dict, above: list[tuple[int, int, bool]]) -> dict[str | None, list[tuple[int, int, bool]]]:
+    """The path to each queue in a tree that is cut, at each node, where the weights of its parts differ least."""
+    if len(queues) == 1:
+        return {queues[0]: above}
+    total, left, best = sum(weights[q] for q in queues), 0, (None, 0, 0)
+    for k, q in enumerate(queues[:-1], 1):
+        left += weights[q]
+        if best[0] is None or abs(total - 2 * left) < best[0]:
+            best = (abs(total - 2 * left), k, left)
+    _, k, left = best
+    return tree_paths(queues[:k], weights, [*above, (left, total, False)]) | tree_paths(queues[k:], weights, [*above, (left, total, True)])
 
 
 class Schedule:
@@ -152,16 +180,13 @@ class Schedule:
             phase = self.phase(rest, left, window, served, tokens)
             phase.windows = tokens // size
             self.phases.append(phase)
-        self.by_queue = {q: [p for p in self.phases if q in p.up_to] for q in self.queues}
+        self.by_queue = {q: [p for p in self.phases if q in p.paths] for q in self.queues}
         self.begins = {q: [p.begun[q] for p in own] for q, own in self.by_queue.items()}
 
     @staticmethod
     def phase(queues: list, weights: dict, window: int, served: dict, tokens: int) -> Phase:
-        up_to, total = {}, 0
-        for q in queues:
-            up_to[q] = (total, total + weights[q])
-            total += weights[q]
-        return Phase(window, 0, tokens, up_to, total, {q: served[q] for q in queues})
+        own = {q: weights[q] for q in queues}
+        return Phase(window, 0, tokens, tree_paths(queues, own, []), own, sum(own.values()), {q: served[q] for q in queues})
 
     def longest(self, phase: Phase, queue: str | None, supply: int) -> int:
         """The most windows that a queue can serve its share of."""
@@ -173,9 +198,9 @@ class Schedule:
 
     def window_of(self, phase: Phase, queue: str | None, x: int) -> int:
         """The window of the phase in which a queue serves its token x."""
-        low, high = phase.up_to[queue]
-        first = max(0, x * phase.total // ((high - low) * self.size) - 1)
-        last = first + 2 * phase.total // ((high - low) * self.size) + 3
+        levels, each = len(phase.paths[queue]) + 2, phase.weights[queue] * self.size
+        first = max(0, (x - levels) * phase.total // each - 1)
+        last = max(0, (x + levels) * phase.total // each) + 2
         while first < last:
             middle = (first + last) // 2
             first, last = (first, middle) if phase.served(queue, middle + 1, self.size) > x else (middle + 1, last)
@@ -185,23 +210,20 @@ class Schedule:
         """(sequence, place in it, tokens) of n tokens of a queue from its token `first` on."""
         size = self.size
         for phase, begun in list(zip(self.by_queue[queue], self.begins[queue], strict=True))[bisect.bisect_right(self.begins[queue], first) - 1 :]:
-            x, (low, high), total = first - begun, phase.up_to[queue], phase.total
-            n_here = min(n, phase.served(queue, phase.windows + 1, size) - x)
-            n -= n_here
-            first += n_here
+            x = first - begun
+            here = min(n, phase.served(queue, phase.windows + 1, size) - x)
+            n, first = n - here, first + here
+            sparse = size * phase.weights[queue] < phase.total
             w = self.window_of(phase, queue, x)
-            before, after = w * size * low % total, w * size * high % total  # the deficits that window w begins with
             taken = x - phase.served(queue, w, size)
-            while n_here:
-                step = size if w < phase.windows else phase.tokens - w * size
-                others, before = divmod(before + step * low, total)
-                own, after = divmod(after + step * high, total)
-                k = min(own - others - taken, n_here)
-                yield from self.placed(phase.first + w, others + taken, k, step)
-                n_here, x, taken, w = n_here - k, x + k, 0, w + 1
-                if n_here and size * (high - low) < total:  # less than a token a window: on to the one with the next
+            while here:
+                others, own = phase.visit(queue, w, size)
+                k = min(own - taken, here)
+                if k:
+                    yield from self.placed(phase.first + w, others + taken, k, min(size, phase.tokens - w * size))
+                here, x, taken, w = here - k, x + k, 0, w + 1
+                if here and sparse:  # less than a token a window: on to the one with the next
                     w = self.window_of(phase, queue, x)
-                    before, after = w * size * low % total, w * size * high % total
             if not n:
                 return
 
