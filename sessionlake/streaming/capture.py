@@ -6,9 +6,11 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 
 def capture(spark: SparkSession, source: str, target: str, checkpoint: str, glob: str = "*.jsonl*") -> None:
@@ -47,10 +49,9 @@ def capture_changed(spark: SparkSession, source: str, target: str, leave_out: Da
         found = found.join(leave_out.select("id"), "id", "left_anti")
     same = captured(spark, target).select("source_path", "size", "mtime_secs")
     new = found.join(same, ["source_path", "size", "mtime_secs"], "left_anti").select("id", "source_path", "size", "mtime_secs", "content")
-    names = new.select("source_path", "size", "mtime_secs").collect()  # names of changed files of a machine's folder
-    if names:
-        new.write.mode("append").parquet(target)
-    return len(names)
+    taken = Observation()
+    new.observe(taken, F.count(F.lit(1)).alias("files")).write.mode("append").parquet(target)  # counted as they are written
+    return taken.get["files"]
 
 
 def advance(spark: SparkSession, control: str, rows: DataFrame, process: Callable[[DataFrame], bool], column: str = "session_timestamp") -> str:
@@ -92,3 +93,65 @@ def stream_windows(rows: DataFrame, key: str, gap_seconds: int, cap: int) -> Dat
 
     flat = rows.select(key, "event_id", F.col("ts").cast("timestamp").alias("ts"))
     return flat.groupBy(key).applyInPandasWithState(step, f"{key} long, event_id long, window_no long", "last long, window long, used long", "append", GroupStateTimeout.NoTimeout)
+
+
+class ClosedWindows(StatefulProcessor):
+    """Gap windows of one key: rows wait until the watermark has passed them, then they are placed in order of time.
+
+    State is the open window and the waiting rows; a timer wakes the key for its next waiting row, and, when none waits, a
+    gap after its last row, when nothing can join the window any more and the key's state goes.
+    """
+
+    def __init__(self, key: str, gap_seconds: int, cap: int):
+        self.key, self.gap, self.cap = key, gap_seconds * 10**6, cap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "last long, first_ts long, first_id long, used long")
+        self.waiting = handle.getListState("waiting", "ts long, event_id long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        new = [(int(t), int(i)) for frame in rows for t, i in zip(frame["ts"].astype("datetime64[us]").astype("int64"), frame["event_id"], strict=True)]
+        self.waiting.appendList(new)
+        self.handle.registerTimer(-(-min(new)[0] // 1000))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted((int(r[0]), int(r[1])) for r in self.waiting.get()) if self.waiting.exists() else []
+        due, later = [r for r in rows if r[0] <= now], [r for r in rows if r[0] > now]
+        state = tuple(self.open.get()) if self.open.exists() else None
+        out = []
+        for ts, event in due:
+            if state is None or ts - state[0] > self.gap or state[3] >= self.cap:
+                state = (ts, ts, event, 0)
+            out.append((key[0], event, state[1], state[2], state[3]))
+            state = (ts, state[1], state[2], state[3] + 1)
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(-(-later[0][0] // 1000))
+        elif due:
+            self.waiting.clear()
+        if state is not None and not later and now > state[0] + self.gap:
+            self.open.clear()
+        elif state is not None:
+            self.open.update(state)
+            if not later:
+                self.handle.registerTimer((state[0] + self.gap) // 1000 + 1)
+        if out:
+            yield pd.DataFrame(out, columns=[self.key, "event_id", "first_ts", "first_id", "place"])
+
+    def close(self) -> None:
+        pass
+
+
+def closed_windows(rows: DataFrame, key: str, gap_seconds: int, cap: int, lateness: str = "10 minutes") -> DataFrame:
+    """(key, event_id, window_start, first_id, place) of a stream of (key, event_id, ts), for rows that the watermark has passed.
+
+    A window is known by its first row; windows are those of sessions.gap_windows over all rows that were in time, however
+    they came. A row that is older than the watermark is dropped, as all rows around it are placed already. State holds
+    the rows of the last `lateness`, and of each key a window as long as one may go on. Needs the RocksDB state store.
+    """
+    flat = rows.select(key, "event_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", lateness)
+    placed = flat.groupBy(key).transformWithStateInPandas(ClosedWindows(key, gap_seconds, cap), f"{key} long, event_id long, first_ts long, first_id long, place long", "Append", "EventTime")
+    return placed.select(key, "event_id", F.timestamp_micros("first_ts").alias("window_start"), "first_id", "place")

@@ -58,3 +58,54 @@ def test_stream_windows(spark, tmp_path, gap, cap, want):
     out.awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out")).orderBy("event_id").collect()
     assert [r["window_no"] for r in rows] == want
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_closed(spark, folder, gap, cap, lateness):
+    """Runs over the files that are there, one a batch; gives the rows of state at the end of each batch."""
+    stream = spark.readStream.schema("key long, event_id long, ts timestamp").option("maxFilesPerTrigger", 1).json(str(folder / "in"))
+    query = capture.closed_windows(stream, "key", gap, cap, lateness).writeStream.format("parquet").option("path", str(folder / "out")).option("checkpointLocation", str(folder / "c")).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return [sum(op["numRowsTotal"] for op in p["stateOperators"]) for p in query.recentProgress if p["stateOperators"]]
+
+
+def test_closed_windows(spark, tmp_path):
+    """Rows in any order within the lateness, over several runs: the windows of the whole; later rows are dropped; state goes."""
+    import datetime as dt
+    import json
+    import random
+
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    try:
+        rng = random.Random(4)
+        base, rows, t = dt.datetime(2024, 1, 1), [], 0
+        for i in range(120):
+            t += rng.choice([1, 5, 20, 20, 200])
+            rows.append((rng.choice([1] * 12 + list(range(2, 14))), i, t))
+        order = sorted(rows, key=lambda r: r[2] + rng.uniform(0, 50))  # at most 50 seconds out of order
+        (tmp_path / "in").mkdir()
+        write = lambda k, part: (tmp_path / "in" / f"{k:03d}.json").write_text("\n".join(json.dumps({"key": key, "event_id": i, "ts": (base + dt.timedelta(seconds=s)).strftime("%Y-%m-%d %H:%M:%S")}) for key, i, s in part))
+        sizes = []
+        for k in range(0, 120, 40):
+            write(k, order[k : k + 40])
+            sizes += run_closed(spark, tmp_path, 60, 4, "60 seconds")
+        write(500, [(1, 900, 1)])  # far too late
+        write(501, [(9, 901, t + 100_000)])  # moves the watermark beyond everything
+        sizes += run_closed(spark, tmp_path, 60, 4, "60 seconds")
+        write(502, [(9, 902, t + 200_000)])
+        sizes += run_closed(spark, tmp_path, 60, 4, "60 seconds")
+        got = {r["event_id"]: (r["key"], r["first_id"], r["place"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+        want, state = {}, {}
+        for key, i, s in sorted(rows, key=lambda r: (r[2], r[1])):
+            last, first, used = state.get(key, (None, None, 0))
+            if last is None or s - last > 60 or used >= 4:
+                first, used = i, 0
+            want[i] = (key, first, used)
+            state[key] = (s, first, used + 1)
+        assert {i: v for i, v in got.items() if i < 900} == want and 900 not in got and got[901] == (9, 901, 0)
+        assert sizes[-1] < max(sizes) / 2, sizes  # of the thirteen keys none has state any more, but for the last one
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
