@@ -85,6 +85,10 @@ def features(data: np.ndarray, offsets: np.ndarray, seed: np.ndarray, learned: n
         mixed = inner & (odd | digit) & (data != 39) & (data != 45)
         stretched[2:] = letter[2:] & (data[2:] == data[1:-1]) & (data[2:] == data[:-2])
         shouted[2:] = upper[2:] & upper[1:-1] & upper[:-2]
+        begins, ends = offsets[:-1][np.diff(offsets) > 0], offsets[1:][np.diff(offsets) > 0]
+        mixed[begins] = mixed[ends - 1] = False  # what stands beside a text's end is another text
+        for k in (begins, np.minimum(begins + 1, len(data) - 1)):
+            stretched[k] = shouted[k] = False
     n_words = np.maximum(np.diff(bounds), 1)
     n_bytes = np.maximum(np.diff(offsets), 1)
     rates = [per_doc(x, offsets) / n_bytes for x in (upper, shouted, data == 33, odd & (data != 33), mixed, stretched)]

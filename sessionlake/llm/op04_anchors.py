@@ -3,14 +3,15 @@
 Every document is cut into blocks of 25 words that do not overlap; any 50 words hold a whole block. The blocks are the
 index. Every rolling window of 25 words of every document probes it. A hit on a block of a smaller document, and a
 block that a larger document hits, are anchors; only 50-word windows around anchors can be in two documents.
-Anchors are extended to both sides at once: of the 25 words that a window has besides its anchor, a stand before it and
-25 - a after it, and each of these 26 extensions is looked up among those of all other documents' anchors. Runs of
-extensions that are found are the maximal exact repeats. A passage that stands in many contexts is so extended against
-all of them in one lookup, where an extension against each document that shares its block would make all pairs.
+What a hit is extended to is not found by comparing it, word by word, with the text around the block that it hit: a
+passage that stands in many contexts would need that comparison for each of them. Instead every 50-word window around an
+anchor (26 of them, from the one that ends with the anchor to the one that begins with it) is hashed as a whole and looked
+up among those around all other documents' anchors. The union of the windows that are found is what the extensions would
+have reached: the maximal exact repeats of 50 words or more.
 
-Blocks and probes meet in buckets of hashes, as extensions do. A slice of documents settles what it can by itself and
+Blocks and probes meet in buckets of hashes, as windows do. A slice of documents settles what it can by itself and
 sends the rest, so a hot passage costs a few entries for each slice; no pairs of documents are made at any step. Probes
-are compared by a part of their hash, which only makes anchors in vain; extensions by 128 bits: the hash of their words
+are compared by a part of their hash, which only makes anchors in vain; windows by 128 bits: the hash of their words
 and one of their two halves' hashes. Buckets grow in number with the text's bytes.
 
 Defined results: null is an empty text; a document of under 50 words loses nothing; rows with an equal doc_id are one
