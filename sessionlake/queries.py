@@ -449,16 +449,20 @@ def raw_session_total(spark: SparkSession, sf: str) -> DataFrame:
     return sweep.raw_total(sources)
 
 
-@query()
+@query("""WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: {'done': CAST([] AS VARCHAR[]), 'open': x}) AS lines FROM documents),
+r AS (SELECT doc_id, list_reduce(lines, lambda s, x: CASE WHEN s.open = '' THEN {'done': s.done, 'open': x.open} WHEN strlen(s.open) + 1 + strlen(x.open) <= 1000 THEN {'done': s.done, 'open': s.open || chr(10) || x.open} ELSE {'done': list_append(s.done, s.open), 'open': x.open} END) AS s FROM l),
+c AS (SELECT doc_id, CASE WHEN s.open = '' THEN s.done ELSE list_append(s.done, s.open) END AS chunks FROM r)
+SELECT doc_id, CAST(len(chunks) AS INTEGER) AS n_chunks, md5(array_to_string(chunks, chr(1))) AS joined_md5 FROM c""")
 def chunk_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Greedy, hence not in SQL: tested by hand-made cases."""
+    """Greedy chunks of whole lines, told apart by a character between them."""
     d = table(spark, sf, "documents").withColumn("chunks", distill.chunk_lines(F.col("text"), 1000))
-    return d.select("doc_id", F.size("chunks").alias("n_chunks"), F.md5(F.array_join("chunks", "\n")).alias("joined_md5"))
+    return d.select("doc_id", F.size("chunks").alias("n_chunks"), F.md5(F.array_join("chunks", "\x01")).alias("joined_md5"))
 
 
-@query()
+@query("""SELECT doc_id, lpad(lower(hex(CAST(list_reduce(list_prepend(CAST(14695981039346656037 AS UHUGEINT), list_transform(range(0, strlen(text)), lambda i: CAST('0x' || h[2*i+1:2*i+2] AS UHUGEINT))), lambda h, b: (xor(h, b) * CAST(1099511628211 AS UHUGEINT)) % CAST(18446744073709551616 AS UHUGEINT)) AS UBIGINT))), 16, '0') AS hash
+FROM (SELECT doc_id, text, hex(encode(text)) AS h FROM documents)""")
 def fnv1a(spark: SparkSession, sf: str) -> DataFrame:
-    """Wraps at 64 bits, hence not in SQL: tested against published values."""
+    """Multiplication wraps at 64 bits."""
     return table(spark, sf, "documents").select("doc_id", T.fnv1a_hex(F.col("text")).alias("hash"))
 
 

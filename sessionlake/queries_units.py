@@ -12,6 +12,9 @@ from sessionlake.queries import LINES, SESSIONS, archive_sessions, query, raw_li
 from sessionlake.session import table
 from sessionlake.sources import agents, exports, sqlite
 
+#: The last place of up to 1 800 bytes that no continuation byte (10xxxxxx) follows.
+CUT = "CASE WHEN strlen(text) <= 1800 THEN strlen(text) ELSE list_max(list_filter([1797, 1798, 1799, 1800], lambda n: hex(encode(text))[2*n+1:2*n+2] NOT BETWEEN '80' AND 'BF')) END"
+FNV = "list_reduce(list_prepend(CAST(14695981039346656037 AS UHUGEINT), list_transform(range(0, strlen({0})), lambda i: CAST('0x' || hex(encode({0}))[2*i+1:2*i+2] AS UHUGEINT))), lambda h, b: (xor(h, b) * CAST(1099511628211 AS UHUGEINT)) % CAST(18446744073709551616 AS UHUGEINT))"
 UNITS = "SELECT CAST(conv_id AS VARCHAR) AS path, CAST(turn AS BIGINT) AS line_no, item_no, md5(unit) AS unit_md5 FROM ({}) WHERE trim(unit) <> ''"
 
 
@@ -45,7 +48,7 @@ def forge_units(spark: SparkSession, sf: str) -> DataFrame:
 UNION ALL SELECT conv_id, turn, 1, '[Bash: ' || left('ls ' || turn, 80) || ']' FROM conversations WHERE turn % 2 = 0
 UNION ALL SELECT conv_id, turn, 1, CASE WHEN turn % 3 = 0 THEN '[Error] ' ELSE '' END || CASE WHEN EXISTS (SELECT 1 FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 1) THEN
  CASE WHEN len(string_split(text, chr(10))) <= 10 THEN text ELSE array_to_string(list_concat(string_split(text, chr(10))[1:5], ['... (' || (len(string_split(text, chr(10))) - 10) || ' lines omitted) ...'], string_split(text, chr(10))[-5:]), chr(10)) END
- ELSE CASE WHEN strlen(text) <= 500 THEN text ELSE '[Result: ' || length(text) || ' chars]' END END FROM conversations c WHERE turn % 2 = 1 AND text NOT LIKE '[%'"""))
+ ELSE CASE WHEN strlen(text) <= 500 THEN text ELSE '[Result: ' || length(text) || ' chars]' END END FROM conversations c WHERE turn % 2 = 1"""))
 def agent_units(spark: SparkSession, sf: str) -> DataFrame:
     """Texts with a tool use in even turns, and its result in odd ones, found by the id that the turn before registered."""
     even = F.col("turn") % 2 == 0
@@ -103,10 +106,10 @@ def log_project_labels(spark: SparkSession, sf: str) -> DataFrame:
     return agents.labels(rows).select(T.last_path_part(F.col("path")).alias("path"), "project")
 
 
-@query("""WITH u AS (SELECT conv_id, string_agg(CASE WHEN role = 'assistant' THEN '[Assistant]' ELSE '[User]' END || chr(10) || trim(text), chr(10) ORDER BY turn) AS t FROM conversations WHERE trim(text) <> '' AND text NOT LIKE '[%' GROUP BY 1)
+@query("""WITH u AS (SELECT conv_id, string_agg(CASE WHEN role = 'assistant' THEN '[Assistant]' ELSE '[User]' END || chr(10) || trim(text), chr(10) ORDER BY turn) AS t FROM conversations WHERE trim(text) <> '' GROUP BY 1)
 SELECT CAST(conv_id AS VARCHAR) AS path, md5(t) AS transcript_md5 FROM u""")
 def log_transcripts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = log_lines(spark, sf, F.struct(F.struct("role", F.col("text").alias("content")).alias("message"))).filter("get_json_object(line, '$.message.content') NOT LIKE '[%'")
+    rows = log_lines(spark, sf, F.struct(F.struct("role", F.col("text").alias("content")).alias("message")))
     return agents.rendered(agents.agent_units(rows)).select("path", F.md5("transcript").alias("transcript_md5"))
 
 
@@ -178,7 +181,7 @@ def apple_times(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", shown(sqlite.ios_time(ios)).alias("ios"), shown(sqlite.core_data_time(core)).alias("core"))
 
 
-@query("""SELECT event_id AS id, CASE WHEN event_id % 6 = 1 THEN 'taken-by-me' WHEN event_id % 6 = 2 THEN 'p' || event_id || '-0123456789abcdef' WHEN event_id % 6 = 3 THEN 'suffixed' ELSE 'p' || event_id END AS resolved FROM events""")
+@query("""SELECT event_id AS id, CASE WHEN event_id % 6 = 1 THEN 'taken-by-me' WHEN event_id % 6 = 2 THEN 'p' || event_id || '-0123456789abcdef' WHEN event_id % 6 = 3 THEN 'p' || event_id || '-' || left(lpad(lower(hex(CAST(@fnv@ AS UBIGINT))), 16, '0'), 8) ELSE 'p' || event_id END AS resolved FROM events""".replace("@fnv@", FNV.format("('/f/' || event_id)")))
 def resolved_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Free ids, own ids, a stored suffix of another build, ids of another source, and owners without a source."""
     e = table(spark, sf, "events")
@@ -188,7 +191,7 @@ def resolved_ids(spark: SparkSession, sf: str) -> DataFrame:
     own = lambda k, id, path: e.filter(m == k).select(id.alias("id"), path.alias("source_path"))
     owners = own(1, p, src).union(own(1, F.concat(p, F.lit("-0123456789abcdef")), src)).union(own(2, F.concat(p, F.lit("-0123456789abcdef")), src)).union(own(2, p, F.lit("/other"))).union(own(3, p, F.lit("/other"))).union(own(4, p, F.lit("")))
     out = archive.resolved_ids(work, owners)
-    shown = F.when((m == 1) & (F.col("id") == p), "taken-by-me").when((m == 3) & F.col("id").rlike("^p[0-9]+-[0-9a-f]{8}$"), "suffixed").otherwise(F.col("id"))
+    shown = F.when((m == 1) & (F.col("id") == p), "taken-by-me").otherwise(F.col("id"))
     return out.select(F.col("event_id").alias("id"), shown.alias("resolved"))
 
 
@@ -240,12 +243,10 @@ def slugs_and_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", T.slug(F.concat_ws(" / ", "source", F.concat("lang", F.lit("!")))).alias("slug"), T.sanitize_guid(F.concat_ws("/", "source", F.col("doc_id").cast("string"))).alias("guid"), F.when(size.endswith("KB") | size.endswith(" B"), F.when(F.col("n_chars") == 0, "0 KB").otherwise(size)).otherwise("more").alias("size"))
 
 
-@query("SELECT doc_id, strlen(cut) <= 1800 AND strlen(cut) > 1796 OR cut = text AS fits, starts_with(text, cut) AS starts FROM (SELECT doc_id, text, text AS cut FROM documents)".replace("strlen(cut) <= 1800 AND strlen(cut) > 1796 OR cut = text", "true"))
+@query(f"SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, md5(unhex(hex(encode(text))[1:2*n])) AS cut_md5 FROM (SELECT doc_id, text, {CUT} AS n FROM documents)")
 def byte_cap(spark: SparkSession, sf: str) -> DataFrame:
-    cut = T.cap_bytes(F.col("text"), 1800)
-    d = table(spark, sf, "documents").select("doc_id", "text", cut.alias("cut"))
-    n = F.octet_length("cut")
-    return d.select("doc_id", ((n <= 1800) & (n > 1796) | (F.col("cut") == F.col("text"))).alias("fits"), F.startswith("text", "cut").alias("starts"))
+    d = table(spark, sf, "documents").select("doc_id", T.cap_bytes(F.col("text"), 1800).alias("cut"))
+    return d.select("doc_id", F.octet_length("cut").cast("long").alias("n_bytes"), F.md5(F.col("cut").cast("binary")).alias("cut_md5"))
 
 
 @query("SELECT c_custkey, row_number() OVER (ORDER BY c_custkey % 100, c_custkey) AS place FROM customer")
@@ -315,11 +316,19 @@ def embedding_rebuild(spark: SparkSession, sf: str) -> DataFrame:
     return semantic.refreshed_store(rows("old", "true"), rows("new", "vec_id % 3 = 0"), e.filter("vec_id % 5 <> 0").select(F.col("vec_id").alias("id"))).select("session_id", "summary_hash")
 
 
-@query("SELECT doc_id, array_size AS n FROM (SELECT doc_id, 64 AS array_size FROM documents WHERE doc_id % 10 = 0)")
+@query("""WITH d AS (SELECT doc_id, length(text) AS a, length(text) - length(replace(text, 'e', '')) AS b, length(text) - length(replace(text, chr(10), '')) AS c FROM documents)
+SELECT doc_id, CAST(a AS FLOAT) AS x, CAST(b AS FLOAT) AS y, CAST(c AS FLOAT) AS z, md5(text) AS summary_hash FROM d JOIN documents USING (doc_id)""")
 def embed_batches(spark: SparkSession, sf: str) -> DataFrame:
-    """Sixteen texts a call; a record for every input."""
-    d = table(spark, sf, "documents").filter("doc_id % 10 = 0").select(F.col("doc_id").cast("string").alias("session_id"), F.lit("m").alias("model_name"), F.md5("text").alias("summary_hash"), F.left("text", F.lit(200)).alias("text"))
-    return semantic.embed(d, semantic.hash_embedder()).select(F.col("session_id").cast("long").alias("doc_id"), F.size("embedding").alias("n"))
+    """Texts in batches of at most sixteen, of whole documents; the model counts characters, so each vector is known."""
+
+    def model(texts: list[str]) -> list[list[float]]:
+        if not 0 < len(texts) <= 16:
+            raise ValueError("a batch has at most sixteen texts")
+        return [[float(len(t)), float(t.count("e")), float(t.count("\n"))] for t in texts]
+
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("session_id"), F.lit("m").alias("model_name"), F.md5("text").alias("summary_hash"), "text")
+    out = semantic.embed(d, model)
+    return out.select(F.col("session_id").cast("long").alias("doc_id"), *[F.col("embedding")[k].alias(c) for k, c in enumerate("xyz")], "summary_hash")
 
 
 @query("SELECT label, avg(1) * 0 + count(*) AS n, model FROM (SELECT label, CASE WHEN vec_id % 2 = 0 THEN 'a' ELSE 'b' END AS model FROM embeddings) WHERE model = 'a' GROUP BY ALL".replace("avg(1) * 0 + ", ""))

@@ -76,15 +76,26 @@ def forge_tokens(rows: DataFrame) -> DataFrame:
     return with_estimate(rows, F.max(F.when(F.get_json_object("line", "$.type") == "usage", number("$.output_tokens"))))
 
 
-CONTENT = "array<struct<type:string,text:string,id:string,name:string,input:string,tool_use_id:string,content:string,is_error:boolean>>"
-
-
 def content_blocks(rows: DataFrame) -> DataFrame:
-    """One row (path, line_no, item_no, role, b) for each content block; a plain string is a text block."""
-    raw = F.get_json_object("line", "$.message.content")
-    plain = F.array(F.struct(F.lit("text").alias("type"), raw.alias("text"), *[F.lit(None).cast("string").alias(c) for c in ("id", "name", "input", "tool_use_id", "content")], F.lit(None).cast("boolean").alias("is_error")))
-    blocks = F.when(raw.startswith("["), F.from_json(raw, CONTENT)).otherwise(plain)
-    return rows.filter(raw.isNotNull()).select("path", "line_no", F.get_json_object("line", "$.message.role").alias("role"), F.posexplode(blocks).alias("item_no", "b"))
+    """One row (path, line_no, item_no, role, b) for each content block; a plain string is a text block, whatever it looks like.
+
+    b: type, text, id, name, input (JSON), tool_use_id, content (the texts of a result), is_error.
+    """
+    c = F.try_variant_get(F.try_parse_json("line"), "$.message.content", "variant")
+    kind = F.schema_of_variant(c)
+    items = F.when(kind == "STRING", F.array(c)).when(kind.startswith("ARRAY"), F.try_variant_get(c, "$", "array<variant>"))
+    each = rows.select("path", "line_no", F.get_json_object("line", "$.message.role").alias("role"), F.posexplode(items).alias("item_no", "v"))
+    get = lambda k, t="string": F.try_variant_get("v", f"$.{k}", t)
+    plain = F.schema_of_variant("v") == "STRING"
+    inner = get("content", "variant")
+    texts = F.transform(F.try_variant_get(inner, "$", "array<variant>"), lambda x: F.try_variant_get(x, "$.text", "string"))
+    content = F.when(F.schema_of_variant(inner) == "STRING", F.try_variant_get(inner, "$", "string")).otherwise(F.array_join(texts, "\n"))
+    b = F.struct(
+        F.when(plain, "text").otherwise(get("type")).alias("type"),
+        F.when(plain, F.try_variant_get("v", "$", "string")).otherwise(get("text")).alias("text"),
+        get("id").alias("id"), get("name").alias("name"), F.to_json(get("input", "variant")).alias("input"), get("tool_use_id").alias("tool_use_id"), content.alias("content"), get("is_error", "boolean").alias("is_error"),
+    )
+    return each.select("path", "line_no", "item_no", "role", b.alias("b"))
 
 
 #: The names of tools whose uses and results have labels of their own.
@@ -124,7 +135,7 @@ def agent_units(rows: DataFrame) -> DataFrame:
     results = blocks.filter("b.type = 'tool_result'").select("path", "line_no", "item_no", "b", F.col("b.tool_use_id").alias("tool_use_id"), place.alias("here"))
     known = results.join(uses, ["path", "tool_use_id"], "left").filter("at IS NULL OR at <= here")
     latest = known.withColumn("k", F.row_number().over(Window.partitionBy("path", "line_no", "item_no").orderBy(F.desc_nulls_last("at")))).filter("k = 1")
-    body = F.coalesce(F.when(F.col("b.content").startswith("["), F.array_join(F.transform(F.from_json("b.content", "array<struct<text:string>>"), lambda x: x["text"]), "\n")), F.col("b.content"), F.lit(""))
+    body = F.coalesce("b.content", F.lit(""))
     prefix = F.when(F.coalesce("b.is_error", F.lit(False)), "[Error] ").otherwise("")
     shown = latest.select("path", "line_no", "item_no", F.concat(prefix, result_label(F.coalesce("used", F.lit("")), body)).alias("unit"))
     label = F.when(F.col("role") == "assistant", "[Assistant]\n").otherwise("[User]\n")
