@@ -58,9 +58,14 @@ def truncate_chars(c: Column, n: int, mark: str = "...[truncated]") -> Column:
     return F.when(F.char_length(c) > n, F.concat(F.substring(c, 1, n), F.lit(mark))).otherwise(c)
 
 
+def text_lines(c: Column) -> Column:
+    """Lines without their ends; what follows the last line end is a line only if it is not empty."""
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(c, r"\r?\n\z", ""), r"\r?\n"))
+
+
 def head_tail_lines(c: Column, head: int, tail: int) -> Column:
     """First and last lines with the number of lines left out; short texts stay whole."""
-    lines = F.split(c, "\n")
+    lines = text_lines(c)
     n = F.size(lines)
     cut = F.array_join(
         F.concat(

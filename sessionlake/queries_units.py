@@ -27,43 +27,57 @@ def digested(units: DataFrame) -> DataFrame:
     return units.select("path", "line_no", F.col("item_no").cast("int").alias("item_no"), F.md5("unit").alias("unit_md5"))
 
 
-@query(UNITS.format("""SELECT conv_id, turn, 0::INTEGER AS item_no, CASE WHEN turn % 4 = 0 THEN '[User]' || chr(10) || text WHEN turn % 4 = 1 THEN '[Assistant]' || chr(10) || text WHEN turn % 4 = 2 THEN '[Tool: shell]'
-ELSE CASE WHEN length(text) > 500 THEN left(text, 500) || '...[truncated]' ELSE text END END AS unit FROM conversations"""))
+#: What tests take for white space around texts, and a text cut at some characters, in SQL.
+TRIMMED = "trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+CUT_AT = "CASE WHEN length({0}) > {1} THEN left({0}, {1}) || '...[truncated]' ELSE {0} END"
+SAID = CUT_AT.format(TRIMMED, 2000)
+
+
+def window_sql(side: int) -> str:
+    """First and last lines of text in SQL; conversations have no carriage returns."""
+    lines = "string_split(regexp_replace(text, chr(10) || '$', ''), chr(10))"
+    return f"CASE WHEN len({lines}) <= {2 * side} THEN text ELSE array_to_string(list_concat({lines}[1:{side}], ['... (' || (len({lines}) - {2 * side}) || ' lines omitted) ...'], {lines}[-{side}:]), chr(10)) END"
+
+
+@query(UNITS.format(f"""SELECT conv_id, turn, 0::INTEGER AS item_no, CASE WHEN turn % 4 IN (0, 1) AND {TRIMMED} = '' THEN '' WHEN turn % 4 = 0 THEN '[User]' || chr(10) || {SAID} WHEN turn % 4 = 1 THEN '[Assistant]' || chr(10) || {SAID}
+WHEN turn % 4 = 2 THEN '[Tool: shell]' || CASE WHEN turn % 3 = 0 THEN ' ls ' || turn WHEN turn % 3 = 1 AND {TRIMMED} <> '' THEN ' ' || {CUT_AT.format(TRIMMED, 160)} ELSE '' END
+WHEN text = '' THEN '' ELSE '[Tool result]' || chr(10) || {window_sql(10)} END AS unit FROM conversations"""))
 def codex_units(spark: SparkSession, sf: str) -> DataFrame:
-    m = F.col("turn") % 4
+    """Requests after a marker, answers, calls with and without a detail, and results."""
+    m, t = F.col("turn") % 4, F.col("turn") % 3
     kind = F.when(m == 0, "user_message").when(m == 1, "assistant_message").when(m == 2, "function_call").otherwise("function_output")
-    payload = F.struct(kind.alias("type"), F.when(m < 2, F.col("text")).alias("message"), F.when(m == 2, "shell").alias("name"), F.when(m == 3, F.col("text")).alias("output"))
+    message = F.when(m == 0, F.when(t == 0, F.concat(F.lit("context\n## My request for Codex:\n"), "text")).otherwise(F.col("text"))).when((m == 1) & (t > 0), F.col("text"))
+    arguments = F.when(m == 2, F.struct(F.when(t == 0, F.concat(F.lit(" ls "), F.col("turn").cast("string"))).alias("command"), F.when(t == 1, F.col("text")).alias("pattern")))
+    payload = F.struct(kind.alias("type"), message.alias("message"), F.when((m == 1) & (t == 0), F.col("text")).alias("text"), F.when(m == 2, "shell").alias("name"), arguments.alias("arguments"), F.when(m == 3, F.col("text")).alias("output"))
     return digested(agents.codex_units(log_lines(spark, sf, F.struct(F.lit("event_msg").alias("type"), payload.alias("payload")))))
 
 
-@query(UNITS.format("""SELECT conv_id, turn, k::INTEGER AS item_no, u AS unit FROM (SELECT conv_id, turn, unnest(us) AS u, generate_subscripts(us, 1) - 1 AS k FROM (SELECT conv_id, turn,
-list_filter(['[Reasoning] ' || CASE WHEN length(text) > 500 THEN left(text, 500) || '...[truncated]' ELSE text END, CASE WHEN trim(text) <> '' THEN CASE WHEN role = 'assistant' THEN '[Assistant]' ELSE '[User]' END || chr(10) || trim(text) END,
-CASE WHEN turn % 3 = 0 THEN '[Tool: grep]' END], lambda x: x IS NOT NULL) AS us FROM conversations WHERE role IN ('user', 'assistant')))"""))
+@query(UNITS.format(f"""SELECT conv_id, turn, k::INTEGER AS item_no, u AS unit FROM (SELECT conv_id, turn, unnest(us) AS u, generate_subscripts(us, 1) - 1 AS k FROM (SELECT conv_id, turn,
+CASE WHEN turn % 3 = 0 THEN ['[Tool: grep] p' || turn, '[Tool: ?]'] WHEN {TRIMMED} = '' THEN [] ELSE [CASE WHEN role = 'user' THEN '[User]' ELSE '[Assistant]' END || chr(10) || {SAID}, '[Thinking]' || chr(10) || {CUT_AT.format(TRIMMED, 500)}] END AS us
+FROM conversations WHERE role IN ('user', 'assistant')))"""))
 def forge_units(spark: SparkSession, sf: str) -> DataFrame:
-    calls = F.when(F.col("turn") % 3 == 0, F.array(F.struct(F.lit("grep").alias("name"))))
+    call = lambda name, path: F.struct(name.alias("name"), F.struct(path.alias("query")).alias("input"))
+    calls = F.when(F.col("turn") % 3 == 0, F.array(call(F.lit("grep"), F.concat(F.lit("p"), F.col("turn").cast("string"))), call(F.lit(None).cast("string"), F.lit(" "))))
     return digested(agents.forge_units(log_lines(spark, sf, F.struct("role", F.col("text").alias("content"), F.col("text").alias("reasoning"), calls.alias("tool_calls")))))
 
 
-@query(UNITS.format("""SELECT conv_id, turn, 0::INTEGER AS item_no, CASE WHEN role = 'assistant' THEN '[Assistant]' ELSE '[User]' END || chr(10) || trim(text) AS unit FROM conversations WHERE trim(text) <> ''
-UNION ALL SELECT conv_id, turn, 1, '[Bash: ' || left('ls ' || turn, 80) || ']' FROM conversations WHERE turn % 2 = 0
-UNION ALL SELECT conv_id, turn, 1, CASE WHEN turn % 3 = 0 THEN '[Error] ' ELSE '' END || CASE WHEN EXISTS (SELECT 1 FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 1) THEN
- CASE WHEN len(string_split(text, chr(10))) <= 10 THEN text ELSE array_to_string(list_concat(string_split(text, chr(10))[1:5], ['... (' || (len(string_split(text, chr(10))) - 10) || ' lines omitted) ...'], string_split(text, chr(10))[-5:]), chr(10)) END
- ELSE CASE WHEN strlen(text) <= 500 THEN text ELSE '[Result: ' || length(text) || ' chars]' END END FROM conversations c WHERE turn % 2 = 1"""))
+@query(UNITS.format(f"""SELECT conv_id, turn, 0::INTEGER AS item_no, CASE WHEN role = 'user' THEN '[User]' ELSE '[Assistant]' END || chr(10) || concat_ws(chr(10), CASE WHEN {TRIMMED} <> '' THEN {SAID} END, CASE
+WHEN turn % 2 = 0 THEN CASE WHEN turn % 4 = 0 THEN '[Bash: ls ' || turn || ']' ELSE '[Read: f' || turn || ']' END
+WHEN NOT EXISTS (SELECT 1 FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 1 AND p.role <> 'system') OR turn % 5 = 0 THEN CASE WHEN turn % 3 = 0 THEN '[Error: ' ELSE '[Result: ' END || CASE WHEN strlen(text) <= 500 THEN text ELSE strlen(text) || ' chars' END || ']'
+WHEN turn % 4 = 1 THEN CASE WHEN turn % 3 = 0 THEN '[Error: bash]' ELSE '[Result: bash]' END || chr(10) || {window_sql(5)}
+ELSE CASE WHEN turn % 3 = 0 THEN '[Error: f' ELSE '[Result: f' END || (turn - 1) || ' (' || CASE WHEN text = '' THEN 0 ELSE len(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10))) END || ' lines)]' END) AS unit FROM conversations c WHERE role <> 'system'"""))
 def agent_units(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts with a tool use in even turns, and its result in odd ones, found by the id that the turn before registered."""
-    even = F.col("turn") % 2 == 0
-    block = lambda kind, **c: F.struct(F.lit(kind).alias("type"), *[v.alias(k) for k, v in c.items()])
-    use_id = lambda t: F.concat(F.lit("u"), t.cast("string"))
-    full = lambda kind, text=None, id=None, name=None, input=None, tool_use_id=None, content=None, is_error=None: F.struct(
-        F.lit(kind).alias("type"), *[(F.lit(None).cast(t) if v is None else v).alias(k) for k, v, t in (("text", text, "string"), ("id", id, "string"), ("name", name, "string"), ("input", input, "struct<command:string>"), ("tool_use_id", tool_use_id, "string"), ("content", content, "string"), ("is_error", is_error, "boolean"))]
-    )
-    use = full("tool_use", id=use_id(F.col("turn")), name=F.lit("Bash"), input=F.struct(F.concat(F.lit("ls "), F.col("turn").cast("string")).alias("command")))
-    result = full("tool_result", tool_use_id=use_id(F.col("turn") - 1), content=F.col("text"), is_error=F.col("turn") % 3 == 0)
-    content = F.array(full("text", text=F.col("text")), F.when(even, use).otherwise(result))
-    rows = log_lines(spark, sf, F.struct(F.struct("role", content.alias("content")).alias("message")))
-    shown = agents.agent_units(rows)
-    plain = table(spark, sf, "conversations").filter("turn % 2 = 1 AND text LIKE '[%'").select(F.col("conv_id").cast("string").alias("path"), F.col("turn").cast("long").alias("line_no"), F.lit(1).alias("item_no"))
-    return digested(shown.join(plain, ["path", "line_no", "item_no"], "left_anti"))
+    """Texts with a tool's use in even turns and its result in odd ones, found by the id that the turn before registered, if it is known."""
+    t = F.col("turn")
+    even, s = t % 2 == 0, t.cast("string")
+    use = F.struct(F.lit("tool_use").alias("type"), F.concat(F.lit("u"), s).alias("id"), F.when(t % 4 == 0, "Bash").otherwise("Read").alias("name"), F.struct(F.concat(F.lit("ls "), s).alias("command"), F.concat(F.lit("f"), s).alias("file_path")).alias("input"))
+    named = F.concat(F.when(t % 5 == 0, "gone").otherwise("u"), (t - 1).cast("string"))
+    plain = F.struct(F.lit("tool_result").alias("type"), named.alias("tool_use_id"), F.col("text").alias("content"), (t % 3 == 0).alias("is_error"))
+    block = F.when(even, F.to_json(use)).otherwise(F.to_json(plain))
+    text = F.to_json(F.struct(F.lit("text").alias("type"), "text"))
+    rows = log_lines(spark, sf, F.struct("role")).join(table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("path"), t.cast("long").alias("line_no"), text.alias("x"), block.alias("y")), ["path", "line_no"])
+    line = F.concat(F.lit('{"message":'), F.regexp_replace("line", r"\}$", ""), F.lit(',"content":['), "x", F.lit(","), "y", F.lit("]}}"))
+    return digested(agents.agent_units(rows.select("path", "line_no", line.alias("line"))))
 
 
 @query("""SELECT CAST(conv_id AS VARCHAR) AS path, CAST(CASE WHEN conv_id % 2 = 0 THEN max_by(100 * turn, turn) ELSE sum(turn) END AS BIGINT) AS output_tokens, false AS tokens_estimated FROM conversations GROUP BY conv_id""")
@@ -81,6 +95,26 @@ def agent_token_total(spark: SparkSession, sf: str) -> DataFrame:
     return agents.agent_tokens(log_lines(spark, sf, F.struct(message.alias("message")))).filter("NOT tokens_estimated").select("path", "output_tokens")
 
 
+@query("""SELECT CAST(conv_id AS VARCHAR) AS path, kind, CAST(n // 4 AS BIGINT) AS output_tokens FROM (
+SELECT conv_id, 'agent' AS kind, sum(CASE WHEN role = 'assistant' THEN strlen(text) + 3 + strlen('{"a":' || turn || '}') ELSE 0 END) AS n FROM conversations GROUP BY 1
+UNION ALL SELECT conv_id, 'codex', sum(CASE WHEN turn % 2 = 0 THEN strlen(text) ELSE strlen('{"a":' || turn || '}') END) FROM conversations GROUP BY 1
+UNION ALL SELECT conv_id, 'forge', sum(CASE WHEN role = 'assistant' THEN strlen(text) + 3 + strlen(CAST(turn AS VARCHAR)) ELSE 0 END) FROM conversations GROUP BY 1)""")
+def estimated_tokens_of_logs(spark: SparkSession, sf: str) -> DataFrame:
+    """Logs that report no tokens: a quarter of the bytes that the model wrote, tool arguments included."""
+    even = F.col("turn") % 2 == 0
+    given = F.struct(F.col("turn").alias("a"))
+    message = F.struct("role", F.array(F.struct("text", F.lit("hmm").alias("thinking"), given.alias("input"))).alias("content"))
+    payload = F.struct(F.when(even, "assistant_message").otherwise("tool_call").alias("type"), F.when(even, F.col("text")).alias("message"), F.when(~even, given).alias("arguments"))
+    calls = F.array(F.struct(F.col("turn").cast("string").alias("input")))
+    found = {
+        "agent": agents.agent_tokens(log_lines(spark, sf, F.struct(message.alias("message")))),
+        "codex": agents.codex_tokens(log_lines(spark, sf, F.struct(payload.alias("payload")))),
+        "forge": agents.forge_tokens(log_lines(spark, sf, F.struct("role", F.col("text").alias("content"), F.lit("hmm").alias("reasoning"), calls.alias("tool_calls")))),
+    }
+    parts = [d.filter("tokens_estimated").select("path", F.lit(k).alias("kind"), "output_tokens") for k, d in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("SELECT CAST(conv_id AS VARCHAR) AS path, round(least(100.0, max_by(turn, turn) * 1000 / 10000.0 * 100), 6)::DOUBLE AS fill_pct FROM conversations GROUP BY conv_id HAVING least(100.0, max_by(turn, turn) * 1000 / 10000.0 * 100) >= 20")
 def codex_fill_gate(spark: SparkSession, sf: str) -> DataFrame:
     info = F.struct(F.struct((F.col("turn") * 1000).alias("input_tokens")).alias("last_token_usage"), F.lit(10000).alias("model_context_window"))
@@ -106,10 +140,11 @@ def log_project_labels(spark: SparkSession, sf: str) -> DataFrame:
     return agents.labels(rows).select(T.last_path_part(F.col("path")).alias("path"), "project")
 
 
-@query("""WITH u AS (SELECT conv_id, string_agg(CASE WHEN role = 'assistant' THEN '[Assistant]' ELSE '[User]' END || chr(10) || trim(text), chr(10) ORDER BY turn) AS t FROM conversations WHERE trim(text) <> '' GROUP BY 1)
+@query(f"""WITH u AS (SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN '[User]' ELSE '[Assistant]' END || chr(10) || {SAID}, chr(10) ORDER BY turn) AS t FROM conversations WHERE {TRIMMED} <> '' AND role <> 'system' GROUP BY 1)
 SELECT CAST(conv_id AS VARCHAR) AS path, md5(t) AS transcript_md5 FROM u""")
 def log_transcripts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = log_lines(spark, sf, F.struct(F.struct("role", F.col("text").alias("content")).alias("message")))
+    content = F.array(F.struct(F.lit("text").alias("type"), "text"))
+    rows = log_lines(spark, sf, F.struct(F.struct("role", content.alias("content")).alias("message")))
     return agents.rendered(agents.agent_units(rows)).select("path", F.md5("transcript").alias("transcript_md5"))
 
 

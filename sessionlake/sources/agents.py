@@ -6,6 +6,8 @@ lines are skipped.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,115 +58,177 @@ def gated(fills: DataFrame, least: float, unknown_passes: bool = False) -> DataF
     return fills.filter(passes | F.col("fill_pct").isNull() if unknown_passes else passes)
 
 
-def with_estimate(rows: DataFrame, reported: Column) -> DataFrame:
-    """(path, output_tokens, tokens_estimated): the reported number, else a quarter of the characters."""
-    grouped = rows.groupBy("path").agg(reported.alias("r"), F.floor(F.sum(F.octet_length("line")) / 4).alias("e"))
+def with_estimate(rows: DataFrame, reported: Column, generated: Column) -> DataFrame:
+    """(path, output_tokens, tokens_estimated): the reported number, else a quarter of the bytes that the model wrote."""
+    grouped = rows.groupBy("path").agg(reported.alias("r"), F.floor(F.sum(F.coalesce(generated, F.lit(0))) / 4).alias("e"))
     return grouped.select("path", F.coalesce("r", "e").alias("output_tokens"), F.col("r").isNull().alias("tokens_estimated"))
 
 
+def text_at(value: str | Column, path: str) -> Column:
+    """The string at a path of a variant; null if something else is there."""
+    found = F.try_variant_get(value, path, "variant")
+    return F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(found, "$", "string"))
+
+
+def written(value: Column) -> Column:
+    """Bytes of a tool's arguments as the model wrote them: of a string its own, of anything else its JSON's."""
+    kind = F.schema_of_variant(value)
+    size = F.when(kind == "STRING", F.octet_length(F.try_variant_get(value, "$", "string"))).when(kind != "VOID", F.octet_length(F.to_json(value)))
+    return F.coalesce(size, F.lit(0))
+
+
+def size_of(c: Column) -> Column:
+    return F.coalesce(F.octet_length(c), F.lit(0))
+
+
+def summed(items: Column, size: Callable[[Column], Column]) -> Column:
+    return F.aggregate(F.coalesce(items, F.array().cast("array<variant>")), F.lit(0), lambda n, x: n + size(x))
+
+
 def agent_tokens(rows: DataFrame) -> DataFrame:
-    return with_estimate(rows, F.sum(F.when(F.get_json_object("line", "$.message.role") == "assistant", number("$.message.usage.output_tokens"))))
+    """The sum of what the assistant's turns report, else by its texts, thoughts and tool arguments."""
+    v = rows.withColumn("v", F.try_parse_json("line"))
+    items = F.try_variant_get("v", "$.message.content", "array<variant>")
+    made = summed(items, lambda x: size_of(text_at(x, "$.text")) + size_of(text_at(x, "$.thinking")) + written(F.try_variant_get(x, "$.input", "variant")))
+    own = text_at("v", "$.message.role") == "assistant"
+    return with_estimate(v, F.sum(F.when(own, number("$.message.usage.output_tokens"))), F.when(own, made))
 
 
 def codex_tokens(rows: DataFrame) -> DataFrame:
-    """The last cumulative total, else the sum of turns that have none."""
+    """The last cumulative total, else the sum of turns that have none, else by messages and tool arguments."""
     total, turn = number("$.payload.info.total_token_usage.output_tokens"), number("$.payload.info.last_token_usage.output_tokens")
-    return with_estimate(rows, F.coalesce(last_by(total, "line_no"), F.sum(F.when(total.isNull(), turn))))
+    v = rows.withColumn("v", F.try_parse_json("line"))
+    kind = text_at("v", "$.payload.type")
+    argument = F.coalesce(F.try_variant_get("v", "$.payload.arguments", "variant"), F.try_variant_get("v", "$.payload.input", "variant"))
+    said = F.coalesce(text_at("v", "$.payload.text"), text_at("v", "$.payload.message"))
+    made = F.when(kind.isin("assistant_message", "response_output_text"), size_of(said)).when(kind.isin("tool_call", "function_call"), written(argument))
+    return with_estimate(v, F.coalesce(last_by(total, "line_no"), F.sum(F.when(total.isNull(), turn))), made)
 
 
 def forge_tokens(rows: DataFrame) -> DataFrame:
-    return with_estimate(rows, F.max(F.when(F.get_json_object("line", "$.type") == "usage", number("$.output_tokens"))))
+    """The largest running total, else by the assistant's texts, thoughts and tool arguments."""
+    v = rows.withColumn("v", F.try_parse_json("line"))
+    calls = summed(F.try_variant_get("v", "$.tool_calls", "array<variant>"), lambda x: written(F.try_variant_get(x, "$.input", "variant")))
+    made = F.when(text_at("v", "$.role") == "assistant", size_of(text_at("v", "$.content")) + size_of(text_at("v", "$.reasoning")) + calls)
+    return with_estimate(v, F.max(F.when(F.get_json_object("line", "$.type") == "usage", number("$.output_tokens"))), made)
+
+
+#: The most characters of a text, of a tool's detail and of a thought; the forms of the units below are fixed too.
+TEXT_CHARS, DETAIL_CHARS, THOUGHT_CHARS = 2000, 160, 500
+READS, EDITS = ["Read", "NotebookRead"], ["Edit", "MultiEdit", "str_replace_based_edit", "NotebookEdit"]
+CODEX_MARKER = "## My request for Codex:\n"
+CODEX_DETAILS, FORGE_DETAILS = ["command", "file_path", "pattern"], ["path", "command", "query", "pattern", "search_term", "target_directory"]
+
+
+def white_trimmed(c: Column) -> Column:
+    return F.btrim(c, F.lit(T.WHITE_SPACE))
+
+
+def content_text(value: Column) -> Column:
+    """A result's text: a string, or the text blocks of an array, a line each."""
+    blocks = F.filter(F.try_variant_get(value, "$", "array<variant>"), lambda x: text_at(x, "$.type") == "text")
+    return F.coalesce(F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")), F.array_join(F.transform(blocks, lambda x: F.coalesce(text_at(x, "$.text"), F.lit(""))), "\n"), F.lit(""))
 
 
 def content_blocks(rows: DataFrame) -> DataFrame:
-    """One row (path, line_no, item_no, role, b) for each content block; a plain string is a text block, whatever it looks like.
+    """One row (path, line_no, item_no, role, v) for each block of a message's content; content that is no array has none."""
+    v = rows.select("path", "line_no", F.try_parse_json("line").alias("m"))
+    role = text_at("m", "$.message.role")
+    each = v.select("path", "line_no", role.alias("role"), F.posexplode(F.try_variant_get("m", "$.message.content", "array<variant>")).alias("item_no", "v"))
+    return each.filter("role <> 'system'")
+
+
+def file_of(use: Column) -> Column:
+    return F.coalesce(text_at(use, "$.file_path"), F.lit("?"))
 
-    b: type, text, id, name, input (JSON), tool_use_id, content (the texts of a result), is_error.
-    """
-    c = F.try_variant_get(F.try_parse_json("line"), "$.message.content", "variant")
-    kind = F.schema_of_variant(c)
-    items = F.when(kind == "STRING", F.array(c)).when(kind.startswith("ARRAY"), F.try_variant_get(c, "$", "array<variant>"))
-    each = rows.select("path", "line_no", F.get_json_object("line", "$.message.role").alias("role"), F.posexplode(items).alias("item_no", "v"))
-    get = lambda k, t="string": F.try_variant_get("v", f"$.{k}", t)
-    plain = F.schema_of_variant("v") == "STRING"
-    inner = get("content", "variant")
-    texts = F.transform(F.try_variant_get(inner, "$", "array<variant>"), lambda x: F.try_variant_get(x, "$.text", "string"))
-    content = F.when(F.schema_of_variant(inner) == "STRING", F.try_variant_get(inner, "$", "string")).otherwise(F.array_join(texts, "\n"))
-    b = F.struct(
-        F.when(plain, "text").otherwise(get("type")).alias("type"),
-        F.when(plain, F.try_variant_get("v", "$", "string")).otherwise(get("text")).alias("text"),
-        get("id").alias("id"), get("name").alias("name"), F.to_json(get("input", "variant")).alias("input"), get("tool_use_id").alias("tool_use_id"), content.alias("content"), get("is_error", "boolean").alias("is_error"),
-    )
-    return each.select("path", "line_no", "item_no", "role", b.alias("b"))
-
-
-#: The names of tools whose uses and results have labels of their own.
-FILE_TOOLS, PATTERN_TOOLS = ["Read", "Write", "Edit"], ["Grep", "Glob"]
+
+def read_of(use: Column) -> Column:
+    return F.coalesce(text_at(use, "$.file_path"), text_at(use, "$.notebook_path"), F.lit("?"))
 
 
 def use_label(name: Column, args: Column) -> Column:
     """[Read: path], [Bash: command] and the like; any other tool by its name."""
-    file = F.coalesce(F.get_json_object(args, "$.file_path"), F.get_json_object(args, "$.path"))
-    command = F.left(F.get_json_object(args, "$.command"), F.lit(80))
-    pattern = F.get_json_object(args, "$.pattern")
-    named = lambda v: F.concat(F.lit("["), name, F.lit(": "), v, F.lit("]"))
+    named = lambda kind, v: F.concat(F.lit(f"[{kind}: "), v, F.lit("]"))
+    pattern = F.coalesce(text_at(args, "$.pattern"), F.lit("?"))
     return (
-        F.when(name.isin(FILE_TOOLS) & file.isNotNull(), named(file))
-        .when((name == "Bash") & command.isNotNull(), named(command))
-        .when(name.isin(PATTERN_TOOLS) & pattern.isNotNull(), named(pattern))
-        .otherwise(F.concat(F.lit("[Tool: "), name, F.lit("]")))
+        F.when(name.isin(READS), named("Read", read_of(args)))
+        .when(name == "Write", named("Write", file_of(args)))
+        .when(name.isin(EDITS), named("Edit", file_of(args)))
+        .when(name == "Bash", named("Bash", T.truncate_chars(F.coalesce(text_at(args, "$.command"), F.lit("")), 80)))
+        .when(name == "Glob", named("Glob", pattern))
+        .when(name == "Grep", named("Grep", pattern))
+        .otherwise(named("Tool", name))
     )
 
 
-def result_label(name: Column, text: Column) -> Column:
-    """A read is a number of lines, a command its first and last five lines, others up to 500 bytes or a number of characters."""
-    n_lines = F.size(F.split(text, "\n")).cast("string")
+def result_label(name: Column, args: Column, text: Column, error: Column) -> Column:
+    """What came of a tool's use: of a read its lines, of a command its first and last five, of others the text or its size."""
+    begin = F.when(error, "[Error").otherwise("[Result")
+    told = lambda *parts: F.concat(begin, *parts)
     return (
-        F.when(name == "Read", F.concat(F.lit("[Result: "), n_lines, F.lit(" lines]")))
-        .when(name == "Bash", T.head_tail_lines(text, 5, 5))
-        .when(F.octet_length(text) <= 500, text)
-        .otherwise(F.concat(F.lit("[Result: "), F.char_length(text).cast("string"), F.lit(" chars]")))
+        F.when(name.isin(READS), told(F.lit(": "), read_of(args), F.lit(" ("), F.size(T.text_lines(text)).cast("string"), F.lit(" lines)]")))
+        .when(name == "Bash", told(F.lit(": bash]\n"), T.head_tail_lines(text, 5, 5)))
+        .when(name == "Write", told(F.lit(": wrote "), file_of(args), F.lit("]")))
+        .when(name.isin(EDITS), told(F.lit(": edited "), file_of(args), F.lit("]")))
+        .when(F.octet_length(text) <= 500, told(F.lit(": "), text, F.lit("]")))
+        .otherwise(told(F.lit(": "), F.octet_length(text).cast("string"), F.lit(" chars]")))
     )
 
 
 def agent_units(rows: DataFrame) -> DataFrame:
-    """(path, line_no, item_no, unit): texts, tool uses, and results by the tool that was last registered for their id."""
-    blocks = content_blocks(rows)
-    place = F.struct("line_no", "item_no")
-    uses = blocks.filter("b.type = 'tool_use'").select("path", F.col("b.id").alias("tool_use_id"), F.col("b.name").alias("used"), place.alias("at"))
-    results = blocks.filter("b.type = 'tool_result'").select("path", "line_no", "item_no", "b", F.col("b.tool_use_id").alias("tool_use_id"), place.alias("here"))
-    known = results.join(uses, ["path", "tool_use_id"], "left").filter("at IS NULL OR at <= here")
-    latest = known.withColumn("k", F.row_number().over(Window.partitionBy("path", "line_no", "item_no").orderBy(F.desc_nulls_last("at")))).filter("k = 1")
-    body = F.coalesce("b.content", F.lit(""))
-    prefix = F.when(F.coalesce("b.is_error", F.lit(False)), "[Error] ").otherwise("")
-    shown = latest.select("path", "line_no", "item_no", F.concat(prefix, result_label(F.coalesce("used", F.lit("")), body)).alias("unit"))
-    label = F.when(F.col("role") == "assistant", "[Assistant]\n").otherwise("[User]\n")
-    texts = blocks.filter("b.type = 'text' AND trim(b.text) <> ''").select("path", "line_no", "item_no", F.concat(label, F.trim("b.text")).alias("unit"))
-    calls = blocks.filter("b.type = 'tool_use'").select("path", "line_no", "item_no", use_label(F.col("b.name"), F.col("b.input")).alias("unit"))
-    return texts.unionByName(calls).unionByName(shown)
+    """(path, line_no, item_no, unit), a unit for each message: its texts, tool uses and results, a line or more each.
+
+    A result is labelled by the tool that was last registered for its id, on its own line or before.
+    """
+    blocks = content_blocks(rows).withColumns({"kind": text_at("v", "$.type"), "error": F.coalesce(F.try_variant_get("v", "$.is_error", "boolean"), F.lit(False))})
+    uses = blocks.filter("kind = 'tool_use'").select("path", F.col("line_no").alias("on"), text_at("v", "$.id").alias("id"), text_at("v", "$.name").alias("used"), F.try_variant_get("v", "$.input", "variant").alias("with"), F.struct("line_no", "item_no").alias("at"))
+    results = blocks.filter("kind = 'tool_result'").withColumn("id", text_at("v", "$.tool_use_id"))
+    known = results.join(uses.filter("id IS NOT NULL AND used IS NOT NULL"), ["path", "id"], "left").filter("at IS NULL OR on <= line_no")
+    latest = known.withColumn("k", F.row_number().over(Window.partitionBy("path", "line_no", "item_no").orderBy(F.desc_nulls_last("at")))).filter("k = 1").select("path", "line_no", "item_no", "used", "with")
+    joined = blocks.join(latest, ["path", "line_no", "item_no"], "left")
+    text = F.nullif(white_trimmed(F.coalesce(text_at("v", "$.text"), F.lit(""))), F.lit(""))
+    part = (
+        F.when(F.col("kind") == "text", T.truncate_chars(text, TEXT_CHARS))
+        .when(F.col("kind") == "tool_use", use_label(F.coalesce(text_at("v", "$.name"), F.lit("?")), F.try_variant_get("v", "$.input", "variant")))
+        .when(F.col("kind") == "tool_result", result_label(F.coalesce("used", F.lit("unknown")), F.col("with"), content_text(F.try_variant_get("v", "$.content", "variant")), F.col("error")))
+    )
+    turns = joined.withColumn("part", part).filter("part IS NOT NULL").groupBy("path", "line_no", "role").agg(F.sort_array(F.collect_list(F.struct("item_no", "part"))).alias("parts"))
+    label = F.when(F.col("role") == "user", "[User]\n").otherwise("[Assistant]\n")
+    return turns.select("path", "line_no", F.lit(0).alias("item_no"), F.concat(label, F.array_join(F.transform("parts", lambda x: x["part"]), "\n")).alias("unit"))
+
+
+def detailed(name: Column, args: Column, fields: list[str]) -> Column:
+    """[Tool: name], and the first of some arguments that is a text."""
+    detail = F.coalesce(*[F.nullif(white_trimmed(text_at(args, f"$.{f}")), F.lit("")) for f in fields])
+    return F.concat(F.lit("[Tool: "), F.coalesce(name, F.lit("?")), F.lit("]"), F.coalesce(F.concat(F.lit(" "), T.truncate_chars(detail, DETAIL_CHARS)), F.lit("")))
 
 
 def codex_units(rows: DataFrame) -> DataFrame:
-    kind = F.get_json_object("line", "$.payload.type")
-    p = lambda k: F.get_json_object("line", f"$.payload.{k}")
-    said = F.coalesce(p("message"), p("text"))
+    """(path, line_no, item_no, unit): messages, of the user's what follows the marker of a request; tool calls and results."""
+    v = rows.select("path", "line_no", F.try_parse_json("line").alias("v")).filter(text_at("v", "$.type") == "event_msg")
+    p = lambda k: text_at("v", f"$.payload.{k}")
+    message = p("message")
+    asked = F.when(message.contains(CODEX_MARKER), F.substr(message, F.instr(message, CODEX_MARKER) + len(CODEX_MARKER))).otherwise(message)
+    said = lambda label, c: F.concat(F.lit(f"{label}\n"), T.truncate_chars(F.nullif(white_trimmed(c), F.lit("")), TEXT_CHARS))
+    kind, output = p("type"), F.nullif(F.coalesce(p("output"), p("text")), F.lit(""))
     unit = (
-        F.when(kind == "user_message", F.concat(F.lit("[User]\n"), said))
-        .when(kind.isin("assistant_message", "response_output_text"), F.concat(F.lit("[Assistant]\n"), said))
-        .when(kind.isin("tool_call", "function_call"), F.concat(F.lit("[Tool: "), p("name"), F.lit("]")))
-        .when(kind.isin("tool_output", "function_output"), T.truncate_chars(p("output"), 500))
+        F.when(kind == "user_message", said("[User]", asked))
+        .when(kind.isin("assistant_message", "response_output_text"), said("[Assistant]", F.coalesce(p("text"), message)))
+        .when(kind.isin("tool_call", "function_call"), detailed(p("name"), F.try_variant_get("v", "$.payload.arguments", "variant"), CODEX_DETAILS))
+        .when(kind.isin("tool_output", "function_output"), F.concat(F.lit("[Tool result]\n"), T.head_tail_lines(output, 10, 10)))
     )
-    return rows.filter(F.get_json_object("line", "$.type") == "event_msg").select("path", "line_no", F.lit(0).alias("item_no"), unit.alias("unit")).filter("trim(unit) <> ''")
+    return v.select("path", "line_no", F.lit(0).alias("item_no"), unit.alias("unit")).filter("unit IS NOT NULL")
 
 
 def forge_units(rows: DataFrame) -> DataFrame:
-    role = F.get_json_object("line", "$.role")
-    calls = F.transform(F.from_json(F.get_json_object("line", "$.tool_calls"), "array<struct<name:string>>"), lambda c: F.concat(F.lit("[Tool: "), c["name"], F.lit("]")))
-    said = F.nullif(F.trim(F.get_json_object("line", "$.content")), F.lit(""))
-    label = F.when(role == "assistant", "[Assistant]\n").otherwise("[User]\n")
-    thought = F.concat(F.lit("[Reasoning] "), T.truncate_chars(F.get_json_object("line", "$.reasoning"), 500))
-    parts = F.filter(F.concat(F.array(thought, F.concat(label, said)), F.coalesce(calls, F.expr("array()").cast("array<string>"))), lambda x: x.isNotNull())
-    return rows.filter(role.isin("user", "assistant")).select("path", "line_no", F.posexplode(parts).alias("item_no", "unit"))
+    """(path, line_no, item_no, unit): a message's tool calls, or its text and then its thought."""
+    v = rows.select("path", "line_no", F.try_parse_json("line").alias("v"))
+    role = text_at("v", "$.role")
+    calls = F.transform(F.try_variant_get("v", "$.tool_calls", "array<variant>"), lambda c: detailed(text_at(c, "$.name"), F.try_variant_get(c, "$.input", "variant"), FORGE_DETAILS))
+    filled = lambda c: F.nullif(white_trimmed(c), F.lit(""))
+    said = F.concat(F.when(role == "user", "[User]\n").otherwise("[Assistant]\n"), T.truncate_chars(filled(text_at("v", "$.content")), TEXT_CHARS))
+    thought = F.when(said.isNotNull(), F.concat(F.lit("[Thinking]\n"), T.truncate_chars(filled(text_at("v", "$.reasoning")), THOUGHT_CHARS)))
+    return v.filter(role.isin("user", "assistant")).select("path", "line_no", F.posexplode(F.coalesce(calls, F.array_compact(F.array(said, thought)))).alias("item_no", "unit"))
 
 
 def session_units(units: DataFrame) -> DataFrame:

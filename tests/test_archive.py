@@ -176,14 +176,14 @@ def test_agent_logs(spark, tmp_path):
     log = [
         {"message": {"role": "assistant", "model": "m", "content": [{"type": "tool_use", "id": "1", "name": "Read", "input": {"file_path": "f.py"}}], "usage": {"input_tokens": 67000, "output_tokens": 884}}},
         {"message": {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "1", "content": "x\ny"}]}},
-        {"message": {"role": "assistant", "model": "", "content": "done", "usage": {"output_tokens": 116}}},
+        {"message": {"role": "assistant", "model": "", "content": [{"type": "text", "text": " done "}], "usage": {"output_tokens": 116}}},
     ]
     (tmp_path / "projects" / "demo").mkdir(parents=True)
     (tmp_path / "projects" / "demo" / "s.jsonl").write_text("\n".join(map(json.dumps, log)) + "\nnot json\n")
     rows = agents.lines(spark, str(tmp_path)).cache()
     assert agents.agent_fill(rows).first()["fill_pct"] == pytest.approx((67000 + 884 + 33000) / 2000)
     assert agents.agent_tokens(rows).first()["output_tokens"] == 1000
-    assert agents.rendered(agents.agent_units(rows)).first()["transcript"] == "[Read: f.py]\n[Result: 2 lines]\n[Assistant]\ndone"
+    assert agents.rendered(agents.agent_units(rows)).first()["transcript"] == "[Assistant]\n[Read: f.py]\n[User]\n[Result: f.py (2 lines)]\n[Assistant]\ndone"
     assert agents.labels(rows).first()["project"] == "demo"
     codex = spark.createDataFrame([("p", 0, json.dumps({"type": "event_msg", "payload": {"type": "token_count", "info": {"model_context_window": 128000, "last_token_usage": {"input_tokens": 80000}, "total_token_usage": {"output_tokens": 700}}}}))], "path string, line_no int, line string")
     assert agents.codex_fill(codex).first()["fill_pct"] == 62.5 and agents.codex_tokens(codex).first()["output_tokens"] == 700
