@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sessionlake.llm import op01_quotes, op02_bpe, op03_toxicity, op04_anchors, op05_quality, op06_language, op07_suffix, op08_decontaminate, op09_rules, op10_jaccard, op11_collocations, op12_middle, op13_packing
 from sessionlake.session import table
@@ -22,6 +23,12 @@ def op1_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op01_quotes.conversations(table(spark, sf_dir, "conversations"))
 
 
+def conversations_assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What operator 1 is for: conversations without quotes, in reply order; a row for each part, with a digest of its messages."""
+    parts = op01_quotes.assembled(table(spark, sf_dir, "conversations"))
+    return parts.select("conv_id", "part", "n_messages", F.md5(F.to_json("conversation")).alias("conversation_md5"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op02_bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -72,7 +79,7 @@ def op13_packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op13_packing.digests(table(spark, sf_dir, "documents"), vocabulary_path(BYTE_VOCABULARY))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quotes": op1_quotes, "op2_bpe": op2_bpe, "op3_toxicity": op3_toxicity, "op4_anchors": op4_anchors, "op5_quality": op5_quality, "op6_language": op6_language, "op7_suffix": op7_suffix_dedup, "op8_decontaminate": op8_decontaminate, "op9_rules": op9_rules, "op10_jaccard": op10_jaccard_join, "op11_collocations": op11_collocations_query, "op12_middle": op12_middle_query, "op13_packing": op13_packing_query}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quotes": op1_quotes, "conversations_assembled": conversations_assembled, "op2_bpe": op2_bpe, "op3_toxicity": op3_toxicity, "op4_anchors": op4_anchors, "op5_quality": op5_quality, "op6_language": op6_language, "op7_suffix": op7_suffix_dedup, "op8_decontaminate": op8_decontaminate, "op9_rules": op9_rules, "op10_jaccard": op10_jaccard_join, "op11_collocations": op11_collocations_query, "op12_middle": op12_middle_query, "op13_packing": op13_packing_query}
 
 RULES_SQL = r"""
 WITH base AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
