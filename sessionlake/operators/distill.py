@@ -77,12 +77,44 @@ def parsed_facts(answers: DataFrame) -> DataFrame:
     return rows.filter("section IS NOT NULL AND fact <> ''")
 
 
+def resolved_evidence(facts: DataFrame, labels: DataFrame) -> DataFrame:
+    """facts with `cited`, an array of (given, id): what each piece of evidence names in its batch, null if nothing.
+
+    Evidence is a label, an id of the batch, or the start, of at least 8 bytes, of exactly one of its ids. A batch's
+    labels (batch, label, id) are one row of at most a batch's size, so nothing is multiplied.
+    """
+    known = labels.groupBy("batch").agg(F.collect_list(F.struct("label", "id")).alias("_known"))
+    named = F.map_from_entries(F.array_distinct("_known"))
+    ids = F.array_distinct(F.transform("_known", lambda x: x["id"]))
+
+    def one(e: Column) -> Column:
+        starts = F.filter(ids, lambda i: i.startswith(e))
+        only = F.when((F.octet_length(e) >= MIN_PREFIX) & (F.size(starts) == 1), starts[0])
+        return F.struct(e.alias("given"), F.coalesce(F.try_element_at(named, canonical_label(e)), F.when(F.array_contains(ids, e), e), only).alias("id"))
+
+    return facts.join(known, "batch").withColumn("cited", F.transform(F.filter("evidence", lambda e: e.isNotNull()), one)).drop("_known")
+
+
 def validated_facts(facts: DataFrame, labels: DataFrame) -> DataFrame:
-    """Evidence labels become ids of the batch (labels: batch, label, id); facts without known evidence go."""
-    cited = facts.select("*", F.posexplode("evidence").alias("_p", "_e")).withColumn("label", canonical_label(F.col("_e")))
-    found = cited.join(labels.select("batch", "label", "id"), ["batch", "label"])
-    ids = F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("_p", "id"))), lambda x: x["id"]))
-    return found.groupBy("batch", "fact_no", "section", "fact", "date").agg(ids.alias("evidence"))
+    """Evidence becomes ids of the batch (labels: batch, label, id); facts without known evidence go."""
+    ids = F.array_distinct(F.array_compact(F.transform("cited", lambda x: x["id"])))
+    return resolved_evidence(facts, labels).select("batch", "fact_no", "section", "fact", "date", ids.alias("evidence")).filter(F.size("evidence") > 0)
+
+
+def fact_warnings(answers: DataFrame, labels: DataFrame) -> DataFrame:
+    """(batch, fact_no, warning): facts that were left out and why, and evidence that names no session of its batch."""
+    facts = F.slice(F.from_json(F.get_json_object("answer", "$.facts"), FACTS), 1, MAX_FACTS)
+    items = answers.select("batch", F.posexplode(facts).alias("fact_no", "f"))
+    why = (
+        F.when(F.col("f.section").isNull(), "skipped fact without a section")
+        .when(F.col("f.fact").isNull(), F.concat(F.lit("skipped fact without a text in section "), F.col("f.section")))
+        .when(section_of(F.col("f.section")).isNull(), F.concat(F.lit("skipped fact with unknown section "), F.col("f.section")))
+    )
+    skipped = items.select("batch", "fact_no", why.alias("warning")).filter("warning IS NOT NULL")
+    cited = resolved_evidence(parsed_facts(answers), labels)
+    unknown = cited.select("batch", "fact_no", F.explode(F.filter("cited", lambda x: x["id"].isNull())).alias("x")).select("batch", "fact_no", F.concat(F.lit("dropped unknown evidence "), F.col("x.given")).alias("warning"))
+    bare = cited.filter(F.forall(F.coalesce("cited", F.array().cast("array<struct<given:string,id:string>>")), lambda x: x["id"].isNull()))
+    return skipped.unionByName(unknown).unionByName(bare.select("batch", "fact_no", F.concat(F.lit("dropped fact without evidence: "), "fact").alias("warning")))
 
 
 def map_batches(blocks: DataFrame, model: Callable[[str], str]) -> DataFrame:

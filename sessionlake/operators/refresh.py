@@ -141,6 +141,8 @@ def run_refresh(
     cited = distill.with_sanitized_citations(made.select(F.col("section").alias("id"), "text"), known_ids if known_ids is not None else sessions.select("id"))
     done = {r["id"]: r for r in cited.collect()}  # seven sections
     warnings = [f"{s}: {w}" for s in HEADINGS if s in done for w in done[s]["warnings"]]
+    about = distill.fact_warnings(told, labelled(told)).groupBy(F.regexp_extract("warning", "^(skipped fact|dropped unknown evidence|dropped fact)", 1).alias("w")).count()
+    warnings += [f"{r['w']}: {r['count']}" for r in about.orderBy("w").collect()]  # three kinds, counted
     warnings += [f"{r['section']}: not merged" for r in made.filter("failed").select("section").orderBy("section").collect()]
     sections = spark.createDataFrame([(s, r["text"]) for s, r in done.items()], "section string, text string")
     kept.put("profile.md", distill.rendered_profile(sections, HEADINGS, title, trailer).first()["markdown"])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sessionlake.functions import text as T
 
-EMBED_BYTES, EMBED_BATCH = 1800, 16
+EMBED_BYTES, EMBED_BATCH, SCOPE = 1800, 16, 12
 QUERY_PREFIX, DOCUMENT_PREFIX = "task: search result | query: ", "title: {title} | text: "
 
 
@@ -58,6 +58,20 @@ def embedding_input(title: Column, body: Column) -> Column:
     return T.cap_bytes(F.concat(F.lit("title: "), title, F.lit(" | text: "), T.collapse_spaces(full)), EMBED_BYTES)
 
 
+def query_input(text: str) -> str:
+    """A query as the model gets it: behind its prefix, at most 1 800 bytes, cut between characters."""
+    return (QUERY_PREFIX + text.strip()).encode()[:EMBED_BYTES].decode(errors="ignore")
+
+
+def scope_ids(store: DataFrame, query: str, model: Callable[[list[str]], list[list[float]]], k: int = SCOPE, allowed: DataFrame | None = None) -> list[str]:
+    """The ids of the sessions nearest to a query, which a chat is then about; none is an error."""
+    rows = store.withColumnRenamed("session_id", "id")
+    found = [r["id"] for r in top_k(rows, model([query_input(query)])[0], k, tie="id", allowed=allowed).select("id").collect()]
+    if not found:
+        raise ValueError("no session is near the query: search the archive, or rebuild the embeddings")
+    return found
+
+
 def stale(inputs: DataFrame, store: DataFrame) -> DataFrame:
     """Inputs (session_id, model_name, summary_hash, ...) that the store does not hold as they are."""
     keys = ["session_id", "model_name", "summary_hash"]

@@ -374,20 +374,31 @@ def model_filter(spark: SparkSession, sf: str) -> DataFrame:
     return sweep.model_store(e, "a").groupBy("label", F.col("model_name").alias("model")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT batch, fact_no, section, 'fact ' || batch || '-' || fact_no AS fact, CAST(batch * 10 + fact_no AS VARCHAR) AS ids FROM (SELECT doc_id AS batch, k AS fact_no, CASE WHEN k % 3 = 0 THEN 'conventions' ELSE 'projects' END AS section FROM documents, (SELECT unnest(range(0, 10)) AS k) WHERE doc_id % 20 = 0) WHERE fact_no % 3 <> 2""")
-def fact_validation(spark: SparkSession, sf: str) -> DataFrame:
-    """Twelve facts an answer, of which ten count; near-miss sections, unknown sections, and labels in several forms."""
-    d = table(spark, sf, "documents").filter("doc_id % 20 = 0").select(F.col("doc_id").alias("batch"))
+def fact_answers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(answers, labels): twelve facts an answer, of which ten count; near-miss and unknown sections; labels in several forms, a whole id, and starts of one and of several ids."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("batch"))
     k = lambda x: x.cast("string")
     section = lambda x: F.when(x % 3 == 0, " Preferences").when(x % 3 == 1, "projects").otherwise("nothing")
     label = lambda x: F.when(x % 2 == 0, F.concat(F.lit("[s"), k(x + 1), F.lit("]"))).otherwise(F.concat(F.lit("Session "), k(x + 1)))
-    fact = lambda x, b: F.struct(section(x).alias("section"), F.concat(F.lit(" fact "), k(b), F.lit("-"), k(x)).alias("fact"), F.array(label(x), F.lit("S99")).alias("evidence"), F.lit("2024-01-01").alias("date"))
+    fact = lambda x, b: F.struct(section(x).alias("section"), F.concat(F.lit(" fact "), k(b), F.lit("-"), k(x)).alias("fact"), F.array(F.when(x % 5 == 4, k(F.lit(100_000_000) + b * 10 + 7)), label(x), F.lit("S99"), F.lit("10000000")).alias("evidence"), F.lit("2024-01-01").alias("date"))
     answers = d.select("batch", F.to_json(F.struct(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda x: fact(x, F.col("batch"))).alias("facts"))).alias("answer"))
-    labels = d.select("batch", F.explode(F.sequence(F.lit(1), F.lit(18))).alias("n")).select("batch", F.concat(F.lit("S"), k(F.col("n"))).alias("label"), (F.col("batch") * 10 + F.col("n") - 1).cast("string").alias("id"))
+    labels = d.select("batch", F.explode(F.sequence(F.lit(1), F.lit(18))).alias("n")).select("batch", F.concat(F.lit("S"), k(F.col("n"))).alias("label"), (F.lit(100_000_000) + F.col("batch") * 10 + F.col("n") - 1).cast("string").alias("id"))
+    return answers, labels
+
+
+@query("""SELECT batch, fact_no, section, 'fact ' || batch || '-' || fact_no AS fact, CASE WHEN fact_no % 5 = 4 THEN CAST(100000000 + batch * 10 + 7 AS VARCHAR) || ',' ELSE '' END || CAST(100000000 + batch * 10 + fact_no AS VARCHAR) AS ids
+FROM (SELECT doc_id AS batch, k AS fact_no, CASE WHEN k % 3 = 0 THEN 'conventions' ELSE 'projects' END AS section FROM documents, (SELECT unnest(range(0, 10)) AS k)) WHERE fact_no % 3 <> 2""")
+def fact_validation(spark: SparkSession, sf: str) -> DataFrame:
+    answers, labels = fact_answers(spark, sf)
     out = distill.validated_facts(distill.parsed_facts(answers), labels)
     return out.select("batch", F.col("fact_no").cast("long").alias("fact_no"), "section", "fact", F.array_join("evidence", ",").alias("ids"))
 
 
+@query("""SELECT doc_id AS batch, warning, CAST(n AS BIGINT) AS n FROM documents, (VALUES ('skipped fact with unknown section nothing', 3), ('dropped unknown evidence S99', 7), ('dropped unknown evidence 10000000', 7)) AS w(warning, n)""")
+def fact_warnings(spark: SparkSession, sf: str) -> DataFrame:
+    return distill.fact_warnings(*fact_answers(spark, sf)).groupBy("batch", "warning").agg(F.count("*").alias("n"))
+
+
 @query("SELECT source AS section, md5(string_agg('- fact ' || doc_id || ' [id' || doc_id || ']', chr(10) ORDER BY doc_id % 28 DESC, 'fact ' || doc_id DESC)) AS text_md5 FROM documents GROUP BY 1")
 def section_facts(spark: SparkSession, sf: str) -> DataFrame:
     id = F.col("doc_id").cast("string")

@@ -84,3 +84,28 @@ def test_an_unanswered_batch_holds_the_watermark(spark, tmp_path):
     model, merge = models(log)
     second = refresh.run_refresh(sessions(spark), store, model, merge, batch=4, wave=3)
     assert (second.asked, second.failed_batches, second.sessions, second.watermark) == (1, 0, 40, "2024-02-01T00:00:39")
+
+
+def test_evidence_in_many_forms(spark):
+    """A label, an id, the only start of one; not a start of several, a short one, or another batch's id."""
+    labels = spark.createDataFrame([(1, "S1", "aaaa-bbbb-1"), (1, "S2", "aaaa-bbbb-2"), (1, "S3", "cccc-dddd-3"), (2, "S1", "eeee-ffff-4")], "batch long, label string, id string")
+    given = ["[s1]", "Session 2", "3", "cccc-dddd-3", "cccc-ddd", "aaaa-bbbb", "cccc", "eeee-ffff-4", "S9"]
+    facts = [{"section": "identity", "fact": g, "evidence": [g], "date": ""} for g in given] + [{"section": "identity", "fact": "none", "evidence": None}]
+    answers = spark.createDataFrame([(1, json.dumps({"facts": facts})), (2, json.dumps({"facts": [{"section": None, "fact": "x"}, {"section": "identity"}, {"section": "zoo", "fact": "y"}]}))], "batch long, answer string")
+    got = {r["fact"]: r["evidence"] for r in distill.validated_facts(distill.parsed_facts(answers), labels).collect()}
+    assert got == {"[s1]": ["aaaa-bbbb-1"], "Session 2": ["aaaa-bbbb-2"], "3": ["cccc-dddd-3"], "cccc-dddd-3": ["cccc-dddd-3"], "cccc-ddd": ["cccc-dddd-3"]}
+    warned = [(r["batch"], r["warning"]) for r in distill.fact_warnings(answers, labels).collect()]
+    assert sorted(w for b, w in warned if b == 2) == ["skipped fact with unknown section zoo", "skipped fact without a section", "skipped fact without a text in section identity"]
+    assert sum("unknown evidence" in w for _, w in warned) == 4 and sum("without evidence" in w for _, w in warned) == 5
+
+
+def test_scope_of_a_chat(spark):
+    from sessionlake.operators import semantic
+
+    model = semantic.hash_embedder(16)
+    rows = [(f"s{k}", model([semantic.query_input(t)])[0]) for k, t in enumerate(["red apples", "blue sky", "green hills"])]
+    store = spark.createDataFrame(rows, "session_id string, embedding array<double>")
+    assert semantic.scope_ids(store, " red apples ", model)[0] == "s0"
+    assert len(semantic.query_input("é" * 2000).encode()) in (1799, 1800)
+    with pytest.raises(ValueError, match="no session"):
+        semantic.scope_ids(store.limit(0), "x", model)
