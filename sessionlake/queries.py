@@ -449,6 +449,17 @@ def raw_session_total(spark: SparkSession, sf: str) -> DataFrame:
     return sweep.raw_total(sources)
 
 
+@query("""WITH c AS (SELECT DISTINCT user_id AS source, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS begins, event_id % 3 AS size FROM events),
+m AS (SELECT source, begins, max(size) AS size FROM c GROUP BY 1, 2), v AS (SELECT *, lead(begins) OVER (PARTITION BY source ORDER BY begins) AS ends FROM m)
+SELECT source, begins AS valid_from, size FROM v WHERE begins <= 1704672000 AND (ends IS NULL OR ends > 1704672000)""")
+def versions_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """A user's days as versions of a source; what held at one time."""
+    from sessionlake.streaming import capture
+
+    copies = table(spark, sf, "events").select(F.col("user_id").alias("source_path"), F.unix_seconds(F.date_trunc("day", F.col("ts").cast("timestamp"))).alias("mtime_secs"), (F.col("event_id") % 3).alias("size"))
+    return capture.as_of(capture.versions(copies), 1_704_672_000).select(F.col("source_path").alias("source"), "valid_from", "size")
+
+
 @query("""WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: {'done': CAST([] AS VARCHAR[]), 'open': x}) AS lines FROM documents),
 r AS (SELECT doc_id, list_reduce(lines, lambda s, x: CASE WHEN s.open = '' THEN {'done': s.done, 'open': x.open} WHEN strlen(s.open) + 1 + strlen(x.open) <= 1000 THEN {'done': s.done, 'open': s.open || chr(10) || x.open} ELSE {'done': list_append(s.done, s.open), 'open': x.open} END) AS s FROM l),
 c AS (SELECT doc_id, CASE WHEN s.open = '' THEN s.done ELSE list_append(s.done, s.open) END AS chunks FROM r)

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -25,18 +25,39 @@ def capture(spark: SparkSession, source: str, target: str, checkpoint: str, glob
 
 
 def captured(spark: SparkSession, target: str) -> DataFrame:
-    """The manifest (id, source_path, size, mtime_secs) of what is captured: the latest copy of each source; none yet is empty."""
+    """The manifest (id, source_path, size, mtime_secs) of what is captured: the latest copy of each source; none yet is empty.
+
+    Files of the manifest that cannot be read count as not captured: what they held is copied again.
+    """
     schema = "id string, source_path string, size long, mtime_secs long"
     try:
-        rows = spark.read.parquet(target)
+        rows = spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(target)
     except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
     newest = rows.groupBy("source_path").agg(F.max(F.struct("mtime_secs", "size", "id")).alias("m"))
     return newest.select("m.id", "source_path", "m.size", "m.mtime_secs")
 
 
+def versions(copies: DataFrame) -> DataFrame:
+    """copies (source_path, size, mtime_secs, ...) with valid_from and valid_to: when each was the source's content.
+
+    A version holds from its time on until the next one's, the newest without an end. Copies with a time that another has
+    too are told apart by size, and the larger holds; equal copies are one version.
+    """
+    once = copies.dropDuplicates(["source_path", "mtime_secs", "size"])
+    last = once.groupBy("source_path", "mtime_secs").agg(F.max("size").alias("size"))
+    known = once.join(last, ["source_path", "mtime_secs", "size"], "left_semi")
+    end = F.lead("mtime_secs").over(Window.partitionBy("source_path").orderBy("mtime_secs"))
+    return known.withColumns({"valid_from": F.col("mtime_secs"), "valid_to": end})
+
+
+def as_of(history: DataFrame, seconds: int) -> DataFrame:
+    """The version of each source that held at a time; sources that came later are not there."""
+    return history.filter((F.col("valid_from") <= seconds) & (F.col("valid_to").isNull() | (F.col("valid_to") > seconds)))
+
+
 def capture_changed(spark: SparkSession, source: str, target: str, leave_out: DataFrame | None = None, glob: str = "*.jsonl*") -> int:
     """Copies the files whose size or time differs from their captured copy; leave_out: ids that are indexed with a file or deleted.
 

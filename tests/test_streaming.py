@@ -109,3 +109,22 @@ def test_closed_windows(spark, tmp_path):
         assert sizes[-1] < max(sizes) / 2, sizes  # of the thirteen keys none has state any more, but for the last one
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+
+
+def test_versions_of_captured_files(spark, tmp_path):
+    """Each captured change is a version; the history tells what held when; an unreadable manifest file is copied again."""
+    source, target = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    for at, text in ((1000, "a"), (2000, "bb"), (3000, "c")):
+        (source / "x.jsonl").write_text(text)
+        os.utime(source / "x.jsonl", (at, at))
+        assert capture.capture_changed(spark, str(source), target) == 1
+    history = capture.versions(spark.read.parquet(target))
+    assert sorted((r["valid_from"], r["valid_to"], bytes(r["content"])) for r in history.collect()) == [(1000, 2000, b"a"), (2000, 3000, b"bb"), (3000, None, b"c")]
+    held = lambda t: [bytes(r["content"]) for r in capture.as_of(history, t).collect()]
+    assert (held(999), held(1000), held(2999), held(9999)) == ([], [b"a"], [b"bb"], [b"c"])
+    for name in os.listdir(target):
+        if name.endswith(".parquet"):
+            (tmp_path / "out" / name).write_bytes(b"not parquet at all, and long enough to be read as such")
+            (tmp_path / "out" / f".{name}.crc").unlink(missing_ok=True)
+    assert capture.captured(spark, target).count() == 0
