@@ -151,12 +151,19 @@ def pending(index: DataFrame, watermark: str, sources: list[str]) -> DataFrame:
     return archive.after_watermark(archive.consented(index, sources, PHONE_SOURCES), watermark).agg(F.count("*").alias("pending"))
 
 
-def pack(index: DataFrame, bodies: DataFrame, digests: DataFrame, sources: list[str], raws: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The tables of a persona pack: consented index rows, their bodies, digests, raws if asked for, and a manifest of counts and bytes."""
-    rows = archive.consented(index, sources, PHONE_SOURCES)
-    tables = {"index": rows, "bodies": bodies.join(rows.select("archive_path"), "archive_path", "left_semi"), "digests": digests}
+def pack(
+    index: DataFrame, bodies: DataFrame, digests: DataFrame | None, sources: list[str], raws: DataFrame | None = None, profile: DataFrame | None = None, never: list[str] = PHONE_SOURCES
+) -> dict[str, DataFrame]:
+    """The tables of a persona pack: consented index rows and their bodies; digests, profile and raws if they are given; a manifest of counts and bytes.
+
+    raws belong to a row by raw_path, or by session_id where they have one.
+    """
+    rows = archive.consented(index, sources, never)
+    tables = {"index": rows, "bodies": bodies.join(rows.select("archive_path"), "archive_path", "left_semi")}
+    tables |= {name: table for name, table in (("digests", digests), ("profile", profile)) if table is not None}
     if raws is not None:
-        tables["raws"] = raws.join(rows.select("raw_path"), "raw_path", "left_semi")
+        key, own = ("session_id", rows.select(F.col("id").alias("session_id"))) if "session_id" in raws.columns else ("raw_path", rows.select("raw_path"))
+        tables["raws"] = raws.join(own, key, "left_semi")
     size = lambda d: F.sum(F.octet_length(F.to_json(F.struct(*d.columns)))).cast("long")
     counts = [d.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.coalesce(size(d), F.lit(0)).alias("bytes")) for name, d in tables.items()]
     return tables | {"manifest": reduce(DataFrame.unionByName, counts)}

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from sessionlake.operators import analytics, archive, search
+from sessionlake.operators import analytics, search, sweep
 
 RAW_DEFAULT, RAW_MAX, BYTES_DEFAULT, BYTES_MAX = 40, 120, 20_000, 50_000
 
@@ -100,14 +100,13 @@ def dispatch(tables: Archive, name: str, arguments: dict) -> object:
         raise ValueError(f"wrong arguments for {name}: {e}") from e
 
 
-def pack(tables: Archive, path: str, sources: list[str], never: list[str], with_raw: bool = False) -> dict:
-    """Writes consented sessions, their bodies and, if asked, raw lines below a folder; returns a manifest of counts."""
-    chosen = archive.consented(tables.sessions, sources, never)
-    ids = chosen.select("id")
-    parts = {"sessions": chosen, "bodies": tables.bodies.join(chosen.select("archive_path"), "archive_path", "left_semi")}
-    if with_raw:
-        parts["raw_lines"] = tables.raw_lines.join(ids.withColumnRenamed("id", "session_id"), "session_id", "left_semi")
+def pack(tables: Archive, path: str, sources: list[str], never: list[str], with_raw: bool = False, digests: DataFrame | None = None, profile: DataFrame | None = None) -> dict:
+    """Writes the tables of a persona pack (sweep.pack) below a folder; returns the rows of each, counted as they are written."""
+    parts = sweep.pack(tables.sessions, tables.bodies, digests, sources, tables.raw_lines if with_raw else None, profile, never)
+    counts = {}
     for name, rows in parts.items():
-        rows.write.mode("overwrite").parquet(f"{path}/{name}")
-    spark = tables.sessions.sparkSession
-    return {name: spark.read.parquet(f"{path}/{name}").count() for name in parts}
+        seen = Observation()
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/{name}")
+        counts[name] = seen.get["n"]
+    del counts["manifest"]
+    return counts

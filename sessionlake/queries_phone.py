@@ -212,14 +212,18 @@ def pending_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return sweep.pending(archive_sessions(spark, sf), "2023-06-01", ["en", "de", "viber"])
 
 
-@query("""SELECT 'index' AS name, count(*) FILTER (source = 'src1') AS n FROM documents UNION ALL SELECT 'bodies', count(*) FILTER (source = 'src1') FROM documents UNION ALL SELECT 'digests', count(*) FROM region
-UNION ALL SELECT 'raws', count(*) FILTER (source = 'src1' AND doc_id % 3 = 0) FROM documents""")
+@query("""WITH d AS (SELECT * FROM documents WHERE source = 'src1')
+SELECT 'index' AS name, count(*) AS n, CAST(coalesce(sum(strlen('{"id":' || doc_id || ',"provider":"src1","archive_path":' || doc_id || ',"raw_path":' || doc_id || '}')), 0) AS BIGINT) AS bytes FROM d
+UNION ALL SELECT 'bodies', count(*), CAST(coalesce(sum(strlen('{"archive_path":' || doc_id || ',"body":"' || lang || '"}')), 0) AS BIGINT) FROM d
+UNION ALL SELECT 'digests', count(*), CAST(sum(strlen('{"r_name":"' || r_name || '"}')) AS BIGINT) FROM region
+UNION ALL SELECT 'profile', 1, strlen('{"markdown":"# Profile"}')
+UNION ALL SELECT 'raws', count(*), CAST(coalesce(sum(strlen('{"raw_path":' || doc_id || ',"content":"' || lang || '"}')), 0) AS BIGINT) FROM d WHERE doc_id % 3 = 0""")
 def pack_manifest(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     index = d.select(F.col("doc_id").alias("id"), F.col("source").alias("provider"), F.col("doc_id").alias("archive_path"), F.col("doc_id").alias("raw_path"))
     raws = d.filter("doc_id % 3 = 0").select(F.col("doc_id").alias("raw_path"), F.col("lang").alias("content"))
-    parts = sweep.pack(index, d.select(F.col("doc_id").alias("archive_path"), F.col("lang").alias("body")), table(spark, sf, "region"), ["src1", "viber"], raws)
-    return parts["manifest"].select("name", "n")
+    parts = sweep.pack(index, d.select(F.col("doc_id").alias("archive_path"), F.col("lang").alias("body")), table(spark, sf, "region").select("r_name"), ["src1", "viber"], raws, spark.createDataFrame([("# Profile",)], "markdown string"))
+    return parts["manifest"].select("name", "n", "bytes")
 
 
 @query("SELECT count(*) FILTER (event_id % 7 <> 0) AS files, CAST(coalesce(sum(user_id) FILTER (event_id % 7 <> 0), 0) AS BIGINT) AS bytes, false AS same FROM events")

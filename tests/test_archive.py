@@ -90,7 +90,7 @@ def test_api(archived, tmp_path):
         api.dispatch(archived, "drop", {})
     with pytest.raises(ValueError):
         api.dispatch(archived, "read_session", {"nope": 1})
-    assert api.pack(archived, str(tmp_path), ["code", "phone"], ["phone"]) == {"sessions": 2, "bodies": 2}
+    assert api.pack(archived, str(tmp_path), ["code", "phone"], ["phone"]) == {"index": 2, "bodies": 2}
 
 
 def test_activity_boundaries(spark):
