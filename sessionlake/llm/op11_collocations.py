@@ -42,6 +42,8 @@ DEPTH, MIN_COUNT, SCALE, COVERED_PERCENT, TOP = 4, 30, 2_000_000, 80, 2000
 SHARD_BYTES, RANGE_BYTES = 8_000_000, 8_000_000
 #: Sampled paths for each range, and one of how many words of a sampled text is sampled.
 SAMPLED, EVERY = 64, 40
+#: Rows that go to a Python worker at once: a shard's part of a range has some hundred kilobytes.
+BATCH_ROWS = 64
 #: The bytes of [.,;:!?\x0A-\x0D], which end a piece, and of [\x20\x09].
 ENDS = np.isin(np.arange(256), [*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D])
 BREAKS = ENDS | np.isin(np.arange(256), [0x20, 0x09])
@@ -66,21 +68,38 @@ class Paths:
 
     @classmethod
     def merged(cls, columns: list[np.ndarray], counts: np.ndarray | None, base: int) -> Paths:
-        """Equal paths added up. Stable sorting makes use of runs that are sorted already: a merge of all runs at once."""
+        """Equal paths added up. Stable sorting makes use of runs that are sorted already: a merge of all runs at once.
+
+        The list of columns is emptied on the way, so that a task holds each of them for as long as it is needed only.
+        """
         if not len(columns[0]):
-            return cls(columns, np.zeros(0, np.int64))
-        pairs = [np.unique(a * base + b, return_inverse=True) for a, b in zip(columns[::2], columns[1::2], strict=True)]
-        width = len(pairs[1][0])
-        code = pairs[0][1].reshape(-1).astype(np.int64) * width + pairs[1][1].reshape(-1)
+            return cls(list(columns), np.zeros(0, np.int64))
+        code, seen = None, []
+        while columns:
+            pair = columns.pop(0).astype(np.int64)
+            pair *= base
+            pair += columns.pop(0)
+            values, place = np.unique(pair, return_inverse=True)
+            del pair
+            seen.append(values)
+            if code is None:
+                code = place.reshape(-1)
+            else:
+                code *= len(values)
+                code += place.reshape(-1)
+            del place
         if counts is None:
-            code, total = np.unique(code, return_counts=True)
+            code.sort()
         else:
             order = np.argsort(code, kind="stable")
-            code = code[order]
-            first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-            code, total = code[first], np.add.reduceat(counts[order], first)
-        head, tail = pairs[0][0][code // width], pairs[1][0][code % width]
-        return cls([head // base, head % base, tail // base, tail % base], total.astype(np.int64))
+            code, counts = code[order], counts[order]
+            del order
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        total = np.diff(first, append=len(code)) if counts is None else np.add.reduceat(counts, first)
+        head, tail = np.divmod(code[first], len(seen[1]))
+        del code
+        head, tail = seen[0][head], seen[1][tail]
+        return cls([c.astype(np.int32) for c in (head // base, head % base, tail // base, tail % base)], total.astype(np.int64))
 
     def locate(self, numbers: list[tuple[int, bool]]) -> tuple[int, list[int]]:
         """(the first path not before a limit, counts of the limit's one- to three-word prefixes); numbers: of its words, and whether they are here."""
@@ -153,7 +172,9 @@ class Shard:
         rank[order] = np.arange(1, len(keys) + 1)
         joined = np.concatenate([p.joined for p in parts])
         parts.clear()
-        self.paths = Paths.merged(columns_of(rank[inverse.reshape(-1)], joined), None, len(keys) + 1)
+        numbers = rank[inverse.reshape(-1)].astype(np.int32)
+        del inverse, first, of
+        self.paths = Paths.merged(columns_of(numbers, joined), None, len(keys) + 1)
 
     def serialised(self, limits: list[Path]) -> Iterator[tuple]:
         """A row for each range that the shard has something of."""
@@ -245,7 +266,7 @@ class Range:
             else:
                 lang = next(runs) + "\t"
         columns, n = unpacked(shared, steps, counts)
-        self.columns.append(columns)
+        self.columns.append([c.astype(np.int32) for c in columns])
         self.counts.append(n)
         self.bases.append((begin, len(self.keys)))
         self.edges += np.frombuffer(edges, np.int64)
@@ -258,12 +279,16 @@ class Range:
         keys = [keys[k] for k in order]
         rank = np.zeros(len(keys), np.int64)
         rank[order] = np.arange(1, len(keys) + 1)
-        number = rank[encoded.indices.to_numpy()] if len(keys) else rank
-        runs = [[np.concatenate([[0], number[a:b]])[c] for c in columns] for columns, (a, b) in zip(self.columns, self.bases, strict=True)]
-        self.columns.clear()
+        number = (rank[encoded.indices.to_numpy()] if len(keys) else rank).astype(np.int32)
+        for columns, (a, b) in zip(self.columns, self.bases, strict=True):
+            own = np.concatenate([[0], number[a:b]]).astype(np.int32)
+            columns[:] = [own[c] for c in columns]
         self.keys.clear()
-        paths = Paths.merged([np.concatenate(c) for c in zip(*runs, strict=True)], np.concatenate(self.counts), len(keys) + 1)
-        runs.clear()
+        merged = [np.concatenate([run[d] for run in self.columns]) for d in range(DEPTH)]
+        self.columns.clear()
+        counts = np.concatenate(self.counts)
+        self.counts.clear()
+        paths = Paths.merged(merged, counts, len(keys) + 1)
         langs = {}
         for k, n in zip(*(x.tolist() for x in sums_by(paths.columns[0], paths.counts)), strict=True):
             lang = keys[k - 1].rpartition("\t")[0]
@@ -388,7 +413,7 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
     limits = range_limits(texts)
     packed = texts.mapInArrow(functools.partial(tries, limits=limits), PACKED_SQL)
     dealt = packed.repartitionById(len(limits) + 1, F.col("range")).sortWithinPartitions("range")
-    return settled(dealt.mapInArrow(functools.partial(merge_ranges, limits=limits, min_count=min_count), NODES_SQL))
+    return settled(dealt.mapInArrow(functools.partial(merge_ranges, limits=limits, min_count=min_count), NODES_SQL), BATCH_ROWS)
 
 
 def with_rights(nodes: DataFrame) -> DataFrame:

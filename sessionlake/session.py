@@ -57,15 +57,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def settled(frame: DataFrame) -> DataFrame:
-    """frame.checkpoint(), after which Spark removes the shuffle files it took: nothing reads them again."""
-    conf, key = frame.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(key, "false")
-    conf.set(key, "true")
+def settled(frame: DataFrame, batch_rows: int | None = None) -> DataFrame:
+    """frame.checkpoint(), after which Spark removes the shuffle files it took: nothing reads them again.
+
+    batch_rows: how many rows go to a Python worker at once, where rows are large.
+    """
+    conf = frame.sparkSession.conf
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    if batch_rows:
+        wanted["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(batch_rows)
+    before = {key: conf.get(key, "false") for key in wanted}
     try:
-        return frame.select("*").checkpoint()  # the setting holds for frames that are made under it
+        for key, value in wanted.items():
+            conf.set(key, value)
+        return frame.select("*").checkpoint()  # the settings hold for frames that are made under them
     finally:
-        conf.set(key, before)
+        for key, value in before.items():
+            conf.set(key, value)
 
 
 def shards(docs: DataFrame, text_col: str, each: int) -> int:
