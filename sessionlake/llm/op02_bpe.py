@@ -30,6 +30,8 @@ END = ""
 SPACES = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 NEVER = 1 << 62
+#: Entries of each cache of words, and of known neighbours: a worker keeps them while it runs other operators.
+CACHED_WORDS, KNOWN_FITS = 100_000, 200_000
 
 
 def byte_alphabet() -> list[str]:
@@ -42,7 +44,7 @@ def byte_alphabet() -> list[str]:
 class PrefixEncoder:
     """Encodes words of one vocabulary file (tokenizers JSON, BPE with an end-of-word suffix)."""
 
-    def __init__(self, path: str, cached_words: int = 200_000):
+    def __init__(self, path: str, cached_words: int = CACHED_WORDS, known_fits: int = KNOWN_FITS):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -70,7 +72,7 @@ class PrefixEncoder:
         self.cache: dict[str, tuple[str, str, int]] = {}
         self.older: dict[str, tuple[str, str, int]] = {}
         self.word_cache: dict[str, tuple[int, ...]] = {}
-        self.cached_words = cached_words
+        self.cached_words, self.known_fits = cached_words, known_fits
 
     def spine(self, token: str, side: int) -> list[tuple[str, int]]:
         """The parts at the token's last (side 1) or first (side 0) edge, each with the rank of the merge that absorbs it."""
@@ -96,7 +98,7 @@ class PrefixEncoder:
                     rank = self.merges.get((x, y))
                     if rank is not None and rank < x_gone and rank <= y_gone:
                         known = False
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) >= self.known_fits:
                 self.fits.clear()
             self.fits[left, right] = known
         return known
@@ -129,7 +131,7 @@ class PrefixEncoder:
                 own = self.word_cache.get(piece)
                 if own is None:
                     own = tuple(self.word(piece))
-                    if len(self.word_cache) >= self.cached_words:
+                    if len(self.word_cache) >= self.cached_words // 2:
                         self.word_cache.clear()
                     if len(piece) <= 100:
                         self.word_cache[piece] = own
