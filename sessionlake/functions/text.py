@@ -109,13 +109,32 @@ def json_escaped(needle: str) -> str:
     return json.dumps(needle, ensure_ascii=False)[1:-1]
 
 
+def rounded(x: Column, digits: int = 6) -> Column:
+    """A double to so many decimals; what rounds to zero keeps its sign, which Spark's round drops."""
+    r = F.round(x, digits)
+    return F.when(r == 0, x * 0.0).otherwise(r)
+
+
+def one_decimal(c: Column, unit: int) -> Column:
+    """c / unit with one decimal, c not negative. Halves go by the double's own value and, if that is one, to even: Java goes by its shortest decimal."""
+    rest = c % (unit // 10)
+    tenths = ((c - rest) / (unit // 10)).cast("long")
+    quotient = c / unit
+    part = quotient - F.floor(quotient)
+    half = 2 * (tenths % 10) + 1  # twentieths; each difference below is exact
+    side = (part * 16 - half) + part * 4
+    up = (rest > unit // 20) | ((rest == unit // 20) & ((side > 0) | ((side == 0) & (tenths % 2 == 1))))
+    n = tenths + F.when(up, 1).otherwise(0)
+    return F.concat(((n - n % 10) / 10).cast("long").cast("string"), F.lit("."), (n % 10).cast("string"))
+
+
 def human_size(c: Column) -> Column:
     """Decimal size: bytes, whole kilobytes, then one decimal."""
     return (
         F.when(c < 1000, F.concat(c.cast("string"), F.lit(" B")))
         .when(c < 1_000_000, F.concat(F.round(c / 1000).cast("long").cast("string"), F.lit(" KB")))
-        .when(c < 1_000_000_000, F.format_string("%.1f MB", c / 1_000_000))
-        .when(c.isNotNull(), F.format_string("%.1f GB", c / 1_000_000_000))
+        .when(c < 1_000_000_000, F.concat(one_decimal(c, 1_000_000), F.lit(" MB")))
+        .when(c.isNotNull(), F.concat(one_decimal(c, 1_000_000_000), F.lit(" GB")))
     )
 
 

@@ -296,7 +296,7 @@ def cosine_scoped(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 6)) AS v FROM embeddings")
 def l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select("vec_id", F.transform(semantic.l2_normalized(F.col("embedding")), lambda x: F.round(x, 6)).alias("v"))
+    return table(spark, sf, "embeddings").select("vec_id", F.transform(semantic.l2_normalized(F.col("embedding")), lambda x: T.rounded(x)).alias("v"))
 
 
 @query("SELECT vec_id FROM embeddings WHERE vec_id % 3 = 0 OR label = 1")
