@@ -83,16 +83,25 @@ def resolved_evidence(facts: DataFrame, labels: DataFrame) -> DataFrame:
     Evidence is a label, an id of the batch, or the start, of at least 8 bytes, of exactly one of its ids. A batch's
     labels (batch, label, id) are one row of at most a batch's size, so nothing is multiplied.
     """
-    known = labels.groupBy("batch").agg(F.collect_list(F.struct("label", "id")).alias("_known"))
-    named = F.map_from_entries(F.array_distinct("_known"))
-    ids = F.array_distinct(F.transform("_known", lambda x: x["id"]))
+    return facts.join(known_labels(labels), "batch").withColumn("cited", cited_ids(F.col("evidence"))).drop("_named", "_ids")
+
+
+def known_labels(labels: DataFrame) -> DataFrame:
+    """(batch, _named, _ids): a batch's ids by label, and its distinct ids; made once for a batch, not for each evidence."""
+    known = labels.groupBy("batch").agg(F.array_distinct(F.collect_list(F.struct("label", "id"))).alias("_known"))
+    return known.select("batch", F.map_from_entries("_known").alias("_named"), F.array_distinct(F.transform("_known", lambda x: x["id"])).alias("_ids"))
+
+
+def cited_ids(evidence: Column) -> Column:
+    """What each piece of evidence names among _named and _ids, as `cited` of resolved_evidence."""
+    named, ids = F.col("_named"), F.col("_ids")
 
     def one(e: Column) -> Column:
-        starts = F.filter(ids, lambda i: i.startswith(e))
-        only = F.when((F.octet_length(e) >= MIN_PREFIX) & (F.size(starts) == 1), starts[0])
+        starts = F.when(F.octet_length(e) >= MIN_PREFIX, F.filter(ids, lambda i: i.startswith(e)))
+        only = F.transform(F.array(starts), lambda s: F.when(F.size(s) == 1, s[0]))[0]
         return F.struct(e.alias("given"), F.coalesce(F.try_element_at(named, canonical_label(e)), F.when(F.array_contains(ids, e), e), only).alias("id"))
 
-    return facts.join(known, "batch").withColumn("cited", F.transform(F.filter("evidence", lambda e: e.isNotNull()), one)).drop("_known")
+    return F.transform(F.filter(evidence, lambda e: e.isNotNull()), one)
 
 
 def validated_facts(facts: DataFrame, labels: DataFrame) -> DataFrame:
@@ -104,17 +113,20 @@ def validated_facts(facts: DataFrame, labels: DataFrame) -> DataFrame:
 def fact_warnings(answers: DataFrame, labels: DataFrame) -> DataFrame:
     """(batch, fact_no, warning): facts that were left out and why, and evidence that names no session of its batch."""
     facts = F.slice(F.from_json(F.get_json_object("answer", "$.facts"), FACTS), 1, MAX_FACTS)
-    items = answers.select("batch", F.posexplode(facts).alias("fact_no", "f"))
+    answered = answers.select("batch", facts.alias("facts")).join(known_labels(labels), "batch", "left")
+    section, fact = section_of(F.col("f.section")), F.trim("f.fact")
+    items = answered.select("batch", F.posexplode("facts").alias("fact_no", "f"), "_named", "_ids")
     why = (
         F.when(F.col("f.section").isNull(), "skipped fact without a section")
         .when(F.col("f.fact").isNull(), F.concat(F.lit("skipped fact without a text in section "), F.col("f.section")))
-        .when(section_of(F.col("f.section")).isNull(), F.concat(F.lit("skipped fact with unknown section "), F.col("f.section")))
+        .when(section.isNull(), F.concat(F.lit("skipped fact with unknown section "), F.col("f.section")))
     )
-    skipped = items.select("batch", "fact_no", why.alias("warning")).filter("warning IS NOT NULL")
-    cited = resolved_evidence(parsed_facts(answers), labels)
-    unknown = cited.select("batch", "fact_no", F.explode(F.filter("cited", lambda x: x["id"].isNull())).alias("x")).select("batch", "fact_no", F.concat(F.lit("dropped unknown evidence "), F.col("x.given")).alias("warning"))
-    bare = cited.filter(F.forall(F.coalesce("cited", F.array().cast("array<struct<given:string,id:string>>")), lambda x: x["id"].isNull()))
-    return skipped.unionByName(unknown).unionByName(bare.select("batch", "fact_no", F.concat(F.lit("dropped fact without evidence: "), "fact").alias("warning")))
+    good = section.isNotNull() & F.coalesce(fact != "", F.lit(False)) & F.col("_ids").isNotNull()
+    judged = items.select("batch", "fact_no", why.alias("skipped"), F.when(good, fact).alias("fact"), F.when(good, F.coalesce(cited_ids(F.col("f.evidence")), F.expr("array()").cast("array<struct<given:string,id:string>>"))).alias("cited"))
+    unknown = F.transform(F.filter("cited", lambda x: x["id"].isNull()), lambda x: F.concat(F.lit("dropped unknown evidence "), x["given"]))
+    bare = F.when(F.forall("cited", lambda x: x["id"].isNull()), F.concat(F.lit("dropped fact without evidence: "), "fact"))
+    warnings = F.array_compact(F.concat(F.array("skipped", bare), F.coalesce(unknown, F.expr("array()").cast("array<string>"))))
+    return judged.select("batch", "fact_no", F.explode(warnings).alias("warning"))
 
 
 def map_batches(blocks: DataFrame, model: Callable[[str], str]) -> DataFrame:
