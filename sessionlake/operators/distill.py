@@ -14,6 +14,8 @@ from sessionlake.functions import text as T
 from sessionlake.session import ensure_checkpoint_dir, settled
 
 BATCH, MAX_FACTS, CHUNK_BYTES, MIN_PREFIX = 18, 10, 6000, 8
+#: Ids and candidates in a range of sorted prefixes.
+RANGE_ROWS = 250_000
 SECTIONS = ["identity", "conventions", "projects", "recurring_problems", "communication_style", "personal_context", "timeline"]
 #: Near-miss names of sections.
 SECTION_ALIASES = {
@@ -219,19 +221,21 @@ def resolved_prefixes(candidates: DataFrame, ids: DataFrame) -> DataFrame:
     Ids and candidates are sorted together. Of the ids from a candidate on, the first is the candidate itself, or the only
     one that can be repaired to if the second does not start with the candidate too. Two neighbours decide, so no id is
     paired with any other, whatever start they share. Ranges are fixed by a checkpoint; where a range ends before two ids
-    have come, the first two ids of the ranges behind it are looked up, two for each range.
+    have come, the first two ids of the ranges behind it are looked up, two for each range. The number of ranges follows
+    from the rows, so a task's memory does not.
     """
     spark = ids.sparkSession
     ensure_checkpoint_dir(spark)
     known = ids.filter("id IS NOT NULL").select(F.col("id").alias("v"), F.lit(1).alias("known")).distinct()
     asked = candidates.filter("candidate IS NOT NULL").select(F.col("candidate").alias("v"), F.lit(0).alias("known")).distinct()
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = settled(known.unionByName(asked).repartitionByRange(ranges, "v").withColumn("part", F.spark_partition_id()))
+    rows = settled(known.unionByName(asked))
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // RANGE_ROWS))
+    ranged = settled(rows.repartitionByRange(ranges, "v").withColumn("part", F.spark_partition_id()))
     # descending: an id comes before the candidates that it may be meant by
     back = Window.partitionBy("part").orderBy(F.desc("v"), F.desc("known"))
     so_far, before = back.rowsBetween(Window.unboundedPreceding, 0), back.rowsBetween(Window.unboundedPreceding, -1)
     whole = F.when(F.col("known") == 1, F.col("v"))
-    linked = ranged.withColumn("pair", F.when(whole.isNotNull(), F.struct(whole.alias("one"), F.last(whole, True).over(before).alias("two"))))
+    linked = ranged.repartition(ranges, "part").withColumn("pair", F.when(whole.isNotNull(), F.struct(whole.alias("one"), F.last(whole, True).over(before).alias("two"))))
     near = linked.withColumn("pair", F.last("pair", True).over(so_far)).filter("known = 0")
     heads = ranged.filter("known = 1").groupBy("part").agg(F.min_by(F.struct(F.col("v").alias("one")), "v").alias("h"), F.min("v").alias("one"))
     second = ranged.filter("known = 1").join(heads.select("part", "one"), "part").filter("v > one").groupBy("part").agg(F.min("v").alias("two"))
