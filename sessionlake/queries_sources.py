@@ -39,11 +39,11 @@ def read_chatgpt_export(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT coalesce(source, 'none') AS source, row_number() OVER (PARTITION BY coalesce(source, 'none') ORDER BY doc_id) - 1 AS line_no, doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents")
 def log_lines_split(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as logs, one file a source, read back by ranges of some kilobytes that cut lines anywhere."""
+    """Documents as logs, one file a source, read back by ranges of some kilobytes that cut lines anywhere; a task reads some megabytes of them."""
     folder = f"{ensure_checkpoint_dir(spark)}/logs-{uuid.uuid4().hex}"
     d = table(spark, sf, "documents").withColumn("source", F.coalesce("source", F.lit("none"))).withColumn("text", F.coalesce("text", F.lit("")))
     d.repartition("source").sortWithinPartitions("source", "doc_id").select("source", F.to_json(F.struct("doc_id", "text")).alias("value")).write.partitionBy("source").text(folder)
-    rows = log_lines.read(spark, folder, suffix=".txt", split_bytes=50_000).filter("line <> ''")
+    rows = log_lines.read(spark, folder, suffix=".txt", split_bytes=50_000, task_bytes=8 << 20).filter("line <> ''")
     doc = F.from_json("line", "doc_id long, text string")
     return rows.select(F.regexp_extract("path", "source=([^/]*)", 1).alias("source"), "line_no", doc["doc_id"].alias("doc_id"), F.md5(doc["text"]).alias("text_md5"))
 

@@ -35,6 +35,13 @@ class Range(InputPartition):
     end: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What one task reads."""
+
+    parts: list[Range]
+
+
 def log_files(path: str, suffix: str, max_depth: int, modified_after: float | None) -> list[tuple[str, float, int]]:
     """(path, time, bytes) of the files in at most max_depth folders below a folder, newest first; no such folder, no files."""
     from pyarrow.fs import FileSelector, FileType
@@ -63,9 +70,10 @@ def lines_of(stream, start: int, end: int) -> Iterator[bytes]:
     if start:
         stream.seek(start - 1)
         at = start - 1
-    rest, skipping = b"", start > 0
+    rest, skipping, size = b"", start > 0, max(1, min(BLOCK, end - start + 1))
     while True:
-        block = stream.read(BLOCK)
+        block = stream.read(size)  # no more than a short range needs, then what its last line takes
+        size = min(BLOCK, size * 2)
         if not block:
             break
         rest += block
@@ -91,7 +99,7 @@ class Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.options = options["path"], options
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         o = self.options
         split = int(o.get("split_bytes", SPLIT_BYTES))
         after = float(o["modified_after"]) if o.get("modified_after") else None
@@ -99,12 +107,22 @@ class Reader(DataSourceReader):
         for path, changed, size in log_files(self.path, o.get("suffix", ".jsonl"), int(o.get("max_depth", 12)), after):
             seconds = int(changed) if changed >= 0 else -int(-changed)
             out += [Range(path, seconds, k, at, min(size, at + split)) for k, at in enumerate(range(0, size, split))]
-        return out or [Range("", 0, 0, 0, 0)]
-
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        if not part.path:
-            return
+        most, tasks, size = int(o.get("task_bytes", 0)), [], 0
+        for part in out:
+            size += part.end - part.start
+            if not tasks or size > most:
+                tasks.append(Ranges([]))
+                size = part.end - part.start
+            tasks[-1].parts.append(part)
+        return tasks or [Ranges([])]
+
+    def read(self, task: Ranges) -> Iterator[pa.RecordBatch]:
         fs, _ = opened(self.path)
+        for part in task.parts:
+            yield from self.lines(fs, part)
+
+    @staticmethod
+    def lines(fs, part: Range) -> Iterator[pa.RecordBatch]:
         lines, size, place = [], 0, 0
 
         def batch() -> pa.RecordBatch:
@@ -124,7 +142,7 @@ class Reader(DataSourceReader):
 
 
 class LogLines(DataSource):
-    """Options: path, suffix (.jsonl), max_depth (12), modified_after (seconds), split_bytes (64 MB)."""
+    """Options: path, suffix (.jsonl), max_depth (12), modified_after (seconds), split_bytes (64 MB), task_bytes (ranges that a task reads together; one by default)."""
 
     @classmethod
     def name(cls) -> str:
