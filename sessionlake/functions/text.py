@@ -128,12 +128,13 @@ def one_decimal(c: Column, unit: int) -> Column:
     return F.concat(((n - n % 10) / 10).cast("long").cast("string"), F.lit("."), (n % 10).cast("string"))
 
 
-def human_size(c: Column) -> Column:
-    """Decimal size: bytes, whole kilobytes, then one decimal."""
+def human_size(c: Column, largest: str = "GB") -> Column:
+    """Decimal size: bytes, whole kilobytes, then one decimal of megabytes and gigabytes; `largest` is the last unit, GB or MB."""
+    in_mb = F.lit(True) if largest == "MB" else c < 1_000_000_000
     return (
         F.when(c < 1000, F.concat(c.cast("string"), F.lit(" B")))
         .when(c < 1_000_000, F.concat(F.round(c / 1000).cast("long").cast("string"), F.lit(" KB")))
-        .when(c < 1_000_000_000, F.concat(one_decimal(c, 1_000_000), F.lit(" MB")))
+        .when(in_mb, F.concat(one_decimal(c, 1_000_000), F.lit(" MB")))
         .when(c.isNotNull(), F.concat(one_decimal(c, 1_000_000_000), F.lit(" GB")))
     )
 

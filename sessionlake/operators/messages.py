@@ -9,9 +9,9 @@ from sessionlake.functions import text as T
 from sessionlake.operators.sessions import WINDOW_DAYS, WINDOW_MESSAGES, gap_windows
 
 
-def attachment_lines(attachments: Column) -> Column:
-    """A line for each attachment: its name, kind and decimal size (the form is a fixed value)."""
-    parts = lambda a: [F.coalesce(a["transfer_name"], F.lit("unnamed")), F.coalesce(a["mime_type"], F.lit("unknown")), F.coalesce(T.human_size(a["total_bytes"]), F.lit("unknown"))]
+def attachment_lines(attachments: Column, largest: str = "GB") -> Column:
+    """A line for each attachment: its name, kind and decimal size in units up to `largest` (the form is a fixed value)."""
+    parts = lambda a: [F.coalesce(a["transfer_name"], F.lit("unnamed")), F.coalesce(a["mime_type"], F.lit("unknown")), F.coalesce(T.human_size(a["total_bytes"], largest), F.lit("unknown"))]
     return F.array_join(F.transform(attachments, lambda a: F.concat(F.lit("[attachment: "), F.concat_ws(" · ", *parts(a)), F.lit("]"))), "\n")
 
 
@@ -27,20 +27,21 @@ def conversation_org(members: Column, org: Column) -> Column:
     return F.when(F.coalesce(F.size(members), F.lit(0)) <= 1, F.nullif(F.trim(org), F.lit("")))
 
 
-def with_attachments(text: Column, attachments: Column) -> Column:
+def with_attachments(text: Column, attachments: Column, largest: str = "GB") -> Column:
     """A message's text, and below it a line for each attachment: a message of attachments only has those."""
-    lines = F.coalesce(attachment_lines(attachments), F.lit(""))
+    lines = F.coalesce(attachment_lines(attachments, largest), F.lit(""))
     return F.array_join(F.filter(F.array(F.coalesce(text, F.lit("")), lines), lambda t: t != ""), "\n")
 
 
-def windowed(messages: DataFrame, conversations: DataFrame, gap: str = f"{WINDOW_DAYS} days", cap: int = WINDOW_MESSAGES) -> DataFrame:
+def windowed(messages: DataFrame, conversations: DataFrame, gap: str = f"{WINDOW_DAYS} days", cap: int = WINDOW_MESSAGES, largest: str = "GB") -> DataFrame:
     """messages (chat_id, guid, ts, ...) with window numbers, joined to their conversations (chat_id, ...).
 
     window: a new one after a longer gap or `cap` messages; it names the window within this table only, as earlier
-    messages that arrive later move the numbers. Messages may have attachments (array of structs), which become text.
+    messages that arrive later move the numbers. Messages may have attachments (array of structs), which become text with
+    sizes in units up to `largest`.
     """
     if "attachments" in messages.columns:
-        messages = messages.withColumn("text", with_attachments(F.col("text"), F.col("attachments")))
+        messages = messages.withColumn("text", with_attachments(F.col("text"), F.col("attachments"), largest))
     rows = gap_windows(messages, "chat_id", "ts", "guid", gap, cap)
     # chunks restart in each island, so a window is the pair of them
     return rows.withColumn("window", F.concat_ws("-", "island", "chunk")).join(conversations, "chat_id")
