@@ -44,3 +44,8 @@ def test_sizes_end_at_the_largest_unit(spark):
     rows = spark.createDataFrame([(999,), (2_100_000,), (1_500_000_000,), (74_074_012_345,), (None,)], "n long")
     got = rows.select(T.human_size(F.col("n")), T.human_size(F.col("n"), "MB")).collect()
     assert [tuple(r) for r in got] == [("999 B", "999 B"), ("2.1 MB", "2.1 MB"), ("1.5 GB", "1500.0 MB"), ("74.1 GB", "74074.0 MB"), (None, None)]
+
+
+def test_phone_sessions_of_large_attachments(spark, tmp_path):
+    events(spark, tmp_path)
+    same_as_sql(spark, tmp_path, "phone_sessions", "events")
