@@ -87,17 +87,15 @@ def swept(sessions: DataFrame, index: DataFrame, tombstones: DataFrame) -> DataF
     sessions: id, provider, source_jsonl, units (as agents.session_units gives them, before they are joined to a
     transcript; null for other sources), n_messages, n_owner and the columns of archive.change_status.
     """
-    marks = tombstones.select(F.col("id").alias("_id"), F.coalesce("source_path", F.lit("")).alias("_src"))
-    covered = (F.col("id") == F.col("_id")) & ((F.col("_src") == "") | (F.col("_src") == F.col("source_jsonl")))
-    deleted = sessions.join(marks, covered, "left_semi").select("id", "source_jsonl").distinct().withColumn("_deleted", F.lit(True))
-    rows = archive.change_status(sessions, index).join(deleted, ["id", "source_jsonl"], "left")
-    status = (
-        F.when(F.col("_deleted"), "deleted")
-        .when((F.col("provider") == "codex") & low_signal_agent(F.col("units")), "low_signal")
+    left_out = (
+        F.when((F.col("provider") == "codex") & low_signal_agent(F.col("units")), "low_signal")
         .when(low_signal_phone(F.col("provider"), F.col("n_messages"), F.col("n_owner")), "business_filtered")
-        .otherwise(F.col("change"))
-    )
-    return rows.withColumn("status", status).drop("_deleted", "change")
+    )
+    src = F.coalesce("source_path", F.lit(""))
+    marks = tombstones.groupBy("id").agg(F.bool_or(src == "").alias("_any"), F.collect_set(src).alias("_srcs"))
+    rows = archive.change_status(sessions.withColumn("_left_out", left_out), index).join(marks, "id", "left")  # units need not be joined
+    status = F.when(F.col("_any") | F.array_contains("_srcs", F.col("source_jsonl")), "deleted").otherwise(F.coalesce("_left_out", "change"))
+    return rows.withColumn("status", status).drop("_any", "_srcs", "_left_out", "change")
 
 
 def sweep_counters(rows: DataFrame) -> DataFrame:

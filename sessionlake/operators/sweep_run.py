@@ -1,14 +1,17 @@
 """A sweep as one batch that can be broken off anywhere and started again.
 
-    scan of each source -> worklist -> answers -> files -> index -> vectors
+    scan of each source -> worklist -> answers -> written -> files -> index -> vectors
 
 Each step's result is a table below `<archive>/_runs/<run>/<step>`; a step whose table and counters are complete is not
 done again. A step is a function of the tables before it, so doing it twice is doing it once. The model is asked in one
 step only, whose table keeps its answers. Sources are read one by one: a source that fails is recorded with its error and
 leaves the others whole. Counters are observed while a step's rows are written, not in another pass.
 
+A transcript is stored once, in its source's scan, and only if the session is to be processed. A step's table is removed
+as soon as no later step reads it, and so are its shuffle files; its counters stay. Of a complete run nothing else is left.
+
 The index is a folder for each run, and the newest complete one counts; until a run's index is complete, readers see the
-one before. Tables of a run that is complete can be removed at any time.
+one before.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from pyspark.sql import types as ST
 from sessionlake.operators import archive as A
 from sessionlake.operators import semantic, sweep
 from sessionlake.schema import EMBEDDING, SESSION, TOMBSTONE
+from sessionlake.session import without_shuffles
 from sessionlake.sources import markdown
 
 #: What a source gives for each session.
@@ -74,19 +78,30 @@ class Run:
             out.write(json.dumps(value).encode())
         self.fs.move(f"{self.root}/{path}.new", f"{self.root}/{path}")
 
-    def step(self, name: str, made: Callable[[], DataFrame], metrics: dict[str, Column] | None = None, table: str | None = None) -> DataFrame:
-        """The table of a step: written, with its observed counters, unless an earlier start of this run has done so."""
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.archive}/_runs/{self.run}/{name}")
+
+    def step(self, name: str, made: Callable[[], DataFrame], metrics: dict[str, Column] | None = None, table: str | None = None) -> None:
+        """Writes the table of a step, with its observed counters, unless an earlier start of this run has done so."""
         table, mark = table or f"_runs/{self.run}/{name}", f"_runs/{self.run}/{name}.done"
         if not self.exists(mark):
             seen = Observation(name)
-            frame = made()
-            frame = frame.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in (metrics or {}).items()])
-            frame.write.mode("overwrite").parquet(f"{self.archive}/{table}")
+            with without_shuffles(self.spark):
+                frame = made()
+                frame = frame.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in (metrics or {}).items()])
+                frame.write.mode("overwrite").parquet(f"{self.archive}/{table}")
             self.put(mark, seen.get)
             self.after(name)
         with self.fs.open_input_stream(f"{self.root}/{mark}") as f:
             self.counters[name] = json.loads(f.read())
-        return self.spark.read.parquet(f"{self.archive}/{table}")
+
+    def drop(self, *names: str) -> None:
+        """Removes the tables of steps that no later step reads; that the steps are done stays."""
+        from pyarrow.fs import FileType
+
+        for path in (f"{self.root}/_runs/{self.run}/{name}" for name in names):
+            if self.fs.get_file_info(path).type == FileType.Directory:
+                self.fs.delete_dir(path)
 
     def effect(self, name: str, done: Callable[[], None]) -> None:
         """A step without a table, which may be repeated."""
@@ -140,52 +155,71 @@ def run_sweep(
         found = sources[provider]()
         return found.withColumn("provider", F.lit(provider)).select(*[F.col(n).cast(schema[n].dataType).alias(n) if n in found.columns or n == "provider" else c.alias(n) for n, c in blank.items()])
 
+    index = state.newest("index", SESSION)
+    marks = tombstones if tombstones is not None else spark.createDataFrame([], TOMBSTONE)
+    todo = F.col("status").isin("new", "changed")
+
+    def judged(provider: str) -> DataFrame:
+        rows = sweep.swept(read(provider), index, marks).drop("units")
+        return rows.withColumn("transcript", F.when(todo, F.col("transcript")))
+
     scans, failed = [], {}
+    for known in (index.select("id", "transcript_hash", "updated_at", "source_size_bytes"), marks.select("id", "source_path")):
+        known.write.format("noop").mode("overwrite").save()  # what cannot be read here is no source's failure
     for provider in sources:
         if state.exists(f"_runs/{run}/scan-{provider}.failed"):
             failed[provider] = ""
             continue
         try:
-            scans.append(state.step(f"scan-{provider}", lambda provider=provider: read(provider)))
+            state.step(f"scan-{provider}", lambda provider=provider: judged(provider))
+            scans.append(f"scan-{provider}")
         except (PySparkException, OSError, ValueError) as e:
             state.put(f"_runs/{run}/scan-{provider}.failed", {"error": str(e)[:2000]})
             failed[provider] = str(e)
-    if not scans:
-        scans = [spark.createDataFrame([], SCANNED)]
-    sessions = reduce(DataFrame.unionByName, scans)
-    index = state.newest("index", SESSION)
-    marks = tombstones if tombstones is not None else spark.createDataFrame([], TOMBSTONE)
+
+    def sessions() -> DataFrame:
+        return reduce(DataFrame.unionByName, map(state.table, scans)) if scans else spark.createDataFrame([], f"{SCANNED}, status string")
+
     n = lambda *s: F.count_if(F.col("status").isin(*s))
     seen = {"skipped": n("same", "deleted", "low_signal", "business_filtered"), "low_signal_skipped": n("low_signal"), "business_filtered": n("business_filtered")}
-    worklist = state.step("worklist", lambda: sweep.swept(sessions, index, marks), seen).filter("status IN ('new', 'changed')")
-    answers = state.step("answers", lambda: summarise(worklist.select("id", "provider", "transcript")).select("id", *ANSWER))
+    state.step("worklist", lambda: sessions().drop("transcript"), seen)
+    state.step("answers", lambda: summarise(sessions().filter(todo).select("id", "provider", "transcript")).select("id", *ANSWER))
+    state.drop(*scans)
     at, business = F.lit(swept_at).cast("timestamp"), F.col("provider").isin(sweep.PHONE_SOURCES)
 
     def written() -> DataFrame:
-        done = worklist.join(answers.withColumn("_answered", F.lit(True)), "id", "left")
+        done = state.table("worklist").filter(todo).join(state.table("answers").withColumn("_answered", F.lit(True)), "id", "left")
         old = index.select("id", F.col("archive_path").alias("replaces"))
         done = done.join(old, "id", "left").withColumn("title", sweep.session_title(F.col("title"), F.col("project"), F.col("session_timestamp")))
         done = done.withColumn("archive_path", sweep.archive_path(F.col("project"), at, F.col("tool"), F.col("id")))
         done = done.withColumn("body", markdown_body(F.col("title"), at, model))
         if redactions is not None:
             done = A.redacted(done, redactions)
-        return done.withColumns({"secret_flags": A.secret_flags(F.col("body")), "date": F.date_format("session_timestamp", "yyyy-MM-dd"), "_answered": F.coalesce("_answered", F.lit(False))})
+        done = done.withColumns({"secret_flags": A.secret_flags(F.col("body")), "date": F.date_format("session_timestamp", "yyyy-MM-dd"), "_answered": F.coalesce("_answered", F.lit(False))})
+        return done.select(*SESSION.names, "body", "replaces", "_answered")
 
     flagged = {"processed": F.count_if("_answered"), "flagged": F.count_if(F.col("_answered") & (F.size("secret_flags") > 0)), "errors": F.count_if(~F.col("_answered")), "business_errors": F.count_if(~F.col("_answered") & business)}
-    rows = state.step("written", written, flagged).filter("_answered")
-    state.effect("files", lambda: markdown.write(rows.select("archive_path", "body", "replaces"), archive, run))
-    entry = rows.withColumn("session_timestamp", F.date_format("session_timestamp", "yyyy-MM-dd'T'HH:mm:ssXXX")).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SESSION], F.lit(0).alias("_pos"))
-    state.step("index", lambda: A.upsert(index, entry), table=f"index/{run}")
+    state.step("written", written, flagged)
+    state.drop("worklist", "answers")
+    rows = lambda: state.table("written").filter("_answered")
+    state.effect("files", lambda: markdown.write(rows().select("archive_path", "body", "replaces"), archive, run))
+
+    def indexed() -> DataFrame:
+        entry = rows().withColumn("session_timestamp", F.date_format("session_timestamp", "yyyy-MM-dd'T'HH:mm:ssXXX"))
+        return A.upsert(index, entry.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SESSION], F.lit(0).alias("_pos")))
+
+    state.step("index", indexed, table=f"index/{run}")
     if embedder is not None:
 
         def vectors() -> DataFrame:
-            inputs = rows.select(F.col("id").alias("session_id"), semantic.embedding_input(F.col("title"), F.col("body")).alias("text"))
+            inputs = rows().select(F.col("id").alias("session_id"), semantic.embedding_input(F.col("title"), F.col("body")).alias("text"))
             inputs = inputs.withColumns({"summary_hash": F.sha2("text", 256), "model_name": F.lit(model)})
             new = semantic.embed(inputs, embedder).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in EMBEDDING])
             live = spark.read.schema(SESSION).parquet(f"{state.archive}/index/{run}").select("id")
             return semantic.refreshed_store(state.newest("vectors", EMBEDDING), new, live)
 
         state.step("vectors", vectors, table=f"vectors/{run}")
+    state.drop("written")
     counted = {**state.counters["worklist"], **state.counters["written"]}
     counted["errors"] += len(failed)
     counted["business_errors"] += sum(p in sweep.PHONE_SOURCES for p in failed)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,25 +59,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def settled(frame: DataFrame, batch_rows: int | None = None) -> DataFrame:
-    """frame.checkpoint(), after which Spark removes the shuffle files it took: nothing reads them again.
-
-    batch_rows: how many rows go to a Python worker at once, where rows are large.
-    """
-    conf = frame.sparkSession.conf
-    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
-    if batch_rows:
-        wanted["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(batch_rows)
+@contextmanager
+def without_shuffles(spark: SparkSession, **more: str) -> Iterator[None]:
+    """Of frames that are made and run inside, Spark removes the shuffle files when they are done. more: other settings."""
+    conf, wanted = spark.conf, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", **more}
     before = {key: conf.get(key, "false") for key in wanted}
     try:
         for key, value in wanted.items():
             conf.set(key, value)
-        return frame.select("*").checkpoint()  # the settings hold for frames that are made under them
+        yield
     finally:
         for key, value in before.items():
             conf.set(key, value)
 
 
+def settled(frame: DataFrame, batch_rows: int | None = None) -> DataFrame:
+    """frame.checkpoint(), after which Spark removes the shuffle files it took: nothing reads them again.
+
+    batch_rows: how many rows go to a Python worker at once, where rows are large.
+    """
+    more = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch_rows)} if batch_rows else {}
+    with without_shuffles(frame.sparkSession, **more):
+        return frame.select("*").checkpoint()  # the settings hold for frames that are made under them
+
+
 def shards(docs: DataFrame, text_col: str, each: int) -> int:
     """How many buckets of about `each` bytes of text docs makes, at least as many as Spark's shuffles have."""
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,3 +137,43 @@ def test_paths_stay_below_the_archive(spark, tmp_path):
     writer.commit([kept, None])  # the lost attempt's message never arrives
     assert files(tmp_path) == ["sessions/a.md"] and (tmp_path / "sessions" / "a.md").read_text() == "kept" and lost.files == 1
     assert not (tmp_path / "_staging" / "r").exists()
+
+
+def size(folder):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names)
+
+
+def test_a_transcript_is_stored_once(spark, tmp_path):
+    """No step has more than one copy of what is to be processed, the second sweep none of what is the same, and nothing is left."""
+    random.seed(1)
+    text = [random.randbytes(20_000).hex() for _ in range(60)]
+    archive, log = str(tmp_path / "archive"), {}
+    kept = f"{archive}/_runs"
+
+    def short(rows):
+        empty = F.array().cast("array<string>")
+        return rows.select("id", F.col("id").alias("title"), F.left("transcript", F.lit(9)).alias("summary"), F.lit("x").alias("session_type"), *[empty.alias(c) for c in ("error_tags", "topic_tags", "highlights")])
+
+    def swept(run, changed):
+        rows = source(spark, [(f"c{i}", f"{t} changed" if i < changed else t, 9, 4, "Codex") for i, t in enumerate(text)])
+        log.clear()
+        got = sweep_run.run_sweep(spark, archive, {"codex": lambda: rows().withColumn("transcript_hash", F.md5("transcript"))}, short, run, f"2024-06-0{run} 07:08:09", after=lambda step: log.update({step: size(kept)})).collect()[0]
+        return got["processed"], max(log.values()), [f for f in os.listdir(f"{kept}/{run}") if os.path.isdir(f"{kept}/{run}/{f}")]
+
+    whole = sum(map(len, text))
+    n, most, left = swept("1", 0)
+    assert (n, left) == (60, []) and most < 1.2 * whole and size(kept) < whole / 50
+    n, most, left = swept("2", 6)
+    assert (n, left) == (6, []) and most < whole / 5
+
+
+def test_an_unreadable_index_is_no_sources_failure(spark, tmp_path):
+    sweep(spark, tmp_path)
+    folder = tmp_path / "archive" / "index" / "r1"
+    for f in folder.glob("*.parquet"):
+        f.write_bytes(b"no index")
+    for f in folder.glob(".*.crc"):
+        f.unlink()
+    with pytest.raises(Exception, match="(?i)parquet"):
+        sweep(spark, tmp_path, "r2")
+    assert not list((tmp_path / "archive" / "_runs").glob("r2/*.failed"))
