@@ -19,12 +19,15 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import Row, StructType
 
 STAGING, REPLACED = "_staging", "_replaced.jsonl"
+#: Files that a task holds at once, and tasks that list folders.
+READ_FILES, MOST_TASKS = 500, 1000
 
 
 def opened(path: str):
@@ -85,24 +88,24 @@ class Writer(DataSourceWriter):
         from pyarrow.fs import FileSelector, FileType
 
         fs, root = opened(self.target)
-        gone: set[str] = set()
-        placed: set[str] = set()
-        for message in messages:
-            if message is None or not message.files:
-                continue
-            base = f"{root}/{STAGING}/{message.folder}"
-            found = [i.path for i in fs.get_file_info(FileSelector(base, recursive=True)) if i.type == FileType.File]
-            for path in found:
-                name = path[len(base) + 1 :]
-                if name == REPLACED:
-                    with fs.open_input_stream(path) as f:
-                        gone.update(json.loads(f.read()))
+        bases = [f"{root}/{STAGING}/{m.folder}" for m in messages if m is not None and m.files]
+        gone: set[str] = set()  # of all files, only the names that were replaced are kept here
+        made: set[str] = set()
+        for base in bases:
+            with fs.open_input_stream(f"{base}/{REPLACED}") as f:
+                gone.update(json.loads(f.read()))
+        for base in bases:
+            for found in fs.get_file_info(FileSelector(base, recursive=True)):
+                name = found.path[len(base) + 1 :]
+                if found.type != FileType.File or name == REPLACED:
                     continue
                 target = f"{root}/{name}"
-                fs.create_dir(target.rpartition("/")[0], recursive=True)
-                fs.move(path, target)
-                placed.add(name)
-        for name in gone - placed:
+                if (parent := target.rpartition("/")[0]) not in made:
+                    fs.create_dir(parent, recursive=True)
+                    made.add(parent)
+                fs.move(found.path, target)
+                gone.discard(name)
+        for name in gone:
             if fs.get_file_info(f"{root}/{name}").type == FileType.File:
                 fs.delete_file(f"{root}/{name}")
         self.clear()
@@ -138,12 +141,43 @@ def write(rows: DataFrame, archive: str, run: str | None = None) -> None:
 
 
 def read(spark: SparkSession, archive: str) -> DataFrame:
-    """(archive_path, body) of the summaries below an archive; what is still staged is not read."""
-    from pyarrow.fs import FileType
+    """(archive_path, body) of the summaries below an archive; what is still staged is not read.
+
+    Tasks list the folders and read the files; the driver has the names of folders only.
+    """
+    from pyarrow.fs import FileSelector, FileType
 
     fs, root = opened(archive)
     if fs.get_file_info(f"{root}/sessions").type != FileType.Directory:
         return spark.createDataFrame([], "archive_path string, body string")
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(f"{archive.rstrip('/')}/sessions", wholetext=True)
-    path = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), r".*/(sessions/.*)$", 1)
-    return files.select(path.alias("archive_path"), F.col("value").alias("body"))
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = opened(archive)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found = fs.get_file_info(FileSelector(f"{root}/{folder}"))
+                for k in range(0, len(found), READ_FILES):
+                    part = found[k : k + READ_FILES]
+                    yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{i.base_name}" for i in part], pa.string()), pa.array([i.type == FileType.Directory for i in part], pa.bool_())], ["path", "is_folder"])
+
+    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = opened(archive)
+        for batch in batches:
+            paths = batch.column(0).to_pylist()
+            for k in range(0, len(paths), READ_FILES):
+                part, texts = paths[k : k + READ_FILES], []
+                for path in part:
+                    with fs.open_input_stream(f"{root}/{path}") as f:
+                        texts.append(f.read())
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(texts, pa.binary())], ["archive_path", "body"])
+
+    def listed(folders: list[str]) -> DataFrame:
+        return spark.createDataFrame([(f,) for f in folders], "folder string").repartition(min(len(folders), MOST_TASKS)).mapInArrow(entries, "path string, is_folder boolean")
+
+    folders, level = [], ["sessions"]
+    while level:
+        folders += level
+        level = [r["path"] for r in listed(level).filter("is_folder").collect()]
+    files = listed(folders).filter("NOT is_folder AND path LIKE '%.md'").select("path")
+    files = files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").mapInArrow(bodies, "archive_path string, body binary")
+    return files.select("archive_path", F.col("body").cast("string").alias("body"))

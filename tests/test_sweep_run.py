@@ -177,3 +177,13 @@ def test_an_unreadable_index_is_no_sources_failure(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)parquet"):
         sweep(spark, tmp_path, "r2")
     assert not list((tmp_path / "archive" / "_runs").glob("r2/*.failed"))
+
+
+def test_summaries_are_read_by_tasks(spark, tmp_path):
+    """All files, in folders of any depth and name; the driver lists no files and a task reads a part of them."""
+    paths = [f"sessions/{project}/2024-06-0{n % 2 + 1}/{n}.md" for n in range(60) for project in ("p", "a/b", "_own", ".dot", "a b%20é")]
+    markdown.write(spark.createDataFrame([(p, "" if p.endswith("/7.md") else f"body of {p}é", None) for p in paths], "archive_path string, body string, replaces string"), str(tmp_path))
+    (tmp_path / "sessions" / "p" / "notes.txt").write_text("no summary")
+    got = markdown.read(spark, str(tmp_path))
+    assert {r["archive_path"]: r["body"] for r in got.collect()} == {p: "" if p.endswith("/7.md") else f"body of {p}é" for p in paths}
+    assert got.inputFiles() == [] and got.rdd.getNumPartitions() > 1
